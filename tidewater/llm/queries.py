@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, sharding, topk, toxicity, urls, warc
+from . import jaccard, media, mixing, packing, sharding, topk, toxicity, urls, warc
 from .store import small_batches, table
 
 
@@ -25,6 +25,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.outcomes_of(table(spark, sf_dir, "labels")))
 
@@ -47,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_warc, op4_toxicity, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
+    f.__name__: f for f in (op1_media_columns, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
 }
 
 SQL: dict[str, str] = {}
