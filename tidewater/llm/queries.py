@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, packing, sharding, topk, toxicity, urls, warc
+from . import jaccard, media, mixing, ngram, packing, sharding, topk, toxicity, urls, warc
 from .store import small_batches, table
 
 
@@ -15,6 +15,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 200)
+    return ngram.scored_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return warc.converted_pages(table(spark, sf_dir, "pages"))
@@ -52,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
+    f.__name__: f for f in (op1_media_columns, op2_lm_scoring, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
 }
 
 SQL: dict[str, str] = {}

@@ -32,8 +32,9 @@ def written(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
     """Keep Arrow batches small, since a row may hold a whole long text."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))
