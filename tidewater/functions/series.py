@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
-
-BY_SESSION = W.partitionBy("series").orderBy("session")
 BLOCK = 256
 CARRIED = 4
 
 
+def by_session() -> WindowSpec:
+    return W.partitionBy("series").orderBy("session")
+
+
 def last(n: int, end: int = 0) -> WindowSpec:
     """The n rows up to ``end`` rows from the current one."""
-    return BY_SESSION.rowsBetween(end - n + 1, end)
+    return by_session().rowsBetween(end - n + 1, end)
 
 
 def full(aggregate: Column, x: Column, n: int) -> Column:
@@ -23,7 +25,7 @@ def full(aggregate: Column, x: Column, n: int) -> Column:
 
 
 def position() -> Column:
-    return (F.row_number().over(BY_SESSION) - 1).cast("long")
+    return (F.row_number().over(by_session()) - 1).cast("long")
 
 
 def ema(df: DataFrame, x: str, span: int, out: str, order: str = "session") -> DataFrame:

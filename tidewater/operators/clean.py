@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.series import BY_SESSION
+from ..functions.series import by_session
 
 PRICES = ("open", "high", "low", "close")
 JUMP, GAP_DAYS, STALE_DAYS = 0.20, 7, 15
@@ -43,8 +43,8 @@ def symbol(raw: Column) -> Column:
 
 def quality(df: DataFrame, as_of: Column) -> DataFrame:
     """Diagnostics per series: duplicates, prices, jumps, gaps, staleness, and a status."""
-    move = F.abs(F.log(F.try_divide(F.col("close"), F.lag("close").over(BY_SESSION))))
-    gap = F.datediff("session", F.lag("session").over(BY_SESSION))
+    move = F.abs(F.log(F.try_divide(F.col("close"), F.lag("close").over(by_session()))))
+    gap = F.datediff("session", F.lag("session").over(by_session()))
     marked = df.withColumn("_move", move).withColumn("_gap", gap)
     out = marked.groupBy("series").agg(
         F.count(F.lit(1)).alias("n_rows"),

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.series import BY_SESSION, ema, full, last
+from ..functions.series import by_session, ema, full, last
 
 TWO_PI = 6.283185307179586
 
 
 def previous(name: str = "close", n: int = 1) -> Column:
-    return F.lag(name, n).over(BY_SESSION)
+    return F.lag(name, n).over(by_session())
 
 
 def sma_bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
@@ -43,7 +43,7 @@ def rsi_atr_obv(df: DataFrame, n: int = 14) -> DataFrame:
     df = df.withColumn("_tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     signed = F.coalesce(F.signum(F.col("close") - before), F.lit(0.0)) * F.col("volume")
     df = df.withColumn("_signed", signed).withColumn("rsi_14", rsi(n)).withColumn("atr_14", full(F.avg("_tr"), F.col("_tr"), n))
-    return df.withColumn("obv", F.sum("_signed").over(BY_SESSION.rowsBetween(W.unboundedPreceding, 0))).drop("_tr", "_signed")
+    return df.withColumn("obv", F.sum("_signed").over(by_session().rowsBetween(W.unboundedPreceding, 0))).drop("_tr", "_signed")
 
 
 def technical(df: DataFrame) -> DataFrame:
@@ -54,14 +54,14 @@ def price_returns(df: DataFrame) -> DataFrame:
     before = previous()
     names = {"log_open": "open", "log_high": "high", "log_low": "low", "return_1d": "close"}
     df = df.withColumns({out: F.log(F.try_divide(F.col(x), before)) for out, x in names.items()})
-    return df.withColumn("volume_change", F.log1p("volume") - F.lag(F.log1p("volume")).over(BY_SESSION))
+    return df.withColumn("volume_change", F.log1p("volume") - F.lag(F.log1p("volume")).over(by_session()))
 
 
 def stationary(df: DataFrame) -> DataFrame:
     """28-column family without its market part; df needs the technical columns."""
     df = price_returns(df)
     close = F.col("close")
-    df = df.withColumn("_obv_change", F.col("obv") - F.lag("obv").over(BY_SESSION))
+    df = df.withColumn("_obv_change", F.col("obv") - F.lag("obv").over(by_session()))
     change = F.col("_obv_change")
     spread = full(F.stddev_samp(change), change, 20)
     return df.withColumns({

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.series import BY_SESSION, position
+from ..functions.series import by_session, position
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def numbered(df: DataFrame) -> DataFrame:
 def direct_targets(df: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """One row per origin and horizon with the price ahead and its forms as return, log return and residual."""
     rows = numbered(df)
-    ahead = F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.lead("close", h).over(BY_SESSION).alias("price_level")) for h in horizons))
+    ahead = F.array(*(F.struct(F.lit(h).cast("long").alias("horizon"), F.lead("close", h).over(by_session()).alias("price_level")) for h in horizons))
     rows = rows.withColumn("_ahead", ahead)
     long = rows.select("series", "session", "t", F.col("close").alias("origin"), F.explode("_ahead").alias("_a")).select("series", "session", "t", "origin", "_a.*").where("price_level is not null")
     return long.withColumns({
@@ -53,7 +53,7 @@ def rebuilt_price(origin: Column, value: Column, target: str) -> Column:
 
 def samples(df: DataFrame, study: Study) -> DataFrame:
     """Every origin that has a whole window behind it and all horizons ahead: sample number s, origin and first close."""
-    rows = numbered(df).withColumn("first_close", F.lag("close", study.lookback - 1).over(BY_SESSION)).withColumn("_far", F.lead("close", study.gap).over(BY_SESSION))
+    rows = numbered(df).withColumn("first_close", F.lag("close", study.lookback - 1).over(by_session())).withColumn("_far", F.lead("close", study.gap).over(by_session()))
     kept = rows.where("first_close is not null and _far is not null")
     return kept.withColumn("s", F.col("t") - (study.lookback - 1)).drop("_far")
 
@@ -61,7 +61,7 @@ def samples(df: DataFrame, study: Study) -> DataFrame:
 def window_digest(df: DataFrame, lookback: int, origin_in_window: bool = True) -> DataFrame:
     """Each origin's window as an array, reduced to its size, sum and first and last close."""
     end = 0 if origin_in_window else -1
-    frame = BY_SESSION.rowsBetween(end - lookback + 1, end)
+    frame = by_session().rowsBetween(end - lookback + 1, end)
     rows = df.withColumn("window", F.collect_list("close").over(frame)).where(F.size("window") == lookback)
     total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x)
     return rows.select("series", "session", F.size("window").cast("long").alias("n"), total.alias("total"), F.element_at("window", 1).alias("first"), F.element_at("window", -1).alias("last"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.series import BY_SESSION
+from ..functions.series import by_session
 from ..operators import align, clean, features
 from ..sources.tables import BARS_SQL, BENCH_SQL, BENCHMARKS, bars, bars_wide, benchmarks, table
 
@@ -98,7 +98,7 @@ def calendars(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_over(spark: SparkSession, sf: str) -> DataFrame:
     """Headline statistics of each session: change, change in percent, label."""
-    before = F.lag("close").over(BY_SESSION)
+    before = F.lag("close").over(by_session())
     change = F.col("close") - before
     return bars(spark, sf).select("series", "session", F.round(change, 2).alias("change"), F.round(F.try_divide(change, before) * 100, 6).alias("change_pct"), F.when(change > 0, "Up").when(change < 0, "Down").when(change == 0, "Flat").alias("label"))
 
