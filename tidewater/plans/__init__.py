@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import features, forecasts
+from . import evidence, features, forecasts
 
-FAMILIES = (features, forecasts)
+FAMILIES = (features, forecasts, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
