@@ -15,10 +15,13 @@ Null texts are empty and hold the end token alone. Repeated rows are packed once
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ END_ID = 1
 SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
 RANK_BUCKETS = 256
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 ENCODED = 200
 
 
@@ -44,27 +47,67 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Texts in which only ASCII and Latin letters, digits, signs and plain white space occur; without special tokens.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f]*")
+_LATIN, _DIGIT = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+
+
 class Encoder:
     """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and no token spans it, so words between ASCII blanks are encoded alone and kept.
+    The tokenizer lower-cases a text and cuts it into words that it encodes one by one, each closed by a token with the
+    vocabulary's suffix for word ends. Plain texts are cut the same way here and each word is encoded once and kept;
+    all other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(Path(path).read_text())
+        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = re.compile(pattern.replace("[\\p{L}]", f"[{_LATIN}]").replace("[\\p{N}]", f"[{_DIGIT}]").replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_LATIN}{_DIGIT}]"))
+        suffix, vocabulary = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
+    def learn(self, words: list[str]) -> None:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
-        new = [w for w in set().union(*split) if w not in self.known]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+        for k in range(0, len(words), ENCODED):
+            some = words[k : k + ENCODED]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                data, at = ids.tobytes(), 0
+                for word, end in zip(some, (ends * 4).tolist(), strict=True):
+                    self.known[word] = data[at:end]
+                    at = end
+            else:
+                for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
+                    self.known[word] = np.array(got.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
+        split = [self.cut.findall(x.lower()) if p else [] for x, p in zip(texts, plain, strict=True)]
+        self.learn([w for w in set().union(*split) if w not in self.known])
         known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        out = [b"".join(map(known, words)) for words in split]
+        for k, p in enumerate(plain):
+            if not p:
+                out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per worker process, so what it has learned serves its later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -76,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             texts = [x or "" for x in batch[1].to_pylist()]
