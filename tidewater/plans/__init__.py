@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, features, forecasts
+from . import evidence, features, forecasts, records
 
-FAMILIES = (features, forecasts, evidence)
+FAMILIES = (features, forecasts, evidence, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
