@@ -23,7 +23,9 @@ K = 5
 QUERY_EVERY = 50
 CANDIDATE_BLOCK = 4096
 QUERY_BLOCK = 512
-DEPTHS = (0.125, 0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
+#: Shares of the lists after which bounds are compared, and the number of contenders whose scores are then resolved.
+DEPTHS = (0.3, 0.6, 1.0)
+RESOLVED = 256
 
 
 def whole_components(embedding: Column) -> Column:
@@ -35,34 +37,44 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-def nra(query: np.ndarray, values: np.ndarray, ranks: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of all candidates that may be among the k best.
-
-    ranks: each value's place in its component's descending list; a negative weight reads the list from its other end.
-    """
-    n = len(ids)
-    used = np.flatnonzero(query)
-    if n <= k or not len(used):
-        return np.arange(n)
-    weights = query[used]
-    rising = weights < 0
-    contributions = values[:, used] * weights
-    places = np.where(rising, n - 1 - ranks[:, used], ranks[:, used])
-    in_order = np.sort(contributions, axis=0)[::-1]
-    worst = in_order[-1]
-    alive = np.arange(n)
-    for share in DEPTHS:
-        depth = min(n, max(k, int(np.ceil(n * share))))
-        front = in_order[depth - 1]
-        own = contributions[alive]
-        unread = places[alive] >= depth
-        lower = np.where(unread, worst, own).sum(axis=1)
-        upper = np.where(unread, front, own).sum(axis=1)
-        least = np.partition(lower, len(lower) - k)[len(lower) - k]
-        alive = alive[upper >= least]
-        if front.sum() < least and len(alive) <= 4 * k or depth == n:
-            break
-    return alive
+class Lists:
+    """A block's components as sorted lists: values, each value's place in its list, and the lists, largest first."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        order = np.argsort(-values, axis=0, kind="stable")
+        self.places = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.places, order, np.arange(len(values), dtype=np.int32)[:, None], axis=0)
+        self.sorted = np.take_along_axis(values, order, axis=0)
+        self.largest = float(np.abs(values).max()) if values.size else 0.0
+
+    def contenders(self, query: np.ndarray, k: int) -> np.ndarray:
+        """Positions of all candidates that may be among the k best; a negative weight reads its list from the end."""
+        n, width = self.values.shape
+        used = np.flatnonzero(query)
+        if n <= k or not len(used):
+            return np.arange(n)
+        # Sums of whole numbers are exact in single precision below 2**24, else in double.
+        kind = np.float32 if self.largest * float(np.abs(query).max()) * width < 1 << 24 else np.float64
+        every = len(used) == width
+        weights = query[used].astype(kind)
+        rising = weights < 0
+        alive = np.arange(n)
+        own, places = (self.values if every else self.values[:, used]).astype(kind) * weights, self.places if every else self.places[:, used]
+        first, last = self.sorted[0, used], self.sorted[-1, used]
+        worst = np.where(rising, first, last).astype(kind) * weights
+        for share in DEPTHS:
+            depth = min(n, max(k, int(np.ceil(n * share))))
+            front = np.where(rising, self.sorted[n - depth, used], self.sorted[depth - 1, used]).astype(kind) * weights
+            read = np.where(rising, places >= n - depth, places < depth).astype(kind)
+            known = np.einsum("ij,ij->i", own, read)
+            lower, upper = known + (worst.sum() - read @ worst), known + (front.sum() - read @ front)
+            least = np.partition(lower, len(alive) - k)[len(alive) - k]
+            on = upper >= least
+            alive, own, places = alive[on], own[on], places[on]
+            if front.sum() < least and len(alive) <= RESOLVED or depth == n:
+                break
+        return alive
 
 
 def _block(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -71,15 +83,12 @@ def _block(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if len(candidates) and len(queries):
         candidates = candidates.sort_values("vec_id", kind="stable")
         ids = candidates["vec_id"].to_numpy()
-        values = np.stack(candidates["v"].to_numpy()).astype(np.int64).reshape(len(ids), -1)
-        order = np.argsort(-values, axis=0, kind="stable")
-        ranks = np.empty_like(order)
-        np.put_along_axis(ranks, order, np.arange(len(ids))[:, None], axis=0)
+        lists = Lists(np.stack(candidates["v"].to_numpy()).astype(np.int64).reshape(len(ids), -1))
         for query_id, vector in zip(queries["vec_id"], queries["v"], strict=True):
             query = np.asarray(vector, np.int64)
-            found = nra(query, values, ranks, ids, K + int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id)))
+            found = lists.contenders(query, K + int(np.searchsorted(ids, query_id, "right") - np.searchsorted(ids, query_id)))
             found = found[ids[found] != query_id]
-            scores = values[found] @ query
+            scores = lists.values[found] @ query
             best = np.lexsort((ids[found], -scores))[:K]
             out += [(query_id, int(ids[found[j]]), int(scores[j])) for j in best]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
