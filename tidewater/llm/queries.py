@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard, media, mixing, ngram, packing, sharding, topk, toxicity, urls, warc
+from .sql import SQL
 from .store import small_batches, table
 
+__all__ = ["QUERIES", "SQL"]
+
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
@@ -59,5 +62,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_media_columns, op2_lm_scoring, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
 }
-
-SQL: dict[str, str] = {}
