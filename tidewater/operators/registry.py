@@ -23,7 +23,7 @@ def ledger_defaults(records: DataFrame) -> DataFrame:
         "relative_mae": F.coalesce("relative_mae", "median_relative_mae"),
         "decision": F.coalesce("decision", F.when(F.col("promotable"), "keep").otherwise("discard")),
         "status": F.coalesce("status", F.lit("success")),
-        "audited": F.coalesce(F.col("audited"), F.lit(False)) & F.col("relative_mae").isNotNull(),
+        "audited": F.coalesce(F.col("audited"), F.lit(False)),
     })
 
 
