@@ -6,9 +6,10 @@ order, rarest first; linked sets share a member of their first ``n - ceil(percen
 
 1. Equal sets become a class, and classes with equal prefix and size become one group.
 2. Groups that share a prefix member are paired if their sizes allow a link, unless the member's bucket is large.
-3. Group pairs are expanded to classes, whose sets are fetched once and verified exactly.
-4. Large buckets are joined to clusters of members that occur together; each cluster is cut into blocks of bounded
-   size, and every two blocks are compared in a task of their own. Only counts and a spanning forest leave such a task.
+3. Group pairs are expanded to classes. Parity bitmaps rule out pairs that are too far apart, without false dismissals;
+   the sets of the others are fetched once and verified exactly.
+4. Large buckets are joined, per band of sizes, to clusters of members that occur together; each cluster is cut into
+   blocks of bounded size, and every two blocks are compared in a task of their own. Only counts and a spanning forest leave such a task.
 
 The order needs no exact counts, any order would be right: it uses the heaviest shingles and words only, a bounded
 number, found from counts over all texts. Shingles are 64-bit hashes. Null texts are empty. Rows of one id count as
@@ -41,16 +42,22 @@ BLOCK_BYTES = 8 << 20
 COUNT_FLUSH = 2_000_000
 KNOWN_WORDS = 400_000
 FLAT_COLUMNS = 8192
+FILTER_BITS = 1 << 22
+LEAST_WIDTH = 256
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Hashes of words that this worker process has met, for all its tasks.
+_KNOWN: dict[bytes, int] = {}
+
+
 class Shingler:
     """Hashes of a text's words and shingles; A-Z is lower-cased and words end at ASCII white space."""
 
     def __init__(self, width: int):
         self.width = width
-        self.known: dict[bytes, int] = {}
+        self.known = _KNOWN
 
     def words(self, text: str | None) -> np.ndarray:
         found = (text or "").encode().lower().split()
@@ -86,6 +93,22 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * inter >= percent * (a + b - inter)
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Parity of the members in each of at least as many cells as there are members; halves fold onto each other."""
+    width = max(LEAST_WIDTH, 1 << max(0, len(hashes) - 1).bit_length())
+    return np.packbits((np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parities (as packed bytes) brought to a smaller number of cells."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width // 8), axis=0)
+
+
+def may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b can link whose parities differ in ``apart`` cells: each takes a member of one set alone."""
+    return apart * (100 + percent) <= (100 - percent) * (a + b)
+
+
 # ---- the order
 
 
@@ -163,7 +186,7 @@ def order_of(docs: DataFrame, width: int) -> Order:
 
 
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, gid of prefix and size, the prefix, and how many of its last members are hot."""
+    """doc_id, n, digest of the set, gid of prefix and size, the prefix, how many of its last members are hot, parities."""
     order = docs.sparkSession.sparkContext.broadcast(order_of(docs, width))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,31 +200,42 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 prefix = ranked[: prefix_length(n, percent)]
                 hot = int((heavy[: len(prefix)] >= HOT_COUNT).sum())
                 gid = xxhash.xxh64_intdigest(prefix.tobytes(), n) - (1 << 63)
-                rows.append((n, xxhash.xxh128_digest(np.sort(ranked).tobytes()), gid, prefix.view(np.int64), hot))
-            n, digest, gid, prefix, hot = zip(*rows, strict=True) if rows else ((),) * 5
-            arrays = [batch[0], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(gid, pa.int64()), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(hot, pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "gid", "prefix", "hot"])
+                rows.append((n, xxhash.xxh128_digest(np.sort(ranked).tobytes()), gid, prefix.view(np.int64), hot, parity_bits(ranked)))
+            n, digest, gid, prefix, hot, bits = zip(*rows, strict=True) if rows else ((),) * 6
+            arrays = [batch[0], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(gid, pa.int64()), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "gid", "prefix", "hot", "bits"])
 
-    schema = "doc_id long, n long, digest binary, gid long, prefix array<long>, hot int"
+    schema = "doc_id long, n long, digest binary, gid long, prefix array<long>, hot int, bits binary"
     return docs.select("doc_id", "text").mapInArrow(sketch, schema)
 
 
+def _wanted_bits(wanted: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashes of the wanted ids; it only spares work where few are wanted."""
+    cells = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("cell"))
+    words = cells.groupBy(F.expr("shiftright(cell, 5)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell % 32 as int)))").alias("bits")).collect()
+    bits = np.zeros(FILTER_BITS // 32, np.int64)
+    bits[[r["word"] for r in words]] = [r["bits"] for r in words]
+    return bits
+
+
 def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, digest, members (sorted 64-bit hashes) of the wanted classes, from the texts of their representatives."""
+    """rep, members (sorted 64-bit hashes) of the wanted classes, from the texts of their representatives."""
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            out: list[list] = [[], []]
-            for rep, digest, text in zip(*(batch[c].to_pylist() for c in ("rep", "digest", "text")), strict=True):
-                members = np.unique(shingler.shingles(shingler.words(text))).tobytes()
-                if xxhash.xxh128_digest(members) == digest:
-                    out[0].append(rep)
-                    out[1].append(members)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], ["rep", "members"])
+            cell = batch["cell"].to_numpy()
+            out: list[list] = [[], [], []]
+            for k in np.flatnonzero(bits.value[cell >> 5] >> (cell & 31) & 1).tolist():
+                members = np.unique(shingler.shingles(shingler.words(batch["text"][k].as_py()))).tobytes()
+                for column, value in zip(out, (batch["rep"][k].as_py(), xxhash.xxh128_digest(members), members), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "digest", "members"])
 
-    found = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
-    return found.select("rep", "digest", "text").mapInArrow(take, "rep long, members binary")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("cell"), "text")
+    found = named.mapInArrow(take, "rep long, digest binary, members binary")
+    return found.join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("rep", "members")
 
 
 # ---- group pairs
@@ -260,6 +294,21 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
+def _near_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs whose parities allow a link."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y, a, b in zip(*(batch[c].to_pylist() for c in ("xb", "yb", "nx", "ny")), strict=True):
+                width = 8 * min(len(x), len(y))
+                apart = np.bitwise_count(folded(np.frombuffer(x, np.uint8), width) ^ folded(np.frombuffer(y, np.uint8), width)).sum()
+                kept.append(bool(may_link(apart, a, b, percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return near
+
+
 def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,6 +325,40 @@ def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 # ---- large buckets
 
 
+def _block_hopes(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Members of two blocks that have a partner in them which their parities allow."""
+
+    def hopes(rows: pd.DataFrame) -> pd.DataFrame:
+        found: list[np.ndarray] = []
+        widths = rows["bits"].map(len).to_numpy() * 8
+        n, reps, home = rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["home"].to_numpy()
+        for width in np.unique(np.concatenate((widths, widths // 2))):
+            # Sizes that can link differ by less than two, so their widths are equal or neighbours.
+            at = np.flatnonzero((widths == width) | (widths == 2 * width))
+            if len(at) < 2 or width < LEAST_WIDTH:
+                continue
+            packed = np.stack([folded(np.frombuffer(rows["bits"].iloc[k], np.uint8), width) for k in at])
+            apart = np.zeros((len(at), len(at)), np.float32)
+            for low in range(0, width // 8, FLAT_COLUMNS // 8):
+                signs = np.unpackbits(packed[:, low : low + FLAT_COLUMNS // 8], axis=1).astype(np.float32) * 2 - 1
+                apart += (signs.shape[1] - signs @ signs.T) / 2
+            hope = may_link(apart, n[at][:, None], n[at][None, :], percent) & (home[at][:, None] | home[at][None, :])
+            np.fill_diagonal(hope, False)
+            found.append(reps[at[hope.any(axis=1)]])
+        out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pd.DataFrame({"cluster": np.full(len(out), rows["cluster"].iloc[0]), "rep": out})
+
+    return hopes
+
+
+def _in_blocks(members: DataFrame, size: str, label: str) -> DataFrame:
+    """members (cluster, rep, ...) once for every pair of blocks i <= j of their cluster that their block is one of."""
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.expr(size)) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocked = members.join(written(blocks, label), "cluster").withColumn("block", F.pmod(F.hash("rep"), "blocks"))
+    dealt = blocked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("block", "k")).withColumn("j", F.greatest("block", "k")).drop("blocks", "k")
+
+
 def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Links between two blocks of a cluster (within it, for one block twice): each row's forest root and link count."""
 
@@ -299,6 +382,8 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             inter += flat @ flat.T
         links = linked(inter.astype(np.int64), sizes[:, None], sizes[None, :], percent)
         np.fill_diagonal(links, False)
+        home = rows["home"].to_numpy()
+        links &= home[:, None] | home[None, :]
         if first != second:
             block = rows["block"].to_numpy()
             links &= block[:, None] != block[None, :]
@@ -319,13 +404,21 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return link
 
 
-def _clusters(large: DataFrame) -> DataFrame:
-    """(gid, cluster): groups whose large buckets hang together through members that occur in one group."""
-    lowest = written(large.groupBy("gid").agg(F.min("token").alias("low")), "jaccard-low")
-    edges = large.join(lowest, "gid").select(F.col("low").alias("a"), F.col("token").alias("b")).distinct()
+def _clusters(large: DataFrame, percent: int) -> DataFrame:
+    """(gid, cluster, home): groups whose large buckets hang together through members that occur in one group.
+
+    Only sizes in the same or the next band can link, so every band has clusters of its own, with the groups of the band
+    (at home there) and of the next; two groups meet where the smaller is at home.
+    """
+    width = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1e-9
+    banded = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    cells = banded.select("gid", "token", F.explode(F.array(F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("_c"))
+    nodes = written(cells.select("gid", "_c.home", F.xxhash64("_c.band", "token").alias("node")), "jaccard-nodes")
+    lowest = written(nodes.groupBy("gid", "home").agg(F.min("node").alias("low")), "jaccard-low")
+    edges = nodes.join(lowest, ["gid", "home"]).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     joined = components(edges)
     named = lowest.join(joined.select(F.col("node").alias("low"), "component"), "low", "left")
-    return written(named.select("gid", F.coalesce("component", "low").alias("cluster")), "jaccard-clusters")
+    return written(named.select("gid", F.coalesce("component", "low").alias("cluster"), "home"), "jaccard-clusters")
 
 
 # ---- the join
@@ -334,33 +427,37 @@ def _clusters(large: DataFrame) -> DataFrame:
 def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other documents it links with)."""
     drawn = written(sketches(docs, width, percent), "jaccard-sketches")
-    classes = drawn.where("n > 0").groupBy("digest", "gid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("prefix").alias("prefix"), F.first("hot").alias("hot"))
+    classes = drawn.where("n > 0").groupBy("digest", "gid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("bits").alias("bits"))
     classes = written(classes, "jaccard-classes")
-    narrow = classes.select("digest", "gid", "n", "rep", "docs")
     alone = classes.where(F.col("rep").isNotNull())
-    groups = alone.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("m"), F.first("prefix").alias("prefix"), F.first("hot").alias("hot"))
-    groups = written(groups, "jaccard-groups")
+    groups = written(alone.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("leader")), "jaccard-groups")
+    led = drawn.where("n > 0").select("doc_id", "gid", "prefix", "hot").join(groups, "gid").where("doc_id = leader").select("gid", "n", "m", "prefix", "hot")
 
     # Members known to be hot are large buckets without being gathered; the others are met in the order of tokens.
-    cold = groups.select("gid", "n", "m", F.explode(F.expr("slice(prefix, 1, size(prefix) - hot)")).alias("token"))
-    hot = groups.where("hot > 0").select("gid", F.explode(F.expr("slice(prefix, size(prefix) - hot + 1, hot)")).alias("token"))
+    cold = led.select("gid", F.col("n").cast("int").alias("n"), F.col("m").cast("int").alias("m"), F.explode(F.expr("slice(prefix, 1, size(prefix) - hot)")).alias("token"))
+    hot = led.where("hot > 0").select("gid", F.explode(F.expr("slice(prefix, size(prefix) - hot + 1, hot)")).alias("token"))
     sorted_ = cold.repartition("token").sortWithinPartitions("token", "n")
     met = written(sorted_.select("token", "gid", "n", "m").mapInArrow(_bucket_pairs(percent), "a long, b long, large boolean"), "jaccard-met")
     own = groups.where("m > 1")
     large = hot.unionByName(met.where("large").select(F.col("a").alias("gid"), F.col("b").alias("token"))).unionByName(own.where(F.col("m") > BUCKET).select("gid", F.col("gid").alias("token")))
-    large = written(large, "jaccard-large")
-    clusters = _clusters(large)
+    large = written(large.join(groups.select("gid", "n"), "gid"), "jaccard-large")
+    clusters = _clusters(large, percent)
 
     pairs = met.where("not large").select("a", "b").unionByName(own.where(F.col("m") <= BUCKET).select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
-    # What lies in one cluster is compared there.
-    of = lambda side: clusters.select(F.col("gid").alias(side), F.col("cluster").alias(f"c{side}"))
-    pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b")
-    side = lambda g, x: alone.select(F.col("gid").alias(g), F.col("rep").alias(x), F.col("n").alias(f"n{x}"))
+    # What meets in a cluster is compared there.
+    pairs = written(pairs, "jaccard-pairs")
+    of = lambda side: clusters.select(F.col("gid").alias(side), "cluster", F.col("home").alias(f"home_{side}"))
+    meeting = pairs.join(of("a"), "a").join(of("b"), ["b", "cluster"]).where("home_a or home_b").select("a", "b").distinct()
+    pairs = pairs.join(written(meeting, "jaccard-meeting"), ["a", "b"], "left_anti")
+    side = lambda g, x: alone.select(F.col("gid").alias(g), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}b"))
     expanded = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x <> y and (a <> b or x < y)")
     fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    candidates = written(expanded.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-candidates")
+    fitting = expanded.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"), "xb", "yb", "nx", "ny")
+    candidates = written(fitting.mapInArrow(_near_pairs(percent), "a long, b long"), "jaccard-candidates")
 
-    members = written(alone.select("gid", "rep", "docs", "n").join(clusters, "gid").select("cluster", "rep", "docs", "n"), "jaccard-members")
+    members = written(alone.join(clusters, "gid").select("cluster", "home", "rep", "docs", "n", "bits"), "jaccard-members")
+    hoping = _in_blocks(members, "length(bits)", "jaccard-blocks").groupBy("cluster", "i", "j").applyInPandas(_block_hopes(percent), "cluster long, rep long")
+    members = written(members.drop("bits").join(written(hoping.distinct(), "jaccard-hoping"), ["cluster", "rep"]), "jaccard-members")
     wanted = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(members.select("rep")).distinct()
     wanted = written(wanted.join(alone.select("rep", "digest"), "rep"), "jaccard-wanted")
     sets = written(fetched_sets(docs, wanted, width), "jaccard-sets")
@@ -368,10 +465,7 @@ def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = P
     x, y = (sets.select(F.col("rep").alias(s), F.col("members").alias(f"{m}s")) for s, m in (("a", "x"), ("b", "y")))
     verified = written(candidates.join(x, "a").join(y, "b").select("a", "b", "xs", "ys").mapInArrow(_verified(percent), "a long, b long"), "jaccard-verified")
 
-    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    blocked = members.join(written(blocks, "jaccard-blocks"), "cluster").withColumn("block", F.pmod(F.hash("rep"), "blocks"))
-    dealt = blocked.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cluster", "rep", "docs", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
+    dealt = _in_blocks(members, "8 * n", "jaccard-blocks")
     compared = dealt.join(sets, "rep").groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), "a long, b long, found long")
     compared = written(compared, "jaccard-compared")
 
@@ -380,7 +474,7 @@ def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = P
     both = verified.unionByName(verified.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = both.join(weight, "b").select("a", F.col("docs").alias("found")).unionByName(compared.select("a", "found"))
     found = found.groupBy(F.col("a").alias("rep")).agg(F.sum("found").alias("found"))
-    named = narrow.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(found, "rep", "left")
+    named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").join(found, "rep", "left")
     named = written(named.select("digest", F.coalesce("component", "rep").alias("component"), (F.coalesce("found", F.lit(0)) + F.col("docs") - 1).alias("links")), "jaccard-named")
     out = drawn.select("doc_id", "n", "digest").join(named, "digest", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
