@@ -120,3 +120,23 @@ def test_entry_points_import_without_the_corpus_part():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_splits_and_their_purges(spark):
+    counts = spark.createDataFrame([("a", 100)], "series string, n long")
+    one = lambda df: tuple(df.first())[1:]
+    assert one(S.tail_split(counts, 0.1, 4)) == (0, 86, 90, 100)
+    assert one(S.share_split(counts, 0.8, 5)) == (76, 80, 79, 100)
+    assert one(S.single_holdout(counts, 20, 5)) == (75, 80, 100)
+    study = S.Study(lookback=5, horizons=(1, 3), folds=2, share=5)
+    plan = S.tail_folds(counts, study)
+    assert [tuple(r)[1:] for r in plan.orderBy("fold").collect()] == [(0, 0, 57, 60, 80), (1, 0, 77, 80, 100)]
+    assert S.overlapping(plan, study.gap).count() == 0 and S.overlapping(plan, study.gap + 1).count() == 2
+
+
+def test_fold_evidence_needs_five_folds(spark):
+    rows = [("a", k, 1.0 + k) for k in range(5)] + [("b", k, 2.0) for k in range(4)]
+    found = {r["k"]: r for r in evidence.fold_evidence(spark.createDataFrame(rows, "k string, fold int, v double"), ("k",), "fold", "v", 50).collect()}
+    assert found["a"]["reliable"] and found["a"]["low"] < 3.0 < found["a"]["high"] and found["b"]["low"] is None
+    row = spark.range(1).select(evidence.relative_bounds(F.lit(-1.0), F.lit(2.0)).alias("a"), evidence.relative_bounds(F.lit(-3.0), F.lit(2.0), True).alias("b")).first()
+    assert tuple(row) == (0.5, 0.0)

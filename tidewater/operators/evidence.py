@@ -154,3 +154,16 @@ def constrained_blend(scored: DataFrame, members: tuple[str, ...]) -> dict[str,
     if best.sum() > 1:
         best = best / best.sum()
     return dict(zip(members, best.tolist(), strict=True))
+
+
+def relative_bounds(difference: Column, baseline: Column, squared: bool = False) -> Column:
+    """A loss difference (candidate minus baseline) as a relative error; of squared losses as a root, floored at 0."""
+    ratio = 1 + F.try_divide(difference, baseline)
+    return F.sqrt(F.greatest(F.lit(0.0), ratio)) if squared else ratio
+
+
+def fold_evidence(fold_scores: DataFrame, keys: tuple[str, ...], order: str, value: str, resamples: int, least: int = 5) -> DataFrame:
+    """Mean of a score over folds; an interval, and reliable = true, only from ``least`` folds on."""
+    found = bootstrap_mean(fold_scores.where(F.col(value).isNotNull()), keys, order, value, resamples, F.lit(1))
+    enough = F.col("n") >= least
+    return found.select(*keys, "n", "mean", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"), enough.alias("reliable"))

@@ -125,3 +125,26 @@ def latest_window(df: DataFrame, n: int) -> DataFrame:
     newest = W.partitionBy("series").orderBy(F.desc("session"))
     last = df.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n)
     return last.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("session", "close"))), lambda x: x["close"]).alias("window"), F.max("session").alias("session"))
+
+
+def tail_split(counts: DataFrame, fraction: float, purge: int) -> DataFrame:
+    """Early-stopping split: the last fraction validates, a purge of rows lies between."""
+    low = F.col("n") - F.greatest(F.lit(1), F.floor(F.col("n") * fraction))
+    return counts.select("series", F.lit(0).cast("long").alias("train_lo"), (low - purge).cast("long").alias("train_hi"), low.cast("long").alias("val_lo"), F.col("n").cast("long").alias("val_hi")).where("train_hi > 0")
+
+
+def share_split(counts: DataFrame, share: float, horizon: int) -> DataFrame:
+    """Split at a share of the rows with a purge of horizon - 1; the direction split is one row earlier."""
+    at = F.floor(F.col("n") * share)
+    return counts.select("series", (at - (horizon - 1)).cast("long").alias("train_hi"), at.cast("long").alias("val_lo"), (at - 1).cast("long").alias("direction_lo"), F.col("n").cast("long").alias("val_hi"))
+
+
+def single_holdout(counts: DataFrame, rows: int, horizon: int, min_train: int = 1) -> DataFrame:
+    """The last rows of origins as test, horizon of them purged before."""
+    low = F.col("n") - rows
+    return counts.select("series", (low - horizon).cast("long").alias("train_hi"), low.cast("long").alias("test_lo"), F.col("n").cast("long").alias("test_hi")).where(F.col("train_hi") >= min_train)
+
+
+def overlapping(folds: DataFrame, gap: int) -> DataFrame:
+    """Folds whose training targets reach into their validation; a sound plan has none."""
+    return folds.where(F.col("train_hi") - 1 + gap >= F.col("val_lo"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, features, forecasts, records
+from . import evidence, features, forecasts, records, studies
 
-FAMILIES = (features, forecasts, evidence, records)
+FAMILIES = (features, forecasts, evidence, records, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
