@@ -8,7 +8,7 @@ are scored by searching each token among the successors of its context. Counts,
 training texts, so the scores are those of one trie of everything, while no task holds more than a block or a shard.
 
 Smoothing: p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m) with a prior weight m per level, down to
-(c(w) + 0.5) / (N + 0.5 (V + 1)). A false hit of an n-gram hash has a chance of at most 2**-20.
+(c(w) + 0.5) / (N + 0.5 (V + 1)). A false hit of an n-gram hash has a chance of at most 2**-19.
 
 Null texts are empty (their end token alone). A null id counts as the empty text for the split. Repeated rows are
 scored and counted once each.
@@ -33,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
-from .store import written
+from .store import small_batches, written
 
 FOLDS, HELD_OUT = 5, 1
-BLOCK_BYTES = 8 << 20
-SHARD_TOKENS = 3_000_000
+BLOCK_BYTES = 4 << 20
+SHARD_TOKENS = 5_000_000
 PRIORS = {2: 500.0, 3: 20.0}
 STEP = 1 / 4096
-SLACK_BITS = 20
-KNOWN_WORDS = 500_000
+SLACK_BITS = 19
+BLOCKS_AT_ONCE = 4
+KNOWN_WORDS = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0xA5A5_0000_0000_0001), np.uint64(0x5A5A_0000_0000_0002)
@@ -63,10 +64,9 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         lengths = np.array([len(x) for x in texts], np.int64)
         packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        docs, words = len(ids), sum(len(x.split()) for x in texts)
-        trained = [k for k, x in enumerate(ids) if not held_out(x)]
-        tokens = sum(len(texts[k].split()) + 1 for k in trained)
-        arrays = [[first + made], [ids], [lengths.tobytes()], [packed], [docs + words], [len(trained)], [tokens]]
+        counts = [len(x.split()) + 1 for x in texts]
+        trained = [n for n, x in zip(counts, ids, strict=True) if not held_out(x)]
+        arrays = [[first + made], [ids], [lengths.tobytes()], [packed], [sum(counts)], [len(trained)], [sum(trained)]]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)], BLOCK_NAMES)
 
@@ -87,10 +87,14 @@ BLOCK_NAMES = ["block", "ids", "lengths", "texts", "tokens", "train_docs", "trai
 BLOCK_SCHEMA = "block long, ids array<long>, lengths binary, texts binary, tokens long, train_docs long, train_tokens long"
 
 
+#: Hashes of words that this worker process has met, for all its tasks.
+_KNOWN: dict[bytes, int] = {}
+
+
 class Tokens:
     """A block's token hashes, in documents one after the other, each closed by its end token."""
 
-    def __init__(self, lengths: bytes, texts: bytes, known: dict[bytes, int]):
+    def __init__(self, lengths: bytes, texts: bytes, known: dict[bytes, int] = _KNOWN):
         data = zstandard.ZstdDecompressor().decompress(texts) if texts else b""
         ends = np.cumsum(np.frombuffer(lengths, np.int64))
         if len(known) > KNOWN_WORDS:
@@ -135,7 +139,7 @@ class Layout:
     @classmethod
     def of(cls, tokens: int) -> Layout:
         shard_bits = max(0, math.ceil(math.log2(max(1, 2 * tokens / SHARD_TOKENS))))
-        return cls(min(64, max(32, max(1, tokens).bit_length() + SLACK_BITS)), shard_bits)
+        return cls(min(63, max(32, max(1, tokens).bit_length() + SLACK_BITS)), shard_bits)
 
     def cut(self, hashes: np.ndarray) -> np.ndarray:
         return hashes >> np.uint64(64 - self.bits)
@@ -145,6 +149,20 @@ class Layout:
         return np.append(np.searchsorted(values, edges), len(values))
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value, in their order, and for every value the number of its distinct one."""
+    by = np.argsort(values)
+    starts = _starts(values[by])
+    inverse = np.empty(len(values), np.int64)
+    inverse[by] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(values)))
+    return by[starts], inverse
+
+
 def _narrow(values: np.ndarray) -> bytes:
     """Numbers with the fewest whole bytes each, the width in front."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
@@ -164,17 +182,17 @@ def _wide(data: bytes) -> np.ndarray:
 
 def _sent(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             for block, ids, lengths, texts in zip(*(batch[c] for c in ("block", "ids", "lengths", "texts")), strict=True):
-                tokens = Tokens(lengths.as_py(), texts.as_py(), known)
-                trains = np.repeat([not held_out(x) for x in ids.as_py()], tokens.counts)
+                tokens = Tokens(lengths.as_py(), texts.as_py())
+                trains = np.repeat(np.array([not held_out(x) for x in ids.as_py()], np.uint64), tokens.counts)
                 for order in (1, 2, 3):
-                    hashes = layout.cut(tokens.grams(order))
-                    values = np.unique(hashes)
-                    seen, times = np.unique(hashes[trains], return_counts=True)
-                    counts = np.zeros(len(values), np.int64)
-                    counts[np.searchsorted(values, seen)] = times
+                    # The lowest bit tells training tokens, so one sort gives both the keys and their counts.
+                    marked = np.sort(layout.cut(tokens.grams(order)) << np.uint64(1) | trains)
+                    values = marked >> np.uint64(1)
+                    starts = _starts(values)
+                    counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts)
+                    values = values[starts]
                     bounds = layout.bounds(values)
                     keys, numbers = [], []
                     for shard, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
@@ -192,9 +210,9 @@ def _totals(rows: pd.DataFrame) -> pd.DataFrame:
     """Totals for each block in the order it sent its keys; one more row (block null) counts the kinds seen in training."""
     keys = [np.cumsum(_wide(x)) for x in rows["keys"]]
     lengths = np.cumsum([len(k) for k in keys])
-    flat = np.concatenate(keys)
-    values, inverse = np.unique(flat, return_inverse=True)
-    sums = np.bincount(inverse, np.concatenate([_wide(x) for x in rows["counts"]]), len(values)).astype(np.int64)
+    flat, counts = np.concatenate(keys), np.concatenate([_wide(x) for x in rows["counts"]])
+    firsts, inverse = _distinct(flat)
+    sums = np.bincount(inverse, counts, len(firsts)).astype(np.int64)
     parts = np.split(sums[inverse], lengths[:-1])
     level, shard = int(rows["level"].iloc[0]), int(rows["shard"].iloc[0])
     out = [(int(b), level, shard, _narrow(p), 0) for b, p in zip(rows["block"], parts, strict=True)]
@@ -283,19 +301,16 @@ class Corpus:
 
 def block_scores(tokens: Tokens, totals: dict[int, np.ndarray], layout: Layout, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: count in training, base score and model score."""
-    hashes = [layout.cut(tokens.grams(order)) for order in (1, 2, 3)]
-    found = [np.unique(h, return_index=True, return_inverse=True) for h in hashes]
+    (_, w), (at2, in2), (at3, in3) = (_distinct(layout.cut(tokens.grams(order))) for order in (1, 2, 3))
     c1, c2, c3 = (totals[order] for order in (1, 2, 3))
     # Word numbers: the block's tokens in the order of their hashes, then the start of a document.
     start = len(c1)
-    w = found[0][2].astype(np.int64)
     v = np.where(tokens.before == START, start, np.concatenate(([0], w[:-1])))
     words = start + 1
     count1 = np.append(c1, corpus.docs)
     p1 = 10 ** corpus.base(np.append(c1, 0))
 
     # Distinct pairs in the order of their words; the last one stands for the two starts of a document.
-    at2, in2 = found[1][1], found[1][2]
     by = np.argsort(v[at2] * words + w[at2])
     place = np.empty(len(by), np.int64)
     place[by] = np.arange(len(by))
@@ -306,10 +321,9 @@ def block_scores(tokens: Tokens, totals: dict[int, np.ndarray], layout: Layout,
     p2 = (pc + prior * p1[w2[kept]]) / (count1[v2[kept]] + prior)
 
     # A token's context is the pair that ended one token before.
-    at3, in3 = found[2][1], found[2][2]
     above = np.concatenate(([0], in2[:-1]))
     above[tokens.first] = len(c2) - 1
-    by = np.lexsort((in2[at3], above[at3]))
+    by = np.argsort(above[at3] * len(c2) + in2[at3])
     place3 = np.empty(len(by), np.int64)
     place3[by] = np.arange(len(by))
     at3, c3, in3 = at3[by], c3[by], place3[in3]
@@ -333,10 +347,9 @@ def block_scores(tokens: Tokens, totals: dict[int, np.ndarray], layout: Layout,
 
 def _scored(layout: Layout, corpus: Corpus) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
         for batch in batches:
             for ids, lengths, texts, back in zip(*(batch[c] for c in ("ids", "lengths", "texts", "back")), strict=True):
-                tokens = Tokens(lengths.as_py(), texts.as_py(), known)
+                tokens = Tokens(lengths.as_py(), texts.as_py())
                 parts = sorted((x["level"], x["shard"], x["totals"]) for x in back.as_py())
                 totals = {order: np.concatenate([_wide(t) for level, _, t in parts if level == order]).astype(np.int64) for order in (1, 2, 3)}
                 count, base, own = block_scores(tokens, totals, layout, corpus)
@@ -354,6 +367,7 @@ SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, trai
 
 def scored_documents(docs: DataFrame) -> DataFrame:
     blocks = written(docs.select("doc_id", "text").mapInArrow(_blocked, BLOCK_SCHEMA), "ngram-blocks")
+    small_batches(docs.sparkSession, BLOCKS_AT_ONCE)
     sums = blocks.agg(F.sum("tokens"), F.sum("train_docs"), F.sum("train_tokens")).first()
     tokens, train_docs, train_tokens = (int(x or 0) for x in sums)
     layout = Layout.of(tokens)
