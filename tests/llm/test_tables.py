@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, sharding, topk, urls
 
@@ -86,19 +87,13 @@ def test_sharding_laws(spark):
 
 
 def test_shuffle_mixes_within_buckets(spark):
-    df = spark.range(3000).select("id", (spark.range(1).first()[0] + df_size()).alias("size"))
+    df = spark.range(3000).select("id", F.lit(10).alias("size"))
     out = sharding.two_pass_shuffle(df, "id", "size", shards=2, bucket_bytes=4000)
     order = [r["id"] for r in out.where("shard = 0").orderBy("slot").collect()]
     assert order != sorted(order) and len(set(order)) == len(order)
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
 
 
-def df_size():
-    from pyspark.sql import functions as F
-
-    return F.lit(10)
-
-
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
