@@ -37,7 +37,7 @@ END_ID = 1
 SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
 RANK_BUCKETS = 256
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 ENCODED = 200
 
 

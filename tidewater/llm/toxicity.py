@@ -32,14 +32,14 @@ from .store import written
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 REJECTING = ("toxic",)
 THRESHOLD = 0.5
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 FOLDS = 3
 FEATURES = 1 << 18
 RIDGE = 0.5
 TELLING = 5.0
 LEAST_SEEN = 3
 SEED = 4_001
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 PREFIXES = (4, 5, 6)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -88,10 +88,10 @@ def fit_logistic(features: list[np.ndarray], odds: np.ndarray, labels: np.ndarra
     """Ridge-penalised logistic regression on the telling features, by Newton steps of preconditioned conjugate gradients."""
     n, earlier = odds.shape
     kept = telling(features, labels)
-    place = np.full(FEATURES, -1)
+    place = np.full(FEATURES, -1, np.int32)
     place[kept] = np.arange(len(kept))
     columns = place[np.concatenate(features)]
-    rows = np.repeat(np.arange(n), [len(f) for f in features])[columns >= 0]
+    rows = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in features])[columns >= 0]
     columns = columns[columns >= 0]
     words, size = len(kept), len(kept) + earlier + 1
     penalty = np.full(size, ridge)
@@ -145,12 +145,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for batch in batches:
-            yield batch.assign(features=[words(x) for x in batch.pop("text")])
+            yield batch.assign(features=[words(x).astype("<i4").tobytes() for x in batch.pop("text")])
 
-    schema = ", ".join(["doc_id long", *(f"is_{n} int" for n, _, _ in CATEGORIES), "fold int", "features array<long>"])
+    schema = ", ".join(["doc_id long", *(f"is_{n} int" for n, _, _ in CATEGORIES), "fold int", "features binary"])
     sample = texts.select("doc_id", *(f"is_{n}" for n, _, _ in CATEGORIES), "fold", "text").mapInPandas(numbered, schema)
     # Near copies share their least features; one of them is enough, or a label's error would count many times.
-    first = F.row_number().over(W.partitionBy(F.slice("features", 1, 3)).orderBy("doc_id"))
+    first = F.row_number().over(W.partitionBy(F.substring("features", 1, 12)).orderBy("doc_id"))
     sample = written(sample.withColumn("_first", first).where("_first = 1").drop("_first"), "toxic-sample")
     kinds = sample.agg(*(f(f"is_{n}").alias(f"{f.__name__}_{n}") for n, _, _ in CATEGORIES for f in (F.min, F.max))).first()
     return sample if all(kinds[f"min_{n}"] == 0 and kinds[f"max_{n}"] == 1 for n, _, _ in CATEGORIES) else None
@@ -159,7 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 def _fitter(label: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", kind="stable")
-        features = [np.asarray(x, np.int64) for x in rows["features"]]
+        features = [np.frombuffer(x, "<i4") for x in rows["features"]]
         earlier = np.stack(rows["odds"].to_numpy()).astype(float).reshape(len(rows), -1)
         w = fit_logistic(features, earlier, rows[label].to_numpy(float))
         return pd.DataFrame({"model": [int(rows["model"].iloc[0])], "weights": [w.astype("<f4").tobytes()]})
@@ -190,7 +190,7 @@ def _out_of_fold(odds: DataFrame, models: dict[int, Logistic]) -> DataFrame:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = zip(batch["fold"], batch["features"], batch["odds"], strict=True)
-            yield batch.assign(odds=[[*o, models.get(k, models[-1]).log_odds(np.asarray(f, np.int64), list(o))] for k, f, o in seen])
+            yield batch.assign(odds=[[*o, models.get(k, models[-1]).log_odds(np.frombuffer(f, "<i4"), list(o))] for k, f, o in seen])
 
     return odds.mapInPandas(add, odds.schema)
 
