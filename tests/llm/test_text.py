@@ -196,3 +196,13 @@ def test_packed_documents(spark):
         ends[s] = o + n
     assert max(ends.values()) <= 4096 and len(ends) == -(-sum(r["length"] for r in rows) // 4096)
     assert packing.packed_documents(df.limit(0)).count() == 0
+
+
+def test_encoder_forgets_words_between_batches_only(monkeypatch):
+    batches = [["the first words here", "the second words"], ["the third, new ones"], ["the first of all words"], ["the", "ΣΑΣ"]]
+    whole = packing.Encoder(packing.tokenizer_path())
+    expected = [[np.array(whole.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in batch] for batch in batches]
+    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    small = packing.Encoder(packing.tokenizer_path())
+    assert [small(batch) for batch in batches] == expected
+    assert len(small.known) < 6

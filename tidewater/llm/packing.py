@@ -57,7 +57,8 @@ class Encoder:
 
     The tokenizer lower-cases a text and cuts it into words that it encodes one by one, each closed by a token with the
     vocabulary's suffix for word ends. Plain texts are cut the same way here and each word is encoded once and kept;
-    all other texts go to the tokenizer whole.
+    all other texts go to the tokenizer whole. Over ``CACHED_WORDS`` words the kept ones are forgotten before a batch of
+    texts is looked up, never between its lookup and its use.
     """
 
     def __init__(self, path: str):
@@ -73,8 +74,6 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
         for k in range(0, len(words), ENCODED):
             some = words[k : k + ENCODED]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
@@ -91,6 +90,8 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         plain = [_PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
         split = [self.cut.findall(x.lower()) if p else [] for x, p in zip(texts, plain, strict=True)]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
         self.learn([w for w in set().union(*split) if w not in self.known])
         known = self.known.__getitem__
         out = [b"".join(map(known, words)) for words in split]
