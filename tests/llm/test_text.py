@@ -147,6 +147,27 @@ def test_toxicity_learns_words_and_keeps_clean_rows(spark):
     assert none.where("rejected or p_toxic is not null").count() == 0 and none.count() == 243
 
 
+def test_toxicity_learns_a_rare_kind_from_a_bounded_sample(spark, monkeypatch):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    rare = set(range(300, 3900, 300))
+    df = docs(spark, [" ".join([word() for _ in range(30)] + ["grobble", "snarfle"] * (k in rare)) for k in range(4000)])
+    rows = [(k, int(k % 5 != 0), int(k in rare)) for k in range(4000)] + [(10_000 + k, 1, 1) for k in range(4000)]  # the last ones without documents
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda d, x: sample(d, x, 120))
+    assert toxicity.labelled_sample(df, labels).count() <= 200
+    assert {r["doc_id"] for r in toxicity.judged_documents(df, labels).where("rejected").collect()} == rare
+    assert toxicity.labelled_sample(df, labels.where("toxic = 0 or doc_id >= 10000")) is None
+
+
+def test_drawn_shares_are_bounded_and_leave_no_group_out():
+    assert toxicity.drawn_shares([5000, 3000], 8000) == [1, 1]
+    for counts in ([10**12, 10**8, 7, 1], [40_000] * 4, [10**6, 3], [9000, 500, 500, 1]):
+        taken = [n * s for n, s in zip(counts, toxicity.drawn_shares(counts, 8000), strict=True)]
+        assert sum(taken) == pytest.approx(8000) and all(t >= min(n, 1000) - 1e-6 for n, t in zip(counts, taken, strict=True))
+
+
 def test_chain_uses_earlier_categories():
     rng = np.random.default_rng(0)
     features = [np.array([], np.int64)] * 400

@@ -3,11 +3,12 @@
 Categories are predicted in order. Each is a logistic model over hashed words and the log odds of the categories
 before it; for training these odds come out of fold, so a later model learns from predictions of the quality it will
 get. The models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by hash of the id), one task
-per fold and with near copies counted once, and applied to every whole text. A document is rejected if a rejecting category reaches ``THRESHOLD``.
+per fold and with near copies counted once, and applied to every whole text. Every combination of labels has its part
+in the sample, however rare it is, and rows weigh what they stand for. A document is rejected if a rejecting category reaches ``THRESHOLD``.
 
 Null texts are empty. Labels that are null are left out; several labels of one id count once, as positive if any is.
-Without labels of both kinds nothing is known: probabilities are null and nothing is rejected. Repeated rows are
-scored alike.
+Labels of ids without a document are left out too. If the other labels lack a kind, nothing is known: probabilities
+are null and nothing is rejected. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 REJECTING = ("toxic",)
 THRESHOLD = 0.5
 SAMPLE_ROWS = 8_000
+#: A combination of labels has at least this part of the sample's rows, or all it has.
+LEAST_PART = 1 / 8
 FOLDS = 3
 FEATURES = 1 << 18
 RIDGE = 0.5
@@ -84,9 +87,12 @@ def telling(features: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.flatnonzero((np.abs(positive - rate * seen) / spread >= TELLING) & (seen >= LEAST_SEEN))
 
 
-def fit_logistic(features: list[np.ndarray], odds: np.ndarray, labels: np.ndarray, ridge: float = RIDGE, steps: int = 25, inner: int = 25) -> np.ndarray:
+def fit_logistic(
+    features: list[np.ndarray], odds: np.ndarray, labels: np.ndarray, ridge: float = RIDGE, steps: int = 25, inner: int = 25, weights: np.ndarray | None = None
+) -> np.ndarray:
     """Ridge-penalised logistic regression on the telling features, by Newton steps of preconditioned conjugate gradients."""
     n, earlier = odds.shape
+    weights = np.ones(n) if weights is None else weights
     kept = telling(features, labels)
     place = np.full(FEATURES, -1, np.int32)
     place[kept] = np.arange(len(kept))
@@ -103,11 +109,15 @@ def fit_logistic(features: list[np.ndarray], odds: np.ndarray, labels: np.ndarra
     def back(u: np.ndarray, square: bool = False) -> np.ndarray:
         return np.concatenate([np.bincount(columns, u[rows], words), (odds**2 if square else odds).T @ u, [u.sum()]])
 
+    def loss(w: np.ndarray) -> float:
+        z = forward(w)
+        return float(weights @ (np.logaddexp(0, z) - labels * z) + penalty @ w**2 / 2)
+
     w = np.zeros(size)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(forward(w), -30, 30)))
-        gradient = back(p - labels) + penalty * w
-        curve = np.maximum(p * (1 - p), 1e-6)
+        gradient = back(weights * (p - labels)) + penalty * w
+        curve = weights * np.maximum(p * (1 - p), 1e-6)
         scale = 1 / (back(curve, square=True) + penalty)
         step, residual = np.zeros(size), -gradient
         z = scale * residual
@@ -121,6 +131,10 @@ def fit_logistic(features: list[np.ndarray], odds: np.ndarray, labels: np.ndarra
             if rz <= 1e-10:
                 break
             direction = z + rz / before * direction
+        # Unequal weights may make a whole step too long.
+        now = loss(w)
+        while loss(w + step) > now and np.abs(step).max() >= 1e-3:
+            step = step / 2
         w = w + step
         if np.abs(step).max() < 1e-3:
             break
@@ -129,16 +143,36 @@ def fit_logistic(features: list[np.ndarray], odds: np.ndarray, labels: np.ndarra
     return whole
 
 
+def drawn_shares(counts: list[int], rows: int) -> list[float]:
+    """Shares to draw of groups of these sizes, for about ``rows`` in all: one share, raised where it gives less than ``LEAST_PART``."""
+    if sum(counts) <= rows:
+        return [1.0] * len(counts)
+    least = [min(n, max(1, rows * LEAST_PART)) for n in counts]
+    raised: set[int] = set()
+    while True:
+        others = [k for k in range(len(counts)) if k not in raised]
+        share = max(0.0, rows - sum(least[k] for k in raised)) / max(1, sum(counts[k] for k in others))
+        more = {k for k in others if share * counts[k] < least[k]}
+        if not more:
+            return [least[k] / n if k in raised else share for k, n in enumerate(counts)]
+        raised |= more
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """Features, 0/1 labels and fold of about ``rows`` labelled documents; None if a category lacks either kind."""
+    """Features, 0/1 labels, fold and share drawn of about ``rows`` labelled documents; None if the labels lack either kind of a category."""
     known = reduce(Column.__and__, (F.col(c).isNotNull() for _, c, _ in CATEGORIES)) & F.col("doc_id").isNotNull()
-    named = [F.max((F.col(c) == v).cast("int")).alias(f"is_{name}") for name, c, v in CATEGORIES]
-    once = labels.where(known).groupBy("doc_id").agg(*named)
-    total = once.count()
-    if not total:
+    kinds = [f"is_{name}" for name, _, _ in CATEGORIES]
+    named = [F.max((F.col(c) == v).cast("int")).alias(kind) for kind, (_, c, v) in zip(kinds, CATEGORIES, strict=True)]
+    once = labels.where(known).groupBy("doc_id").agg(*named).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    once = written(once, "toxic-known")
+    groups = once.groupBy(*kinds).count().orderBy(*kinds).collect()  # 2 ** categories at most
+    if any({r[kind] for r in groups} != {0, 1} for kind in kinds):
         return None
-    draw = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
-    chosen = once.where(draw < F.lit(int(1_000_000 * min(1.0, rows / total)))).withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).cast("int"))
+    shares = F.lit(None).cast("double")
+    for r, share in zip(groups, drawn_shares([r["count"] for r in groups], rows), strict=True):
+        shares = F.when(reduce(Column.__and__, (F.col(kind) == r[kind] for kind in kinds)), F.lit(share)).otherwise(shares)
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id"), 1).cast("double") / F.lit(2.0**63)
+    chosen = once.withColumn("share", shares).where(draw <= F.col("share")).withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).cast("int"))
     # The sample has a bounded number of rows, so it may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(written(chosen, "toxic-labels")), "doc_id")
 
@@ -147,13 +181,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         for batch in batches:
             yield batch.assign(features=[words(x).astype("<i4").tobytes() for x in batch.pop("text")])
 
-    schema = ", ".join(["doc_id long", *(f"is_{n} int" for n, _, _ in CATEGORIES), "fold int", "features binary"])
-    sample = texts.select("doc_id", *(f"is_{n}" for n, _, _ in CATEGORIES), "fold", "text").mapInPandas(numbered, schema)
-    # Near copies share their least features; one of them is enough, or a label's error would count many times.
-    first = F.row_number().over(W.partitionBy(F.substring("features", 1, 12)).orderBy("doc_id"))
-    sample = written(sample.withColumn("_first", first).where("_first = 1").drop("_first"), "toxic-sample")
-    kinds = sample.agg(*(f(f"is_{n}").alias(f"{f.__name__}_{n}") for n, _, _ in CATEGORIES for f in (F.min, F.max))).first()
-    return sample if all(kinds[f"min_{n}"] == 0 and kinds[f"max_{n}"] == 1 for n, _, _ in CATEGORIES) else None
+    schema = ", ".join(["doc_id long", *(f"{kind} int" for kind in kinds), "fold int", "share double", "features binary"])
+    sample = texts.select("doc_id", *kinds, "fold", "share", "text").mapInPandas(numbered, schema)
+    # Near copies share their least features; one of each combination of labels is enough, or a label's error would count many times.
+    first = F.row_number().over(W.partitionBy(*kinds, F.substring("features", 1, 12)).orderBy("doc_id"))
+    return written(sample.withColumn("_first", first).where("_first = 1").drop("_first"), "toxic-sample")
+
+
+def row_weights(labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """What rows drawn at these shares stand for, in units in which the rarer kind of label weighs its number of rows."""
+    stands = 1 / shares
+    rarer = labels == (stands @ labels < stands.sum() / 2)
+    return stands / (stands[rarer] if rarer.any() else stands).mean()
 
 
 def _fitter(label: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -161,7 +200,8 @@ def _fitter(label: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
         rows = rows.sort_values("doc_id", kind="stable")
         features = [np.frombuffer(x, "<i4") for x in rows["features"]]
         earlier = np.stack(rows["odds"].to_numpy()).astype(float).reshape(len(rows), -1)
-        w = fit_logistic(features, earlier, rows[label].to_numpy(float))
+        labels = rows[label].to_numpy(float)
+        w = fit_logistic(features, earlier, labels, weights=row_weights(labels, rows["share"].to_numpy(float)))
         return pd.DataFrame({"model": [int(rows["model"].iloc[0])], "weights": [w.astype("<f4").tobytes()]})
 
     return fit
