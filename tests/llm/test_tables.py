@@ -94,6 +94,24 @@ def test_shuffle_mixes_within_buckets(spark):
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
 
 
+def test_repeated_rows_are_spread_over_buckets(spark):
+    rows = [(k, "x" * 12, "s") for k in range(300)] + [(None, "hot", "s")] * 3000 + [(None, None, "s")] * 40 + [(8, "twice", "s")] * 2
+    df = spark.createDataFrame(rows, DOCS).withColumn("size", F.lit(20))
+    shuffled = lambda d: sharding.two_pass_shuffle(d, "doc_id", "size", shards=2, bucket_bytes=4000)
+    out = shuffled(df).collect()
+    assert sorted((tuple(r)[:4] for r in out), key=str) == sorted(((*r, 20) for r in rows), key=str)
+    for shard in range(2):
+        own = sorted((r["slot"], r["text"]) for r in out if r["shard"] == shard)
+        assert [s for s, _ in own] == list(range(len(own)))
+    hot = sorted((r["slot"], r["text"]) for r in out if r["shard"] == next(r["shard"] for r in out if r["text"] == "hot"))
+    longest = run = 0
+    for _, text in hot:
+        run = run + 1 if text == "hot" else 0
+        longest = max(longest, run)
+    assert longest < 1000
+    assert sorted(map(str, out)) == sorted(map(str, shuffled(df.repartition(7)).collect()))
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
     weights = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}

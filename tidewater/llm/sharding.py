@@ -5,8 +5,10 @@ of as many buckets as keep a bucket near ``bucket_bytes``. Pass two gathers each
 order, runs a seeded Fisher-Yates shuffle over it and numbers the rows behind the buckets before it.
 
 The law is ``key``: key and number of shards decide alone, and one more shard takes rows only into itself. Rows with a
-null key share a shard. Rows of equal key share a shard and are spread over its buckets by all their columns.
-Repeated rows all keep a slot of their own. Columns of the input pass through; a clash with a produced name is renamed
+null key share a shard. Rows of equal key share a shard and are spread over its buckets by all their columns. Fully
+equal rows travel as one with their number, in portions of at most ``PORTION`` of a bucket, each in a bucket drawn for
+itself; the slots don't depend on where the rows lay. Repeated rows all keep a slot of their own; float columns lose
+the sign of zero. Columns of the input pass through; a clash with a produced name is renamed
 by the caller. An empty table gives no rows.
 """
 
@@ -22,6 +24,7 @@ SHARDS = 24
 SEED = 20_240_229
 BUCKET_BYTES = 8 << 20
 MOST_PARTITIONS = 100_000
+PORTION = 1 / 16
 
 
 def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -30,24 +33,36 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(draws)["s"]
 
 
+def _portions(equal: DataFrame, size: str, bucket_bytes: int, per_shard: int, seed: int) -> DataFrame:
+    """Rows with their number ``_n`` cut into portions ``_part`` of ``_copies`` rows, each with its ``_bucket``."""
+    most = F.greatest(F.lit(1.0), F.floor(F.lit(bucket_bytes * PORTION) / F.greatest(F.lit(1.0), F.coalesce(F.col(size).cast("double"), F.lit(1.0))))).cast("long")
+    cut = equal.withColumn("_most", most).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(_n - 1) div _most"))))
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 1), "_h1", "_h2", "_part"), F.lit(per_shard)).cast("int")
+    return cut.withColumn("_copies", F.least("_most", F.expr("_n - _part * _most")).cast("int")).withColumn("_bucket", bucket).drop("_n", "_most")
+
+
 def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of df with ``shard`` and ``slot`` (gapless from 0 within a shard)."""
     total = df.agg(F.sum(F.col(size).cast("double"))).first()[0] or 0.0
     per_shard = max(1, round(total / shards / bucket_bytes + 0.5))
     columns = df.columns
-    spread = [F.col(c) for c in columns]
-    tagged = df.withColumn("_shard", rendezvous(F.col(key), shards, seed)).withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), *spread), F.lit(per_shard)).cast("int")
-    )
-    counted = tagged.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # Hashes skip nulls, so these are told apart by flags. The two hashes stand for the row where rows are only counted.
+    spread = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    hashed = df.withColumns({"_h1": F.xxhash64(F.lit(seed + 1), *spread), "_h2": F.xxhash64(F.lit(seed + 2), *spread)})
+    light = hashed.select(rendezvous(F.col(key), shards, seed).alias("_shard"), "_h1", "_h2", size)
+    light = light.groupBy("_shard", "_h1", "_h2", size).agg(F.count(F.lit(1)).alias("_n"))
+    counted = _portions(light, size, bucket_bytes, per_shard, seed).groupBy("_shard", "_bucket").agg(F.sum("_copies").alias("_n"))
     before = W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = written(counted.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "shard-starts")
     # A fixed number of partitions and an order within each make the generator of shuffle() agree between reruns.
+    equal = hashed.groupBy(*columns, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = _portions(equal, size, bucket_bytes, per_shard, seed).withColumn("_shard", rendezvous(F.col(key), shards, seed))
     dealt = tagged.repartition(min(MOST_PARTITIONS, shards * per_shard), "_shard", "_bucket")
-    packed = dealt.groupBy("_shard", "_bucket").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    packed = dealt.groupBy("_shard", "_bucket").agg(F.sort_array(F.collect_list(F.struct(*columns, "_part", "_copies"))).alias("_rows"))
+    packed = packed.withColumn("_rows", F.flatten(F.transform("_rows", lambda x: F.array_repeat(x, x["_copies"]))))
     mixed = packed.sortWithinPartitions("_shard", "_bucket").withColumn("_rows", F.shuffle("_rows", seed))
     placed = mixed.join(starts, ["_shard", "_bucket"]).select("_shard", "_start", F.posexplode("_rows").alias("_pos", "_row"))
-    return placed.select("_row.*", F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).cast("long").alias("slot"))
+    return placed.select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).cast("long").alias("slot"))
 
 
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
