@@ -125,6 +125,18 @@ def test_jaccard_keeps_one_of_each_and_odd_rows(spark):
     assert jaccard.join_documents(df.limit(0)).count() == 0
 
 
+def test_jaccard_tells_rows_of_one_id_and_without_id_apart(spark):
+    base = [f"w{k}" for k in range(60)]
+    near, other, third = " ".join([*base[:59], "new"]), " ".join(f"v{k}" for k in range(30)), " ".join(f"u{k}" for k in range(30))
+    base = " ".join(base)
+    given = [(1, base), (1, base), (2, near), (2, other), (None, near), (None, third), (None, third + " more"), (5, None), (None, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in given], DOCS)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(df, 5, 80).collect()), key=str)
+    assert len(kept) == 5 and [x for x in kept if x[1] in (third, third + " more")] and {(1, base), (2, other), (5, None), (None, "")} < set(kept)
+    found = sorted((tuple(r) for r in jaccard.join_documents(df, 5, 80).collect()), key=str)
+    assert found == sorted([(1, 56, 1, 3), (1, 56, 1, 3), (2, 56, 1, 3), (2, 26, 1, 0), (None, 56, 1, 3), (None, 26, None, 1), (None, 27, None, 1), (5, 0, 5, 0), (None, 0, None, 0)], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}

@@ -13,7 +13,7 @@ order, rarest first; linked sets share a member of their first ``n - ceil(percen
 
 The order needs no exact counts, any order would be right: it uses the heaviest shingles and words only, a bounded
 number, found from counts over all texts. Shingles are 64-bit hashes. Null texts are empty. Rows of one id count as
-one document with each of their texts; rows without an id link through equal sets only. Repeated rows are kept.
+one document with each of their texts; every row without an id is a document of its own. Repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -424,8 +424,30 @@ def _clusters(large: DataFrame, percent: int) -> DataFrame:
 # ---- the join
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number ``_row`` of its own for every row; written, so that all readers see the same numbers."""
+    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-keyed")
+
+
 def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other documents it links with)."""
+    """doc_id, n_shingles, component_id (smallest id reachable by links, null if there is none), n_links (other documents it links with)."""
+    if docs.where("doc_id is null").isEmpty():
+        return _joined(docs, width, percent)
+    # Rows without an id need numbers to be told apart; rows of one id are then brought together again.
+    keyed = _keyed(docs.select("doc_id", "text"))
+    found = _joined(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).withColumnRenamed("doc_id", "_row")
+    found = written(found.join(keyed.select("_row", "doc_id"), "_row"), "jaccard-rows")
+    own = found.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("component_id").alias("b")).distinct()
+    lowest = own.groupBy("doc_id").agg(F.min("b").alias("a"))
+    joined = components(own.join(lowest, "doc_id").select("a", "b"))
+    found = found.join(joined.select(F.col("node").alias("component_id"), "component"), "component_id", "left").withColumn("_group", F.coalesce("component", "component_id"))
+    found = written(found.select("_group", "doc_id", "n_shingles", "n_links"), "jaccard-grouped")
+    least = written(found.groupBy("_group").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    return found.join(least, "_group").select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The join of documents that have an id."""
     drawn = written(sketches(docs, width, percent), "jaccard-sketches")
     classes = drawn.where("n > 0").groupBy("digest", "gid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("bits").alias("bits"))
     classes = written(classes, "jaccard-classes")
@@ -481,7 +503,11 @@ def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = P
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One document of every component: the one with the smallest id; documents without words all stay."""
-    found = join_documents(docs, width, percent)
-    dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(dropped, "jaccard-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of every component: of those with the smallest id (null last) the first; rows without words all stay."""
+    keyed = _keyed(docs)
+    found = _joined(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
+    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    named = written(named, "jaccard-rows")
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = named.select("_row").join(written(stays.select("_row"), "jaccard-stays"), "_row", "left_anti")
+    return keyed.join(written(dropped, "jaccard-dropped"), "_row", "left_anti").select(*docs.columns)
