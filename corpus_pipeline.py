@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import jaccard, mixing, packing, toxicity
-from tidewater.llm.store import small_batches, table, written
+from tidewater.llm.store import table, written
 
 #: Near duplicates of the pipeline: word shingles and least similarity in percent.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -15,13 +15,11 @@ SHINGLE_WORDS, PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject; it learns from the labels of the documents at hand."""
-    small_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of linked ones."""
-    small_batches(spark)
     return jaccard.one_of_each(docs, SHINGLE_WORDS, PERCENT)
 
 
@@ -32,7 +30,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
-    small_batches(spark)
     return packing.packed_documents(docs)
 
 
