@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -231,11 +232,29 @@ def test_packed_documents(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
 
 
+def encoded(encoder, texts):
+    ids, bounds = encoder(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def plainly_encoded(encoder, texts):
+    return [[*encoder.tokenizer.encode(x or "", add_special_tokens=False).ids, packing.END_ID] for x in texts]
+
+
 def test_encoder_forgets_words_between_batches_only(monkeypatch):
-    batches = [["the first words here", "the second words"], ["the third, new ones"], ["the first of all words"], ["the", "ΣΑΣ"]]
-    whole = packing.Encoder(packing.tokenizer_path())
-    expected = [[np.array(whole.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in batch] for batch in batches]
-    monkeypatch.setattr(packing, "CACHED_WORDS", 3)
+    batches = [["the first words here", "the second words"], ["the third, new ones"], ["the first of all words"], ["the", "ΣΑΣ", None, ""]]
+    monkeypatch.setattr(packing, "CACHED_PARTS", 3)
     small = packing.Encoder(packing.tokenizer_path())
-    assert [small(batch) for batch in batches] == expected
+    assert [encoded(small, batch) for batch in batches] == [plainly_encoded(small, batch) for batch in batches]
     assert len(small.known) < 6
+    assert encoded(small, []) == []
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    encoder = packing.Encoder(packing.tokenizer_path())
+    rng = random.Random(9)
+    letters = [chr(k) for k in range(0x250)] + list("ΣςσάЖж中文あ가ｆﬁ\u0301\u0308\u200b\u2028\u3000\u0130\u1e9e\u212a\u212b\U0001f600'sdt ")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    texts += ["".join(rng.choice("'strevmld !?<|>ab1 ") for _ in range(rng.randrange(16))) for _ in range(3000)]
+    texts += ["x<|endoftext|>y <|EndOfText|> <|startoftext|>", "A\u0301 \u0301 e\u0308", "\u1100\u1161 \u0181\u0189", "x" * 20_000]
+    assert encoded(encoder, texts) == plainly_encoded(encoder, texts)

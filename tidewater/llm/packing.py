@@ -21,24 +21,29 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import written
+from .store import sliced, written
 
 CAPACITY = 4096
 END_ID = 1
 #: (groups, lengths up to which pieces are small): the settings tried; the plan with fewest sequences is kept.
 SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
-RANK_BUCKETS = 256
+#: Pieces of one length that a task sorts to number them.
+BUCKET_PIECES = 20_000
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 500_000
-ENCODED = 200
+#: Parts of words, and characters in them, that a worker process keeps.
+CACHED_PARTS, CACHED_CHARACTERS = 500_000, 32 << 20
+#: Bytes of text encoded at once (a longer text alone), and parts of words given to the tokenizer at once.
+BATCH_BYTES, TOGETHER = 16 << 20, 200
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -47,58 +52,72 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Texts in which only ASCII and Latin letters, digits, signs and plain white space occur; without special tokens.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\u00a0-\u012f\u0131-\u024f]*")
-_LATIN, _DIGIT = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+#: Words of printable ASCII and Latin letters of the first 256 characters, whose small forms are among these too.
+_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
 
 
 class Encoder:
-    """Ids of texts, as bytes of little-endian unsigned 32-bit numbers.
+    """Ids of texts, as one array of little-endian unsigned 32-bit numbers.
 
-    The tokenizer lower-cases a text and cuts it into words that it encodes one by one, each closed by a token with the
-    vocabulary's suffix for word ends. Plain texts are cut the same way here and each word is encoded once and kept;
-    all other texts go to the tokenizer whole. Over ``CACHED_WORDS`` words the kept ones are forgotten before a batch of
-    texts is looked up, never between its lookup and its use.
+    The tokenizer drops white space and encodes what is between it piece by piece, so texts are cut at ASCII white
+    space, the distinct words of a batch are encoded once each and put in place by their numbers. A plain word is
+    lower-cased and cut by the tokenizer's own pattern, spelled out for the letters that plain words hold, and its parts
+    are kept for later batches; all other words go to the tokenizer whole. What is kept is forgotten, where it has become
+    too much, before a batch's parts are looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        model = json.loads(Path(path).read_text())
-        pattern = model["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = re.compile(pattern.replace("[\\p{L}]", f"[{_LATIN}]").replace("[\\p{N}]", f"[{_DIGIT}]").replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_LATIN}{_DIGIT}]"))
-        suffix, vocabulary = model["model"]["end_of_word_suffix"], model["model"]["vocab"]
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        pattern = json.loads(Path(path).read_text())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.cut = re.compile(pattern.replace("[\\p{L}]", f"[{_LETTERS}]").replace("[\\p{N}]", "[0-9]").replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_LETTERS}0-9]"))
         self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), ENCODED):
-            some = words[k : k + ENCODED]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(some):
-                data, at = ids.tobytes(), 0
-                for word, end in zip(some, (ends * 4).tolist(), strict=True):
-                    self.known[word] = data[at:end]
-                    at = end
+        self.held = 0
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts, each of which the tokenizer takes as one piece, many in one text."""
+        for k in range(0, len(parts), TOGETHER):
+            some = parts[k : k + TOGETHER]
+            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            pieces = np.array(got.word_ids)
+            starts = np.flatnonzero(np.concatenate(([True], pieces[1:] != pieces[:-1])))
+            if len(starts) == len(some):
+                data, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.append(starts, len(pieces))).tolist()
+                self.known.update(zip(some, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
             else:
-                for word, got in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(got.ids, "<u4").tobytes()
+                self.known.update(zip(some, self.whole(some), strict=True))
+        self.held += sum(map(len, parts))
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(x) is not None and "<|" not in x for x in texts]
-        split = [self.cut.findall(x.lower()) if p else [] for x, p in zip(texts, plain, strict=True)]
-        if len(self.known) > CACHED_WORDS:
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; words hold no ASCII white space."""
+        cut = [self.cut.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
+        if len(self.known) > CACHED_PARTS or self.held > CACHED_CHARACTERS:
             self.known.clear()
-        self.learn([w for w in set().union(*split) if w not in self.known])
+            self.held = 0
+        self.learn([x for x in set(chain.from_iterable(filter(None, cut))) if x not in self.known])
         known = self.known.__getitem__
-        out = [b"".join(map(known, words)) for words in split]
-        for k, p in enumerate(plain):
-            if not p:
-                out[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        rest = iter(self.whole([w for w, parts in zip(words, cut, strict=True) if parts is None]))
+        return [next(rest) if parts is None else b"".join(map(known, parts)) for parts in cut]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end token, and the bounds of the texts in them."""
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = words.flatten().dictionary_encode()
+        ids = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], "<u4").tobytes()]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        # The end token is a word after each text's last one.
+        bounds = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        order = np.insert(coded.indices.to_numpy(), bounds, len(ids) - 1)
+        sizes = lengths[order]
+        ends = np.cumsum(sizes)
+        places = np.repeat(first[order] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[places], np.concatenate(([0], ends[bounds + np.arange(len(bounds))]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -114,26 +133,29 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
     path = path or tokenizer_path()
-    end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = encoder(path)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            texts = [x or "" for x in batch[1].to_pylist()]
-            encoded = (ids + end for k in range(0, len(texts), ENCODED) for ids in encode(texts[k : k + ENCODED]))
-            for doc_id, ids in zip(batch[0].to_pylist(), encoded, strict=True):
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
-                        column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in sliced(batches, "text", BATCH_BYTES):
+            ids, bounds = encode(batch["text"])
+            counts = -(-np.diff(bounds) // capacity)
+            last = np.cumsum(counts)
+            piece = np.arange(counts.sum()) - np.repeat(last - counts, counts)
+            start = piece * capacity
+            length = np.minimum(capacity, np.repeat(np.diff(bounds), counts) - start)
+            data = memoryview(ids).cast("B")
+            at = 4 * (np.repeat(bounds[:-1], counts) + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [batch["doc_id"].take(pa.array(np.repeat(np.arange(len(counts)), counts))), piece.astype(np.int32), start, length, crc]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) if not isinstance(c, pa.Array) else c for c, k in zip(columns, _PIECE_KINDS, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+_PIECE_KINDS = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
 
 # ---- the plan, on the histogram of lengths
@@ -338,7 +360,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The plan has at most a few runs per length and pattern, so it goes to the tasks as arrays in their closure.
     """
-    salted = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
+    buckets = 1 + cut.count() // BUCKET_PIECES
+    salted = cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     counted = written(salted.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")), "pack-lengths")
     histogram = {int(r[0]): int(r[1]) for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # at most CAPACITY rows
     made = plan(histogram, capacity) if histogram else Plan({}, capacity)

@@ -8,33 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import jaccard, media, mixing, ngram, packing, sharding, topk, toxicity, urls, warc
 from .sql import SQL
-from .store import small_batches, table
+from .store import table
 
 __all__ = ["QUERIES", "SQL"]
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 200)
     return ngram.scored_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return warc.converted_pages(table(spark, sf_dir, "pages"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return toxicity.judged_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
@@ -55,7 +50,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
