@@ -15,22 +15,19 @@ Null texts are empty and hold the end token alone. Repeated rows are packed once
 
 from __future__ import annotations
 
-import json
-import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
-from pathlib import Path
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .hashing import hashed, text_bytes, word_bounds
 from .store import sliced, written
 
 CAPACITY = 4096
@@ -40,10 +37,10 @@ SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
 #: Pieces of one length that a task sorts to number them.
 BUCKET_PIECES = 20_000
 TOKENIZER = "word_bpe_49k.json"
-#: Parts of words, and characters in them, that a worker process keeps.
-CACHED_PARTS, CACHED_CHARACTERS = 500_000, 32 << 20
+#: Distinct parts of words, and bytes of their ids, that a worker process keeps.
+CACHED_PARTS, CACHED_BYTES = 2_000_000, 64 << 20
 #: Bytes of text encoded at once (a longer text alone), and parts of words given to the tokenizer at once.
-BATCH_BYTES, TOGETHER = 16 << 20, 200
+BATCH_BYTES, TOGETHER = 8 << 20, 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,72 +49,116 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Words of printable ASCII and Latin letters of the first 256 characters, whose small forms are among these too.
-_PLAIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
-_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+#: Kinds of bytes: white space, letters, digits, signs, all others. Latin letters of the first 256 characters are two bytes.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_LATIN_LEAD, _LATIN = 0xC3, np.isin(np.arange(256), [*range(0x80, 0xC0)]) & ~np.isin(np.arange(256), [0x97, 0xB7])
+#: Signs that may open a contraction or a special token.
+_WHOLE = (ord("'"), ord("<"))
+
+
+def parts_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each part of the texts' words, whether it is plain, and how many there are up to the texts' bounds.
+
+    A plain word holds printable ASCII and Latin letters of the first 256 characters alone, and no sign of ``_WHOLE``.
+    It is cut as the tokenizer's pattern cuts it: into runs of letters, runs of signs and single digits. Any other word is one part.
+    """
+    starts, stops, _ = word_bounds(data, ends)
+    kinds = _KINDS[data]
+    lead = np.flatnonzero(data[:-1] == _LATIN_LEAD)
+    lead = lead[_LATIN[data[lead + 1]]]
+    kinds[lead] = kinds[lead + 1] = _LETTER
+    odd = np.flatnonzero((kinds == _OTHER) | (data == _WHOLE[0]) | (data == _WHOLE[1]))
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, odd, "right") - 1] = False
+    opens = kinds != _SPACE
+    opens[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+    opens[starts] = True
+    firsts = np.flatnonzero(opens)
+    word = np.cumsum(np.bincount(np.searchsorted(firsts, starts), minlength=len(firsts))) - 1
+    kept = plain[word] | (firsts == starts[word])
+    firsts, word = firsts[kept], word[kept]
+    lasts = stops[word]
+    same = word[1:] == word[:-1]
+    lasts[:-1][same] = firsts[1:][same]
+    return firsts, lasts, plain[word], np.searchsorted(firsts, ends)
 
 
 class Encoder:
     """Ids of texts, as one array of little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and encodes what is between it piece by piece, so texts are cut at ASCII white
-    space, the distinct words of a batch are encoded once each and put in place by their numbers. A plain word is
-    lower-cased and cut by the tokenizer's own pattern, spelled out for the letters that plain words hold, and its parts
-    are kept for later batches; all other words go to the tokenizer whole. What is kept is forgotten, where it has become
-    too much, before a batch's parts are looked up.
+    The tokenizer drops white space and encodes what is between it piece by piece. So texts are cut into parts that it
+    takes as whole pieces, the distinct parts of a batch (told apart by 64-bit hashes) are encoded once each, and ids are
+    put in place by the parts' numbers. Encoded parts are kept for later batches and forgotten, where they have become too
+    many, before a batch is looked up.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        pattern = json.loads(Path(path).read_text())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.cut = re.compile(pattern.replace("[\\p{L}]", f"[{_LETTERS}]").replace("[\\p{N}]", "[0-9]").replace("[^\\s\\p{L}\\p{N}]", f"[^\\s{_LETTERS}0-9]"))
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode parts, each of which the tokenizer takes as one piece, many in one text."""
-        for k in range(0, len(parts), TOGETHER):
-            some = parts[k : k + TOGETHER]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            pieces = np.array(got.word_ids)
-            starts = np.flatnonzero(np.concatenate(([True], pieces[1:] != pieces[:-1])))
-            if len(starts) == len(some):
-                data, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.append(starts, len(pieces))).tolist()
-                self.known.update(zip(some, (data[a:b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
-            else:
-                self.known.update(zip(some, self.whole(some), strict=True))
-        self.held += sum(map(len, parts))
-
-    def whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word; words hold no ASCII white space."""
-        cut = [self.cut.findall(w.lower()) if _PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        if len(self.known) > CACHED_PARTS or self.held > CACHED_CHARACTERS:
-            self.known.clear()
-            self.held = 0
-        self.learn([x for x in set(chain.from_iterable(filter(None, cut))) if x not in self.known])
-        known = self.known.__getitem__
-        rest = iter(self.whole([w for w, parts in zip(words, cut, strict=True) if parts is None]))
-        return [next(rest) if parts is None else b"".join(map(known, parts)) for parts in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of these words, and the ids."""
+        found = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.fromiter(map(len, found), np.int64, len(found)), np.fromiter(chain.from_iterable(found), "<u4")
+
+    def pieces(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of parts each of which the tokenizer takes as one piece, all in one text."""
+        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        numbers = np.array(got.word_ids, np.int64)
+        bounds = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True])))
+        return (np.diff(bounds), np.array(got.ids, "<u4")) if len(bounds) == len(parts) + 1 else self.whole(parts)
+
+    def learn(self, keys: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        found = [(self.lengths, self.ids)]
+        for kind, encode in ((True, self.pieces), (False, self.whole)):
+            some = list(compress(words, plain == kind))
+            found += [encode(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
+        keys = np.concatenate((self.keys, keys[plain], keys[~plain]))
+        lengths, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(keys)
+        self.keys, self.lengths, self.ids = keys[by], lengths[by], ids[_runs((np.cumsum(lengths) - lengths)[by], lengths[by])]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token, and the bounds of the texts in them."""
-        words = pc.ascii_split_whitespace(texts.fill_null(""))
-        coded = words.flatten().dictionary_encode()
-        ids = [*self.words(coded.dictionary.to_pylist()), np.array([END_ID], "<u4").tobytes()]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
-        # The end token is a word after each text's last one.
-        bounds = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
-        order = np.insert(coded.indices.to_numpy(), bounds, len(ids) - 1)
+        data, ends = text_bytes(texts)
+        firsts, lasts, plain, bounds = parts_of(data, ends)
+        hashes = hashed(data, firsts, lasts)
+        hashes[~plain] = hashed(data, firsts[~plain], lasts[~plain], lower=False)
+        by = np.argsort(hashes)
+        opens = np.flatnonzero(np.concatenate(([True], hashes[by][1:] != hashes[by][:-1]))) if len(by) else by
+        keys, at = hashes[by[opens]], by[opens]
+        if len(self.keys) > CACHED_PARTS or self.ids.nbytes > CACHED_BYTES:
+            self.forget()
+        new = ~np.isin(keys, self.keys, assume_unique=True)
+        if new.any():
+            spans = zip(firsts[at[new]].tolist(), lasts[at[new]].tolist(), strict=True)
+            raw = memoryview(data)
+            self.learn(keys[new], [str(raw[a:b], "utf-8") for a, b in spans], plain[at[new]])
+        place = np.searchsorted(self.keys, keys)
+        # The end token is a part after each text's last one.
+        number = np.empty(len(by), np.int64)
+        number[by] = np.repeat(place, np.diff(opens, append=len(by)))
+        order = np.insert(number, bounds[1:], len(self.keys))
+        lengths, ids = np.append(self.lengths, 1), np.append(self.ids, np.array([END_ID], "<u4"))
         sizes = lengths[order]
-        ends = np.cumsum(sizes)
-        places = np.repeat(first[order] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        return flat[places], np.concatenate(([0], ends[bounds + np.arange(len(bounds))]))
+        closed = np.cumsum(sizes)
+        return ids[_runs((np.cumsum(lengths) - lengths)[order], sizes)], np.concatenate(([0], closed[bounds[1:] + np.arange(len(bounds) - 1)]))
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of runs that start at and are as long as given, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 _ENCODERS: dict[str, Encoder] = {}
