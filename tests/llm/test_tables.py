@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ def plain_top(vectors, every, k):
 def test_top_k_is_exact_with_ties_and_bad_rows(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "PORTION", 9)
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for k in range(120)]
     rows += [(150 + k, [0.5, 0.25, -0.5, 0.0]) for k in range(30)] + [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [float("nan")] * 4), (403, [float("inf")] * 4), (450, [0.0] * 4)]
@@ -67,6 +69,19 @@ def test_top_k_is_exact_with_ties_and_bad_rows(spark, monkeypatch, block):
     assert [r["rank"] for r in topk.top_inner_products(few).orderBy("rank").collect()] == [1, 2]
 
 
+@pytest.mark.parametrize(("width", "scale"), [(1, 1.0), (16, 0.1), (16, 1e6), (0, 1.0)])
+def test_top_k_of_portions_carries_bounds(width, scale):
+    rng = np.random.default_rng(width)
+    values = np.floor(256 * scale * rng.normal(size=(300, width))).astype(np.int64)
+    values[100:200] = values[5]
+    frame = lambda ids: pd.DataFrame({"vec_id": ids, "dim": width, "v": [values[i].tobytes() for i in ids]})
+    found = topk._block(4, 32)(frame(list(range(300))), frame(list(range(0, 300, 7))))
+    for q in range(0, 300, 7):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(values[q], values[i], strict=True)), i) for i in range(300) if i != q)[:4]
+        own = found[found["query_id"] == q]
+        assert sorted((-s, i) for s, i in zip(own["score"].tolist(), own["vec_id"].tolist(), strict=True)) == scored
+
+
 def test_sharding_laws(spark):
     rows = [(k, "é" * (k % 9), "s") for k in range(500)] + [(7, "again", "s"), (7, "again", "s"), (None, None, "s")]
     df = spark.createDataFrame(rows, DOCS).withColumnRenamed("source", "shard")
