@@ -11,14 +11,13 @@ order, rarest first; linked sets share a member of their first ``n - ceil(percen
 4. Large buckets are joined, per band of sizes, to clusters of members that occur together; each cluster is cut into
    blocks of bounded size, and every two blocks are compared in a task of their own. Only counts and a spanning forest leave such a task.
 
-The order needs no exact counts, any order would be right: it uses the heaviest shingles and words only, a bounded
-number, found from counts over all texts. Shingles are 64-bit hashes. Null texts are empty. Rows of one id count as
+The order needs no exact counts, any order would be right: it uses the heaviest of a fixed number of cells of shingles
+and words, found from counts over all texts. Shingles are 64-bit hashes. Null texts are empty. Rows of one id count as
 one document with each of their texts; every row without an id is a document of its own. Repeated rows are kept.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,56 +28,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .hashing import MIX, word_hashes
+from .store import sliced, written
 
 SHINGLE_WORDS = 4
 PERCENT = 85
+#: Cells that shingles and words are counted in by hash; the heaviest ones settle the order.
+CELL_BITS = 22
 HEAVIEST = 65_536
 LOCAL_LEAST = 8
 HOT_COUNT = 256
 BUCKET = 16
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 BLOCK_BYTES = 8 << 20
 COUNT_FLUSH = 2_000_000
-KNOWN_WORDS = 400_000
+SLICE_BYTES = 4 << 20
 FLAT_COLUMNS = 8192
 FILTER_BITS = 1 << 22
 LEAST_WIDTH = 256
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """One hash for every ``width`` words in a row."""
+    out = np.full(max(0, len(words) - width + 1), width, np.uint64)
+    for k in range(width):
+        out = (out ^ words[k : len(out) + k]) * MIX
+        out ^= out >> np.uint64(29)
+    return out
 
-#: Hashes of words that this worker process has met, for all its tasks.
-_KNOWN: dict[bytes, int] = {}
 
+def shingled(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[slice, np.ndarray]]]:
+    """Hashes of all words and of all shingles, and for each text the slice of its words and the hashes of its shingles.
 
-class Shingler:
-    """Hashes of a text's words and shingles; A-Z is lower-cased and words end at ASCII white space."""
+    A text of fewer words has a single shingle of all of them, one without words has none.
+    """
+    words, bounds = word_hashes(texts)
+    shingles = shingle_hashes(words, width)
 
-    def __init__(self, width: int):
-        self.width = width
-        self.known = _KNOWN
+    def each() -> Iterator[tuple[slice, np.ndarray]]:
+        for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+            yield slice(a, b), shingles[a : b - width + 1] if b - a >= width else shingle_hashes(words[a:b], b - a)[: b - a]
 
-    def words(self, text: str | None) -> np.ndarray:
-        found = (text or "").encode().lower().split()
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in set(found):
-            if word not in known:
-                known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
+    return words, shingles, each()
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
-    def shingles(self, words: np.ndarray) -> np.ndarray:
-        """One hash per position; a single one for all words where they are fewer than the width."""
-        width = min(self.width, len(words))
-        if not width:
-            return words[:0]
-        out = np.full(len(words) - width + 1, width, np.uint64)
-        for k in range(width):
-            out = (out ^ words[k : len(words) - width + 1 + k]) * _MIX
-            out ^= out >> np.uint64(29)
-        return out
+
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def needed(n: int, percent: int) -> int:
@@ -114,71 +115,63 @@ def may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> n
 
 def _local_counts(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        words: list[np.ndarray] = []
-        shingles: list[np.ndarray] = []
-        held = 0
+        held: list[list[np.ndarray]] = [[], []]
 
         def flush() -> pa.RecordBatch:
             columns: list[list[np.ndarray]] = [[], [], []]
-            for kind, hashes in (("w", words), ("s", shingles)):
-                values, counts = np.unique(np.concatenate(hashes), return_counts=True)
-                kept = counts >= LOCAL_LEAST
-                columns[0].append(np.full(kept.sum(), kind == "s"))
-                columns[1].append(values[kept].view(np.int64))
-                columns[2].append(counts[kept])
+            for shingle, hashes in enumerate(held):
+                counts = np.bincount(cells(np.concatenate(hashes)), minlength=1 << CELL_BITS)
+                kept = np.flatnonzero(counts >= LOCAL_LEAST)
+                for column, values in zip(columns, (np.full(len(kept), bool(shingle)), kept, counts[kept]), strict=True):
+                    column.append(values)
                 hashes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["shingle", "hash", "n"])
-
-        for batch in batches:
-            for text in batch[0]:
-                found = shingler.words(text.as_py())
-                words.append(found)
-                shingles.append(np.unique(shingler.shingles(found)))
-                held += len(found)
-                if held > COUNT_FLUSH:
-                    held = 0
-                    yield flush()
-        if words:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["shingle", "cell", "n"])
+
+        for batch in sliced(batches, "text", SLICE_BYTES):
+            words, shingles, _ = shingled(batch["text"], width)
+            held[0].append(words)
+            held[1].append(shingles)
+            if sum(map(len, held[0])) > COUNT_FLUSH:
+                yield flush()
+        if held[0]:
             yield flush()
 
     return count
 
 
 class Order:
-    """Heaviest words and shingles, as sorted arrays of at most ``HEAVIEST`` hashes each."""
+    """Levels of the heaviest cells of words and of shingles, 0 for all others; small logarithms of counts."""
+
+    SHINGLE_STEPS = 8
 
     def __init__(self, rows: list) -> None:
-        parts = []
-        for shingle in (False, True):
-            hashes = np.array([r["hash"] for r in rows if r["shingle"] == shingle], np.int64).view(np.uint64)
-            counts = np.array([r["n"] for r in rows if r["shingle"] == shingle], np.int64)
-            by = np.argsort(hashes)
-            parts += [hashes[by], counts[by]]
-        self.words, self.word_counts, self.shingles, self.shingle_counts = parts
+        self.levels = []
+        for shingle, steps in ((False, 1), (True, self.SHINGLE_STEPS)):
+            own = [(r["cell"], r["n"]) for r in rows if r["shingle"] == shingle]
+            table = np.zeros(1 << CELL_BITS, np.uint8)
+            if own:
+                at, counts = np.array(own, np.int64).T
+                table[at] = self.level(counts, steps)
+            self.levels.append(table)
 
     @staticmethod
-    def _of(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, counts[at], 0)
-
-    def ranked(self, words: np.ndarray, shingles: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles, rarest first, and their counts where heavy."""
-        width = min(width, len(words))
-        level = np.floor(np.log2(1 + self._of(words, self.words, self.word_counts))).astype(np.int64)
-        common = sum((level[k : len(words) - width + 1 + k] for k in range(width)), np.zeros(len(shingles), np.int64))
-        hashes, first = np.unique(shingles, return_index=True)
-        heavy = self._of(hashes, self.shingles, self.shingle_counts)
-        by = np.lexsort((hashes, common[first], heavy))
-        return hashes[by], heavy[by]
+    def level(counts: np.ndarray | int, steps: int) -> np.ndarray:
+        return np.minimum(255, np.floor(steps * np.log2(1.0 + counts))).astype(np.uint8)
+
+    def keys(self, words: np.ndarray, shingles: np.ndarray, width: int) -> np.ndarray:
+        """The shingles' places in the order: level of the shingle, sum of its words' levels, the rest from its hash."""
+        level = self.levels[0][cells(words)].astype(np.uint64)
+        common = np.zeros(len(shingles), np.uint64)
+        for k in range(width):
+            common += level[k : len(shingles) + k]
+        heavy = self.levels[1][cells(shingles)].astype(np.uint64)
+        return heavy << np.uint64(56) | np.minimum(common, np.uint64(255)) << np.uint64(48) | shingles >> np.uint64(16)
 
 
 def order_of(docs: DataFrame, width: int) -> Order:
-    counts = docs.select("text").mapInArrow(_local_counts(width), "shingle boolean, hash long, n long")
-    summed = written(counts.groupBy("shingle", "hash").agg(F.sum("n").alias("n")), "jaccard-counts")
-    heaviest = [summed.where(kind).orderBy(F.desc("n"), "hash").limit(HEAVIEST) for kind in (F.col("shingle"), ~F.col("shingle"))]
+    counts = docs.select("text").mapInArrow(_local_counts(width), "shingle boolean, cell long, n long")
+    summed = written(counts.groupBy("shingle", "cell").agg(F.sum("n").alias("n")), "jaccard-counts")
+    heaviest = [summed.where(kind).orderBy(F.desc("n"), "cell").limit(HEAVIEST) for kind in (F.col("shingle"), ~F.col("shingle"))]
     return Order(heaviest[0].unionByName(heaviest[1]).collect())
 
 
@@ -188,21 +181,25 @@ def order_of(docs: DataFrame, width: int) -> Order:
 def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n, digest of the set, gid of prefix and size, the prefix, how many of its last members are hot, parities."""
     order = docs.sparkSession.sparkContext.broadcast(order_of(docs, width))
+    hottest = np.uint64(Order.level(HOT_COUNT, Order.SHINGLE_STEPS)) << np.uint64(56)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE_BYTES):
             rows: list[tuple] = []
-            for text in batch[1]:
-                words = shingler.words(text.as_py())
-                ranked, heavy = order.value.ranked(words, shingler.shingles(words), width)
-                n = len(ranked)
-                prefix = ranked[: prefix_length(n, percent)]
-                hot = int((heavy[: len(prefix)] >= HOT_COUNT).sum())
+            words, shingles, each = shingled(batch["text"], width)
+            keys = order.value.keys(words, shingles, width)
+            for place, own in each:
+                members = distinct(own)
+                n, count = len(members), place.stop - place.start
+                own_keys = keys[place.start : place.stop - width + 1] if count >= width else order.value.keys(words[place], own, count)
+                prefix = distinct(own_keys)[: prefix_length(n, percent)]
+                hot = len(prefix) - int(np.searchsorted(prefix, hottest))
                 gid = xxhash.xxh64_intdigest(prefix.tobytes(), n) - (1 << 63)
-                rows.append((n, xxhash.xxh128_digest(np.sort(ranked).tobytes()), gid, prefix.view(np.int64), hot, parity_bits(ranked)))
+                rows.append((n, xxhash.xxh128_digest(members.tobytes()), gid, prefix.view(np.int64), hot, parity_bits(members)))
             n, digest, gid, prefix, hot, bits = zip(*rows, strict=True) if rows else ((),) * 6
-            arrays = [batch[0], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(gid, pa.int64()), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(hot, pa.int32()), pa.array(bits, pa.binary())]
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32))
+            prefixes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            arrays = [batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(gid, pa.int64()), prefixes, pa.array(hot, pa.int32()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "gid", "prefix", "hot", "bits"])
 
     schema = "doc_id long, n long, digest binary, gid long, prefix array<long>, hot int, bits binary"
@@ -223,15 +220,12 @@ def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
-        for batch in batches:
+        for batch in sliced(batches, "text", SLICE_BYTES):
             cell = batch["cell"].to_numpy()
-            out: list[list] = [[], [], []]
-            for k in np.flatnonzero(bits.value[cell >> 5] >> (cell & 31) & 1).tolist():
-                members = np.unique(shingler.shingles(shingler.words(batch["text"][k].as_py()))).tobytes()
-                for column, value in zip(out, (batch["rep"][k].as_py(), xxhash.xxh128_digest(members), members), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["rep", "digest", "members"])
+            asked = batch.take(pa.array(np.flatnonzero(bits.value[cell >> 5] >> (cell & 31) & 1)))
+            members = [distinct(own).tobytes() for _, own in shingled(asked["text"], width)[2]]
+            digests = [xxhash.xxh128_digest(x) for x in members]
+            yield pa.RecordBatch.from_arrays([asked["rep"], pa.array(digests, pa.binary()), pa.array(members, pa.binary())], ["rep", "digest", "members"])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("cell"), "text")
     found = named.mapInArrow(take, "rep long, digest binary, members binary")
@@ -325,26 +319,38 @@ def _verified(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 # ---- large buckets
 
 
+def _sides(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The rows of blocks i and j; the same twice where they are one block."""
+    first = rows[rows["block"] == rows["i"]]
+    return first, rows[rows["block"] == rows["j"]]
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits every two of these packed rows differ."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        out += np.bitwise_count(x[:, k, None] ^ y[None, :, k])
+    return out
+
+
 def _block_hopes(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Members of two blocks that have a partner in them which their parities allow."""
+    """Members of two blocks that have a partner in the other one which their parities allow."""
 
     def hopes(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[np.ndarray] = []
-        widths = rows["bits"].map(len).to_numpy() * 8
-        n, reps, home = rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["home"].to_numpy()
-        for width in np.unique(np.concatenate((widths, widths // 2))):
-            # Sizes that can link differ by less than two, so their widths are equal or neighbours.
-            at = np.flatnonzero((widths == width) | (widths == 2 * width))
-            if len(at) < 2 or width < LEAST_WIDTH:
+        sides = _sides(rows)
+        widths = [side["bits"].map(len).to_numpy() * 8 for side in sides]
+        for width in np.intersect1d(*(np.concatenate((w, w // 2)) for w in widths)):
+            # Sizes that can link differ by less than two, so their widths are equal or neighbours; the smaller one is used.
+            at = [np.flatnonzero((w == width) | (w == 2 * width)) for w in widths]
+            if width < LEAST_WIDTH or not (len(at[0]) and len(at[1])):
                 continue
-            packed = np.stack([folded(np.frombuffer(rows["bits"].iloc[k], np.uint8), width) for k in at])
-            apart = np.zeros((len(at), len(at)), np.float32)
-            for low in range(0, width // 8, FLAT_COLUMNS // 8):
-                signs = np.unpackbits(packed[:, low : low + FLAT_COLUMNS // 8], axis=1).astype(np.float32) * 2 - 1
-                apart += (signs.shape[1] - signs @ signs.T) / 2
-            hope = may_link(apart, n[at][:, None], n[at][None, :], percent) & (home[at][:, None] | home[at][None, :])
-            np.fill_diagonal(hope, False)
-            found.append(reps[at[hope.any(axis=1)]])
+            packed = [np.stack([folded(np.frombuffer(side["bits"].iloc[k], np.uint8), width) for k in own]).view(np.uint64) for side, own in zip(sides, at, strict=True)]
+            n, home, reps = ([side[c].to_numpy()[own] for side, own in zip(sides, at, strict=True)] for c in ("n", "home", "rep"))
+            small = [w[own] == width for w, own in zip(widths, at, strict=True)]
+            hope = may_link(_apart(*packed), n[0][:, None], n[1][None, :], percent)
+            hope &= (home[0][:, None] | home[1][None, :]) & (small[0][:, None] | small[1][None, :]) & (reps[0][:, None] != reps[1][None, :])
+            found += [reps[0][hope.any(axis=1)], reps[1][hope.any(axis=0)]]
         out = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
         return pd.DataFrame({"cluster": np.full(len(out), rows["cluster"].iloc[0]), "rep": out})
 
@@ -363,34 +369,38 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Links between two blocks of a cluster (within it, for one block twice): each row's forest root and link count."""
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("rep", kind="stable")
-        first, second = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
-        sizes = np.array([len(s) for s in sets])
-        values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = np.cumsum(counts > 1) - 1
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        kept = counts[inverse] > 1
-        owner, column = owner[kept], shared[inverse[kept]]
-        by = np.argsort(column, kind="stable")
-        owner, column = owner[by], column[by]
-        inter = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int(column[-1]) + 1 if len(column) else 0, FLAT_COLUMNS):
-            a, b = np.searchsorted(column, (low, low + FLAT_COLUMNS))
-            flat = np.zeros((len(sets), FLAT_COLUMNS), np.float32)
-            flat[owner[a:b], column[a:b] - low] = 1
-            inter += flat @ flat.T
-        links = linked(inter.astype(np.int64), sizes[:, None], sizes[None, :], percent)
-        np.fill_diagonal(links, False)
-        home = rows["home"].to_numpy()
-        links &= home[:, None] | home[None, :]
-        if first != second:
-            block = rows["block"].to_numpy()
-            links &= block[:, None] != block[None, :]
-        weights = rows["docs"].to_numpy()
-        found = links @ weights
-        root = np.arange(len(sets))
+        sides = [side.sort_values("rep", kind="stable") for side in _sides(rows)]
+        one = rows["i"].iloc[0] == rows["j"].iloc[0]
+        members = [[np.frombuffer(x, np.uint64) for x in side["members"]] for side in sides]
+        sizes = [np.array([len(x) for x in own], np.int64) for own in members]
+        # Only members of both sides count, in the order of their hashes, a stretch of them at a time.
+        flat = [np.concatenate([np.zeros(0, np.uint64), *own]) for own in members]
+        shared = np.intersect1d(*map(distinct, flat), assume_unique=True)
+        owners, columns = [], []
+        for values, own in zip(flat, sizes, strict=True):
+            at = np.searchsorted(shared, values)
+            kept = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == values) if len(shared) else at[:0]
+            by = kept[np.argsort(at[kept], kind="stable")]
+            owners.append(np.repeat(np.arange(len(own)), own)[by])
+            columns.append(at[by])
+        inter = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        for low in range(0, len(shared), FLAT_COLUMNS):
+            marks = []
+            for own, owner, column in zip(sizes, owners, columns, strict=True):
+                a, b = np.searchsorted(column, (low, low + FLAT_COLUMNS))
+                mark = np.zeros((len(own), FLAT_COLUMNS), np.float32)
+                mark[owner[a:b], column[a:b] - low] = 1
+                marks.append(mark)
+            inter += marks[0] @ marks[1].T
+        home, weights, reps = ([side[c].to_numpy() for side in sides] for c in ("home", "docs", "rep"))
+        links = linked(inter.astype(np.int64), sizes[0][:, None], sizes[1][None, :], percent)
+        links &= (home[0][:, None] | home[1][None, :]) & (reps[0][:, None] != reps[1][None, :])
         a, b = np.nonzero(links)
+        nodes, found = reps[0], links @ weights[1]
+        if not one:
+            nodes, found, b = np.concatenate(reps), np.concatenate((found, links.T @ weights[0])), b + len(reps[0])
+        a, b = np.concatenate((a, b)), np.concatenate((b, a))
+        root = np.arange(len(nodes))
         while True:
             low = root.copy()
             np.minimum.at(low, a, root[b])
@@ -398,8 +408,7 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             if (low == root).all():
                 break
             root = low
-        reps = rows["rep"].to_numpy()
-        return pd.DataFrame({"a": reps, "b": reps[root], "found": found})
+        return pd.DataFrame({"a": nodes, "b": nodes[root], "found": found})
 
     return link
 
