@@ -8,7 +8,7 @@ are scored by searching each token among the successors of its context. Counts,
 training texts, so the scores are those of one trie of everything, while no task holds more than a block or a shard.
 
 Smoothing: p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m) with a prior weight m per level, down to
-(c(w) + 0.5) / (N + 0.5 (V + 1)). A false hit of an n-gram hash has a chance of at most 2**-19.
+(c(w) + 0.5) / (N + 0.5 (V + 1)). A false hit of a hash of two or three words has a chance of at most 2**-19.
 
 Null texts are empty (their end token alone). A null id counts as the empty text for the split. Repeated rows are
 scored and counted once each.
@@ -26,13 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
+from .hashing import MIX, hashed, word_bounds
 from .store import written
 
 FOLDS, HELD_OUT = 5, 1
@@ -41,9 +41,7 @@ SHARD_TOKENS = 5_000_000
 PRIORS = {2: 500.0, 3: 20.0}
 STEP = 1 / 4096
 SLACK_BITS = 19
-KNOWN_WORDS = 400_000
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 START, END = np.uint64(0xA5A5_0000_0000_0001), np.uint64(0x5A5A_0000_0000_0002)
 
 
@@ -62,8 +60,10 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         lengths = np.array([len(x) for x in texts], np.int64)
-        packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        counts = [len(x.split()) + 1 for x in texts]
+        data = b"".join(texts)
+        packed = zstandard.ZstdCompressor(level=3).compress(data)
+        bounds = word_bounds(np.frombuffer(data, np.uint8), np.concatenate(([0], np.cumsum(lengths))))[2]
+        counts = (np.diff(bounds) + 1).tolist()
         trained = [n for n, x in zip(counts, ids, strict=True) if not held_out(x)]
         arrays = [[first + made], [ids], [lengths.tobytes()], [packed], [sum(counts)], [len(trained)], [sum(trained)]]
         kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
@@ -86,30 +86,14 @@ BLOCK_NAMES = ["block", "ids", "lengths", "texts", "tokens", "train_docs", "trai
 BLOCK_SCHEMA = "block long, ids array<long>, lengths binary, texts binary, tokens long, train_docs long, train_tokens long"
 
 
-#: Hashes of words that this worker process has met, for all its tasks.
-_KNOWN: dict[bytes, int] = {}
-
-
 class Tokens:
     """A block's token hashes, in documents one after the other, each closed by its end token."""
 
-    def __init__(self, lengths: bytes, texts: bytes, known: dict[bytes, int] = _KNOWN):
-        data = zstandard.ZstdDecompressor().decompress(texts) if texts else b""
-        ends = np.cumsum(np.frombuffer(lengths, np.int64))
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        parts, self.counts = [], np.zeros(len(ends), np.int64)
-        at = 0
-        for k, end in enumerate(ends.tolist()):
-            words = data[at:end].split()
-            for word in set(words):
-                if word not in known:
-                    known[word] = xxhash.xxh64_intdigest(word)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-            parts.append(np.array([END]))
-            self.counts[k] = len(words) + 1
-            at = end
-        self.one = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    def __init__(self, lengths: bytes, texts: bytes):
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts) if texts else b"", np.uint8)
+        starts, stops, bounds = word_bounds(data, np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64)))))
+        self.one = np.insert(hashed(data, starts, stops), bounds[1:], END)
+        self.counts = np.diff(bounds) + 1
         self.first = np.cumsum(self.counts) - self.counts
         self.before = self._shifted(self.one, 1)
         self.before2 = self._shifted(self.one, 2)
@@ -123,16 +107,20 @@ class Tokens:
     def grams(self, order: int) -> np.ndarray:
         out = self.one ^ np.uint64(order)
         for context in (self.before, self.before2)[: order - 1]:
-            out = (out * _MIX) ^ (out >> np.uint64(31)) ^ context
-        out = out * _MIX
+            out = (out * MIX) ^ (out >> np.uint64(31)) ^ context
+        out = out * MIX
         return out ^ (out >> np.uint64(29))
 
 
 @dataclass(frozen=True)
 class Layout:
-    """How n-gram hashes are cut: bits kept, and the leading ones that name the shard."""
+    """How n-gram hashes are cut: bits kept, and the leading ones that name the shard.
+
+    Single tokens, whose counts are results by themselves, keep 63 bits; longer n-grams as many as tell them apart but
+    for a chance of 2**-19.
+    """
 
-    bits: int
+    long_bits: int
     shard_bits: int
 
     @classmethod
@@ -140,12 +128,11 @@ class Layout:
         shard_bits = max(0, math.ceil(math.log2(max(1, 2 * tokens / SHARD_TOKENS))))
         return cls(min(63, max(32, max(1, tokens).bit_length() + SLACK_BITS)), shard_bits)
 
-    def cut(self, hashes: np.ndarray) -> np.ndarray:
-        return hashes >> np.uint64(64 - self.bits)
+    def bits(self, order: int) -> int:
+        return 63 if order == 1 else self.long_bits
 
-    def bounds(self, values: np.ndarray) -> np.ndarray:
-        edges = np.arange(1 << self.shard_bits, dtype=np.uint64) << np.uint64(self.bits - self.shard_bits)
-        return np.append(np.searchsorted(values, edges), len(values))
+    def cut(self, hashes: np.ndarray, order: int) -> np.ndarray:
+        return hashes >> np.uint64(64 - self.bits(order))
 
 
 def _starts(ordered: np.ndarray) -> np.ndarray:
@@ -187,19 +174,21 @@ def _sent(layout: Layout) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 trains = np.repeat(np.array([not held_out(x) for x in ids.as_py()], np.uint64), tokens.counts)
                 for order in (1, 2, 3):
                     # The lowest bit tells training tokens, so one sort gives both the keys and their counts.
-                    marked = np.sort(layout.cut(tokens.grams(order)) << np.uint64(1) | trains)
+                    marked = np.sort(layout.cut(tokens.grams(order), order) << np.uint64(1) | trains)
                     values = marked >> np.uint64(1)
                     starts = _starts(values)
                     counts = np.add.reduceat((marked & np.uint64(1)).astype(np.int64), starts)
                     values = values[starts]
-                    bounds = layout.bounds(values)
+                    # A row for every shard that the block has n-grams in, so there are never more rows than n-grams.
+                    rest = np.uint64(layout.bits(order) - layout.shard_bits)
+                    shards = values >> rest
+                    firsts = _starts(shards)
                     keys, numbers = [], []
-                    for shard, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        base = np.uint64(shard << (layout.bits - layout.shard_bits))
-                        keys.append(_narrow(np.diff(values[a:b] - base, prepend=np.uint64(0))))
+                    for a, b in zip(firsts.tolist(), np.append(firsts[1:], len(values)).tolist(), strict=True):
+                        keys.append(_narrow(np.diff(values[a:b] - (shards[a] << rest), prepend=np.uint64(0))))
                         numbers.append(_narrow(counts[a:b]))
-                    shards = len(keys)
-                    arrays = [pa.array([block.as_py()] * shards), pa.array([order] * shards, pa.int32()), pa.array(range(shards), pa.int32()), pa.array(keys, pa.binary()), pa.array(numbers, pa.binary())]
+                    many = len(keys)
+                    arrays = [pa.array([block.as_py()] * many), pa.array([order] * many, pa.int32()), pa.array(shards[firsts].astype(np.int32)), pa.array(keys, pa.binary()), pa.array(numbers, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, ["block", "level", "shard", "keys", "counts"])
 
     return send
@@ -300,7 +289,7 @@ class Corpus:
 
 def block_scores(tokens: Tokens, totals: dict[int, np.ndarray], layout: Layout, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per token: count in training, base score and model score."""
-    (_, w), (at2, in2), (at3, in3) = (_distinct(layout.cut(tokens.grams(order))) for order in (1, 2, 3))
+    (_, w), (at2, in2), (at3, in3) = (_distinct(layout.cut(tokens.grams(order), order)) for order in (1, 2, 3))
     c1, c2, c3 = (totals[order] for order in (1, 2, 3))
     # Word numbers: the block's tokens in the order of their hashes, then the start of a document.
     start = len(c1)
