@@ -74,3 +74,28 @@ def test_revisits(spark):
     assert found[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and found[1]["payload_bytes"] == 1000 and found[6]["payload_bytes"] == 0
     assert found[7]["payload_bytes"] == 1000
     assert warc.converted_pages(pages.limit(0)).count() == 0
+
+
+def test_pages_of_one_id_keep_their_own_payloads(spark):
+    big, other = "b" * 1500, "o" * 1500
+    rows = [(1, "http://a/", big), (1, "http://a/", "small"), (1, "http://a/", other), (2, "http://b/", big), (3, "http://c/", other), (None, None, big), (None, None, None)]
+    found = sorted((tuple(r)[:5] for r in warc.converted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    expected = []
+    for page_id, _, html in rows:
+        payload = (html or "").encode()
+        to = {big: 2, other: 3}.get(html)
+        revisit = page_id is not None and to is not None and page_id != to
+        expected.append((page_id, len(payload), hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", to if revisit else None))
+    assert found == sorted(expected, key=str)
+
+
+def test_media_with_false_counts_has_no_description(spark):
+    good = media.container(media.padded(b"abc" * 999))
+    for kind, at, value in ((b"stsz", 12, 0xFFFFFFFF), (b"stsz", 8, 0x7FFFFFFF), (b"stco", 8, 0xFFFFFFFF), (b"stco", 12, 0xFFFFFF00), (b"stsc", 8, 1 << 30), (b"stts", 8, 1 << 31), (b"stss", 8, 1 << 31)):
+        bad = bytearray(good)
+        place = good.index(kind) + at - 4 + 4
+        bad[place : place + 4] = value.to_bytes(4, "big")
+        assert media._readable(bytes(bad)) == [], kind
+        assert media._sample_bytes(bytes(bad)) is None
+    assert media._readable(good[:-1]) == [] or media._sample_bytes(good[:-1]) is None
+    assert media._sample_bytes(good) == media.padded(b"abc" * 999)

@@ -6,8 +6,10 @@ identifier, date, type and digests of the equivalent WARC record, and ``parse_wa
 
 Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the one with the largest id is the response and the
 others revisit it. A record identifier is a version-8 UUID that holds the record's id and 56 bits of a hash, so reading
-an archive gives the ids back. Null html is an empty payload, a null url or id is kept as null. Repeated rows of one id
-are all written; those with a large payload, being no larger than themselves, are all responses.
+an archive gives the ids back. Null html is an empty payload; a null url becomes ``-`` and a null id stays null, its
+records are responses. Repeated rows of one id are all written, with equal or different payloads; those that share the
+largest id and the payload are all responses. Other columns, whatever their names, are ignored. An empty table gives no
+rows. A very long payload is held whole by its task.
 """
 
 from __future__ import annotations
@@ -41,7 +43,13 @@ def arc_record(page_id: int | None, url: str | None, payload: bytes, version: in
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and payload of each record; a line's number of fields tells its version, its last one the length."""
+    """Header fields and payload of each record."""
+    for head, payload, _ in arc_records(data):
+        yield head, payload
+
+
+def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int]]:
+    """Header fields, payload and end of each record; a line's number of fields tells its version, its last one the length."""
     at = 0
     while at < len(data):
         end = data.index(b"\n", at)
@@ -54,8 +62,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         stop = start + int(head["length"])
         if stop > len(data):
             raise ValueError(f"record at byte {at} is cut short")
-        yield head, data[start:stop]
         at = stop + (data[stop : stop + 1] == b"\n")
+        yield head, data[start:stop], at
 
 
 def warc_date(arc_date: str) -> str:
@@ -119,16 +127,18 @@ def _arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(records, pa.binary())], ["page_id", "arc"])
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What settles record types: payload length and digest of each ARC record."""
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each ARC record by itself, with what settles its type: payload length and digest."""
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for page_id, data in zip(batch["page_id"].to_pylist(), batch["arc"].to_pylist(), strict=True):
-            for head, payload in parse_arc(data):
-                for column, value in zip(out, (page_id, head["url"], len(payload), hashlib.sha1(payload).digest()), strict=True):
+            at = 0
+            for head, payload, end in arc_records(data):
+                for column, value in zip(out, (page_id, head["url"], len(payload), hashlib.sha1(payload).digest(), data[at:end]), strict=True):
                     column.append(value)
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["page_id", "url", "n", "sha1"])
+                at = end
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["page_id", "url", "n", "sha1", "arc"])
 
 
 def _warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +187,16 @@ def legacy_archive(pages: DataFrame) -> DataFrame:
 def convert(arcs: DataFrame) -> DataFrame:
     """WARC records (column ``warc``) of ARC records (page_id, arc), with repeated payloads as revisits.
 
-    Only digests of large payloads that occur more than once are joined back, as ids to rows; payloads move once.
+    Only digests of large payloads that occur more than once are joined back, by id and digest.
     """
-    facts = written(arcs.mapInArrow(_facts, "page_id long, url string, n long, sha1 binary"), "warc-facts")
-    large = facts.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-    repeated = large.groupBy("sha1", "n").agg(F.max("page_id").alias("to_id"), F.max_by("url", "page_id").alias("to_url"), F.count(F.lit(1)).alias("records"))
-    repeated = written(repeated.where("records > 1").select("sha1", "to_id", "to_url"), "warc-repeated")
-    revisits = large.join(repeated, "sha1").where("page_id <> to_id").select("page_id", "to_id", "to_url").distinct()
-    revisits = written(revisits, "warc-revisits")
-    return arcs.join(revisits, "page_id", "left").mapInArrow(_warc, "warc binary")
+    records = written(arcs.mapInArrow(_parsed, "page_id long, url string, n long, sha1 binary, arc binary"), "warc-records")
+    large = records.where((F.col("n") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
+    repeated = large.groupBy("sha1", "n").agg(F.max("page_id").alias("to_id"), F.max_by("url", F.struct("page_id", "url")).alias("to_url"), F.count(F.lit(1)).alias("records"))
+    repeated = written(repeated.where("records > 1").select("sha1", "n", "to_id", "to_url"), "warc-repeated")
+    # An id may stand for several payloads, so revisits are known by id, digest and length.
+    revisits = large.select("page_id", "sha1", "n").distinct().join(repeated, ["sha1", "n"]).where("page_id <> to_id")
+    revisits = written(revisits.select("page_id", "sha1", "n", "to_id", "to_url"), "warc-revisits")
+    return records.join(revisits, ["page_id", "sha1", "n"], "left").mapInArrow(_warc, "warc binary")
 
 
 def read_back(warcs: DataFrame) -> DataFrame:
