@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewater.llm import jaccard, ngram, packing, toxicity
 from tidewater.llm.components import components
@@ -258,3 +259,13 @@ def test_encoder_gives_the_tokenizers_ids():
     texts += ["".join(rng.choice("'strevmld !?<|>ab1 ") for _ in range(rng.randrange(16))) for _ in range(3000)]
     texts += ["x<|endoftext|>y <|EndOfText|> <|startoftext|>", "A\u0301 \u0301 e\u0308", "\u1100\u1161 \u0181\u0189", "x" * 20_000]
     assert encoded(encoder, texts) == plainly_encoded(encoder, texts)
+
+
+def test_toxicity_keeps_clashing_columns_and_survives_uninformative_texts(spark):
+    df = docs(spark, ["same words"] * 8).withColumn("rejected", F.lit("own")).withColumn("p_toxic", F.lit(3))
+    labels = spark.createDataFrame([(k, k % 2, k // 2 % 2) for k in range(8)], "doc_id long, quality int, toxic int")
+    kept = toxicity.without_toxic(df, labels)
+    assert kept.columns == df.columns and {r["rejected"] for r in kept.collect()} <= {"own"}
+    assert toxicity.judged(df, labels).where("p_toxic is null or isnan(p_toxic)").count() == 0
+    w = toxicity.fit_logistic([np.array([], np.int64)] * 4, np.zeros((4, 0)), np.array([0.0, 1.0, 0.0, 1.0]))
+    assert np.isfinite(w).all()

@@ -3,12 +3,14 @@
 Categories are predicted in order. Each is a logistic model over hashed words and the log odds of the categories
 before it; for training these odds come out of fold, so a later model learns from predictions of the quality it will
 get. The models are fitted on a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by hash of the id), one task
-per fold and with near copies counted once, and applied to every whole text. Every combination of labels has its part
+per fold and with texts of the same features counted once, and applied to every whole text. Every combination of labels has its part
 in the sample, however rare it is, and rows weigh what they stand for. A document is rejected if a rejecting category reaches ``THRESHOLD``.
 
 Null texts are empty. Labels that are null are left out; several labels of one id count once, as positive if any is.
 Labels of ids without a document are left out too. If the other labels lack a kind, nothing is known: probabilities
-are null and nothing is rejected. Repeated rows are scored alike.
+are null and nothing is rejected. Repeated rows are scored alike. Columns of the input that clash with a produced one
+(``p_<category>``, ``rejected``) are replaced by it in ``judged`` and kept as they are by ``without_toxic``. A very long
+text is scored whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ def fit_logistic(
         step, residual = np.zeros(size), -gradient
         z = scale * residual
         direction, rz = z, residual @ z
-        for _ in range(inner):
+        for _ in range(inner if rz > 0 else 0):
             bent = back(curve * forward(direction)) + penalty * direction
             alpha = rz / (direction @ bent)
             step, residual = step + alpha * direction, residual - alpha * bent
@@ -183,8 +185,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
     schema = ", ".join(["doc_id long", *(f"{kind} int" for kind in kinds), "fold int", "share double", "features binary"])
     sample = texts.select("doc_id", *kinds, "fold", "share", "text").mapInPandas(numbered, schema)
-    # Near copies share their least features; one of each combination of labels is enough, or a label's error would count many times.
-    first = F.row_number().over(W.partitionBy(*kinds, F.substring("features", 1, 12)).orderBy("doc_id"))
+    # Texts of the same features are copies; one of each combination of labels is enough, or a label's error would count many times.
+    first = F.row_number().over(W.partitionBy(*kinds, "features").orderBy("doc_id"))
     return written(sample.withColumn("_first", first).where("_first = 1").drop("_first"), "toxic-sample")
 
 
@@ -239,6 +241,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with p_<category> of every category and ``rejected``; docs needs a column ``text``."""
     sample = labelled_sample(docs, labels)
     names = [f"p_{n}" for n, _, _ in CATEGORIES]
+    docs = docs.drop(*names, "rejected")
     if sample is None:
         return docs.withColumns({n: F.lit(None).cast("double") for n in names} | {"rejected": F.lit(False)})
     fitted = docs.sparkSession.sparkContext.broadcast(fit_chain(sample))  # FEATURES numbers per category
@@ -268,4 +271,5 @@ def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with their own columns."""
-    return judged(docs, labels).where(~F.col("rejected")).select(*docs.columns)
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return judged(own, labels).where(~F.col("rejected")).select("_row.*")
