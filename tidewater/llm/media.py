@@ -5,7 +5,9 @@ boxes of any such container and decodes its sample tables into codec, duration a
 ``read_samples`` takes the sample bytes back by these tables. No payload is decoded.
 
 Null texts are empty; an empty text has one frame of padding. A media value that is null or holds no readable movie
-gives a null description. Equal texts give equal bytes. Other columns pass through untouched.
+gives a null description: every declared count must fit its box, every sample the file. Equal texts give equal bytes.
+Repeated rows give equal rows; other columns pass through untouched, and one of the name given for the media is replaced.
+An empty table gives no rows. A very long text is one media value, with 64-bit sizes from 4 GiB on.
 """
 
 from __future__ import annotations
@@ -14,8 +16,9 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,32 +117,61 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
         start = stop
 
 
-def _pairs(data: bytes, at: int, columns: int) -> list[tuple[int, ...]]:
-    count = struct.unpack_from(">I", data, at + 4)[0]
+class Unreadable(ValueError):
+    """Tables that don't fit their box or the file."""
+
+
+def _counted(data: bytes, at: int, end: int, head: int, bits: int) -> int:
+    """The number of entries of so many bits that a box declares at the end of its head; they must fit the box."""
+    if at + head > end:
+        raise Unreadable("box without its head")
+    count = struct.unpack_from(">I", data, at + head - 4)[0]
+    if count * bits > 8 * (end - at - head):
+        raise Unreadable(f"{count} entries in a box of {end - at} bytes")
+    return count
+
+
+def _pairs(data: bytes, at: int, end: int, columns: int) -> list[tuple[int, ...]]:
+    count = _counted(data, at, end, 8, 32 * columns)
     flat = struct.unpack_from(f">{count * columns}I", data, at + 8)
     return list(zip(*(flat[k::columns] for k in range(columns)), strict=True))
 
 
-def _sizes(data: bytes, kind: bytes, at: int) -> list[int]:
+def _sizes(data: bytes, kind: bytes, at: int, end: int) -> Sequence[int]:
+    if at + 12 > end:
+        raise Unreadable("box without its head")
     same, count = struct.unpack_from(">II", data, at + 4)
     if kind == b"stz2":
         bits = same & 255
+        if bits not in (4, 8, 16):
+            raise Unreadable(f"sizes of {bits} bits")
+        _counted(data, at, end, 12, bits)
         if bits == 4:
             return [data[at + 12 + k // 2] >> (0 if k % 2 else 4) & 15 for k in range(count)]
-        return list(struct.unpack_from(f">{count}{'B' if bits == 8 else 'H'}", data, at + 12))
-    return [same] * count if same else list(struct.unpack_from(f">{count}I", data, at + 12))
-
-
-def _placed(runs: list[tuple[int, ...]], offsets: list[int], sizes: list[int]) -> list[tuple[int, int]]:
-    """Byte range of every sample, from the runs of samples per chunk and the chunks' offsets."""
+        return struct.unpack_from(f">{count}{'B' if bits == 8 else 'H'}", data, at + 12)
+    if same:
+        # Samples of one size have no entries: the file must be able to hold them.
+        if same * count > len(data):
+            raise Unreadable(f"{count} samples of {same} bytes in {len(data)} bytes")
+        return np.broadcast_to(np.int64(same), count)
+    _counted(data, at, end, 12, 32)
+    return struct.unpack_from(f">{count}I", data, at + 12)
+
+
+def _placed(runs: list[tuple[int, ...]], offsets: Sequence[int], sizes: Sequence[int], length: int) -> list[tuple[int, int]]:
+    """Byte range of every sample, from the runs of samples per chunk and the chunks' offsets; all must lie in the file."""
     places: list[tuple[int, int]] = []
     firsts = [run[0] for run in runs] + [len(offsets) + 1]
     for run, following in zip(runs, firsts[1:], strict=True):
+        if not 1 <= run[0] <= following <= len(offsets) + 1:
+            raise Unreadable("runs of chunks that aren't there")
         for chunk in range(run[0], following):
             at = offsets[chunk - 1]
             for size in sizes[len(places) : len(places) + run[1]]:
-                places.append((at, size))
-                at += size
+                places.append((at, int(size)))
+                at += int(size)
+            if at > length:
+                raise Unreadable(f"samples up to byte {at} of {length}")
     return places
 
 
@@ -163,18 +195,18 @@ def tracks(data: bytes) -> list[dict]:
             if track["handler"] == "vide" and end - at >= 44:
                 track["width"], track["height"] = struct.unpack_from(">HH", data, at + 40)
         elif kind == b"stts":
-            track["ticks"] = _pairs(data, at, 2)
+            track["ticks"] = _pairs(data, at, end, 2)
         elif kind == b"stsc":
-            track["runs"] = _pairs(data, at, 3)
+            track["runs"] = _pairs(data, at, end, 3)
         elif kind in (b"stsz", b"stz2"):
-            track["sizes"] = _sizes(data, kind, at)
+            track["sizes"] = _sizes(data, kind, at, end)
         elif kind in (b"stco", b"co64"):
-            count = struct.unpack_from(">I", data, at + 4)[0]
+            count = _counted(data, at, end, 8, 64 if kind == b"co64" else 32)
             track["offsets"] = list(struct.unpack_from(f">{count}{'Q' if kind == b'co64' else 'I'}", data, at + 8))
         elif kind == b"stss":
-            track["sync"] = [x for (x,) in _pairs(data, at, 1)]
+            track["sync"] = [x for (x,) in _pairs(data, at, end, 1)]
     for track in found:
-        track["samples"] = _placed(track.pop("runs"), track.pop("offsets"), track.pop("sizes"))
+        track["samples"] = _placed(track.pop("runs"), track.pop("offsets"), track.pop("sizes"), len(data))
         sync = track.pop("sync")
         track["keyframes"] = track["samples"] if sync is None else [track["samples"][k - 1] for k in sync if 0 < k <= len(track["samples"])]
         track["duration"] = track["duration"] or sum(count * ticks for count, ticks in track.pop("ticks", []))
@@ -184,7 +216,7 @@ def tracks(data: bytes) -> list[dict]:
 def _readable(data: bytes | None) -> list[dict]:
     try:
         return tracks(bytes(data)) if data is not None else []
-    except (struct.error, IndexError):
+    except (struct.error, IndexError, Unreadable):
         return []
 
 
