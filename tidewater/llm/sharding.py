@@ -2,14 +2,15 @@
 
 Pass one scatters records by seeded hashes: to the shard that wins a rendezvous among all shards, and within it to one
 of as many buckets as keep a bucket near ``bucket_bytes``. Pass two gathers each bucket in memory, puts it in a fixed
-order, runs a seeded Fisher-Yates shuffle over it and numbers the rows behind the buckets before it.
+order, runs a seeded Fisher-Yates shuffle over it, numbers the rows behind the buckets before it and writes it.
 
 The law is ``key``: key and number of shards decide alone, and one more shard takes rows only into itself. Rows with a
 null key share a shard. Rows of equal key share a shard and are spread over its buckets by all their columns. Fully
 equal rows travel as one with their number, in portions of at most ``PORTION`` of a bucket, each in a bucket drawn for
 itself; the slots don't depend on where the rows lay. Repeated rows all keep a slot of their own; float columns lose
-the sign of zero. Columns of the input pass through; a clash with a produced name is renamed
-by the caller. An empty table gives no rows.
+the sign of zero. Columns of the input pass through; one named ``shard`` or ``slot`` is an error of ``two_pass_shuffle``
+and ignored by ``sharded_documents``. Null texts are empty; a text longer than a bucket makes a bucket of its own size.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import written
+from .store import new_path, written
 
 SHARDS = 24
 SEED = 20_240_229
 BUCKET_BYTES = 8 << 20
-MOST_PARTITIONS = 100_000
 PORTION = 1 / 16
 
 
@@ -54,10 +54,10 @@ def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, s
     counted = _portions(light, size, bucket_bytes, per_shard, seed).groupBy("_shard", "_bucket").agg(F.sum("_copies").alias("_n"))
     before = W.partitionBy("_shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = written(counted.select("_shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "shard-starts")
-    # A fixed number of partitions and an order within each make the generator of shuffle() agree between reruns.
+    # One partition per bucket and an order within each make the generator of shuffle() agree between reruns.
     equal = hashed.groupBy(*columns, "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     tagged = _portions(equal, size, bucket_bytes, per_shard, seed).withColumn("_shard", rendezvous(F.col(key), shards, seed))
-    dealt = tagged.repartition(min(MOST_PARTITIONS, shards * per_shard), "_shard", "_bucket")
+    dealt = tagged.repartition(shards * per_shard, "_shard", "_bucket")
     packed = dealt.groupBy("_shard", "_bucket").agg(F.sort_array(F.collect_list(F.struct(*columns, "_part", "_copies"))).alias("_rows"))
     packed = packed.withColumn("_rows", F.flatten(F.transform("_rows", lambda x: F.array_repeat(x, x["_copies"]))))
     mixed = packed.sortWithinPartitions("_shard", "_bucket").withColumn("_rows", F.shuffle("_rows", seed))
@@ -65,12 +65,24 @@ def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, s
     return placed.select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).cast("long").alias("slot"))
 
 
+def write_shards(out: DataFrame, path: str) -> None:
+    """A folder per shard; each task writes the buckets it holds, so a shard has many files, the rows of each in slot order."""
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(like: DataFrame, path: str) -> DataFrame:
+    """Written shards with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).parquet(path).select(*like.columns)
+
+
 def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Whole documents through the shuffle; sizes and checksums come from the texts that arrive."""
+    """Whole documents through the shuffle into shard files; sizes and checksums come from the texts that these hold."""
     text = F.coalesce(F.col("text"), F.lit(""))
     size = (F.octet_length(text) + 8).cast("long")
-    out = two_pass_shuffle(docs.select("doc_id", "text", size.alias("size")), "doc_id", "size", shards)
-    return out.select(
+    placed = two_pass_shuffle(docs.select("doc_id", "text", size.alias("size")), "doc_id", "size", shards)
+    path = new_path(docs.sparkSession, "shards")
+    write_shards(placed, path)
+    return read_shards(placed, path).select(
         "doc_id",
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -79,8 +91,3 @@ def sharded_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "slot",
         rendezvous(F.col("doc_id"), shards + 1).alias("grown_shard"),
     )
-
-
-def write_shards(out: DataFrame, path: str) -> None:
-    """One folder per shard; rows of a file in slot order."""
-    out.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

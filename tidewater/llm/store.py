@@ -25,13 +25,19 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is configured, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and its real size is known to the planner."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     writer = df.write
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
