@@ -165,6 +165,43 @@ def test_mix_meets_its_targets(spark):
     assert sum(len((r["text"] or "").split()) for r in mix.collect()) == sum(taken.values())
 
 
+def test_mix_draws_by_size_and_repeats_for_themselves(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANK_CELLS", 8)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 40)
+    sized = lambda n: "w " * n
+    rows = [(k, sized(4 if k % 2 else 36), "a") for k in range(4000)] + [(20_007, sized(9), "b")] * 900 + [(20_008, sized(5), "b")] * 3 + [(10_000, sized(3000), "c")] + [(10_001 + k, sized(2), "c") for k in range(500)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = mixing.mixed_sizes(df).collect()
+    words = {s: sum(r["taken"] for r in found if r["doc_id"] in ids) for s, ids in (("a", range(4000)), ("b", (20_007, 20_008)), ("c", range(10_000, 10_501)))}
+    targets = plain_targets({"a": 80_000, "b": 8115, "c": 4000})
+    for s, nearest in (("a", 36), ("b", 9), ("c", 2)):
+        whole = targets[s]
+        assert abs(words[s] - whole) <= nearest or s == "c"
+    # Inclusion goes with the square root of the size: 36 words three times as often as 4.
+    extra = lambda n: np.mean([r["taken"] / n - targets["a"] // 80_000 for r in found if r["doc_id"] < 4000 and r["size"] == n])
+    assert extra(36) == pytest.approx(min(1, 3 * extra(4)), abs=0.08) and 0 < extra(4) < 1
+    assert sum(len(r["text"].split()) for r in mixing.mixed_documents(df).collect()) == sum(words.values())
+
+
+def test_pareto_ranks_order_by_odds(spark):
+    rows = spark.createDataFrame([(0.5, 0.5), (0.2, 0.8), (0.9, 0.1)], "u double, p double")
+    assert [round(r[0], 6) for r in rows.select(mixing.pareto_rank(F.col("u"), F.col("p"))).collect()] == [1.0, 0.0625, 81.0]
+
+
+def test_written_shards_hold_slots_in_order(spark):
+    df = spark.createDataFrame([(k, f"text {k}", "s") for k in range(200)], DOCS)
+    path = sharding.new_path(spark, "test-shards")
+    placed = sharding.two_pass_shuffle(df.withColumn("size", F.lit(900)), "doc_id", "size", shards=3, bucket_bytes=9000)
+    sharding.write_shards(placed, path)
+    back = sharding.read_shards(placed, path)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, placed.collect()))
+    files = back.select("slot", "shard", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    by = {}
+    for r in sorted(files, key=lambda r: r["at"]):
+        by.setdefault(r["file"], []).append(r["slot"])
+    assert len(by) >= 3 and all(x == sorted(x) for x in by.values())
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mixed_sizes(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
