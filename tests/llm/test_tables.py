@@ -43,6 +43,14 @@ def test_reputation_shrinks_to_the_levels_above(spark):
     assert found[500]["bad_rate_low"] < found[0]["bad_rate_low"] + 1e-9 or found[500]["bad_rate_low"] > 0.3
 
 
+def test_names_domains_and_suffixes(spark):
+    given = {"a.b.co.uk": ("b.co.uk", "co.uk"), "me@x.shop.com.cn:8080": ("shop.com.cn", "com.cn"), "co.uk": ("co.uk", "co.uk"), "h.site.org:": ("site.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in given], "host string").select("host", urls.domain_of(F.col("host")), urls.suffix_of(F.col("host")))
+    assert {r[0]: (r[1], r[2]) for r in df.collect()} == given
+    own = spark.createDataFrame([("a.b.c.d",)], "host string").select(urls.domain_of(F.col("host"), ("c.d",)), urls.suffix_of(F.col("host"), ("x.y",)))
+    assert tuple(own.first()) == ("b.c.d", "d")
+
+
 def plain_top(vectors, every, k):
     whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []

@@ -5,8 +5,9 @@ towards the level above it through a beta prior whose strength is fitted to that
 moments; a host is blocked when even the lower bound of its posterior rate lies above ``limit``. Hosts without labels
 inherit their domain's or suffix's belief, and pages without a host the overall one.
 
-Null urls and urls without ``://`` have an empty host and path and fit no rule. Repeated rows are judged alike.
-Outcomes that are null don't count. With no outcomes at all nothing but rules blocks.
+Null urls and urls without ``://`` have an empty host and path and fit no rule. Repeated rows are judged alike, other
+columns are ignored, and very long urls are read whole. Outcomes that are null don't count. With no outcomes at all
+nothing but rules blocks. Rules of equal length that both fit cannot differ. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LIMIT = 0.3
 Z = 1.6448536269514722
 STRENGTH = (1.0, 1000.0)
-#: Suffixes of two labels; all others have one.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+#: Public suffixes of two labels; all others have one. Another list may be given.
+LONG_SUFFIXES = (
+    "ac.jp", "ac.kr", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.bd", "com.br", "com.cn", "com.co", "com.eg", "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph",
+    "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "github.io", "go.jp", "gov.au",
+    "gov.br", "gov.cn", "gov.in", "gov.uk", "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.uk", "nhs.uk", "or.jp", "or.kr",
+    "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk", "web.id",
+)
 
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -41,14 +48,20 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user and port, which domains and suffixes are taken from."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    two = F.substring_index(name_of(host), ".", -2)
+    return F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(two, ".", -1))
+
+
+def domain_of(host: Column, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(two.isin(*long_suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
@@ -78,13 +91,13 @@ def _shrunk(level: DataFrame, prior: Column, strength: Column) -> Column:
     return (F.col("bad") + strength * prior) / (F.col("n") + strength)
 
 
-def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
+def host_posteriors(outcomes: DataFrame, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, tuple[float, float]]:
     """(host, domain, suffix) tables with mean and lower bound of the bad rate, and the overall pair.
 
     outcomes: host and bad (0/1) of every labelled page.
     """
     counted = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    hosts = written(counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "url-hosts")
+    hosts = written(counted.withColumn("domain", domain_of(F.col("host"), long_suffixes)).withColumn("suffix", suffix_of(F.col("host"), long_suffixes)), "url-hosts")
     domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-domains")
     suffixes = written(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "url-suffixes")
     total = suffixes.agg(F.sum("n"), F.sum("bad")).first()
@@ -104,7 +117,7 @@ def host_posteriors(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     return bottom.select("host", "mean", "low"), middle.select("domain", "suffix", "mean", "low"), top.select("suffix", "mean", "low"), (base, base - Z * overall_sd)
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, limit: float = LIMIT, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, and the bound that the reputation gives.
 
     outcomes: page_id and bad (0/1); several outcomes of one page count once, as bad if any is.
@@ -112,10 +125,10 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], .
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     once = outcomes.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     labelled = parsed.where("page_id is not null").select("page_id", "host").join(once, "page_id").select("host", "bad")
-    by_host, by_domain, by_suffix, overall = host_posteriors(labelled)
+    by_host, by_domain, by_suffix, overall = host_posteriors(labelled, long_suffixes)
     # Each host is resolved once, so the pages meet one narrow table.
     named = parsed.groupBy("host").agg(F.lit(1).alias("_one")).drop("_one")
-    named = named.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    named = named.withColumn("domain", domain_of(F.col("host"), long_suffixes)).withColumn("suffix", suffix_of(F.col("host"), long_suffixes))
     known = (
         named.join(by_host.select("host", F.col("low").alias("l1")), "host", "left")
         .join(by_domain.select("domain", "suffix", F.col("low").alias("l2")), ["domain", "suffix"], "left")
