@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.series import by_session, ema, full, last
+from ..functions.series import by_session, emas, full, last
 
 TWO_PI = 6.283185307179586
 
@@ -26,9 +26,9 @@ def sma_bollinger(df: DataFrame, n: int = 20, width: float = 2.0) -> DataFrame:
 
 
 def ema_macd(df: DataFrame) -> DataFrame:
-    df = ema(ema(ema(df, "close", 20, "ema_20"), "close", 12, "_fast"), "close", 26, "_slow")
+    df = emas(df, {"ema_20": ("close", 20), "_fast": ("close", 12), "_slow": ("close", 26)})
     df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    return ema(df, "macd", 9, "macd_signal")
+    return emas(df, {"macd_signal": ("macd", 9)})
 
 
 def rsi(n: int = 14) -> Column:
@@ -86,22 +86,21 @@ def calendar(df: DataFrame) -> DataFrame:
     return df.withColumns({"month_sin": F.sin(month), "month_cos": F.cos(month), "weekday_sin": F.sin(day), "weekday_cos": F.cos(day)})
 
 
-def market_returns(df: DataFrame, benchmarks: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """<name>_return_1d of each benchmark: its last known close against the row before on the union of both calendars.
+def market_returns(sessions: DataFrame, benchmarks: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """series, session and <name>_return_1d of each benchmark: its last known close against the row before on the union of both calendars.
 
-    benchmarks: benchmark, session, close. Sessions of a series before a benchmark's start get null.
+    sessions: series, session; benchmarks: benchmark, session, close. Sessions before a benchmark's start get null.
     """
-    sessions = df.select("series", "session")
-    slots = df.select("series").distinct().join(benchmarks.select("benchmark").distinct())
     # One row per series, benchmark and session of either calendar; the number of benchmarks is fixed.
-    own = sessions.withColumn("benchmark", F.explode(F.array(*map(F.lit, names)))).withColumn("own", F.lit(True))
-    theirs = slots.join(benchmarks, "benchmark").select("series", "session", "benchmark", F.col("close").alias("_close"))
-    union = own.join(theirs, ["series", "session", "benchmark"], "full")
+    each = F.explode(F.array(*map(F.lit, names))).alias("benchmark")
+    own = sessions.select("series", "session", each, F.lit(True).alias("own"), F.lit(None).cast("double").alias("_close"))
+    theirs = sessions.select("series").distinct().select("series", each).join(benchmarks, "benchmark")
+    theirs = theirs.select("series", "session", "benchmark", F.lit(False).alias("own"), F.col("close").cast("double").alias("_close"))
+    slots = own.unionByName(theirs).groupBy("series", "benchmark", "session").agg(F.bool_or("own").alias("own"), F.max("_close").alias("_close"))
     w = W.partitionBy("series", "benchmark").orderBy("session")
-    filled = union.withColumn("_filled", F.last("_close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    filled = slots.withColumn("_filled", F.last("_close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
     moved = filled.withColumn("_r", F.log(F.try_divide(F.col("_filled"), F.lag("_filled").over(w)))).where("own")
-    wide = moved.groupBy("series", "session").agg(*(F.max(F.when(F.col("benchmark") == n, F.col("_r"))).alias(f"{n.lower()}_return_1d") for n in names))
-    return df.join(wide, ["series", "session"], "left")
+    return moved.groupBy("series", "session").agg(*(F.max(F.when(F.col("benchmark") == n, F.col("_r"))).alias(f"{n.lower()}_return_1d") for n in names))
 
 
 def relative_and_beta(df: DataFrame, benchmark: str, n: int = 20) -> DataFrame:
@@ -121,5 +120,6 @@ STATIONARY = (
 
 
 def stationary_features(df: DataFrame, benchmarks: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    built = relative_and_beta(market_returns(stationary(technical(df)), benchmarks, names), "spy_return_1d")
+    market = market_returns(df.select("series", "session"), benchmarks, names)
+    built = relative_and_beta(stationary(technical(df)).join(market, ["series", "session"], "left"), "spy_return_1d")
     return calendar(built).select("series", "session", "close", *STATIONARY).dropna(subset=list(STATIONARY))

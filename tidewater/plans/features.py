@@ -56,7 +56,8 @@ def market_asof_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rolling_beta(spark: SparkSession, sf: str) -> DataFrame:
-    df = features.market_returns(features.price_returns(bars(spark, sf)), benchmarks(spark, sf), BENCHMARKS)
+    raw = bars(spark, sf)
+    df = features.price_returns(raw).join(features.market_returns(raw.select("series", "session"), benchmarks(spark, sf), BENCHMARKS), ["series", "session"], "left")
     return rounded(features.relative_and_beta(df, "spy_return_1d"), ("series", "session"), {"relative_return": 8, "beta_20": 6})
 
 
