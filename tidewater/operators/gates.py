@@ -97,10 +97,27 @@ def holdout_verdict(mae: Column, rmse: Column, mae_high: Column, rmse_high: Colu
 
 
 def windows_verdict(windows: DataFrame, keys: tuple[str, ...], limit: float = 0.98) -> DataFrame:
-    """Strict majority of windows under the limit on both errors, and the pooled interval below 1.
+    """Strict majority of windows under the limit on both errors, and both pooled intervals below 1.
 
-    windows: keys, relative_mae, relative_rmse per window and the pooled high.
+    windows: keys, relative_mae, relative_rmse per window and the pooled mae_high and rmse_high.
     """
     ok = (F.col("relative_mae") < limit) & (F.col("relative_rmse") < limit)
-    out = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), F.count_if(ok).alias("passing"), F.max("high").alias("high"))
-    return out.withColumn("verdict", F.when((F.col("passing") * 2 > F.col("windows")) & (F.col("high") < 1), "survives").otherwise("fails"))
+    out = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("windows"), F.count_if(ok).alias("passing"), F.max("mae_high").alias("mae_high"), F.max("rmse_high").alias("rmse_high"))
+    sound = (F.col("passing") * 2 > F.col("windows")) & (F.col("mae_high") < 1) & (F.col("rmse_high") < 1)
+    return out.withColumn("verdict", F.when(sound, "survives").otherwise("fails"))
+
+
+@dataclass(frozen=True)
+class BrowserDirectionPolicy:
+    balanced: float = 0.55
+    better: float = 0.98
+    rows: int = 60
+    wins: int = 4
+
+
+def browser_direction_gate(df: DataFrame, policy: BrowserDirectionPolicy = BrowserDirectionPolicy()) -> DataFrame:  # noqa: B008
+    """df: balanced_accuracy, brier, naive_brier, n, wins (folds that beat the naive forecast)."""
+    return decided(df, reasons(
+        balanced=F.col("balanced_accuracy") < policy.balanced, brier=F.try_divide(F.col("brier"), F.col("naive_brier")) >= policy.better,
+        rows=F.col("n") < policy.rows, wins=F.col("wins") < policy.wins,
+    ))

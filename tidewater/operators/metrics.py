@@ -167,3 +167,56 @@ def seed_summary(rows: DataFrame, keys: tuple[str, ...], metric: str) -> DataFra
     """Mean, median, deviation, best and worst over seeds; a seed without the metric only counts as a failure."""
     x = F.col(metric)
     return rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("sd"), F.min(x).alias("best"), F.max(x).alias("worst"), F.count_if(x.isNull()).alias("failures"))
+
+
+def browser_regression(df: DataFrame, keys: tuple[str, ...], least: float = 1e-4) -> DataFrame:
+    """The browser's figures: actuals near 0 are left out of the percentage, and r2 is 0 where there is no spread."""
+    e, a = F.col("actual") - F.col("predicted"), F.col("actual")
+    spread = F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(F.lit(1))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
+        F.coalesce(100 * F.avg(F.when(F.abs(a) >= least, F.abs(e / a))), F.lit(0.0)).alias("mape"),
+        F.when(spread > 1e-9 * F.sum(a * a), 1 - F.sum(e * e) / spread).otherwise(F.lit(0.0)).alias("r2"),
+    )
+
+
+def band_coverage(quantiles: DataFrame, keys: tuple[str, ...], low: float, high: float) -> DataFrame:
+    """Share of actuals inside the band from quantile ``low`` to ``high``, its mean width, and the share asked for."""
+    side = lambda tau: F.max(F.when(F.col("tau") == tau, F.col("predicted")))
+    bands = quantiles.groupBy(*keys, "s").agg(F.max("actual").alias("actual"), side(low).alias("low"), side(high).alias("high"))
+    inside = F.col("actual").between(F.col("low"), F.col("high"))
+    return bands.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("high") - F.col("low")).alias("width"), F.lit(high - low).alias("nominal"))
+
+
+def seed_spread(runs: DataFrame, keys: tuple[str, ...], higher: tuple[str, ...]) -> DataFrame:
+    """Per metric over seeds: those that count (seed, metric, value, error), mean, spread, best and worst, status and failures.
+
+    A metric's missing values are dropped for it alone; best and worst change places for metrics of which more is better.
+    """
+    value, up = F.col("value"), F.col("metric").isin(*higher)
+    out = runs.groupBy(*keys, "metric").agg(
+        F.count(F.lit(1)).alias("seeds"), F.count(value).alias("used"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("spread"), F.min(value).alias("_low"), F.max(value).alias("_high"),
+        F.concat_ws("; ", F.array_sort(F.collect_set("error"))).alias("failures"),
+    )
+    status = F.when(F.col("used") == 0, "crash").when(F.col("used") < F.col("seeds"), "partial").otherwise("success")
+    return out.select(*keys, "metric", "seeds", "used", "mean", "spread", F.when(up, F.col("_high")).otherwise(F.col("_low")).alias("best"), F.when(up, F.col("_low")).otherwise(F.col("_high")).alias("worst"), status.alias("status"), "failures")
+
+
+def legacy_holdout(scored: DataFrame, keys: tuple[str, ...], first: int, last: int) -> DataFrame:
+    """Errors on the first horizon; direction from the last horizon against the first, actual against predicted."""
+    at = lambda c, h: F.max(F.when(F.col("horizon") == h, F.col(c)))
+    wide = scored.groupBy(*keys, "s").agg(*(at(c, h).alias(f"{c}_{name}") for c in ("actual", "predicted") for h, name in ((first, "first"), (last, "last"))))
+    e = F.col("actual_first") - F.col("predicted_first")
+    agrees = F.signum(F.col("actual_last") - F.col("actual_first")) == F.signum(F.col("predicted_last") - F.col("predicted_first"))
+    return wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(agrees.cast("double")).alias("direction"))
+
+
+def comparison_series(scored: DataFrame, sessions: DataFrame, keys: tuple[str, ...], points: int = 240) -> DataFrame:
+    """Forecasts of one horizon on the date they are for, the last ``points`` of each key, and how many were left out.
+
+    sessions: series, t, session; a target beyond the data has no date and is left out.
+    """
+    dated = scored.withColumn("t", F.col("t") + F.col("horizon")).drop("session").join(sessions.select("series", "t", "session"), ["series", "t"])
+    newest = W.partitionBy(*keys).orderBy(F.desc("t"))
+    ranked = dated.withColumn("_r", F.row_number().over(newest)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return ranked.where(F.col("_r") <= points).select(*keys, "session", "actual", "predicted", F.greatest(F.lit(0), F.col("_n") - points).alias("truncated"))

@@ -148,3 +148,35 @@ def single_holdout(counts: DataFrame, rows: int, horizon: int, min_train: int =
 def overlapping(folds: DataFrame, gap: int) -> DataFrame:
     """Folds whose training targets reach into their validation; a sound plan has none."""
     return folds.where(F.col("train_hi") - 1 + gap >= F.col("val_lo"))
+
+
+def supervised_windows(df: DataFrame, features: tuple[str, ...], lookback: int, horizon: int, origin_in_window: bool) -> DataFrame:
+    """series, as_of (last row of the window), x (array of feature structs) and y (closes of the horizon's rows after it).
+
+    With the origin in the window, x ends at the origin's row; else at the row before, and y starts at the origin's row.
+    Only whole windows and horizons are kept.
+    """
+    end = 0 if origin_in_window else -1
+    behind, ahead = by_session().rowsBetween(end - lookback + 1, end), by_session().rowsBetween(end + 1, end + horizon)
+    rows = df.withColumns({
+        "x": F.collect_list(F.struct(*features)).over(behind),
+        "y": F.collect_list("close").over(ahead),
+        "as_of": F.col("session") if origin_in_window else F.lag("session").over(by_session()),
+    })
+    return rows.where((F.size("x") == lookback) & (F.size("y") == horizon)).select("series", "session", "as_of", "x", "y")
+
+
+def floored_returns(df: DataFrame, least: float = 1e-8) -> DataFrame:
+    """df with log_return of closes that are at least ``least``."""
+    close = F.greatest(F.col("close"), F.lit(least))
+    return df.withColumn("_floored", close).withColumn("log_return", F.log(F.col("_floored") / F.lag("_floored").over(by_session()))).drop("_floored")
+
+
+def contiguous_losses(df: DataFrame, study: Study, windows: DataFrame) -> DataFrame:
+    """series, window, s, candidate and baseline (mean absolute errors of drift and persistence over the horizons) of the windows' test origins."""
+    ahead = F.array(*(F.struct(F.lit(h).alias("h"), F.lead("close", h).over(by_session()).alias("y")) for h in study.horizons))
+    rows = samples(df.withColumn("_ahead", ahead), study)
+    slope = (F.col("close") - F.col("first_close")) / (study.lookback - 1)
+    mean = lambda error: F.aggregate("_ahead", F.lit(0.0), lambda a, x: a + error(x)) / len(study.horizons)
+    scored = rows.select("series", "s", mean(lambda x: F.abs(x["y"] - F.col("close") - x["h"] * slope)).alias("candidate"), mean(lambda x: F.abs(x["y"] - F.col("close"))).alias("baseline"))
+    return scored.join(windows, "series").where("s >= test_lo and s < test_hi").select("series", "window", "s", "candidate", "baseline")

@@ -10,7 +10,7 @@ from ..operators import forecast, gates, metrics
 from ..operators import samples as S
 from ..sources.tables import bars, bars_wide, table
 from .features import rounded
-from .forecasts import _FOLD_SQL, _PROB_SQL, _REPORT, SCORED_SQL, STUDY, probabilities, scored
+from .forecasts import _FOLD_SQL, _PROB_SQL, _REPORT, SAMPLES_SQL, SCORED_SQL, STUDY, probabilities, scored
 
 RESAMPLES = 500
 BLOCK = 20
@@ -104,11 +104,15 @@ def gate_server(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Four holdout windows per series; their errors against persistence and the pooled bootstrap interval."""
-    rows = _losses(spark, sf).withColumn("window", F.col("s") % 4)
-    by = rows.groupBy("series", "window").agg((F.sum("candidate") / F.sum("baseline")).alias("relative_mae"), F.sqrt(F.sum(F.col("candidate") * F.col("candidate")) / F.sum(F.col("baseline") * F.col("baseline"))).alias("relative_rmse"))
-    pooled = E.bootstrap_ratio(rows, ("series",), "s", "candidate", "baseline", RESAMPLES, F.lit(BLOCK)).select("series", "high")
-    return rounded(gates.windows_verdict(by.join(pooled, "series"), ("series",)), ("series", "windows", "passing", "verdict"), {"high": 6})
+    """Four contiguous holdout windows per series, the last rows of each tested; errors against persistence and both pooled intervals."""
+    raw = bars(spark, sf)
+    counts = S.samples(raw, STUDY).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+    rows = S.contiguous_losses(raw, STUDY, S.holdout_windows(counts, 4, 60, 80, 60, STUDY.gap))
+    rows = rows.withColumns({"candidate_2": F.col("candidate") * F.col("candidate"), "baseline_2": F.col("baseline") * F.col("baseline")})
+    by = rows.groupBy("series", "window").agg((F.sum("candidate") / F.sum("baseline")).alias("relative_mae"), F.sqrt(F.sum("candidate_2") / F.sum("baseline_2")).alias("relative_rmse"))
+    mae, rmse = (E.bootstrap_ratio(rows, ("series",), "s", f"candidate{x}", f"baseline{x}", RESAMPLES, F.lit(BLOCK)) for x in ("", "_2"))
+    pooled = mae.select("series", F.col("high").alias("mae_high")).join(rmse.select("series", F.sqrt("high").alias("rmse_high")), "series")
+    return rounded(gates.windows_verdict(by.join(pooled, "series"), ("series",)), ("series", "windows", "passing", "verdict"), {"mae_high": 6, "rmse_high": 6})
 
 
 def walk_forward_experiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,10 +213,17 @@ SQL = {
       SELECT n, reasons = '' AS passed, reasons, round(ba, 6) AS balanced_accuracy, round(brier, 6) AS brier, round(bb, 6) AS base_brier FROM w""",
     "gate_browser_price": _serve("AND"),
     "gate_server": _serve("OR"),
-    "multi_window_verdict": f"""WITH {SCORED_SQL}, {_LOSS}, {_boot("li", "series", ("candidate", "baseline"), str(BLOCK))}, q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS high FROM rm GROUP BY 1),
-      w AS (SELECT series, s % 4 AS w, sum(candidate) / sum(baseline) AS a, sqrt(sum(candidate * candidate) / sum(baseline * baseline)) AS r FROM li GROUP BY 1, 2),
+    "multi_window_verdict": f"""WITH {SAMPLES_SQL},
+      hw AS (SELECT series, win, CASE WHEN win = 3 THEN n ELSE 80 + (win + 1) * ((n - 80) // 4) END AS hi FROM (SELECT series, n, unnest(generate_series(0, 3)) AS win FROM n WHERE n - 80 >= 240)),
+      li0 AS (SELECT sm.series, win, s, (abs(y1 - origin - g) + abs(y5 - origin - 5 * g) + abs(y20 - origin - 20 * g)) / 3 AS candidate, (abs(y1 - origin) + abs(y5 - origin) + abs(y20 - origin)) / 3 AS baseline
+        FROM (SELECT *, (origin - fc) / 59 AS g FROM sm) sm JOIN hw ON hw.series = sm.series AND s >= hi - 60 AND s < hi),
+      li AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY s) AS i, candidate * candidate AS candidate_2, baseline * baseline AS baseline_2 FROM li0),
+      {_boot("li", "series", ("candidate", "baseline", "candidate_2", "baseline_2"), str(BLOCK))},
+      q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS mae_high, sqrt(quantile_cont(candidate_2 / nullif(baseline_2, 0), 0.975)) AS rmse_high FROM rm GROUP BY 1),
+      w AS (SELECT series, win, sum(candidate) / sum(baseline) AS a, sqrt(sum(candidate_2) / sum(baseline_2)) AS r FROM li GROUP BY 1, 2),
       g AS (SELECT series, count(*) AS windows, count(CASE WHEN a < 0.98 AND r < 0.98 THEN 1 END) AS passing FROM w GROUP BY 1)
-      SELECT series, windows, passing, CASE WHEN passing * 2 > windows AND high < 1 THEN 'survives' ELSE 'fails' END AS verdict, round(high, 6) AS high FROM g JOIN q USING (series)""",
+      SELECT series, windows, passing, CASE WHEN passing * 2 > windows AND mae_high < 1 AND rmse_high < 1 THEN 'survives' ELSE 'fails' END AS verdict, round(mae_high, 6) AS mae_high, round(rmse_high, 6) AS rmse_high
+      FROM g JOIN q USING (series)""",
     "walk_forward_experiment": f"""WITH {_GATE_SQL}, {_LOSS}, {_HAC}, {_boot("li", "series", ("candidate", "baseline"), str(BLOCK))}, q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.025) AS low, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS high FROM rm GROUP BY 1),
       w AS (SELECT *, {_FOLD_WHY} AS reasons FROM gt)
       SELECT w.series, fd.n, reasons = '' AS passed, reasons, discovery, round(relative_mae, 6) AS relative_mae, round(relative_rmse, 6) AS relative_rmse, round(p_value, 6) AS p_value, round(low, 6) AS low, round(high, 6) AS high
