@@ -38,9 +38,9 @@ SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
 BUCKET_PIECES = 20_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct parts of words, and bytes of their ids, that a worker process keeps.
-CACHED_PARTS, CACHED_BYTES = 2_000_000, 64 << 20
+CACHED_PARTS, CACHED_BYTES = 1_000_000, 32 << 20
 #: Bytes of text encoded at once (a longer text alone), and parts of words given to the tokenizer at once.
-BATCH_BYTES, TOGETHER = 8 << 20, 1000
+BATCH_BYTES, TOGETHER = 2 << 20, 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -104,7 +104,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        """Keys are sorted; each has the place and number of its ids."""
+        self.keys, self.firsts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of these words, and the ids."""
@@ -119,14 +120,15 @@ class Encoder:
         return (np.diff(bounds), np.array(got.ids, "<u4")) if len(bounds) == len(parts) + 1 else self.whole(parts)
 
     def learn(self, keys: np.ndarray, words: list[str], plain: np.ndarray) -> None:
-        found = [(self.lengths, self.ids)]
+        found = []
         for kind, encode in ((True, self.pieces), (False, self.whole)):
             some = list(compress(words, plain == kind))
             found += [encode(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
-        keys = np.concatenate((self.keys, keys[plain], keys[~plain]))
         lengths, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        by = np.argsort(keys)
-        self.keys, self.lengths, self.ids = keys[by], lengths[by], ids[_runs((np.cumsum(lengths) - lengths)[by], lengths[by])]
+        keys = np.concatenate((self.keys, keys[plain], keys[~plain]))
+        firsts = np.concatenate((self.firsts, len(self.ids) + np.cumsum(lengths) - lengths))
+        by = np.argsort(keys, kind="stable")  # a merge of sorted runs
+        self.keys, self.firsts, self.lengths, self.ids = keys[by], firsts[by], np.concatenate((self.lengths, lengths))[by], np.concatenate((self.ids, ids))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token, and the bounds of the texts in them."""
@@ -139,20 +141,22 @@ class Encoder:
         keys, at = hashes[by[opens]], by[opens]
         if len(self.keys) > CACHED_PARTS or self.ids.nbytes > CACHED_BYTES:
             self.forget()
-        new = ~np.isin(keys, self.keys, assume_unique=True)
+        place = np.searchsorted(self.keys, keys)
+        new = np.append(self.keys, np.uint64(0))[place] != keys
+        new |= place == len(self.keys)
         if new.any():
             spans = zip(firsts[at[new]].tolist(), lasts[at[new]].tolist(), strict=True)
             raw = memoryview(data)
             self.learn(keys[new], [str(raw[a:b], "utf-8") for a, b in spans], plain[at[new]])
-        place = np.searchsorted(self.keys, keys)
+            place = np.searchsorted(self.keys, keys)
         # The end token is a part after each text's last one.
         number = np.empty(len(by), np.int64)
         number[by] = np.repeat(place, np.diff(opens, append=len(by)))
         order = np.insert(number, bounds[1:], len(self.keys))
-        lengths, ids = np.append(self.lengths, 1), np.append(self.ids, np.array([END_ID], "<u4"))
-        sizes = lengths[order]
+        ids = np.append(self.ids, np.array([END_ID], "<u4"))
+        sizes = np.append(self.lengths, 1)[order]
         closed = np.cumsum(sizes)
-        return ids[_runs((np.cumsum(lengths) - lengths)[order], sizes)], np.concatenate(([0], closed[bounds[1:] + np.arange(len(bounds) - 1)]))
+        return ids[_runs(np.append(self.firsts, len(self.ids))[order], sizes)], np.concatenate(([0], closed[bounds[1:] + np.arange(len(bounds) - 1)]))
 
 
 def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
