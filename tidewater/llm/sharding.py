@@ -67,7 +67,7 @@ def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, s
 
 def write_shards(out: DataFrame, path: str) -> None:
     """A folder per shard; each task writes the buckets it holds, so a shard has many files, the rows of each in slot order."""
-    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def read_shards(like: DataFrame, path: str) -> DataFrame:
