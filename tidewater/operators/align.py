@@ -8,16 +8,18 @@ from pyspark.sql import Window as W
 
 #: Suffixes and their calendars (fixed values).
 ALWAYS_OPEN = ("-USD", "-GBP", "-EUR", "-USDT")
-SUFFIXES = {".L": "LSE", ".TO": "TSX", ".DE": "XETR", ".PA": "XPAR", ".HK": "XHKG"}
+SUFFIXES = {".L": "LSE", ".SW": "SIX", ".TO": "TSX", ".AX": "ASX", ".HK": "HKEX"}
 
 
 def calendar_of(symbol: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
+    """The calendar's public name, by the upper-cased symbol's ending; null for a null or blank symbol."""
+    upper = F.upper(symbol)
+    out = F.when(upper.isNull() | (F.trim(upper) == ""), F.lit(None).cast("string"))
     for suffix in ALWAYS_OPEN:
-        out = out.when(symbol.endswith(suffix), "24/7")
+        out = out.when(upper.endswith(suffix), "CRYPTO_24_7")
     for suffix, name in SUFFIXES.items():
-        out = out.when(symbol.endswith(suffix), name)
-    return out.when(symbol.contains("."), "NYSE_FALLBACK").otherwise("NYSE")
+        out = out.when(upper.endswith(suffix), name)
+    return out.when(upper.contains("."), "NYSE_FALLBACK").otherwise("NYSE")
 
 
 def last_rows(df: DataFrame, n: int) -> DataFrame:
@@ -25,13 +27,16 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= n).drop("_r")
 
 
-def future_sessions(lasts: DataFrame, holidays: DataFrame, n: int, reach: int = 4) -> DataFrame:
-    """series, session, step: the n sessions after each series' last one; holidays and weekends count for always-open ones.
+def future_sessions(lasts: DataFrame, holidays: DataFrame, n: int) -> DataFrame:
+    """series, session, step: exactly n sessions after each series' last one; holidays and weekends count for always-open ones.
 
-    reach: calendar days looked through per session wanted.
+    The days looked through hold n weekdays and one more for every holiday, so there are always enough.
     """
-    days = lasts.withColumn("session", F.explode(F.sequence(F.date_add("last_session", 1), F.date_add("last_session", reach * n), F.expr("interval 1 day"))))
-    days = days.join(holidays.withColumn("_holiday", F.lit(True)), "session", "left")
+    closed = holidays.select("session").where("session is not null").distinct()
+    reach = (F.ceil((F.col("_closed") + n) * 7 / 5) + 7).cast("int")
+    days = lasts.join(closed.agg(F.count(F.lit(1)).alias("_closed")))  # one row
+    days = days.withColumn("session", F.explode(F.sequence(F.date_add("last_session", 1), F.date_add("last_session", reach), F.expr("interval 1 day"))))
+    days = days.join(closed.withColumn("_holiday", F.lit(True)), "session", "left")
     kept = days.where(F.col("always") | ((F.weekday("session") < 5) & F.col("_holiday").isNull()))
     step = F.row_number().over(W.partitionBy("series").orderBy("session")).cast("long")
     return kept.withColumn("step", step).where(F.col("step") <= n).select("series", "session", "step")

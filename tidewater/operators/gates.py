@@ -30,6 +30,7 @@ class DirectionPolicy:
     balanced: float = 0.53
     better: float = 0.98
     calibration: float = 0.10
+    wins: int = 4
 
 
 @dataclass(frozen=True)
@@ -50,13 +51,17 @@ def decided(df: DataFrame, failing: Column) -> DataFrame:
     return df.withColumn("_why", failing).withColumn("passed", F.size("_why") == 0).withColumn("reasons", F.concat_ws(",", "_why")).drop("_why")
 
 
-def fold_gate(df: DataFrame, policy: FoldPolicy = FoldPolicy()) -> DataFrame:  # noqa: B008
-    """df: relative_mae, relative_rmse, mase, rmsse, wins, worst_fold."""
-    return decided(df, reasons(
+def _fold_reasons(policy: FoldPolicy) -> Column:
+    return reasons(
         relative_mae=F.col("relative_mae") > policy.relative, relative_rmse=F.col("relative_rmse") > policy.relative,
         mase=F.col("mase") >= policy.scaled, rmsse=F.col("rmsse") >= policy.scaled,
         wins=F.col("wins") < policy.wins, worst_fold=F.col("worst_fold") > policy.worst_fold,
-    ))
+    )
+
+
+def fold_gate(df: DataFrame, policy: FoldPolicy = FoldPolicy()) -> DataFrame:  # noqa: B008
+    """df: relative_mae, relative_rmse, mase, rmsse, wins, worst_fold."""
+    return decided(df, _fold_reasons(policy))
 
 
 def universe_gate(df: DataFrame, policy: UniversePolicy = UniversePolicy()) -> DataFrame:  # noqa: B008
@@ -72,10 +77,14 @@ def universe_gate(df: DataFrame, policy: UniversePolicy = UniversePolicy()) -> D
 
 
 def direction_gate(df: DataFrame, policy: DirectionPolicy = DirectionPolicy()) -> DataFrame:  # noqa: B008
-    """df: balanced_accuracy, brier, log_loss, base_brier, base_log_loss, ece."""
+    """df: balanced_accuracy, brier, log_loss, base_brier, base_log_loss, ece, folds, wins (folds better than chance and than the base rate).
+
+    With fewer folds than wins are wanted, all of them have to be won; no folds at all fail.
+    """
     return decided(df, reasons(
         balanced=F.col("balanced_accuracy") < policy.balanced, brier=F.col("brier") > policy.better * F.col("base_brier"),
         log_loss=F.col("log_loss") > policy.better * F.col("base_log_loss"), ece=F.col("ece") > policy.calibration,
+        wins=(F.col("folds") == 0) | (F.col("wins") < F.least(F.col("folds"), F.lit(policy.wins))),
     ))
 
 
@@ -84,12 +93,21 @@ def serving_gate(df: DataFrame, either: bool, policy: ServingPolicy = ServingPol
 
     either: a move is implausible beyond either limit, else only beyond both.
     """
+    return decided(df, _serving_reasons(either, policy))
+
+
+def server_gate(df: DataFrame, folds: FoldPolicy = FoldPolicy(), policy: ServingPolicy = ServingPolicy()) -> DataFrame:  # noqa: B008
+    """The fold gate's reasons first, then those for serving; a move is implausible beyond either limit."""
+    return decided(df, F.array_distinct(F.concat(_fold_reasons(folds), _serving_reasons(True, policy))))
+
+
+def _serving_reasons(either: bool, policy: ServingPolicy) -> Column:
     over_sd, over_extreme = F.col("move") > F.col("limit_sd"), F.col("move") > F.col("limit_extreme")
     implausible = over_sd | over_extreme if either else over_sd & over_extreme
-    return decided(df, reasons(
+    return reasons(
         relative_mae=F.col("relative_mae") >= policy.relative, relative_rmse=F.col("relative_rmse") >= policy.relative, first_day=F.col("first_day") >= policy.first_day,
         selected=F.col("selected") >= policy.first_day, rows=F.col("n") < policy.rows, wins=F.col("wins") < policy.wins, worst_fold=F.col("worst_fold") > policy.worst_fold, implausible=implausible,
-    ))
+    )
 
 
 def holdout_verdict(mae: Column, rmse: Column, mae_high: Column, rmse_high: Column, limit: float = 0.98) -> Column:

@@ -8,11 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Event groups and their keywords, and phrases with weights (fixed values; callers pass their own tables).
+# Event groups with their keywords, and phrases with weights. Callers may pass tables of their own.
 EVENTS = {
-    "earnings": ("the", "of"), "guidance": ("nicht",), "merger": ("avec", "dans"), "legal": ("license",), "product": ("thnt", "thing"),
-}
-PHRASES = {"the": 0.4, "nicht": -0.6, "dans": 0.3, "idiot": -2.0, "worthless": -1.5, "license": 0.8, "que": 0.1, "mit": -0.2}
+    "earnings": ("earnings", "beat estimates", "missed estimates"),
+    "guidance": ("guidance", "outlook"),
+    "analyst_rating": ("upgrade", "downgrade"),
+    "dividend": ("dividend",),
+    "merger_acquisition": ("merger", "acquisition", "buyout"),
+    "legal_regulatory": ("lawsuit", "investigation", "regulatory"),
+    "product": ("launch", "product announcement"),
+    "management_change": ("ceo", "resigns"),
+    "financing": ("offering", "financing"),
+    "restructuring": ("layoffs", "restructuring"),
+}
+PHRASES = {
+    "guidance cut": -2.0,
+    "missed estimates": -1.5,
+    "beat expectations": 2.0,
+    "upgrade": 1.5,
+    "downgrade": -1.5,
+    "bullish": 2.0,
+    "bearish": -2.0,
+    "profit warning": -2.0,
+    "dividend hike": 1.5,
+    "dividend cut": -1.5,
+    "record high": 1.5,
+    "record low": -1.5,
+    "layoffs": -1.5,
+    "bankruptcy": -3.0,
+    "lawsuit": -1.5,
+    "merger": 1.0,
+    "acquisition": 1.0,
+}
 CLOSE_HOUR = 16
 
 
@@ -65,13 +92,17 @@ def sentiment(text: Column, compound: Column, phrases: dict[str, float] = PHRASE
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), compound + 0.1 * extra))
 
 
-def to_sessions(articles: DataFrame, sessions: DataFrame, close_hour: int = CLOSE_HOUR) -> DataFrame:
+def to_sessions(articles: DataFrame, sessions: DataFrame, close_hour: int = CLOSE_HOUR, always: Column | None = None) -> DataFrame:
     """Each article's session: the first one on or after the day it is available, or after it from the close on.
 
-    Articles and sessions meet on one timeline per ticker, so no range join is needed. Null if no session follows.
+    always: whether the article's ticker trades around the clock; then a session starts at midnight, and an article
+    that came later than that waits for the next one. Articles and sessions meet on one timeline per ticker, so no range join is needed. Null if no session follows.
     """
     available = F.greatest("published_at", "received_at")
     day = F.when(F.hour(available) >= close_hour, F.date_add(F.to_date(available), 1)).otherwise(F.to_date(available))
+    if always is not None:
+        midnight = F.date_trunc("day", available)
+        day = F.when(always, F.date_add(F.to_date(available), F.when(available > midnight, 1).otherwise(0))).otherwise(day)
     left = articles.withColumn("available_at", available).withColumn("_day", day).withColumn("_session", F.lit(None).cast("date"))
     right = sessions.select(F.col("series").alias("ticker"), F.col("session").alias("_day"), F.col("session").alias("_session"))
     union = left.unionByName(right, allowMissingColumns=True)
@@ -80,32 +111,76 @@ def to_sessions(articles: DataFrame, sessions: DataFrame, close_hour: int = CLOS
     return union.withColumn("session", F.first("_session", ignorenulls=True).over(w)).where("_session is null").drop("_day", "_session")
 
 
-def decayed(articles: DataFrame, sessions: DataFrame, half_life_days: float = 3.0, reach: float = 10.0) -> DataFrame:
+#: Half-lives per block of the scaled weights; frames are shorter than a block.
+BLOCK = 64
+
+
+def _repeats(articles: DataFrame, name: str, span: int) -> DataFrame:
+    """A row of -1 for each article whose name was met at most a look-back before, and one of 1 when that earlier one leaves it."""
+    w = W.partitionBy("series", name).orderBy("_t")
+    pairs = articles.select("series", "_t", F.lag("_t").over(w).alias("_before")).where(F.col("_t") - F.col("_before") <= span)
+    steps = F.explode(F.array(F.struct(F.col("_t"), F.lit(-1).alias(f"_d{name}")), F.struct((F.col("_before") + span).alias("_t"), F.lit(1).alias(f"_d{name}"))))
+    return pairs.select("series", steps.alias("_p")).select("series", "_p.*")
+
+
+def decayed(articles: DataFrame, sessions: DataFrame, half_life_days: float = 7.0, reach: float = 10.0) -> DataFrame:
     """Features of each session from articles strictly before it and at most reach half-lives old.
 
-    articles: ticker, available_at, score, relevance, publisher. Weights are 2 ** (-age / half-life) * relevance. The
-    look-back is a window over one timeline in microseconds; only articles inside it are gathered.
+    articles: ticker, available_at, title, score, relevance, publisher. Weights are 2 ** (-age / half-life) * relevance.
+    They are summed inside the look-back on one timeline in microseconds, scaled to the start of blocks of time that are
+    longer than the look-back, odd and even blocks apart; nothing is gathered. Distinct names in the look-back are its
+    articles but for those whose name came before in it. Without articles a session has zeros and is marked missing.
     """
-    span = int(half_life_days * reach * 86_400_000_000)
-    left = articles.where("available_at is not null").select(F.col("ticker").alias("series"), F.unix_micros("available_at").alias("_t"), F.struct(F.unix_micros("available_at").alias("t"), F.col("score").alias("s"), F.col("relevance").alias("r"), F.col("publisher").alias("p")).alias("_a"), F.lit(None).cast("date").alias("session"))
-    right = sessions.select("series", F.unix_micros(F.col("session").cast("timestamp")).alias("_t"), F.lit(None).cast(left.schema["_a"].dataType).alias("_a"), "session")
-    w = W.partitionBy("series").orderBy("_t").rangeBetween(-span, -1)
-    rows = left.unionByName(right).withColumn("_seen", F.collect_list("_a").over(w)).where("session is not null")
-    weight = lambda a: F.pow(F.lit(2.0), -(F.col("_t") - a["t"]) / F.lit(half_life_days * 86_400_000_000)) * a["r"]
-    total = lambda f: F.aggregate("_seen", F.lit(0.0), lambda acc, a: acc + f(a))
-    w_sum = total(weight)
-    share = lambda sign: F.try_divide(total(lambda a: F.when(sign * a["s"] > 0, weight(a)).otherwise(F.lit(0.0))), F.col("weight"))
-    rows = rows.withColumn("weight", w_sum)
+    if not 0 < reach < BLOCK or half_life_days <= 0:
+        raise ValueError("half_life_days must be positive and reach below the block of scaled weights")
+    unit = half_life_days * 86_400_000_000
+    span, block = int(unit * reach), int(unit * BLOCK)
+    dated = articles.where("available_at is not null").select(
+        F.col("ticker").alias("series"), F.unix_micros("available_at").alias("_t"), F.col("score").cast("double").alias("_score"), F.col("relevance").cast("double").alias("_relevance"),
+        F.col("publisher").alias("_publisher"), title_key(F.col("title")).alias("_title"),
+    )
+    points = sessions.select("series", F.unix_micros(F.col("session").cast("timestamp")).alias("_t"), "session")
+    rows = dated
+    for other in (_repeats(dated, "_publisher", span), _repeats(dated, "_title", span), points):
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    number = F.floor(F.col("_t") / block)
+    rows = rows.withColumns({"_b": number, "_scaled": F.col("_relevance") * F.pow(F.lit(2.0), (F.col("_t") - number * block) / F.lit(unit))})
+    order = W.partitionBy("series").orderBy("_t")
+    near, before = order.rangeBetween(-span, -1), order.rangeBetween(W.unboundedPreceding, -1)
+
+    def total(value: Column) -> Column:
+        """Sum of weighted values in the look-back, from the sums of even and of odd blocks."""
+        out = F.lit(0.0)
+        for parity in (0, 1):
+            part = F.sum(F.when(F.pmod("_b", F.lit(2)) == parity, F.col("_scaled") * value)).over(near)
+            start = (F.col("_b") - F.pmod(F.col("_b") - parity, F.lit(2))) * block
+            out = out + F.coalesce(part * F.pow(F.lit(2.0), (start - F.col("_t")) / F.lit(unit)), F.lit(0.0))
+        return out
+
+    score = F.col("_score")
+    rows = rows.select(
+        "series", "session", F.count("_relevance").over(near).alias("n"), total(F.lit(1.0)).alias("weight"), total(score).alias("_sum"),
+        total(F.when(score > 0, 1.0)).alias("_up"), total(F.when(score < 0, 1.0)).alias("_down"),
+        *(F.coalesce(F.sum(f"_d_{name}").over(before), F.lit(0)).alias(f"_{name}s") for name in ("publisher", "title")),
+    ).where("session is not null")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("weight")), F.lit(0.0))
     return rows.select(
-        "series", "session", F.size("_seen").cast("long").alias("n"), "weight",
-        F.coalesce(F.try_divide(total(lambda a: weight(a) * a["s"]), F.col("weight")), F.lit(0.0)).alias("sentiment"),
-        F.least(F.lit(1.0), F.col("weight") / 5).alias("intensity"),
-        F.coalesce(share(1), F.lit(0.0)).alias("positive"), F.coalesce(share(-1), F.lit(0.0)).alias("negative"),
-        F.size(F.array_distinct(F.transform("_seen", lambda a: a["p"]))).cast("long").alias("publishers"),
-        (F.size("_seen") == 0).alias("missing"),
+        "series", "session", "n", "weight", share("_sum").alias("sentiment"), F.least(F.lit(1.0), F.col("weight") / 5).alias("intensity"),
+        share("_up").alias("positive"), share("_down").alias("negative"), (F.col("n") + F.col("_publishers")).alias("publishers"),
+        F.coalesce(F.try_divide(F.col("n") + F.col("_titles"), F.col("n")), F.lit(0.0)).alias("novelty"),
+        F.when(F.col("n") > 0, 1.0).otherwise(0.0).alias("coverage"), (F.col("n") == 0).alias("missing"),
     )
 
 
+def with_news(frame: DataFrame, articles: DataFrame, half_life_days: float = 7.0) -> DataFrame:
+    """Feature rows (series, session, ...) with the articles' features beside them; a column that both have is refused."""
+    made = decayed(articles, frame.select("series", "session").distinct(), half_life_days)
+    clash = sorted(set(made.columns) & set(frame.columns) - {"series", "session"})
+    if clash:
+        raise ValueError(f"columns of both: {', '.join(clash)}")
+    return frame.join(made, ["series", "session"], "left")
+
+
 def summary(articles: DataFrame, as_of: Column, half_life_days: float = 3.0) -> DataFrame:
     """Current weighted score per ticker with counts, sources, the freshest article and all categories; undated weigh 1."""
     age = (F.unix_micros(as_of) - F.unix_micros("published_at")) / F.lit(86_400_000_000.0)

@@ -85,7 +85,12 @@ def gate_direction(spark: SparkSession, sf: str) -> DataFrame:
     rows = probabilities(spark, sf)
     found = metrics.probability_report(rows, F.lit(1))
     rate = rows.agg(F.avg("actual").alias("rate")).withColumn("base_brier", F.col("rate") * (1 - F.col("rate"))).withColumn("base_log_loss", -(F.col("rate") * F.log("rate") + (1 - F.col("rate")) * F.log(1 - F.col("rate"))))
-    return rounded(gates.direction_gate(found.join(rate)), ("n", "passed", "reasons"), {"balanced_accuracy": 6, "brier": 6, "base_brier": 6})
+    # Sources stand for folds.
+    y, p = F.col("actual"), F.col("probability")
+    sides = [F.avg(F.when(y == k, ((p >= 0.5).cast("int") == k).cast("double"))) for k in (0, 1)]
+    by = rows.groupBy("source").agg(((sides[0] + sides[1]) / 2).alias("a"), F.avg((p - y) * (p - y)).alias("b"), (F.avg(y) * (1 - F.avg(y))).alias("c"))
+    folds = by.agg(F.count(F.lit(1)).alias("folds"), F.count_if(F.coalesce((F.col("a") > 0.5) & (F.col("b") < F.col("c")), F.lit(False))).alias("wins"))
+    return rounded(gates.direction_gate(found.join(rate).join(folds)), ("n", "folds", "wins", "passed", "reasons"), {"balanced_accuracy": 6, "brier": 6, "base_brier": 6})
 
 
 def _serving(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +105,7 @@ def gate_browser_price(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_server(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(gates.serving_gate(_serving(spark, sf), either=True), _GATE, {"first_day": 6, "selected": 6, "move": 6})
+    return rounded(gates.server_gate(_serving(spark, sf)), _GATE, {"first_day": 6, "selected": 6, "move": 6})
 
 
 def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,8 +182,10 @@ mv AS (SELECT series, abs(ln(arg_max(predicted, s) / arg_max(origin, s))) AS mov
 sv AS (SELECT gt.*, move, 3 * ph AS l1, x AS l2 FROM gt JOIN mv USING (series) JOIN vl USING (series))"""
 
 
-def _serve(joined: str) -> str:
+def _serve(joined: str, before: str = "") -> str:
     why = _why(relative_mae="relative_mae >= 0.98", relative_rmse="relative_rmse >= 0.98", first_day="first_day >= 1", selected="selected >= 1", rows="n < 60", wins="wins < 4", worst_fold="worst_fold > 1.25", implausible=f"move > l1 {joined} move > l2")
+    if before:
+        why = f"array_to_string(list_filter(['relative_mae', 'relative_rmse', 'mase', 'rmsse', 'wins', 'worst_fold', 'first_day', 'selected', 'rows', 'implausible'], lambda x: list_contains(string_split({before} || ',' || {why}, ','), x)), ',')"
     return f"WITH {_SERVE}, w AS (SELECT *, {why} AS reasons FROM sv) SELECT model, series, reasons = '' AS passed, reasons, wins, round(first_day, 6) AS first_day, round(selected, 6) AS selected, round(move, 6) AS move FROM w"
 
 
@@ -209,10 +216,11 @@ SQL = {
     "gate_direction": f"""WITH {_PROB_SQL}, p AS (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS said, greatest(least(probability, 1 - 1e-7), 1e-7) AS cp FROM pr),
       g AS (SELECT count(*) AS n, (avg(CASE WHEN actual = 1 THEN said END) + avg(CASE WHEN actual = 0 THEN 1 - said END)) / 2 AS ba, avg((probability - actual) * (probability - actual)) AS brier, avg(-CASE WHEN actual = 1 THEN ln(cp) ELSE ln(1 - cp) END) AS ll,
         avg(actual) AS rate, (SELECT sum(n * abs(mean_probability - observed)) / sum(n) FROM bins) AS ece FROM p),
-      w AS (SELECT *, rate * (1 - rate) AS bb, {_why(balanced="ba < 0.53", brier="brier > 0.98 * rate * (1 - rate)", log_loss="ll > 0.98 * -(rate * ln(rate) + (1 - rate) * ln(1 - rate))", ece="ece > 0.1")} AS reasons FROM g)
-      SELECT n, reasons = '' AS passed, reasons, round(ba, 6) AS balanced_accuracy, round(brier, 6) AS brier, round(bb, 6) AS base_brier FROM w""",
+      f AS (SELECT count(*) AS folds, count(CASE WHEN a > 0.5 AND b < c THEN 1 END) AS wins FROM (SELECT (avg(CASE WHEN actual = 1 THEN said END) + avg(CASE WHEN actual = 0 THEN 1 - said END)) / 2 AS a, avg((probability - actual) * (probability - actual)) AS b, avg(actual) * (1 - avg(actual)) AS c FROM p GROUP BY source)),
+      w AS (SELECT *, rate * (1 - rate) AS bb, {_why(balanced="ba < 0.53", brier="brier > 0.98 * rate * (1 - rate)", log_loss="ll > 0.98 * -(rate * ln(rate) + (1 - rate) * ln(1 - rate))", ece="ece > 0.1", wins="folds = 0 OR wins < least(folds, 4)")} AS reasons FROM g, f)
+      SELECT n, folds, wins, reasons = '' AS passed, reasons, round(ba, 6) AS balanced_accuracy, round(brier, 6) AS brier, round(bb, 6) AS base_brier FROM w""",
     "gate_browser_price": _serve("AND"),
-    "gate_server": _serve("OR"),
+    "gate_server": _serve("OR", _FOLD_WHY),
     "multi_window_verdict": f"""WITH {SAMPLES_SQL},
       hw AS (SELECT series, win, CASE WHEN win = 3 THEN n ELSE 80 + (win + 1) * ((n - 80) // 4) END AS hi FROM (SELECT series, n, unnest(generate_series(0, 3)) AS win FROM n WHERE n - 80 >= 240)),
       li0 AS (SELECT sm.series, win, s, (abs(y1 - origin - g) + abs(y5 - origin - 5 * g) + abs(y20 - origin - 20 * g)) / 3 AS candidate, (abs(y1 - origin) + abs(y5 - origin) + abs(y20 - origin)) / 3 AS baseline

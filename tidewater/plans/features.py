@@ -85,7 +85,7 @@ def instrument_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.fingerprint(bars(spark, sf), ("open", "high", "low", "close"))
+    return clean.fingerprint(bars(spark, sf), clean.BAR)
 
 
 def feature_validation(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def feature_validation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def calendars(spark: SparkSession, sf: str) -> DataFrame:
-    raw = table(spark, sf, "customer").select("c_custkey", F.concat(F.substring("c_mktsegment", 1, 3), F.element_at(F.array(*map(F.lit, ("-USD", ".L", ".TO", ".XX", "", ".DE", "-EUR"))), (F.col("c_custkey") % 7 + 1).cast("int"))).alias("symbol"))
+    raw = table(spark, sf, "customer").select("c_custkey", F.concat(F.substring("c_mktsegment", 1, 3), F.element_at(F.array(*map(F.lit, ("-USD", ".L", ".TO", ".XX", "", ".SW", "-EUR", ".ax", ".HK"))), (F.col("c_custkey") % 9 + 1).cast("int"))).alias("symbol"))
     return raw.select("c_custkey", align.calendar_of(F.col("symbol")).alias("calendar"))
 
 
@@ -160,6 +160,13 @@ _BETA = """coalesce(CASE WHEN count(CASE WHEN return_1d IS NOT NULL AND spy_retu
 
 _ROUND6 = ", ".join(f"round({c}, 6) AS {c}" for c in features.STATIONARY)
 
+
+def _bits(c: str) -> str:
+    part = f"(({c} - floor({c})) * 9007199254740992::DOUBLE)"
+    rest = f"(({part} - floor({part})) * 9007199254740992::DOUBLE)"
+    return "concat_ws(':', " + ", ".join(f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR)" for x in (c, part, rest)) + ")"
+
+
 SQL = {
     "bars_clean": f"""WITH {BARS_SQL} SELECT series, session, round(open, 2) AS open, round(high, 2) AS high, round(low, 2) AS low, round(close, 2) AS close, round(volume, 2) AS volume
       FROM b WHERE series IN (SELECT series FROM b GROUP BY 1 HAVING count(*) >= 110)""",
@@ -199,21 +206,21 @@ SQL = {
         CASE WHEN large_moves > 0 OR long_gaps > 0 OR stale_days > 15 OR non_positive > 0 THEN 'annotated' ELSE 'clean' END AS status FROM q""",
     "future_sessions": f"""WITH {BARS_SQL}, l AS (SELECT series, max(session) AS last_session FROM b GROUP BY 1),
       h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS session FROM orders WHERE day(o_orderdate) = 1),
-      c AS (SELECT series, CAST(unnest(generate_series(last_session + 1, last_session + 120, INTERVAL 1 DAY)) AS DATE) AS session FROM l),
+      c AS (SELECT series, CAST(unnest(generate_series(last_session + 1, last_session + 400, INTERVAL 1 DAY)) AS DATE) AS session FROM l),
       k AS (SELECT * FROM c WHERE series = 'MACHINERY' OR (isodow(session) < 6 AND session NOT IN (SELECT session FROM h)))
       SELECT series, session, step FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY session) AS step FROM k) WHERE step <= 30""",
     "last_rows": f"""WITH {BARS_SQL} SELECT series, session, round(close, 2) AS close FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) <= 252""",
     "instrument_summary": f"""WITH {BARS_SQL}, y AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) <= 252)
       SELECT series, round(max(high), 2) AS year_high, round(min(low), 2) AS year_low, round(avg(volume), 6) AS average_volume, round(arg_max(high, session), 2) AS day_high,
         round(arg_max(low, session), 2) AS day_low, round(arg_max(prev, session), 2) AS previous_close FROM y GROUP BY 1""",
-    "fingerprints": f"""WITH {BARS_SQL}, r AS (SELECT series, session, sha256(concat_ws('|', CAST(session AS VARCHAR), {", ".join(f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)" for c in ("open", "high", "low", "close"))})) AS h FROM b)
-      SELECT series, count(*) AS n_rows, min(session) AS first_session, max(session) AS last_session, sha256(string_agg(h, ',' ORDER BY h)) AS content_hash FROM r GROUP BY 1""",
+    "fingerprints": f"""WITH {BARS_SQL}, r AS (SELECT series, session, sha256(concat_ws('|', CAST(session AS VARCHAR), {", ".join(map(_bits, clean.BAR))})) AS h FROM b)
+      SELECT series, count(*) AS n_rows, min(session) AS first_session, max(session) AS last_session, sha256(concat_ws(',', {", ".join(f"CAST(sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT) AS VARCHAR)" for k in range(4))})) AS content_hash FROM r GROUP BY 1""",
     "feature_validation": f"""WITH bars AS (SELECT CAST(c_nationkey AS VARCHAR) AS series, CAST(o_orderdate AS DATE) AS session, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
       r AS (SELECT series, close, {_roll("avg", "close", 20)} AS s, {_roll("stddev_samp", "close", 20)} AS sd FROM bars {_WINDOWS})
       SELECT 'close' AS feature, count(*) AS n_rows, count(*) - count(close) AS missing, CAST(0 AS BIGINT) AS infinite FROM r UNION ALL SELECT 'sma_20', count(*), count(*) - count(s), 0 FROM r
       UNION ALL SELECT 'bb_upper', count(*), count(*) - count(sd), 0 FROM r UNION ALL SELECT 'bb_lower', count(*), count(*) - count(sd), 0 FROM r""",
-    "calendars": """SELECT c_custkey, CASE WHEN ends_with(s, '-USD') OR ends_with(s, '-EUR') THEN '24/7' WHEN ends_with(s, '.L') THEN 'LSE' WHEN ends_with(s, '.TO') THEN 'TSX' WHEN ends_with(s, '.DE') THEN 'XETR'
-      WHEN contains(s, '.') THEN 'NYSE_FALLBACK' ELSE 'NYSE' END AS calendar FROM (SELECT c_custkey, substr(c_mktsegment, 1, 3) || ['-USD', '.L', '.TO', '.XX', '', '.DE', '-EUR'][c_custkey % 7 + 1] AS s FROM customer)""",
+    "calendars": """SELECT c_custkey, CASE WHEN ends_with(s, '-USD') OR ends_with(s, '-EUR') THEN 'CRYPTO_24_7' WHEN ends_with(s, '.L') THEN 'LSE' WHEN ends_with(s, '.TO') THEN 'TSX' WHEN ends_with(s, '.SW') THEN 'SIX' WHEN ends_with(s, '.ax') THEN 'ASX' WHEN ends_with(s, '.HK') THEN 'HKEX'
+      WHEN contains(s, '.') THEN 'NYSE_FALLBACK' ELSE 'NYSE' END AS calendar FROM (SELECT c_custkey, substr(c_mktsegment, 1, 3) || ['-USD', '.L', '.TO', '.XX', '', '.SW', '-EUR', '.ax', '.HK'][c_custkey % 9 + 1] AS s FROM customer)""",
     "change_over": f"""WITH {BARS_SQL} SELECT series, session, round(close - prev, 2) AS change, round((close - prev) / prev * 100, 6) AS change_pct,
       CASE WHEN close > prev THEN 'Up' WHEN close < prev THEN 'Down' WHEN close = prev THEN 'Flat' END AS label FROM b""",
     "rank_within_month": """WITH bw AS (SELECT CAST(c_nationkey AS VARCHAR) AS series, CAST(o_orderdate AS DATE) AS session, arg_max(o_totalprice, o_orderkey) AS close

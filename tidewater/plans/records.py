@@ -11,6 +11,10 @@ from .features import rounded
 
 AS_OF = "1995-12-01 00:00:00"
 
+#: Rows for the invented prose of the given tables, beside the fixed ones.
+EVENTS = news.EVENTS | {"prose": ("the", "of"), "foreign": ("nicht", "avec", "dans"), "licence": ("license",)}
+PHRASES = news.PHRASES | {"the": 0.4, "nicht": -0.6, "dans": 0.3, "idiot": -2.0, "worthless": -1.5, "license": 0.8}
+
 
 def _as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
@@ -20,7 +24,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Articles with a score, a relevance and the time they are available at."""
     text = F.concat_ws(" ", "title", "summary")
     base = ((F.length("title") % 21) - 10) / F.lit(20.0)
-    rows = articles(spark, sf).withColumn("score", news.sentiment(text, base)).withColumn("available_at", F.greatest("published_at", "received_at"))
+    rows = articles(spark, sf).withColumn("score", news.sentiment(text, base, PHRASES)).withColumn("available_at", F.greatest("published_at", "received_at"))
     return rows.withColumn("relevance", F.when(F.col("doc_id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.7)))
 
 
@@ -35,7 +39,7 @@ def news_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_categories(spark: SparkSession, sf: str) -> DataFrame:
-    return articles(spark, sf).select("doc_id", F.array_join(news.categories(F.col("summary")), ",").alias("categories"))
+    return articles(spark, sf).select("doc_id", F.array_join(news.categories(F.col("summary"), EVENTS), ",").alias("categories"))
 
 
 def article_sentiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,16 +52,21 @@ def news_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return news.to_sessions(articles(spark, sf), bars(spark, sf)).select("doc_id", "ticker", "session")
+    return news.to_sessions(articles(spark, sf), bars(spark, sf), always=F.col("ticker") == "MACHINERY").select("doc_id", "ticker", "session")
 
 
 def news_decay_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = news.decayed(_scored(spark, sf), bars(spark, sf).select("series", "session"))
-    return rounded(rows, ("series", "session", "n", "publishers", "missing"), dict.fromkeys(("weight", "sentiment", "intensity", "positive", "negative"), 7))
+    return rounded(rows, ("series", "session", "n", "publishers", "missing"), dict.fromkeys(("weight", "sentiment", "intensity", "positive", "negative", "novelty", "coverage"), 6))
+
+
+def news_feature_rows(spark: SparkSession, sf: str) -> DataFrame:
+    frame = bars(spark, sf).select("series", "session", F.round("close", 2).alias("close"))
+    return rounded(news.with_news(frame, _scored(spark, sf)), ("series", "session", "close", "n"), {"sentiment": 6, "novelty": 6})
 
 
 def sentiment_summary(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _scored(spark, sf).withColumn("categories", news.categories(F.col("summary")))
+    rows = _scored(spark, sf).withColumn("categories", news.categories(F.col("summary"), EVENTS))
     return rounded(news.summary(rows, _as_of()), ("ticker", "n", "sources", "events"), {"score": 7})
 
 
@@ -144,18 +153,24 @@ def prediction_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    news_dedup, news_relevance, news_categories, article_sentiment, news_keys, news_sessions, news_decay_features, sentiment_summary, archive_manifest, archive_violations, ledger_report, champions,
+    news_dedup, news_relevance, news_categories, article_sentiment, news_keys, news_sessions, news_decay_features, news_feature_rows, sentiment_summary, archive_manifest, archive_violations, ledger_report, champions,
     retention_candidates, lease_expiry, lru_retention, availability, superseded_models, promotion_replay, version_ids, guarded_export, prediction_parity,
 )}
 
-_CAT = "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(summary), '{k}')" for k in keys) + f" THEN '{n}' END" for n, keys in news.EVENTS.items()) + "], lambda x: x IS NOT NULL), ',')"
-_EXTRA = " + ".join(f"CASE WHEN contains(lower(x), '{p}') THEN {w} ELSE 0 END" for p, w in news.PHRASES.items())
+_CAT = "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(summary), '{k}')" for k in keys) + f" THEN '{n}' END" for n, keys in EVENTS.items()) + "], lambda x: x IS NOT NULL), ',')"
+_EXTRA = " + ".join(f"CASE WHEN contains(lower(x), '{p}') THEN {w} ELSE 0 END" for p, w in PHRASES.items())
 _SCORED = f"""{NEWS_SQL}, sn AS (SELECT *, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (length(title) % 21 - 10) / 20.0::DOUBLE + 0.1::DOUBLE * ({_EXTRA}))) AS score, greatest(published_at, received_at) AS available_at,
   CASE WHEN doc_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.7 END AS relevance FROM (SELECT *, title || ' ' || summary AS x FROM news))"""
 _URL = r"nullif(lower(regexp_extract(link, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_replace(regexp_extract(link, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), '')"
 _ART = """ar AS (SELECT CAST(o_orderkey AS VARCHAR) AS version_id, CAST(o_custkey % 25 AS VARCHAR) AS ticker, o_orderdate AS created_at, CASE o_orderstatus WHEN 'O' THEN 'promoted' WHEN 'F' THEN 'candidate' WHEN 'P' THEN 'rejected' END AS status, o_orderkey % 7 = 0 AS pruned FROM orders),
 pt AS (SELECT ticker, arg_max(version_id, (created_at, version_id)) AS version, arg_min(version_id, (created_at, version_id)) AS previous FROM ar GROUP BY 1)"""
 
+_DECAY = rf"""{BARS_SQL}, {_SCORED}, j AS (SELECT b.series, b.session, doc_id, score, publisher, trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) AS title,
+    pow(2.0::DOUBLE, -(epoch_us(CAST(b.session AS TIMESTAMP)) - epoch_us(available_at)) / (7.0::DOUBLE * 86400000000)) * relevance AS w
+  FROM b LEFT JOIN sn ON ticker = b.series AND available_at < CAST(b.session AS TIMESTAMP) AND available_at >= CAST(b.session AS TIMESTAMP) - INTERVAL 70 DAY),
+g AS (SELECT series, session, count(doc_id) AS n, count(DISTINCT publisher) AS publishers, count(DISTINCT title) AS titles, coalesce(sum(w), 0) AS weight, sum(w * score) AS ws,
+  sum(CASE WHEN score > 0 THEN w ELSE 0 END) AS p, sum(CASE WHEN score < 0 THEN w ELSE 0 END) AS m FROM j GROUP BY 1, 2)"""
+
 SQL = {
     "news_dedup": rf"""WITH {NEWS_SQL}, k AS (SELECT *, coalesce('i:' || article_id, 'u:' || {_URL}, 't:' || trim(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))) AS key FROM news)
       SELECT doc_id, ticker FROM k QUALIFY row_number() OVER (PARTITION BY ticker, key ORDER BY published_at NULLS LAST, article_id NULLS LAST, title, doc_id) = 1""",
@@ -164,13 +179,13 @@ SQL = {
     "news_categories": f"WITH {NEWS_SQL} SELECT doc_id, {_CAT} AS categories FROM news",
     "article_sentiment": f"WITH {_SCORED} SELECT doc_id, round(score, 6) AS score FROM sn",
     "news_keys": f"SELECT page_id, {_URL.replace('link', 'url')} AS url, trim(url) AS first_url FROM pages",
-    "news_sessions": f"""WITH {BARS_SQL}, {NEWS_SQL}, a AS (SELECT doc_id, ticker, CASE WHEN hour(av) >= 16 THEN CAST(av AS DATE) + 1 ELSE CAST(av AS DATE) END AS d FROM (SELECT *, greatest(published_at, received_at) AS av FROM news))
+    "news_sessions": f"""WITH {BARS_SQL}, {NEWS_SQL}, a AS (SELECT doc_id, ticker, CASE WHEN ticker = 'MACHINERY' THEN CAST(av AS DATE) + CASE WHEN av > CAST(CAST(av AS DATE) AS TIMESTAMP) THEN 1 ELSE 0 END WHEN hour(av) >= 16 THEN CAST(av AS DATE) + 1 ELSE CAST(av AS DATE) END AS d FROM (SELECT *, greatest(published_at, received_at) AS av FROM news))
       SELECT doc_id, ticker, min(session) AS session FROM a LEFT JOIN b ON series = ticker AND session >= d GROUP BY 1, 2""",
-    "news_decay_features": f"""WITH {BARS_SQL}, {_SCORED}, j AS (SELECT b.series, b.session, doc_id, score, publisher, pow(2.0::DOUBLE, -(epoch_us(CAST(b.session AS TIMESTAMP)) - epoch_us(available_at)) / (3.0::DOUBLE * 86400000000)) * relevance AS w
-        FROM b LEFT JOIN sn ON ticker = b.series AND available_at < CAST(b.session AS TIMESTAMP) AND available_at >= CAST(b.session AS TIMESTAMP) - INTERVAL 30 DAY),
-      g AS (SELECT series, session, count(doc_id) AS n, count(DISTINCT publisher) AS publishers, coalesce(sum(w), 0) AS weight, sum(w * score) AS ws, sum(CASE WHEN score > 0 THEN w ELSE 0 END) AS p, sum(CASE WHEN score < 0 THEN w ELSE 0 END) AS m FROM j GROUP BY 1, 2)
-      SELECT series, session, n, publishers, n = 0 AS missing, round(weight, 7) AS weight, round(coalesce(ws / nullif(weight, 0), 0), 7) AS sentiment, round(least(1, weight / 5), 7) AS intensity,
-        round(coalesce(p / nullif(weight, 0), 0), 7) AS positive, round(coalesce(m / nullif(weight, 0), 0), 7) AS negative FROM g""",
+    "news_decay_features": f"""WITH {_DECAY}
+      SELECT series, session, n, publishers, n = 0 AS missing, round(weight, 6) AS weight, round(coalesce(ws / nullif(weight, 0), 0), 6) AS sentiment, round(least(1, weight / 5), 6) AS intensity,
+        round(coalesce(p / nullif(weight, 0), 0), 6) AS positive, round(coalesce(m / nullif(weight, 0), 0), 6) AS negative, round(coalesce(titles / nullif(n, 0), 0), 6) AS novelty, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0 END AS coverage FROM g""",
+    "news_feature_rows": f"""WITH {_DECAY}
+      SELECT b.series, b.session, round(close, 2) AS close, n, round(coalesce(ws / nullif(weight, 0), 0), 6) AS sentiment, round(coalesce(titles / nullif(n, 0), 0), 6) AS novelty FROM b JOIN g ON b.series = g.series AND b.session = g.session""",
     "sentiment_summary": f"""WITH {_SCORED}, w AS (SELECT *, CASE WHEN published_at IS NULL THEN 1 ELSE pow(2.0::DOUBLE, -greatest((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 86400000000.0::DOUBLE, 0) / 3) END AS w, unnest(CASE WHEN {_CAT} = '' THEN [NULL] ELSE string_split({_CAT}, ',') END) AS c, row_number() OVER () AS u FROM sn),
       e AS (SELECT ticker, array_to_string(list_sort(list_distinct(list(c))), ',') AS events FROM w GROUP BY 1), o AS (SELECT DISTINCT ON (doc_id) * FROM w)
       SELECT o.ticker, count(*) AS n, count(DISTINCT publisher) AS sources, any_value(coalesce(events, '')) AS events, round(sum(w * score) / sum(w), 7) AS score FROM o JOIN e USING (ticker) GROUP BY 1""",

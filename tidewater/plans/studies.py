@@ -111,7 +111,10 @@ def return_space_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Events per type and day, counted by a stream that runs until its input is used up."""
+    """Events per type and day, counted by a stream that runs until its input is used up.
+
+    A day is given once the watermark has passed its end, and its state is dropped then; later rows of it are late.
+    """
     import tempfile
     import uuid
 
@@ -120,9 +123,9 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     named = rows.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("available_at"), F.col("value").alias("score"))
-    query = jobs.windowed_scores(named).writeStream.outputMode("complete").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).start()
+    query = jobs.windowed_scores(named).writeStream.outputMode("append").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{path}/out/batch={k}")).start()
     query.awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/out").withColumn("session", F.to_date("start")), ("ticker", "session", "n"), {"score": 6})
+    return rounded(spark.read.parquet(f"{path}/out").drop("batch").withColumn("session", F.to_date("start")), ("ticker", "session", "n"), {"score": 6})
 
 
 QUERIES = {f.__name__: f for f in (
@@ -148,5 +151,5 @@ SQL = {
     "return_space_report": f"""WITH {SCORED_SQL}, r AS (SELECT *, ln(actual / origin) - ln(predicted / origin) AS e FROM sc WHERE predicted > 0)
       SELECT model, CAST(horizon AS BIGINT) AS horizon, count(*) AS n, round(avg(abs(e)), 8) AS return_mae, round(sqrt(avg(e * e)), 8) AS return_rmse, round(avg(abs(actual - predicted)), 3) AS dollar_mae,
         round(sqrt(avg((actual - predicted) * (actual - predicted))), 3) AS dollar_rmse FROM r GROUP BY 1, 2""",
-    "stream_windows": "SELECT event_type AS ticker, CAST(ts AS DATE) AS session, count(*) AS n, round(avg(value), 6) AS score FROM events GROUP BY 1, 2",
+    "stream_windows": "SELECT event_type AS ticker, CAST(ts AS DATE) AS session, count(*) AS n, round(avg(value), 6) AS score FROM events GROUP BY 1, 2 HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
 }

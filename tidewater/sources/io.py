@@ -31,14 +31,14 @@ def read_news_archive(spark: SparkSession, path: str, kind: str = "json", strict
 def write_snapshot(bars: DataFrame, path: str) -> DataFrame:
     """One folder per series and a manifest; a target that exists is refused."""
     bars.write.mode("errorifexists").partitionBy("series").parquet(f"{path}/bars")
-    made = clean.fingerprint(bars.sparkSession.read.parquet(f"{path}/bars"), clean.PRICES)
+    made = clean.fingerprint(bars.sparkSession.read.parquet(f"{path}/bars"), clean.BAR)
     made.write.mode("errorifexists").parquet(f"{path}/manifest")
     return bars.sparkSession.read.parquet(f"{path}/manifest")
 
 
 def snapshot_mismatches(spark: SparkSession, path: str) -> DataFrame:
     """series and what differs from the manifest: its content, or that it is missing on one side."""
-    found = clean.fingerprint(spark.read.parquet(f"{path}/bars"), clean.PRICES).select("series", F.col("content_hash").alias("found"))
+    found = clean.fingerprint(spark.read.parquet(f"{path}/bars"), clean.BAR).select("series", F.col("content_hash").alias("found"))
     told = spark.read.parquet(f"{path}/manifest").select("series", "content_hash")
     joined = told.join(found, "series", "full")
     why = F.when(F.col("found").isNull(), "missing").when(F.col("content_hash").isNull(), "unlisted").when(F.col("found") != F.col("content_hash"), "changed")
