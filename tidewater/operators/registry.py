@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -115,3 +117,25 @@ def parity(left: DataFrame, right: DataFrame, keys: tuple[str, ...], tolerance:
     one = F.col("_l").isNull() | F.col("_r").isNull()
     found = joined.agg(F.count(F.lit(1)).alias("n"), F.count_if(one).alias("unmatched"), F.count_if(~one & (F.isnan("_a") | F.isnan("_b"))).alias("not_finite"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("largest"))
     return found.withColumn("equal", (F.col("unmatched") == 0) & (F.col("not_finite") == 0) & (F.coalesce("largest", F.lit(0.0)) <= tolerance))
+
+
+def lookup(instruments: DataFrame, text: str, most: int = 8) -> DataFrame:
+    """ticker, name, kind of what a search text may mean; instruments: ticker, name, kind.
+
+    A text that is a symbol as it stands means itself alone. Other texts find shares and funds by their name or the start
+    of their symbol, the first ones by symbol, and the symbol they spell if it isn't among these.
+    """
+    symbol = text.strip().upper()
+    spark = instruments.sparkSession
+    spelt = re.fullmatch(r"[A-Z0-9.\-]{1,12}", symbol) is not None
+    exact = spark.range(1 if spelt else 0).select(F.lit(symbol).alias("ticker"), F.lit(symbol).alias("name"), F.lit("SYMBOL").alias("kind"))
+    if spelt and text.strip() == symbol:
+        return exact
+    named = F.lower("name").contains(text.strip().lower()) | F.col("ticker").startswith(symbol)
+    found = instruments.where(F.col("kind").isin("EQUITY", "ETF") & named).orderBy("ticker").limit(most).select("ticker", "name", "kind")
+    return found.unionByName(exact.join(found, "ticker", "left_anti"))
+
+
+def audit_log(rows: DataFrame) -> DataFrame:
+    """Entries in the order they were made; missing details are an empty object."""
+    return rows.orderBy("id").select("id", "event", F.coalesce("details", F.lit("{}")).alias("details"), "created_at")

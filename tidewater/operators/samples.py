@@ -84,6 +84,14 @@ def front_folds(counts: DataFrame, min_train: int, purge: int, validation: int,
     return out.where("val_hi <= n").drop("n")
 
 
+def research_folds(counts: DataFrame, validation: int = 60, min_train: int = 300, purge: int = 29, folds: int = 5) -> DataFrame:
+    """Folds of equal validation at the tail, numbered from 1, a purge before each; series too short for the first one are left out."""
+    first = F.col("n") - folds * validation
+    many = counts.where(first - purge >= min_train).withColumn("fold", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(folds).cast("long"))))
+    low = first + (F.col("fold") - 1) * validation
+    return many.select("series", "fold", (low - purge).alias("train_hi"), low.alias("val_lo"), (low + validation).alias("val_hi"))
+
+
 def holdout_windows(counts: DataFrame, windows: int, rows: int, min_train: int, first_origin: int, horizon: int) -> DataFrame:
     """The region of origins cut into equal blocks, the last with the remainder; a block's last rows are its test."""
     start = F.greatest(F.lit(min_train), F.lit(first_origin))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, features, forecasts, panels, records, studies
+from . import evidence, features, forecasts, panels, records, serving, studies
 
-FAMILIES = (features, forecasts, evidence, panels, records, studies)
+FAMILIES = (features, forecasts, evidence, panels, records, serving, studies)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
