@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.series import ema
-from tidewater.operators import clean, evidence, features, gates, metrics, news, registry
+from tidewater.operators import align, clean, evidence, features, gates, metrics, news, registry
 from tidewater.operators import samples as S
 
 
@@ -140,3 +140,38 @@ def test_fold_evidence_needs_five_folds(spark):
     assert found["a"]["reliable"] and found["a"]["low"] < 3.0 < found["a"]["high"] and found["b"]["low"] is None
     row = spark.range(1).select(evidence.relative_bounds(F.lit(-1.0), F.lit(2.0)).alias("a"), evidence.relative_bounds(F.lit(-3.0), F.lit(2.0), True).alias("b")).first()
     assert tuple(row) == (0.5, 0.0)
+
+
+def test_fingerprints_see_the_last_bit_volume_and_shifted_nulls(spark):
+    schema = "series string, session date, open double, high double, low double, close double, volume double"
+    day = dt.date(2020, 1, 1)
+    rows = [
+        ("a", day, 1.0, 2.0, 0.5, 0.1 + 0.2, 3.0), ("b", day, 1.0, 2.0, 0.5, 0.3, 3.0), ("c", day, 1.0, 2.0, 0.5, 0.3, 4.0),
+        ("d", day, None, 2.0, 0.5, 0.3, 3.0), ("e", day, 2.0, None, 0.5, 0.3, 3.0), ("f", day, 1.0, 2.0, 0.5, float("nan"), 3.0), ("g", day, 1.0, 2.0, 0.5, 0.3, 3.0),
+    ]
+    found = {r["series"]: r["content_hash"] for r in clean.fingerprint(spark.createDataFrame(rows, schema), clean.BAR).collect()}
+    assert len(set(found.values())) == 6 and found["b"] == found["g"]
+
+
+def test_future_sessions_go_on_until_there_are_enough(spark):
+    lasts = spark.createDataFrame([("a", dt.date(2020, 1, 3), False)], "series string, last_session date, always boolean")
+    holidays = spark.createDataFrame([(dt.date(2020, 1, 6) + dt.timedelta(days=k),) for k in range(30)], "session date")
+    assert [r["session"] for r in align.future_sessions(lasts, holidays, 2).orderBy("step").collect()] == [dt.date(2020, 2, 5), dt.date(2020, 2, 6)]
+
+
+def test_news_features_match_a_loop_and_refuse_a_clash(spark):
+    start = dt.datetime(2020, 1, 1)
+    made = [(f"p{k % 3}", f"Title {k * k % 7}", start + dt.timedelta(hours=7 * k * k % 2900), (k % 5 - 2) / 2.0, 1.0 if k % 2 else 0.7) for k in range(60)]
+    articles = spark.createDataFrame([("a", *m) for m in made], "ticker string, publisher string, title string, available_at timestamp, score double, relevance double")
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=k) for k in range(0, 130, 5)]
+    frame = spark.createDataFrame([("a", d, 1.0) for d in days], "series string, session date, close double")
+    for row in news.with_news(frame, articles, half_life_days=1.5).collect():
+        at = dt.datetime.combine(row["session"], dt.time())
+        seen = [m for m in made if at - dt.timedelta(days=15) <= m[2] < at]
+        weights = [2 ** (-((at - m[2]).total_seconds() / 86400) / 1.5) * m[4] for m in seen]
+        total = sum(weights)
+        assert (row["n"], row["publishers"], row["missing"]) == (len(seen), len({m[0] for m in seen}), not seen)
+        assert row["weight"] == pytest.approx(total) and row["novelty"] == pytest.approx(len({m[1] for m in seen}) / len(seen) if seen else 0.0)
+        assert row["sentiment"] == pytest.approx(sum(w * m[3] for w, m in zip(weights, seen, strict=True)) / total if seen else 0.0)
+    with pytest.raises(ValueError, match="novelty"):
+        news.with_news(frame.withColumn("novelty", F.lit(1.0)), articles)

@@ -138,7 +138,13 @@ SQL = {
       e AS (SELECT series, arg_max(close, session) AS z, arg_min(close, session) AS a, count(*) AS n FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) <= 60) GROUP BY 1)
       SELECT k.series, step, session, CASE WHEN coalesce(passed, false) THEN 'drift' ELSE 'persistence' END AS model, round(CASE WHEN coalesce(passed, false) THEN z + step * (z - a) / (n - 1) ELSE z END, 2) AS price
       FROM k JOIN e USING (series) LEFT JOIN ok USING (series) WHERE step <= 30""",
-    "bundle_check": f"WITH {BARS_SQL} SELECT series, CASE series WHEN 'BUILDING' THEN 'prices' WHEN 'MACHINERY' THEN 'lengths' WHEN 'FURNITURE' THEN 'origin' ELSE '' END AS problems FROM b GROUP BY 1",
+    "bundle_check": f"""WITH {BARS_SQL}, k AS (SELECT series, session, close, row_number() OVER (PARTITION BY series ORDER BY session DESC) AS k FROM b),
+      p AS (SELECT series, list(session ORDER BY session) AS hd, list(close ORDER BY session) AS hp FROM k WHERE k > 5 AND k <= 25 GROUP BY 1),
+      f AS (SELECT series, list(session ORDER BY session) AS fd, list(CASE WHEN series = 'BUILDING' THEN -close ELSE close END ORDER BY session) AS pr, count(*) - CASE WHEN series = 'MACHINERY' THEN 1 ELSE 0 END AS nr FROM k WHERE k <= 5 GROUP BY 1),
+      m AS (SELECT *, hd[-1] AS origin, hp[-1] + CASE WHEN series = 'FURNITURE' THEN 1 ELSE 0 END AS origin_price FROM p JOIN f USING (series))
+      SELECT series, array_to_string(list_filter([CASE WHEN len(fd) <> 5 OR len(pr) <> 5 OR nr <> 5 THEN 'lengths' END, CASE WHEN len(hd) <> 20 OR len(hp) <> 20 THEN 'history' END,
+        CASE WHEN NOT (list_min(pr) > 0 AND list_min(hp) > 0) THEN 'prices' END, CASE WHEN fd <> list_sort(list_distinct(fd)) OR hd <> list_sort(list_distinct(hd)) THEN 'dates' END,
+        CASE WHEN fd[1] <= origin THEN 'order' END, CASE WHEN hd[-1] <> origin OR hp[-1] <> origin_price THEN 'origin' END], lambda x: x IS NOT NULL), ',') AS problems FROM m""",
     "horizon_buckets": "SELECT p_partkey, CAST(list_min(list_filter([1, 3, 5, 7, 14, 30], lambda b: b >= greatest(1, least(30, p_partkey % 45 - 3)))) AS BIGINT) AS bucket FROM part",
     "served_forecasts": """WITH m AS (SELECT o_custkey % 30 AS ticker, max(o_orderdate) AS c, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS p FROM orders GROUP BY 1),
       w AS (SELECT CAST(n_nationkey AS BIGINT) AS ticker, n_nationkey % 7 + 1 AS days FROM nation UNION ALL SELECT 99, 3),
