@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, media, mixing, ngram, packing, sharding, topk, toxicity, urls, warc
+from . import jaccard, media, merkle, mixing, negatives, ngram, packing, radix, sharding, topk, toxicity, urls, warc
 from .sql import SQL
 from .store import table
 
@@ -53,6 +53,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix.judged_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_lm_scoring, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_lm_scoring, op3_warc, op4_toxicity, op5_jaccard_join, op6_url_filters, op7_topk, op8_sharding, op9_mixing, op10_packing,
+        op11_exact_dedup, op12_merkle_manifest, op13_hard_negatives,
+    )
 }

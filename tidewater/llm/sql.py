@@ -67,4 +67,55 @@ OP7 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
 
-SQL = {"op3_warc": OP3, "op5_jaccard_join": OP5, "op6_url_filters": OP6, "op7_topk": OP7}
+OP11 = r"""WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY h ORDER BY doc_id NULLS LAST) = 1 AS kept, h AS text_sha256 FROM t WINDOW g AS (PARTITION BY h)"""
+
+#: Levels that the manifest's SQL spells out: 16**5 rows of a source, 16**3 sources.
+LEAF_LEVELS, SOURCE_LEVELS = 5, 3
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, depth: int) -> str:
+    """From {name}0 (g, p, n, node): nodes {name}k of each level and the texts {name}rk of its runs; trees of one node stay as they are."""
+    out = []
+    for k in range(depth):
+        out.append(f"{name}r{k} AS (SELECT g, p // 16 AS r, string_agg(node, '' ORDER BY p) AS run FROM {name}{k} WHERE n > 1 GROUP BY 1, 2)")
+        out.append(f"{name}{k + 1} AS (SELECT g, p // 16 AS p, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY p)) ELSE max(node) END AS node FROM {name}{k} GROUP BY g, p // 16, n)")
+    return ",\n".join(out)
+
+
+def _fold(name: str, depth: int, begun: str, ended: str) -> str:
+    """From ``begun`` (g, p, proof, fold, more) up the tree to ``ended``: siblings are what the run's text has before and behind the own node."""
+    out, last = [], begun
+    for k in range(depth):
+        l, r = f"coalesce(substr(run, 1, 64 * (p // {16**k} % 16)), '')", f"coalesce(substr(run, 64 * (p // {16**k} % 16) + 65), '')"
+        now = ended if k == depth - 1 else f"{ended}{k}"
+        out.append(f"{now} AS (SELECT x.* REPLACE (proof || {l} || {r} AS proof, CASE WHEN run IS NULL THEN fold ELSE sha256({l} || fold || {r}) END AS fold) FROM {last} x LEFT JOIN {name}r{k} y ON x.g IS NOT DISTINCT FROM y.g AND x.p // {16 ** (k + 1)} = y.r)")
+        last = now
+    return ",\n".join(out)
+
+
+OP12 = f"""WITH d AS (SELECT *, {_leaf("text")} AS node, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda a, c: list_reduce([xor(a, c)] || range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM documents),
+a0 AS (SELECT source AS g, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS p, count(*) OVER (PARTITION BY source) AS n, node,
+  CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE node END AS changed FROM d),
+{_tree("a", LEAF_LEVELS)},
+b0 AS (SELECT 0 AS g, a.g AS source, row_number() OVER (ORDER BY encode(a.g) NULLS FIRST) - 1 AS p, count(*) OVER () AS n, node FROM a{LEAF_LEVELS} a),
+{_tree("b", SOURCE_LEVELS)},
+x AS (SELECT g, p, doc_id, node AS leaf, '' AS proof, changed AS fold FROM a0),
+{_fold("a", LEAF_LEVELS, "x", "y")},
+z AS (SELECT 0 AS g, b0.p, b0.node AS subroot, doc_id, leaf, proof, fold FROM y JOIN b0 ON y.g IS NOT DISTINCT FROM b0.source),
+{_fold("b", SOURCE_LEVELS, "z", "w")}
+SELECT doc_id, leaf, subroot, r.node AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.node AS verified FROM w, b{SOURCE_LEVELS} r"""
+
+OP13 = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 3"""
+
+SQL = {"op3_warc": OP3, "op5_jaccard_join": OP5, "op6_url_filters": OP6, "op7_topk": OP7, "op11_exact_dedup": OP11, "op12_merkle_manifest": OP12, "op13_hard_negatives": OP13}
