@@ -1,5 +1,6 @@
 """Scoring, joins, classification and packing of texts against plain versions."""
 
+import itertools
 import math
 import random
 import zlib
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.llm import jaccard, ngram, packing, toxicity
+from tidewater.llm import hashing, jaccard, ngram, packing, toxicity
 from tidewater.llm.components import components
 from tidewater.llm.eliasfano import EliasFano
 
@@ -269,3 +270,40 @@ def test_toxicity_keeps_clashing_columns_and_survives_uninformative_texts(spark)
     assert toxicity.judged(df, labels).where("p_toxic is null or isnan(p_toxic)").count() == 0
     w = toxicity.fit_logistic([np.array([], np.int64)] * 4, np.zeros((4, 0)), np.array([0.0, 1.0, 0.0, 1.0]))
     assert np.isfinite(w).all()
+
+
+def thue_morse(length, letters):
+    """Two words of one length and the same letters whose polynomial hashes agree modulo powers of two."""
+    bits = [bin(k).count("1") % 2 for k in range(length)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+STRUCTURED = [pair for n in range(8, 15) for pair in (thue_morse(1 << n, "ab"), thue_morse(1 << n, "xq"))]
+
+
+def test_structured_words_have_hashes_of_their_own():
+    words = [w for pair in STRUCTURED for w in pair] + [w for n in range(1, 7) for w in thue_morse(1 << n, "ab")]
+    words += ["".join(x) for x in itertools.product("ab", repeat=12)] + ["\x00" * k for k in range(1, 80)] + [chr(97 + k) * j for k in range(26) for j in (7, 8, 9, 16, 17, 64, 65)]
+    hashes, _ = hashing.word_hashes(pa.array(words, pa.string()))
+    assert len(set(hashes.tolist())) == len(set(words))
+    again, _ = hashing.word_hashes(pa.array([" ".join(words[:50]), "A" + words[0][1:].upper()], pa.string()))
+    assert again[:50].tolist() == hashes[:50].tolist() and again[50] == hashing.word_hashes(pa.array(["a" + words[0][1:]]))[0][0]
+
+
+def test_structured_words_stay_apart_in_scoring_links_and_ids(spark):
+    rows = [(k, word) for k, word in enumerate(w for pair in STRUCTURED for w in pair)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = jaccard.join_documents(df).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_links"] == 0 for r in linked)
+    scores = {r["doc_id"]: r for r in ngram.scored_documents(df).collect()}
+    assert all(r["n_known"] == (1 if r["held_out"] else 2) for r in scores.values())
+    encoder = packing.Encoder(packing.tokenizer_path())
+    texts = [w for _, w in rows[:12]]
+    assert encoded(encoder, texts) == plainly_encoded(encoder, texts)
+
+
+def test_encoder_tells_parts_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(packing, "hashed", lambda data, starts, stops: (stops - starts).astype(np.uint64) % np.uint64(3))
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for texts in (["the cat sat on the mat", "a dog, a cat 12", None], ["the dog sat", "The CAT it's naïve 中文字 the"], ["cat " * 50]):
+        assert encoded(encoder, texts) == plainly_encoded(encoder, texts)

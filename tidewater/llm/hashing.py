@@ -1,8 +1,10 @@
 """Hashes of words, for whole Arrow columns at once.
 
-Words end at ASCII white space; A-Z is lower-cased. A word's hash is a polynomial in an odd multiplier over random
-numbers of its bytes, modulo 2**64, mixed with its length; it is taken from running sums, so no word becomes a Python
-object. Words of over ``LONGEST`` bytes, which would need long running sums, are hashed one by one.
+Words end at ASCII white space; A-Z is lower-cased. A word is read in lanes of 8 bytes, the last one filled up with zeros;
+each lane goes into the hash by an invertible mixing step, after the word's length. Words of one length of at most 8 bytes
+therefore never share a hash, and in longer ones no structure survives the steps between their lanes. Words of over
+``LONGEST`` bytes are hashed one by one by xxh3, so no step runs over many lanes. Only lanes are made for a word, no Python
+object.
 """
 
 from __future__ import annotations
@@ -11,25 +13,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-LONGEST = 1 << 20
-#: Bytes over which one running sum goes; at least ``LONGEST``.
-STRETCH = 1 << 20
+LANE, LONGEST = 8, 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
+_FIRST, _SECOND = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20_240_601).integers(1, 1 << 64, 256, dtype=np.uint64)
-_RANDOM_LOWER = _RANDOM[_LOWER]
-_BASE = 0xD1342543DE82EF95
-
-
-def _powers(base: int) -> np.ndarray:
-    return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(STRETCH, base, np.uint64))))
-
-
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+#: What of a lane belongs to a word with so many bytes left.
+_KEPT = np.array([(1 << (8 * k)) - 1 for k in range(LANE)] + [(1 << 64) - 1], np.uint64)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -56,31 +49,58 @@ def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, stops, np.searchsorted(starts, ends)
 
 
-def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, lower: bool = True) -> np.ndarray:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """An invertible step after which every bit depends on every bit of x."""
+    x = x + MIX
+    x = (x ^ (x >> np.uint64(30))) * _FIRST
+    x = (x ^ (x >> np.uint64(27))) * _SECOND
+    return x ^ (x >> np.uint64(31))
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as a number."""
+    padded = np.zeros(len(data) + LANE, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """A hash of each word of these bytes."""
-    random = _RANDOM_LOWER if lower else _RANDOM
-    out = np.empty(len(starts), np.uint64)
-    k = 0
-    while k < len(starts):
-        base = int(starts[k])
-        to = int(np.searchsorted(stops, base + STRETCH, "right"))
-        if to <= k or stops[k] - starts[k] > LONGEST:
-            out[k] = xxhash.xxh64_intdigest((_LOWER[data[starts[k] : stops[k]]] if lower else data[starts[k] : stops[k]]).tobytes())
-            k += 1
-            continue
-        a, b = starts[k:to] - base, stops[k:to] - base
-        sums = np.zeros(int(b[-1]) + 1, np.uint64)
-        np.cumsum(random[data[base : base + int(b[-1])]] * _UP[: int(b[-1])], out=sums[1:])
-        out[k:to] = (sums[b] - sums[a]) * _DOWN[a] + (b - a).astype(np.uint64)
-        k = to
-    out ^= out >> np.uint64(32)
-    out *= MIX
-    out ^= out >> np.uint64(29)
+    lanes, sizes = _lanes(data), stops - starts
+    out = _mixed(sizes.astype(np.uint64))
+    short = np.flatnonzero(sizes <= LONGEST)
+    for at in range(0, LONGEST, LANE):
+        short = short[sizes[short] > at]
+        if not len(short):
+            break
+        lane = lanes[starts[short] + at] & _KEPT[np.minimum(sizes[short] - at, LANE)]
+        out[short] = _mixed(out[short] ^ lane)
+    for k in np.flatnonzero(sizes > LONGEST).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : stops[k]])
     return out
 
 
+def same_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, others: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each word of ``data`` has the bytes of the word at its place in ``others``."""
+    lanes, other_lanes, sizes = _lanes(data), _lanes(others), stops - starts
+    same = sizes == to - at
+    left = np.flatnonzero(same & (sizes <= LONGEST))
+    for k in range(0, LONGEST, LANE):
+        left = left[sizes[left] > k]
+        if not len(left):
+            break
+        same[left] &= ((lanes[starts[left] + k] ^ other_lanes[at[left] + k]) & _KEPT[np.minimum(sizes[left] - k, LANE)]) == 0
+    for k in np.flatnonzero(same & (sizes > LONGEST)).tolist():
+        same[k] = bool((data[starts[k] : stops[k]] == others[at[k] : to[k]]).all())
+    return same
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in their order, and how many there are up to each of the texts' bounds."""
     data, ends = text_bytes(texts)
     starts, stops, bounds = word_bounds(data, ends)
-    return hashed(data, starts, stops), bounds
+    return hashed(lower(data), starts, stops), bounds

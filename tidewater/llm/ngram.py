@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
-from .hashing import MIX, hashed, word_bounds
+from .hashing import MIX, hashed, lower, word_bounds
 from .store import written
 
 FOLDS, HELD_OUT = 5, 1
@@ -92,7 +92,7 @@ class Tokens:
     def __init__(self, lengths: bytes, texts: bytes):
         data = np.frombuffer(zstandard.ZstdDecompressor().decompress(texts) if texts else b"", np.uint8)
         starts, stops, bounds = word_bounds(data, np.concatenate(([0], np.cumsum(np.frombuffer(lengths, np.int64)))))
-        self.one = np.insert(hashed(data, starts, stops), bounds[1:], END)
+        self.one = np.insert(hashed(lower(data), starts, stops), bounds[1:], END)
         self.counts = np.diff(bounds) + 1
         self.first = np.cumsum(self.counts) - self.counts
         self.before = self._shifted(self.one, 1)

@@ -19,15 +19,16 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, compress, count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .hashing import hashed, text_bytes, word_bounds
+from .hashing import hashed, lower, same_words, text_bytes, word_bounds
 from .store import sliced, written
 
 CAPACITY = 4096
@@ -92,7 +93,7 @@ class Encoder:
     """Ids of texts, as one array of little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space and encodes what is between it piece by piece. So texts are cut into parts that it
-    takes as whole pieces, the distinct parts of a batch (told apart by 64-bit hashes) are encoded once each, and ids are
+    takes as whole pieces, the distinct parts of a batch (found by hashes, told apart by their bytes) are encoded once each, and ids are
     put in place by the parts' numbers. Encoded parts are kept for later batches and forgotten, where they have become too
     many, before a batch is looked up.
     """
@@ -104,8 +105,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Keys are sorted; each has the place and number of its ids."""
+        """Keys are sorted; each has the place and number of its ids, and the place of its bytes in ``spelled``."""
         self.keys, self.firsts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.opens, self.closes, self.spelled = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of these words, and the ids."""
@@ -119,39 +121,60 @@ class Encoder:
         bounds = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1], [True])))
         return (np.diff(bounds), np.array(got.ids, "<u4")) if len(bounds) == len(parts) + 1 else self.whole(parts)
 
-    def learn(self, keys: np.ndarray, words: list[str], plain: np.ndarray) -> None:
-        found = []
+    def learn(self, keys: np.ndarray, words: list[str], plain: np.ndarray, spelled: list[bytes]) -> None:
+        found, spelled = [], [*compress(spelled, plain), *compress(spelled, ~plain)]
         for kind, encode in ((True, self.pieces), (False, self.whole)):
             some = list(compress(words, plain == kind))
             found += [encode(some[k : k + TOGETHER]) for k in range(0, len(some), TOGETHER)]
         lengths, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         keys = np.concatenate((self.keys, keys[plain], keys[~plain]))
         firsts = np.concatenate((self.firsts, len(self.ids) + np.cumsum(lengths) - lengths))
+        ends = len(self.spelled) + np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+        opens, closes = np.concatenate((self.opens, len(self.spelled) + np.concatenate(([0], ends[:-1] - len(self.spelled))))), np.concatenate((self.closes, ends))
+        self.spelled = np.concatenate((self.spelled, np.frombuffer(b"".join(spelled), np.uint8)))
         by = np.argsort(keys, kind="stable")  # a merge of sorted runs
         self.keys, self.firsts, self.lengths, self.ids = keys[by], firsts[by], np.concatenate((self.lengths, lengths))[by], np.concatenate((self.ids, ids))
+        self.opens, self.closes = opens[by], closes[by]
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is or would be among those known, and whether it is there."""
+        place = np.searchsorted(self.keys, keys)
+        return place, (place < len(self.keys)) & (np.append(self.keys, np.uint64(0))[place] == keys)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token, and the bounds of the texts in them."""
         data, ends = text_bytes(texts)
         firsts, lasts, plain, bounds = parts_of(data, ends)
-        hashes = hashed(data, firsts, lasts)
-        hashes[~plain] = hashed(data, firsts[~plain], lasts[~plain], lower=False)
-        by = np.argsort(hashes)
-        opens = np.flatnonzero(np.concatenate(([True], hashes[by][1:] != hashes[by][:-1]))) if len(by) else by
-        keys, at = hashes[by[opens]], by[opens]
+        own = lower(data)
+        as_is = _runs(firsts[~plain], (lasts - firsts)[~plain])
+        own[as_is] = data[as_is]
         if len(self.keys) > CACHED_PARTS or self.ids.nbytes > CACHED_BYTES:
             self.forget()
-        place = np.searchsorted(self.keys, keys)
-        new = np.append(self.keys, np.uint64(0))[place] != keys
-        new |= place == len(self.keys)
+        hashes = hashed(own, firsts, lasts)
+        for seed in count(1):
+            by = np.argsort(hashes)
+            opens = np.flatnonzero(np.concatenate(([True], hashes[by][1:] != hashes[by][:-1]))) if len(by) else by
+            keys, at, times = hashes[by[opens]], by[opens], np.diff(opens, append=len(by))
+            place, known = self.places(keys)
+            # A key is one part if all have the bytes of its first, and those of the part it is known for.
+            one = np.repeat(at, times)
+            same = same_words(own, firsts[by], lasts[by], own, firsts[one], lasts[one])
+            met = np.ones(len(at), bool)
+            met[known] = same_words(own, firsts[at[known]], lasts[at[known]], self.spelled, self.opens[place[known]], self.closes[place[known]])
+            clash = by[~(same & np.repeat(met, times))]
+            if not len(clash):
+                break
+            for k in clash.tolist():
+                hashes[k] = xxhash.xxh3_64_intdigest(own[firsts[k] : lasts[k]], seed)
+        new = ~known
         if new.any():
-            spans = zip(firsts[at[new]].tolist(), lasts[at[new]].tolist(), strict=True)
+            spans = list(zip(firsts[at[new]].tolist(), lasts[at[new]].tolist(), strict=True))
             raw = memoryview(data)
-            self.learn(keys[new], [str(raw[a:b], "utf-8") for a, b in spans], plain[at[new]])
-            place = np.searchsorted(self.keys, keys)
+            self.learn(keys[new], [str(raw[a:b], "utf-8") for a, b in spans], plain[at[new]], [own[a:b].tobytes() for a, b in spans])
+            place, _ = self.places(keys)
         # The end token is a part after each text's last one.
         number = np.empty(len(by), np.int64)
-        number[by] = np.repeat(place, np.diff(opens, append=len(by)))
+        number[by] = np.repeat(place, times)
         order = np.insert(number, bounds[1:], len(self.keys))
         ids = np.append(self.ids, np.array([END_ID], "<u4"))
         sizes = np.append(self.lengths, 1)[order]
