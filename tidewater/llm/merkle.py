@@ -97,6 +97,7 @@ def with_paths(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fan:
         both = F.concat(F.array(F.struct("left", "right")), "_above")
         lone = here.where("n = 1").join(tops, TREE)
         path = below.select(*TREE, *own, both.alias("path"), *more).unionByName(lone.select(*TREE, *own, "path", *more))
+        path = written(path, "merkle-paths") if depth else path
     return path if len(levels) > 1 else nodes.where("n = 1").join(tops, TREE)
 
 
