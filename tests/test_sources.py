@@ -34,8 +34,8 @@ def test_universe_keeps_first_places(spark, tmp_path):
 
 def test_ledger_keeps_corrupt_lines_apart(spark, tmp_path):
     path = f"{tmp_path}/ledger"
-    schema = "trial string, family string, relative_mae double, median_relative_mae double, promotable boolean, status string, audited boolean, decision string"
-    io.append_ledger(spark.createDataFrame([("t1", "ridge", None, 0.9, True, None, None, None)], schema), path)
+    schema = "trial string, family string, relative_mae double, median_relative_mae double, promotable boolean, status string, snapshot_id string, commit string, decision string"
+    io.append_ledger(spark.createDataFrame([("t1", "ridge", 0.7, 0.9, True, None, "unknown", "c", None)], schema), path)
     row = io.read_ledger(spark, path).first()
     assert (row["relative_mae"], row["decision"], row["status"], row["audited"]) == (0.9, "keep", "success", False)
     (tmp_path / "ledger" / "part-bad.json").write_text('{"trial": "t2", "fam\n')

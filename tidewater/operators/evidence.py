@@ -20,6 +20,13 @@ def losses(scored: DataFrame, candidate: str, baseline: str = "persistence") ->
     return scored.groupBy("series", "s").agg(pick(candidate).alias("candidate"), pick(baseline).alias("baseline"))
 
 
+def model_losses(scored: DataFrame, baseline: str = "persistence") -> DataFrame:
+    """model, series, s, candidate and baseline absolute error per origin, averaged over horizons, of every other model."""
+    by = scored.groupBy("model", "series", "s").agg(F.avg(F.abs(F.col("actual") - F.col("predicted"))).alias("candidate"))
+    base = by.where(F.col("model") == baseline).select("series", "s", F.col("candidate").alias("baseline"))
+    return by.where(F.col("model") != baseline).join(base, ["series", "s"]).select("model", "series", "s", "candidate", "baseline")
+
+
 def prefix_sums(rows: DataFrame, keys: tuple[str, ...], order: str, values: tuple[str, ...]) -> DataFrame:
     """i = 0..n per key with the sums of the first i values."""
     w = W.partitionBy(*keys).orderBy(order)
@@ -111,12 +118,16 @@ def psi(rows: DataFrame, feature: str, value: str, is_reference: Column, bins: i
 
 
 def residual_drift(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, resamples: int, seed: int = 0) -> DataFrame:
-    """Bootstrap intervals of the means of both halves; drift if they are disjoint."""
+    """Bootstrap intervals of the mean error magnitude of both halves; drift if they are disjoint.
+
+    The blocks of both halves are a quarter of the shorter one, 20 at most. Keys of under ten rows have no result.
+    """
     w = W.partitionBy(*keys)
-    half = F.when(F.row_number().over(w.orderBy(order)) <= F.floor(F.count(F.lit(1)).over(w) / 2), 1).otherwise(2)
-    halves = rows.withColumn("half", half)
-    block = F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.col("n") / 4)))
-    found = bootstrap_mean(halves, (*keys, "half"), order, value, resamples, block, seed)
+    rows = rows.withColumn("_all", F.count(F.lit(1)).over(w)).where("_all >= 10")
+    half = F.when(F.row_number().over(w.orderBy(order)) <= F.floor(F.col("_all") / 2), 1).otherwise(2)
+    # The halves' sizes differ by one at most, so the shorter one has the floor of half of all rows.
+    halves = rows.withColumn("half", half).withColumn("_block", F.greatest(F.lit(1), F.least(F.lit(20), F.floor(F.floor(F.col("_all") / 2) / 4))))
+    found = bootstrap_mean(halves, (*keys, "half", "_block"), order, value, resamples, F.col("_block"), seed)
     pick = lambda name, h: F.max(F.when(F.col("half") == h, F.col(name))).alias(f"{name}_{h}")
     wide = found.groupBy(*keys).agg(*(pick(n, h) for h in (1, 2) for n in ("mean", "low", "high")))
     return wide.withColumn("drift", (F.col("low_1") > F.col("high_2")) | (F.col("low_2") > F.col("high_1")))

@@ -40,6 +40,8 @@ class ServingPolicy:
     rows: int = 60
     wins: int = 4
     worst_fold: float = 1.25
+    deviations: float = 4.0
+    history: int = 30
 
 
 def reasons(**failing: Column) -> Column:
@@ -65,14 +67,17 @@ def fold_gate(df: DataFrame, policy: FoldPolicy = FoldPolicy()) -> DataFrame:  #
 
 
 def universe_gate(df: DataFrame, policy: UniversePolicy = UniversePolicy()) -> DataFrame:  # noqa: B008
-    """One row from rows of relative_mae, relative_rmse and passed per asset."""
+    """One row per model from rows of relative_mae, relative_rmse and passed per asset; assets without both errors are a reason of their own."""
+    whole = F.col("relative_mae").isNotNull() & F.col("relative_rmse").isNotNull()
+    middle = lambda c: F.percentile(F.when(whole, F.col(c)), F.lit(0.5))
     out = df.groupBy("model").agg(
-        F.count(F.lit(1)).alias("assets"), F.count_if("passed").alias("qualifying"), F.percentile("relative_mae", F.lit(0.5)).alias("median_mae"),
-        F.percentile("relative_rmse", F.lit(0.5)).alias("median_rmse"), F.count_if(F.col("relative_mae") > policy.catastrophic).alias("catastrophic"),
+        F.count(F.lit(1)).alias("assets"), F.count_if(whole).alias("complete"), F.count_if("passed").alias("qualifying"), middle("relative_mae").alias("median_mae"),
+        middle("relative_rmse").alias("median_rmse"), F.count_if(whole & (F.col("relative_rmse") > policy.catastrophic)).alias("catastrophic"),
     ).withColumnRenamed("passed", "_p")
+    over = lambda c: F.coalesce(F.col(c) > policy.median, F.lit(False))
     return decided(out, reasons(
-        assets=F.col("assets") < policy.assets, qualifying=F.col("qualifying") < policy.qualifying, median_mae=F.col("median_mae") > policy.median,
-        median_rmse=F.col("median_rmse") > policy.median, catastrophic=F.col("catastrophic") > policy.most_catastrophic,
+        assets=F.col("assets") < policy.assets, incomplete=F.col("complete") < F.col("assets"), qualifying=F.col("qualifying") < policy.qualifying,
+        median_mae=over("median_mae"), median_rmse=over("median_rmse"), catastrophic=F.col("catastrophic") > policy.most_catastrophic,
     ))
 
 
@@ -88,26 +93,37 @@ def direction_gate(df: DataFrame, policy: DirectionPolicy = DirectionPolicy()) -
     ))
 
 
-def serving_gate(df: DataFrame, either: bool, policy: ServingPolicy = ServingPolicy()) -> DataFrame:  # noqa: B008
-    """df: relative_mae, relative_rmse, first_day, selected, n, wins, worst_fold, move, limit_sd, limit_extreme.
+def browser_gate(df: DataFrame, policy: ServingPolicy = ServingPolicy()) -> DataFrame:  # noqa: B008
+    """df: relative_mae, relative_rmse, folds, wins and worst_fold (squared errors), first_mae, first_rmse, selected_mae, selected_rmse, rows (of the selected horizon), move, limits.
 
-    either: a move is implausible beyond either limit, else only beyond both.
+    Folds count where there are several. A horizon without errors is no reason. A move is implausible if it is beyond both
+    limits, and never where history is short.
     """
-    return decided(df, _serving_reasons(either, policy))
+    several = F.col("folds") > 1
+    beaten = lambda name: F.coalesce((F.col(f"{name}_mae") >= policy.first_day) | (F.col(f"{name}_rmse") >= policy.first_day), F.lit(False))
+    short = (F.col("recent_n") < policy.history) | (F.col("horizon_n") < policy.history)
+    beyond = F.coalesce((F.col("move") > F.col("limit_sd")) & (F.col("move") > F.col("limit_extreme")), F.lit(False))
+    return decided(df, reasons(
+        relative_mae=F.col("relative_mae") >= policy.relative, relative_rmse=F.col("relative_rmse") >= policy.relative,
+        wins=several & (F.col("wins") < policy.wins), worst_fold=several & (F.col("worst_fold") > policy.worst_fold), rows=F.col("rows") < policy.rows,
+        first_day=beaten("first"), selected=beaten("selected"), implausible=~short & beyond,
+    ))
 
 
 def server_gate(df: DataFrame, folds: FoldPolicy = FoldPolicy(), policy: ServingPolicy = ServingPolicy()) -> DataFrame:  # noqa: B008
-    """The fold gate's reasons first, then those for serving; a move is implausible beyond either limit."""
-    return decided(df, F.array_distinct(F.concat(_fold_reasons(folds), _serving_reasons(True, policy))))
+    """The fold gate's reasons first, then those for serving, which has no fold rules of its own.
 
-
-def _serving_reasons(either: bool, policy: ServingPolicy) -> Column:
-    over_sd, over_extreme = F.col("move") > F.col("limit_sd"), F.col("move") > F.col("limit_extreme")
-    implausible = over_sd | over_extreme if either else over_sd & over_extreme
-    return reasons(
-        relative_mae=F.col("relative_mae") >= policy.relative, relative_rmse=F.col("relative_rmse") >= policy.relative, first_day=F.col("first_day") >= policy.first_day,
-        selected=F.col("selected") >= policy.first_day, rows=F.col("n") < policy.rows, wins=F.col("wins") < policy.wins, worst_fold=F.col("worst_fold") > policy.worst_fold, implausible=implausible,
+    A missing horizon is a reason. A move is implausible beyond either limit; short recent history excuses both, a short
+    history of the horizon the second one.
+    """
+    missed = lambda name: (F.col(f"{name}_mae") >= policy.first_day) | (F.col(f"{name}_rmse") >= policy.first_day)
+    beyond = lambda limit, n: F.coalesce((F.col("move") > F.col(limit)) & (F.col(n) >= policy.history), F.lit(False))
+    implausible = (F.col("recent_n") >= policy.history) & (F.coalesce(F.col("move") > F.col("limit_sd"), F.lit(False)) | beyond("limit_extreme", "horizon_n"))
+    own = reasons(
+        serving_mae=F.col("relative_mae") >= policy.relative, serving_rmse=F.col("relative_rmse") >= policy.relative, first_day=missed("first"), selected=missed("selected"),
+        rows=F.col("rows") < policy.rows, implausible=F.coalesce(implausible, F.lit(False)),
     )
+    return decided(df, F.concat(_fold_reasons(folds), own))
 
 
 def holdout_verdict(mae: Column, rmse: Column, mae_high: Column, rmse_high: Column, limit: float = 0.98) -> Column:
@@ -131,11 +147,16 @@ class BrowserDirectionPolicy:
     better: float = 0.98
     rows: int = 60
     wins: int = 4
+    fold_accuracy: float = 0.5
 
 
 def browser_direction_gate(df: DataFrame, policy: BrowserDirectionPolicy = BrowserDirectionPolicy()) -> DataFrame:  # noqa: B008
-    """df: balanced_accuracy, brier, naive_brier, n, wins (folds that beat the naive forecast)."""
+    """df: balanced_accuracy, brier, majority (share of the larger class), n, folds, wins (folds whose balanced accuracy is above ``fold_accuracy``).
+
+    The Brier score is measured against 1 - majority; folds count where there are several.
+    """
+    base = 1 - F.col("majority")
     return decided(df, reasons(
-        balanced=F.col("balanced_accuracy") < policy.balanced, brier=F.try_divide(F.col("brier"), F.col("naive_brier")) >= policy.better,
-        rows=F.col("n") < policy.rows, wins=F.col("wins") < policy.wins,
+        balanced=F.col("balanced_accuracy") < policy.balanced, brier=F.when(base > 1e-9, F.col("brier") / base) >= policy.better,
+        wins=(F.col("folds") > 1) & (F.col("wins") < policy.wins), rows=F.col("n") < policy.rows,
     ))

@@ -158,9 +158,16 @@ def cross_fold(fold_scores: DataFrame, keys: tuple[str, ...], names: tuple[str,
 
 
 def fold_summary(fold_scores: DataFrame, keys: tuple[str, ...], limit: float = 0.98, worst: float = 1.25) -> DataFrame:
-    """Median and worst relative error over folds, folds that beat the baseline, and whether that would promote."""
-    out = fold_scores.groupBy(*keys).agg(F.percentile("relative_mae", F.lit(0.5)).alias("median_relative_mae"), F.max("relative_mae").alias("worst_relative_mae"), F.count_if(F.col("relative_mae") < 1).alias("wins"), F.count(F.lit(1)).alias("folds"))
-    return out.withColumn("promotable", (F.col("median_relative_mae") <= limit) & (F.col("worst_relative_mae") <= worst) & (F.col("wins") * 2 > F.col("folds")))
+    """Medians of both relative errors over folds, worst squared one, folds that it beats the baseline in, and whether that would promote.
+
+    Both medians have to be below the limit, and all folds but one at most have to be won.
+    """
+    out = fold_scores.groupBy(*keys).agg(
+        F.percentile("relative_mae", F.lit(0.5)).alias("median_relative_mae"), F.percentile("relative_rmse", F.lit(0.5)).alias("median_relative_rmse"),
+        F.max("relative_rmse").alias("worst_relative_rmse"), F.count_if(F.col("relative_rmse") < 1).alias("wins"), F.count(F.lit(1)).alias("folds"),
+    )
+    medians = (F.col("median_relative_mae") < limit) & (F.col("median_relative_rmse") < limit)
+    return out.withColumn("promotable", medians & (F.col("worst_relative_rmse") <= worst) & (F.col("wins") >= F.greatest(F.lit(1), F.col("folds") - 1)))
 
 
 def seed_summary(rows: DataFrame, keys: tuple[str, ...], metric: str) -> DataFrame:
@@ -170,13 +177,14 @@ def seed_summary(rows: DataFrame, keys: tuple[str, ...], metric: str) -> DataFra
 
 
 def browser_regression(df: DataFrame, keys: tuple[str, ...], least: float = 1e-4) -> DataFrame:
-    """The browser's figures: actuals near 0 are left out of the percentage, and r2 is 0 where there is no spread."""
-    e, a = F.col("actual") - F.col("predicted"), F.col("actual")
-    spread = F.sum(a * a) - F.sum(a) * F.sum(a) / F.count(F.lit(1))
+    """The browser's figures: actuals near 0 are left out of the percentage, r2 is 0 where actuals are all alike, and errors are also given over those of ``baseline``."""
+    e, a, base = F.col("actual") - F.col("predicted"), F.col("actual"), F.col("actual") - F.col("baseline")
+    rmse = lambda x: F.sqrt(F.avg(x * x))
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.coalesce(100 * F.avg(F.when(F.abs(a) >= least, F.abs(e / a))), F.lit(0.0)).alias("mape"),
-        F.when(spread > 1e-9 * F.sum(a * a), 1 - F.sum(e * e) / spread).otherwise(F.lit(0.0)).alias("r2"),
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), rmse(e).alias("rmse"),
+        (100 * F.avg(F.when(F.abs(a) >= least, F.abs(F.try_divide(e, a))))).alias("mape"),
+        F.when(F.var_pop(a) == 0, F.lit(0.0)).otherwise(1 - F.try_divide(F.avg(e * e), F.var_pop(a))).alias("r2"),
+        F.try_divide(F.avg(F.abs(e)), F.avg(F.abs(base))).alias("relative_mae"), F.try_divide(rmse(e), rmse(base)).alias("relative_rmse"),
     )
 
 
@@ -188,27 +196,45 @@ def band_coverage(quantiles: DataFrame, keys: tuple[str, ...], low: float, high:
     return bands.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(inside.cast("double")).alias("coverage"), F.avg(F.col("high") - F.col("low")).alias("width"), F.lit(high - low).alias("nominal"))
 
 
-def seed_spread(runs: DataFrame, keys: tuple[str, ...], higher: tuple[str, ...]) -> DataFrame:
-    """Per metric over seeds: those that count (seed, metric, value, error), mean, spread, best and worst, status and failures.
+def seed_spread(runs: DataFrame, keys: tuple[str, ...], metrics: tuple[str, ...], higher: tuple[str, ...]) -> DataFrame:
+    """Per metric over the seeds that ran: mean, median, population deviation, best and worst; with the run's status and failures.
 
-    A metric's missing values are dropped for it alone; best and worst change places for metrics of which more is better.
+    runs: keys, seed, error (null where the seed ran) and a column per metric; values that are null, NaN or infinite are left
+    out. Best and worst change places for metrics of which more is better. status is that of all seeds together.
     """
-    value, up = F.col("value"), F.col("metric").isin(*higher)
-    out = runs.groupBy(*keys, "metric").agg(
-        F.count(F.lit(1)).alias("seeds"), F.count(value).alias("used"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("spread"), F.min(value).alias("_low"), F.max(value).alias("_high"),
-        F.concat_ws("; ", F.array_sort(F.collect_set("error"))).alias("failures"),
-    )
-    status = F.when(F.col("used") == 0, "crash").when(F.col("used") < F.col("seeds"), "partial").otherwise("success")
-    return out.select(*keys, "metric", "seeds", "used", "mean", "spread", F.when(up, F.col("_high")).otherwise(F.col("_low")).alias("best"), F.when(up, F.col("_low")).otherwise(F.col("_high")).alias("worst"), status.alias("status"), "failures")
+    failed, seeds = F.count("error"), F.count(F.lit(1))
+    status = F.when(failed == 0, "success").when(failed == seeds, "crash").otherwise("partial")
+    said = F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("seed", "error")))), lambda x: F.concat(F.lit("seed "), x["seed"].cast("string"), F.lit(": "), x["error"]))
+    whole = runs.groupBy(*keys).agg(seeds.alias("seeds"), failed.alias("failed"), status.alias("status"), F.concat_ws("; ", said).alias("failures"))
+    values = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics)))
+    sound = F.col("_v.value").isNotNull() & ~F.isnan("_v.value") & (F.abs("_v.value") != float("inf")) & F.col("error").isNull()
+    value, up = F.when(sound, F.col("_v.value")), F.col("metric").isin(*higher)
+    out = runs.select(*keys, "error", values.alias("_v")).groupBy(*keys, F.col("_v.metric").alias("metric")).agg(
+        F.count(value).alias("used"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("spread"), F.min(value).alias("_low"), F.max(value).alias("_high")
+    )
+    ends = [F.when(up, F.col("_high")).otherwise(F.col("_low")).alias("best"), F.when(up, F.col("_low")).otherwise(F.col("_high")).alias("worst")]
+    return out.join(whole, list(keys)).select(*keys, "metric", "seeds", "failed", "used", "mean", "median", "spread", *ends, "status", "failures")
 
 
 def legacy_holdout(scored: DataFrame, keys: tuple[str, ...], first: int, last: int) -> DataFrame:
-    """Errors on the first horizon; direction from the last horizon against the first, actual against predicted."""
+    """Errors on the first horizon; direction from the last horizon against the first, actual against predicted.
+
+    With one horizon, direction compares the signs of differences between neighbouring rows. Percentages leave zero actuals
+    out and are null without others.
+    """
     at = lambda c, h: F.max(F.when(F.col("horizon") == h, F.col(c)))
     wide = scored.groupBy(*keys, "s").agg(*(at(c, h).alias(f"{c}_{name}") for c in ("actual", "predicted") for h, name in ((first, "first"), (last, "last"))))
-    e = F.col("actual_first") - F.col("predicted_first")
-    agrees = F.signum(F.col("actual_last") - F.col("actual_first")) == F.signum(F.col("predicted_last") - F.col("predicted_first"))
-    return wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(agrees.cast("double")).alias("direction"))
+    a, p = F.col("actual_first"), F.col("predicted_first")
+    if first == last:
+        w = W.partitionBy(*keys).orderBy("s")
+        wide = wide.withColumns({"_a": F.signum(a - F.lag(a).over(w)), "_p": F.signum(p - F.lag(p).over(w))})
+    else:
+        wide = wide.withColumns({"_a": F.signum(F.col("actual_last") - a), "_p": F.signum(F.col("predicted_last") - p)})
+    e = a - p
+    return wide.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (100 * F.avg(F.when(a != 0, F.abs(F.try_divide(e, a))))).alias("mape"),
+        (1 - F.try_divide(F.avg(e * e), F.var_pop(a))).alias("r2"), F.avg((F.col("_a") == F.col("_p")).cast("double")).alias("direction"),
+    )
 
 
 def comparison_series(scored: DataFrame, sessions: DataFrame, keys: tuple[str, ...], points: int = 240) -> DataFrame:

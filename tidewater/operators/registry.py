@@ -20,12 +20,16 @@ def ledger_rows(lines: DataFrame, schema: str, column: str = "value") -> tuple[D
 
 
 def ledger_defaults(records: DataFrame) -> DataFrame:
-    """Defaults and fallbacks of a record: relative error from the fold median, decision from promotable, audited flag."""
+    """Defaults and fallbacks of a record: the folds' median before the plain error, decision from promotable, audited from where it comes.
+
+    A record is audited if both its snapshot and its commit are known: neither missing, empty nor ``unknown``.
+    """
+    known = lambda c: F.coalesce(~F.col(c).isin("", "unknown"), F.lit(False)) if c in records.columns else F.lit(False)
     return records.withColumns({
-        "relative_mae": F.coalesce("relative_mae", "median_relative_mae"),
+        "relative_mae": F.coalesce("median_relative_mae", "relative_mae"),
         "decision": F.coalesce("decision", F.when(F.col("promotable"), "keep").otherwise("discard")),
         "status": F.coalesce("status", F.lit("success")),
-        "audited": F.coalesce(F.col("audited"), F.lit(False)),
+        "audited": known("snapshot_id") & known("commit"),
     })
 
 
@@ -106,9 +110,25 @@ def replay(events: DataFrame) -> DataFrame:
     return logs.withColumn("_s", F.aggregate("_log", state, step)).select("ticker", F.size("_log").cast("long").alias("n"), F.col("_s.current").alias("current"), F.col("_s.previous").alias("previous"))
 
 
-def version_id(ticker: Column, kind: Column, created: Column, digest: Column, snapshot: Column) -> Column:
-    stamp = F.date_format(created, "yyyyMMdd'T'HHmmss")
-    return F.concat_ws("-", F.lower(ticker), kind, stamp, F.left(digest, F.lit(12)), F.right(F.regexp_replace(snapshot, "[^0-9a-f]", ""), F.lit(8)))
+#: What a version's name looks like (a fixed contract).
+VERSION = r"^[A-Z0-9.-]+-(price|direction)-\d{8}T\d{6}Z-([0-9a-f]{12}|unknown)-([0-9a-f]{8}|unknown)$"
+
+
+def version_id(ticker: Column, kind: Column, created: Column, commit: Column, snapshot: Column) -> Column:
+    """Name of a version: ticker, kind, time in UTC, 12 letters of the commit, and the last 8 hex digits of the snapshot, filled up with zeros.
+
+    created is a timestamp, formatted in UTC whatever the session's zone. A commit that is missing is ``unknown``, and so
+    is a snapshot that is missing, called so or without hex digits.
+    """
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), created.cast("timestamp").cast("timestamp_ntz"))
+    hexes = F.regexp_replace(F.coalesce(snapshot, F.lit("")), "[^0-9a-fA-F]", "")
+    short = F.when((F.coalesce(snapshot, F.lit("unknown")) == "unknown") | (hexes == ""), "unknown").otherwise(F.lpad(F.lower(F.right(hexes, F.lit(8))), 8, "0"))
+    sha = F.when(F.coalesce(commit, F.lit("")) == "", "unknown").otherwise(F.left(commit, F.lit(12)))
+    return F.concat_ws("-", ticker, kind, F.date_format(utc, "yyyyMMdd'T'HHmmss'Z'"), sha, short)
+
+
+def known_version(version: Column) -> Column:
+    return version.rlike(VERSION)
 
 
 def parity(left: DataFrame, right: DataFrame, keys: tuple[str, ...], tolerance: float) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import evidence as E
 from ..operators import forecast, gates, metrics
 from ..operators import samples as S
+from ..sources.shared import written
 from ..sources.tables import bars, bars_wide, table
 from .features import rounded
-from .forecasts import _FOLD_SQL, _PROB_SQL, _REPORT, SAMPLES_SQL, SCORED_SQL, STUDY, probabilities, scored
+from .forecasts import _PROB_SQL, _REPORT, SCORED_SQL, STUDY, fold_sql, probabilities, scored
 
 RESAMPLES = 500
 BLOCK = 20
@@ -43,8 +44,9 @@ def psi_by_feature(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_drift(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scored(spark, sf).where("horizon = 1 and model = 'drift'").withColumn("e", F.col("actual") - F.col("predicted"))
-    return rounded(E.residual_drift(rows, ("series",), "s", "e", 200), ("series", "drift"), dict.fromkeys(("mean_1", "low_1", "high_1", "mean_2", "low_2", "high_2"), 3))
+    """Error magnitudes averaged over horizons, first half against second."""
+    rows = E.model_losses(scored(spark, sf)).where("model = 'drift'")
+    return rounded(E.residual_drift(rows, ("series",), "s", "candidate", 250), ("series", "drift"), dict.fromkeys(("mean_1", "low_1", "high_1", "mean_2", "low_2", "high_2"), 3))
 
 
 def constrained_blend(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,21 +54,31 @@ def constrained_blend(spark: SparkSession, sf: str) -> DataFrame:
     return scored(spark, sf).where("model = 'drift'").groupBy("horizon").agg(F.count(F.lit(1)).alias("n")).withColumn("weight", F.round(F.lit(weights["drift"]), 6))
 
 
-def _gate_rows(spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
-    """What the gates look at, per model and series."""
-    source = bars_wide(spark, sf) if wide else bars(spark, sf)
-    study = S.Study(lookback=20, horizons=(1, 3)) if wide else STUDY
-    rows = forecast.baseline_forecasts(source, study)
-    pooled = metrics.relative(metrics.report(rows, ("model", "series")), keys=("series", "horizon"))
-    folds = metrics.relative(metrics.report(rows, ("model", "series"), "fold"), keys=("series", "fold")).where("fold is not null")
-    summary = folds.groupBy("model", "series").agg(F.count_if(F.col("relative_mae") < 1).alias("wins"), F.max("relative_mae").alias("worst_fold"))
-    scaled = metrics.scaled_errors(rows, source, study.lookback, study.gap).groupBy("model", "series").agg(F.avg("mase").alias("mase"), F.avg("rmsse").alias("rmsse"))
-    near, far = min(study.horizons), max(study.horizons)
-    by = pooled.groupBy("model", "series").agg(
-        *(F.max(F.when(F.col("horizon").isNull(), F.col(c))).alias(c) for c in ("relative_mae", "relative_rmse", "n")),
-        F.max(F.when(F.col("horizon") == near, F.col("relative_mae"))).alias("first_day"), F.max(F.when(F.col("horizon") == far, F.col("relative_mae"))).alias("selected"),
+def fold_gate_rows(rows: DataFrame, source: DataFrame, study: S.Study) -> DataFrame:
+    """What the gates look at, per model other than persistence and series; rows: scored forecasts.
+
+    A fold is won on both errors, and its worst is the largest squared one; ``wins_rmse`` looks at squared errors alone.
+    """
+    keys, near, far = ("model", "series"), min(study.horizons), max(study.horizons)
+    pooled = metrics.relative(metrics.report(rows, keys), keys=("series", "horizon"))
+    folds = metrics.relative(metrics.report(rows, keys, "fold"), keys=("series", "fold")).where("fold is not null")
+    mae, rmse = F.col("relative_mae") < 1, F.col("relative_rmse") < 1
+    summary = folds.groupBy(*keys).agg(F.count(F.lit(1)).alias("folds"), F.count_if(mae & rmse).alias("wins"), F.count_if(rmse).alias("wins_rmse"), F.max("relative_rmse").alias("worst_fold"))
+    scaled = metrics.scaled_errors(rows, source, study.lookback, study.gap).groupBy(*keys).agg(F.avg("mase").alias("mase"), F.avg("rmsse").alias("rmsse"))
+    of = lambda h, c, name: F.max(F.when(F.col("horizon").isNull() if h is None else F.col("horizon") == h, F.col(c))).alias(name)
+    by = pooled.groupBy(*keys).agg(
+        of(None, "relative_mae", "relative_mae"), of(None, "relative_rmse", "relative_rmse"), of(None, "n", "n"), of(near, "relative_mae", "first_mae"), of(near, "relative_rmse", "first_rmse"),
+        of(far, "relative_mae", "selected_mae"), of(far, "relative_rmse", "selected_rmse"), of(far, "n", "rows"),
     )
-    return by.join(summary, ["model", "series"]).join(scaled, ["model", "series"]).where("model = 'drift'")
+    return by.join(summary, list(keys)).join(scaled, list(keys)).where("model <> 'persistence'")
+
+
+#: The study of one series per nation.
+WIDE = S.Study(lookback=20, horizons=(1, 3))
+
+
+def _gate_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return fold_gate_rows(written(scored(spark, sf), "scored"), bars(spark, sf), STUDY)
 
 
 _GATE = ("model", "series", "passed", "reasons", "wins")
@@ -77,8 +89,12 @@ def gate_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_universe(spark: SparkSession, sf: str) -> DataFrame:
-    rows = gates.fold_gate(_gate_rows(spark, sf, wide=True)).select("model", "series", "relative_mae", "relative_rmse", "passed")
-    return rounded(gates.universe_gate(rows), ("model", "assets", "qualifying", "catastrophic", "passed", "reasons"), {"median_mae": 6, "median_rmse": 6})
+    """One series per nation is an asset; one of seven lacks its squared error."""
+    source = bars_wide(spark, sf)
+    rows = fold_gate_rows(written(forecast.baseline_forecasts(source, WIDE), "scored"), source, WIDE)
+    judged = gates.fold_gate(rows).withColumn("relative_rmse", F.when(F.col("series").cast("int") % 7 != 3, F.col("relative_rmse")))
+    found = gates.universe_gate(judged.select("model", "series", "relative_mae", "relative_rmse", "passed"))
+    return rounded(found, ("model", "assets", "complete", "qualifying", "catastrophic", "passed", "reasons"), {"median_mae": 6, "median_rmse": 6})
 
 
 def gate_direction(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,44 +110,30 @@ def gate_direction(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _serving(spark: SparkSession, sf: str) -> DataFrame:
-    vol = metrics.volatility(bars(spark, sf), horizon=max(STUDY.horizons))
-    drift = scored(spark, sf).where("model = 'drift' and horizon = 20").groupBy("series").agg(F.abs(F.log(F.max_by("predicted", "s") / F.max_by("origin", "s"))).alias("move"))
-    limits = vol.select("series", (3 * F.col("per_horizon")).alias("limit_sd"), F.col("extreme").alias("limit_extreme"))
-    return _gate_rows(spark, sf).join(drift, "series").join(limits, "series")
+    source, far, policy = written(bars(spark, sf), "bars"), max(STUDY.horizons), gates.ServingPolicy()
+    rows = written(forecast.baseline_forecasts(source, STUDY), "scored")
+    vol = metrics.volatility(source, horizon=far)
+    move = rows.where(f"model = 'drift' and horizon = {far}").groupBy("series").agg(F.abs(F.log(F.try_divide(F.max_by("predicted", "s"), F.max_by("origin", "s")))).alias("move"))
+    known = source.groupBy("series").agg(F.least(F.count(F.lit(1)) - 1, F.lit(60)).alias("recent_n"), F.greatest(F.count(F.lit(1)) - far, F.lit(0)).alias("horizon_n"))
+    limits = vol.select("series", (policy.deviations * F.col("per_horizon")).alias("limit_sd"), F.col("extreme").alias("limit_extreme"))
+    return fold_gate_rows(rows, source, STUDY).join(move, "series").join(limits, "series").join(known, "series")
 
 
-def gate_browser_price(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(gates.serving_gate(_serving(spark, sf), either=False), _GATE, {"first_day": 6, "selected": 6, "move": 6})
+_SERVED = {"first_mae": 6, "first_rmse": 6, "selected_mae": 6, "selected_rmse": 6, "move": 6}
 
 
-def gate_server(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(gates.server_gate(_serving(spark, sf)), _GATE, {"first_day": 6, "selected": 6, "move": 6})
-
-
-def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    """Four contiguous holdout windows per series, the last rows of each tested; errors against persistence and both pooled intervals."""
-    raw = bars(spark, sf)
-    counts = S.samples(raw, STUDY).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    rows = S.contiguous_losses(raw, STUDY, S.holdout_windows(counts, 4, 60, 80, 60, STUDY.gap))
-    rows = rows.withColumns({"candidate_2": F.col("candidate") * F.col("candidate"), "baseline_2": F.col("baseline") * F.col("baseline")})
-    by = rows.groupBy("series", "window").agg((F.sum("candidate") / F.sum("baseline")).alias("relative_mae"), F.sqrt(F.sum("candidate_2") / F.sum("baseline_2")).alias("relative_rmse"))
-    mae, rmse = (E.bootstrap_ratio(rows, ("series",), "s", f"candidate{x}", f"baseline{x}", RESAMPLES, F.lit(BLOCK)) for x in ("", "_2"))
-    pooled = mae.select("series", F.col("high").alias("mae_high")).join(rmse.select("series", F.sqrt("high").alias("rmse_high")), "series")
-    return rounded(gates.windows_verdict(by.join(pooled, "series"), ("series",)), ("series", "windows", "passing", "verdict"), {"mae_high": 6, "rmse_high": 6})
+def gate_browser_price(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _serving(spark, sf).drop("wins").withColumnRenamed("wins_rmse", "wins")
+    return rounded(gates.browser_gate(rows), _GATE, _SERVED)
 
 
-def walk_forward_experiment(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines over all folds with their evidence and gate, one row per series."""
-    gate = gates.fold_gate(_gate_rows(spark, sf)).select("series", "relative_mae", "relative_rmse", "passed", "reasons")
-    tests = E.false_discoveries(E.hac(_losses(spark, sf), ("series",), "s", "improvement"), "p_value", (), 0.10)
-    ratio = E.bootstrap_ratio(_losses(spark, sf), ("series",), "s", "candidate", "baseline", RESAMPLES, F.lit(BLOCK)).select("series", "low", "high")
-    out = gate.join(tests, "series").join(ratio, "series")
-    return rounded(out, ("series", "n", "passed", "reasons", "discovery"), {"relative_mae": 6, "relative_rmse": 6, "p_value": 6, "low": 6, "high": 6})
+def gate_server(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(gates.server_gate(_serving(spark, sf)), _GATE, _SERVED)
 
 
 QUERIES = {f.__name__: f for f in (
     bootstrap_mean_ci, bootstrap_ratio_ci, dm_hac, fdr_decisions, psi_by_feature, residual_drift, constrained_blend, gate_fold, gate_universe, gate_direction,
-    gate_browser_price, gate_server, multi_window_verdict, walk_forward_experiment,
+    gate_browser_price, gate_server,
 )}
 
 _LOSS = """ls AS (SELECT series, s, avg(CASE WHEN model = 'drift' THEN abs(actual - predicted) END) AS candidate, avg(CASE WHEN model = 'persistence' THEN abs(actual - predicted) END) AS baseline FROM sc GROUP BY 1, 2),
@@ -153,40 +155,69 @@ rm AS (SELECT {", ".join("st." + k for k in ks)}, resample, {diff} FROM st JOIN
   JOIN pf h ON {" AND ".join(f"h.{k} = st.{k}" for k in ks)} AND h.i = st.lo + least(bl, n - k * bl) GROUP BY ALL)"""
 
 
-_HAC = """hc AS (SELECT *, improvement - avg(improvement) OVER (PARTITION BY series) AS c FROM li),
-hp AS (SELECT a.series, b.i - a.i AS l, avg(a.c * b.c) AS g FROM hc a JOIN hc b ON a.series = b.series AND b.i - a.i BETWEEN 0 AND 40 GROUP BY 1, 2),
-hn AS (SELECT series, count(*) AS n, avg(improvement) AS mean, CAST(floor(4 * pow(count(*) / 100, 2.0::DOUBLE / 9)) AS BIGINT) AS lags FROM li GROUP BY 1),
-hv AS (SELECT hn.series, any_value(n) AS n, any_value(mean) AS mean, any_value(lags) AS lags, sum(CASE WHEN l = 0 THEN g WHEN l <= lags THEN 2 * (1 - l / (lags + 1)) * g ELSE 0 END) AS var FROM hn JOIN hp USING (series) GROUP BY 1),
+def hac_sql(keys: str) -> str:
+    """CTE fd with statistic, p_value and discovery per key, from li (keys, i, improvement)."""
+    return f"""hc AS (SELECT *, improvement - avg(improvement) OVER (PARTITION BY {keys}) AS c FROM li),
+hp AS (SELECT {", ".join("a." + k.strip() for k in keys.split(","))}, b.i - a.i AS l, avg(a.c * b.c) AS g FROM hc a JOIN hc b ON {" AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))} AND b.i - a.i BETWEEN 0 AND 40 GROUP BY ALL),
+hn AS (SELECT {keys}, count(*) AS n, avg(improvement) AS mean, CAST(floor(4 * pow(count(*) / 100, 2.0::DOUBLE / 9)) AS BIGINT) AS lags FROM li GROUP BY ALL),
+hv AS (SELECT {keys}, any_value(n) AS n, any_value(mean) AS mean, any_value(lags) AS lags, sum(CASE WHEN l = 0 THEN g WHEN l <= lags THEN 2 * (1 - l / (lags + 1)) * g ELSE 0 END) AS var FROM hn JOIN hp USING ({keys}) GROUP BY {keys}),
 hz AS (SELECT *, mean / sqrt(CASE WHEN var > 0 THEN var / n END) AS z, 1 / (1 + 0.3275911::DOUBLE * abs(mean / sqrt(CASE WHEN var > 0 THEN var / n END)) / sqrt(2)) AS tt FROM hv),
 ht AS (SELECT *, tt * (0.254829592::DOUBLE + tt * (-0.284496736::DOUBLE + tt * (1.421413741::DOUBLE + tt * (-1.453152027::DOUBLE + tt * 1.061405429::DOUBLE)))) * exp(-z * z / 2) AS p_value FROM hz),
 fd AS (SELECT *, coalesce(p_value <= max(CASE WHEN p_value <= 0.10 * r / m THEN p_value END) OVER (), false) AS discovery FROM (SELECT *, row_number() OVER (ORDER BY p_value) AS r, count(*) OVER () AS m FROM ht))"""
 
-_GATE_SQL = f"""{_FOLD_SQL}, po0 AS (SELECT model, series, horizon, {_REPORT} FROM sc GROUP BY GROUPING SETS ((model, series, horizon), (model, series))),
+
+_HAC = hac_sql("series")
+
+
+def gate_sql(base: str = SCORED_SQL, source: str = "b", lookback: int = 60, near: int = 1, far: int = 20) -> str:
+    """CTE gt, what the gates look at, from the CTEs in ``base`` (sc, folds, source)."""
+    return f"""{fold_sql(base)}, po0 AS (SELECT model, series, horizon, {_REPORT} FROM sc GROUP BY GROUPING SETS ((model, series, horizon), (model, series))),
 po AS (SELECT a.*, a.mae / nullif(p.mae, 0) AS relative_mae, a.rmse / nullif(p.rmse, 0) AS relative_rmse FROM po0 a JOIN po0 p ON p.model = 'persistence' AND a.series = p.series AND a.horizon IS NOT DISTINCT FROM p.horizon),
-sl AS (SELECT b.series, fold, avg(abs(close - prev)) AS ad, avg((close - prev) * (close - prev)) AS sd FROM b JOIN folds ON b.series = folds.series AND t <= train_hi - 1 + 59 + 20 GROUP BY 1, 2),
+sl AS (SELECT b.series, fold, avg(abs(close - prev)) AS ad, avg((close - prev) * (close - prev)) AS sd FROM {source} b JOIN folds ON b.series = folds.series AND t <= train_hi - 1 + {lookback - 1} + {far} GROUP BY 1, 2),
 ms AS (SELECT model, series, avg(mae / ad) AS mase, avg(sqrt(mse / sd)) AS rmsse FROM (SELECT model, series, fold, avg(abs(actual - predicted)) AS mae, avg((actual - predicted) * (actual - predicted)) AS mse FROM sc GROUP BY 1, 2, 3) JOIN sl USING (series, fold) GROUP BY 1, 2),
-su AS (SELECT model, series, count(CASE WHEN relative_mae < 1 THEN 1 END) AS wins, max(relative_mae) AS worst_fold FROM fs GROUP BY 1, 2),
+su AS (SELECT model, series, count(*) AS folds, count(CASE WHEN relative_mae < 1 AND relative_rmse < 1 THEN 1 END) AS wins, count(CASE WHEN relative_rmse < 1 THEN 1 END) AS wins_rmse, max(relative_rmse) AS worst_fold FROM fs GROUP BY 1, 2),
 gr AS (SELECT model, series, max(CASE WHEN horizon IS NULL THEN relative_mae END) AS relative_mae, max(CASE WHEN horizon IS NULL THEN relative_rmse END) AS relative_rmse, max(CASE WHEN horizon IS NULL THEN n END) AS n,
-  max(CASE WHEN horizon = 1 THEN relative_mae END) AS first_day, max(CASE WHEN horizon = 20 THEN relative_mae END) AS selected FROM po WHERE model = 'drift' GROUP BY 1, 2),
+  max(CASE WHEN horizon = {near} THEN relative_mae END) AS first_mae, max(CASE WHEN horizon = {near} THEN relative_rmse END) AS first_rmse, max(CASE WHEN horizon = {far} THEN relative_mae END) AS selected_mae,
+  max(CASE WHEN horizon = {far} THEN relative_rmse END) AS selected_rmse, max(CASE WHEN horizon = {far} THEN n END) AS rows FROM po WHERE model <> 'persistence' GROUP BY 1, 2),
 gt AS (SELECT * FROM gr JOIN su USING (model, series) JOIN ms USING (model, series))"""
 
 
+_GATE_SQL = gate_sql()
+
+
 def _why(**failing: str) -> str:
     return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce({c}, true) THEN '{n}' END" for n, c in failing.items()) + "], lambda x: x IS NOT NULL), ',')"
 
 
 _FOLD_WHY = _why(relative_mae="relative_mae > 0.95", relative_rmse="relative_rmse > 0.95", mase="mase >= 1", rmsse="rmsse >= 1", wins="wins < 4", worst_fold="worst_fold > 1.25")
-_SERVE = f"""{_GATE_SQL}, vl AS (SELECT series, stddev_samp(CASE WHEN k <= 60 THEN r END) * sqrt(20) AS ph, quantile_cont(h, 0.995) AS x FROM (
+_SERVE = f"""{_GATE_SQL}, vl AS (SELECT series, stddev_samp(CASE WHEN k <= 60 THEN r END) * sqrt(20) AS ph, quantile_cont(h, 0.995) AS x, least(count(r), 60) AS nr, count(h) AS nh FROM (
   SELECT series, ln(close / prev) AS r, abs(ln(close / lag(close, 20) OVER (PARTITION BY series ORDER BY session))) AS h, row_number() OVER (PARTITION BY series ORDER BY session DESC) AS k FROM b) GROUP BY 1),
-mv AS (SELECT series, abs(ln(arg_max(predicted, s) / arg_max(origin, s))) AS move FROM sc WHERE model = 'drift' AND horizon = 20 GROUP BY 1),
-sv AS (SELECT gt.*, move, 3 * ph AS l1, x AS l2 FROM gt JOIN mv USING (series) JOIN vl USING (series))"""
-
-
-def _serve(joined: str, before: str = "") -> str:
-    why = _why(relative_mae="relative_mae >= 0.98", relative_rmse="relative_rmse >= 0.98", first_day="first_day >= 1", selected="selected >= 1", rows="n < 60", wins="wins < 4", worst_fold="worst_fold > 1.25", implausible=f"move > l1 {joined} move > l2")
-    if before:
-        why = f"array_to_string(list_filter(['relative_mae', 'relative_rmse', 'mase', 'rmsse', 'wins', 'worst_fold', 'first_day', 'selected', 'rows', 'implausible'], lambda x: list_contains(string_split({before} || ',' || {why}, ','), x)), ',')"
-    return f"WITH {_SERVE}, w AS (SELECT *, {why} AS reasons FROM sv) SELECT model, series, reasons = '' AS passed, reasons, wins, round(first_day, 6) AS first_day, round(selected, 6) AS selected, round(move, 6) AS move FROM w"
+mv AS (SELECT series, CASE WHEN arg_max(predicted, s) > 0 THEN abs(ln(CASE WHEN arg_max(predicted, s) > 0 THEN arg_max(predicted, s) / arg_max(origin, s) ELSE 1 END)) END AS move FROM sc WHERE model = 'drift' AND horizon = 20 GROUP BY 1),
+sv AS (SELECT gt.*, move, 4 * ph AS l1, x AS l2, nr, nh FROM gt JOIN mv USING (series) JOIN vl USING (series))"""
+_BROWSER_WHY = _why(
+    relative_mae="relative_mae >= 0.98", relative_rmse="relative_rmse >= 0.98", wins="folds > 1 AND wins_rmse < 4", worst_fold="folds > 1 AND worst_fold > 1.25", rows="rows < 60",
+    first_day="coalesce(first_mae >= 1 OR first_rmse >= 1, false)", selected="coalesce(selected_mae >= 1 OR selected_rmse >= 1, false)", implausible="coalesce(nr >= 30 AND nh >= 30 AND move > l1 AND move > l2, false)",
+)
+_SERVER_WHY = _why(
+    serving_mae="relative_mae >= 0.98", serving_rmse="relative_rmse >= 0.98", first_day="first_mae >= 1 OR first_rmse >= 1", selected="selected_mae >= 1 OR selected_rmse >= 1", rows="rows < 60",
+    implausible="coalesce(nr >= 30 AND (move > l1 OR (nh >= 30 AND move > l2)), false)",
+)
+
+
+def _serve(why: str, wins: str) -> str:
+    served = ", ".join(f"round({c}, 6) AS {c}" for c in _SERVED)
+    return f"WITH {_SERVE}, w AS (SELECT *, {why} AS reasons FROM sv) SELECT model, series, reasons = '' AS passed, reasons, {wins} AS wins, {served} FROM w"
+
+
+#: Samples, folds and forecasts of the study of one series per nation.
+_WIDE_SQL = """bars AS (SELECT CAST(c_nationkey AS VARCHAR) AS series, CAST(o_orderdate AS DATE) AS session, arg_max(o_totalprice, o_orderkey) AS close FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY session) - 1 AS t, lag(close) OVER (PARTITION BY series ORDER BY session) AS prev FROM bars),
+sm AS (SELECT series, session, t, t - 19 AS s, close AS origin, lag(close, 19) OVER w AS fc, lead(close, 1) OVER w AS y1, lead(close, 3) OVER w AS y3 FROM b WINDOW w AS (PARTITION BY series ORDER BY session) QUALIFY fc IS NOT NULL AND y3 IS NOT NULL),
+n AS (SELECT series, count(*) AS n FROM sm GROUP BY 1), f0 AS (SELECT series, n, unnest(generate_series(0, 4)) AS fold FROM n),
+folds AS (SELECT series, fold, n - (5 - fold) * (n // 12) - 3 AS train_hi, n - (5 - fold) * (n // 12) AS val_lo, n - (5 - fold) * (n // 12) + n // 12 AS val_hi FROM f0 WHERE n - (5 - fold) * (n // 12) - 3 > 0 AND n // 12 > 0),
+lg AS (SELECT sm.series, fold, train_hi, s, t, session, origin, fc, unnest([1, 3]) AS horizon, unnest([y1, y3]) AS actual FROM sm JOIN folds ON sm.series = folds.series AND s >= val_lo AND s < val_hi),
+sc AS (SELECT 'persistence' AS model, lg.*, origin AS predicted FROM lg UNION ALL SELECT 'drift', lg.*, origin + horizon * (origin - fc) / 19 FROM lg)"""
+_UNIVERSE_WHY = _why(assets="assets < 12", incomplete="complete < assets", qualifying="qualifying < 8", median_mae="coalesce(ma > 0.95, false)", median_rmse="coalesce(mr > 0.95, false)", catastrophic="catastrophic > 1")
 
 
 SQL = {
@@ -203,10 +234,10 @@ SQL = {
       c AS (SELECT dim, unnest(generate_series(0, len(e) - 2)) AS b FROM e), k AS (SELECT c.dim, c.b, count(CASE WHEN ref THEN 1 END) AS r, count(CASE WHEN NOT ref THEN 1 END) AS o FROM c LEFT JOIN b ON c.dim = b.dim AND c.b = b.b GROUP BY 1, 2),
       s AS (SELECT dim, greatest(r / sum(r) OVER (PARTITION BY dim), 1e-4) AS x, greatest(o / sum(o) OVER (PARTITION BY dim), 1e-4) AS y FROM k)
       SELECT CAST(dim AS INTEGER) AS dim, count(*) AS bins, round(sum((y - x) * ln(y / x)), 6) AS psi FROM s GROUP BY 1""",
-    "residual_drift": f"""WITH {SCORED_SQL}, e AS (SELECT series, s, actual - predicted AS e, row_number() OVER (PARTITION BY series ORDER BY s) AS r, count(*) OVER (PARTITION BY series) AS n FROM sc WHERE model = 'drift' AND horizon = 1),
-      hf AS (SELECT series, CASE WHEN r <= n // 2 THEN 1 ELSE 2 END AS half, e FROM e), hs AS (SELECT series, CASE WHEN r <= n // 2 THEN 1 ELSE 2 END AS half, e, row_number() OVER (PARTITION BY series, r <= n // 2 ORDER BY s) AS i FROM e),
-      {_boot("hs", "series, half", ("e",), "least(20, n // 4)", 200)}, q AS (SELECT series, half, quantile_cont(e, 0.025) AS low, quantile_cont(e, 0.975) AS high FROM rm GROUP BY 1, 2),
-      m AS (SELECT series, half, avg(e) AS mean FROM hf GROUP BY 1, 2), w AS (SELECT a.series, a.mean AS mean_1, qa.low AS low_1, qa.high AS high_1, z.mean AS mean_2, qz.low AS low_2, qz.high AS high_2
+    "residual_drift": f"""WITH {SCORED_SQL}, e AS (SELECT series, s, avg(abs(actual - predicted)) AS e, row_number() OVER (PARTITION BY series ORDER BY s) AS r, count(*) OVER (PARTITION BY series) AS n FROM sc WHERE model = 'drift' GROUP BY 1, 2),
+      hs AS (SELECT series, CASE WHEN r <= n // 2 THEN 1 ELSE 2 END AS half, e, n AS whole, row_number() OVER (PARTITION BY series, r <= n // 2 ORDER BY s) AS i FROM e WHERE n >= 10),
+      {_boot("hs", "series, half, whole", ("e",), "least(20, whole // 2 // 4)", 250)}, q AS (SELECT series, half, quantile_cont(e, 0.025) AS low, quantile_cont(e, 0.975) AS high FROM rm GROUP BY 1, 2),
+      m AS (SELECT series, half, avg(e) AS mean FROM hs GROUP BY 1, 2), w AS (SELECT a.series, a.mean AS mean_1, qa.low AS low_1, qa.high AS high_1, z.mean AS mean_2, qz.low AS low_2, qz.high AS high_2
         FROM m a JOIN m z ON a.series = z.series AND a.half = 1 AND z.half = 2 JOIN q qa ON qa.series = a.series AND qa.half = 1 JOIN q qz ON qz.series = a.series AND qz.half = 2)
       SELECT series, low_1 > high_2 OR low_2 > high_1 AS drift, round(mean_1, 3) AS mean_1, round(low_1, 3) AS low_1, round(high_1, 3) AS high_1, round(mean_2, 3) AS mean_2, round(low_2, 3) AS low_2, round(high_2, 3) AS high_2 FROM w""",
     "constrained_blend": f"""WITH {SCORED_SQL}, g AS (SELECT sum((predicted - origin) * (actual - origin)) / sum((predicted - origin) * (predicted - origin)) AS w FROM sc WHERE model = 'drift')
@@ -219,21 +250,10 @@ SQL = {
       f AS (SELECT count(*) AS folds, count(CASE WHEN a > 0.5 AND b < c THEN 1 END) AS wins FROM (SELECT (avg(CASE WHEN actual = 1 THEN said END) + avg(CASE WHEN actual = 0 THEN 1 - said END)) / 2 AS a, avg((probability - actual) * (probability - actual)) AS b, avg(actual) * (1 - avg(actual)) AS c FROM p GROUP BY source)),
       w AS (SELECT *, rate * (1 - rate) AS bb, {_why(balanced="ba < 0.53", brier="brier > 0.98 * rate * (1 - rate)", log_loss="ll > 0.98 * -(rate * ln(rate) + (1 - rate) * ln(1 - rate))", ece="ece > 0.1", wins="folds = 0 OR wins < least(folds, 4)")} AS reasons FROM g, f)
       SELECT n, folds, wins, reasons = '' AS passed, reasons, round(ba, 6) AS balanced_accuracy, round(brier, 6) AS brier, round(bb, 6) AS base_brier FROM w""",
-    "gate_browser_price": _serve("AND"),
-    "gate_server": _serve("OR", _FOLD_WHY),
-    "multi_window_verdict": f"""WITH {SAMPLES_SQL},
-      hw AS (SELECT series, win, CASE WHEN win = 3 THEN n ELSE 80 + (win + 1) * ((n - 80) // 4) END AS hi FROM (SELECT series, n, unnest(generate_series(0, 3)) AS win FROM n WHERE n - 80 >= 240)),
-      li0 AS (SELECT sm.series, win, s, (abs(y1 - origin - g) + abs(y5 - origin - 5 * g) + abs(y20 - origin - 20 * g)) / 3 AS candidate, (abs(y1 - origin) + abs(y5 - origin) + abs(y20 - origin)) / 3 AS baseline
-        FROM (SELECT *, (origin - fc) / 59 AS g FROM sm) sm JOIN hw ON hw.series = sm.series AND s >= hi - 60 AND s < hi),
-      li AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY s) AS i, candidate * candidate AS candidate_2, baseline * baseline AS baseline_2 FROM li0),
-      {_boot("li", "series", ("candidate", "baseline", "candidate_2", "baseline_2"), str(BLOCK))},
-      q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS mae_high, sqrt(quantile_cont(candidate_2 / nullif(baseline_2, 0), 0.975)) AS rmse_high FROM rm GROUP BY 1),
-      w AS (SELECT series, win, sum(candidate) / sum(baseline) AS a, sqrt(sum(candidate_2) / sum(baseline_2)) AS r FROM li GROUP BY 1, 2),
-      g AS (SELECT series, count(*) AS windows, count(CASE WHEN a < 0.98 AND r < 0.98 THEN 1 END) AS passing FROM w GROUP BY 1)
-      SELECT series, windows, passing, CASE WHEN passing * 2 > windows AND mae_high < 1 AND rmse_high < 1 THEN 'survives' ELSE 'fails' END AS verdict, round(mae_high, 6) AS mae_high, round(rmse_high, 6) AS rmse_high
-      FROM g JOIN q USING (series)""",
-    "walk_forward_experiment": f"""WITH {_GATE_SQL}, {_LOSS}, {_HAC}, {_boot("li", "series", ("candidate", "baseline"), str(BLOCK))}, q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.025) AS low, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS high FROM rm GROUP BY 1),
-      w AS (SELECT *, {_FOLD_WHY} AS reasons FROM gt)
-      SELECT w.series, fd.n, reasons = '' AS passed, reasons, discovery, round(relative_mae, 6) AS relative_mae, round(relative_rmse, 6) AS relative_rmse, round(p_value, 6) AS p_value, round(low, 6) AS low, round(high, 6) AS high
-      FROM w JOIN fd USING (series) JOIN q USING (series)""",
+    "gate_universe": f"""WITH {gate_sql(_WIDE_SQL, lookback=20, far=3)}, v AS (SELECT model, series, relative_mae AS a, CASE WHEN CAST(series AS INTEGER) % 7 <> 3 THEN relative_rmse END AS r, {_FOLD_WHY} = '' AS passed FROM gt),
+      g AS (SELECT model, count(*) AS assets, count(CASE WHEN a IS NOT NULL AND r IS NOT NULL THEN 1 END) AS complete, count(CASE WHEN passed THEN 1 END) AS qualifying, quantile_cont(CASE WHEN r IS NOT NULL THEN a END, 0.5) AS ma,
+        quantile_cont(CASE WHEN a IS NOT NULL THEN r END, 0.5) AS mr, count(CASE WHEN a IS NOT NULL AND r > 1.25 THEN 1 END) AS catastrophic FROM v GROUP BY 1), w AS (SELECT *, {_UNIVERSE_WHY} AS reasons FROM g)
+      SELECT model, assets, complete, qualifying, catastrophic, reasons = '' AS passed, reasons, round(ma, 6) AS median_mae, round(mr, 6) AS median_rmse FROM w""",
+    "gate_browser_price": _serve(_BROWSER_WHY, "wins_rmse"),
+    "gate_server": _serve(f"array_to_string(list_filter([{_FOLD_WHY}, {_SERVER_WHY}], lambda x: x <> ''), ',')", "wins"),
 }

@@ -94,7 +94,7 @@ def cross_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fold_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(metrics.fold_summary(_fold_scores(spark, sf), ("model", "series")), ("model", "series", "wins", "folds", "promotable"), {"median_relative_mae": 8, "worst_relative_mae": 8})
+    return rounded(metrics.fold_summary(_fold_scores(spark, sf), ("model", "series")), ("model", "series", "wins", "folds", "promotable"), dict.fromkeys(("median_relative_mae", "median_relative_rmse", "worst_relative_rmse"), 8))
 
 
 def direction_base_rate(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,9 +204,14 @@ def _r(names: dict[str, int]) -> str:
     return ", ".join(f"round({c}, {d}) AS {c}" for c, d in names.items())
 
 
-_FOLD_SQL = f"""{SCORED_SQL}, fs0 AS (SELECT model, series, fold, {_REPORT} FROM sc GROUP BY 1, 2, 3),
+def fold_sql(base: str) -> str:
+    """CTE fs, the scores of each fold over persistence's, from CTE sc in ``base``."""
+    return f"""{base}, fs0 AS (SELECT model, series, fold, {_REPORT} FROM sc GROUP BY 1, 2, 3),
 fs AS (SELECT a.*, a.mae / nullif(p.mae, 0) AS relative_mae, a.rmse / nullif(p.rmse, 0) AS relative_rmse FROM fs0 a JOIN fs0 p ON p.model = 'persistence' AND a.series = p.series AND a.fold = p.fold)"""
 
+
+_FOLD_SQL = fold_sql(SCORED_SQL)
+
 _PROB_SQL = """pr AS (SELECT doc_id, source, quality AS actual, toxic AS training_target, (n_chars % 997 + 1) / 1000.0::DOUBLE AS probability FROM labels JOIN documents USING (doc_id)),
 bins AS (SELECT least(CAST(floor(probability * 10) AS BIGINT), 9) AS bin, count(*) AS n, avg(probability) AS mean_probability, avg(actual) AS observed FROM pr GROUP BY 1)"""
 
@@ -244,8 +249,8 @@ SQL = {
       SELECT model, series, CAST(fold AS BIGINT) AS fold, round(mae / ad, 8) AS mase, round(sqrt(mse / sd), 8) AS rmsse FROM er JOIN sl USING (series, fold)""",
     "cross_fold_scores": f"""WITH {_FOLD_SQL}, u AS (SELECT model, series, unnest(['relative_mae', 'relative_rmse', 'direction']) AS metric, unnest([relative_mae, relative_rmse, direction]) AS x FROM fs)
       SELECT model, series, metric, count(x) AS n, round(avg(x), 8) AS mean, round(stddev_pop(x), 8) AS sd FROM u GROUP BY 1, 2, 3""",
-    "fold_summary": f"""WITH {_FOLD_SQL}, g AS (SELECT model, series, count(CASE WHEN relative_mae < 1 THEN 1 END) AS wins, count(*) AS folds, quantile_cont(relative_mae, 0.5) AS m, max(relative_mae) AS w FROM fs GROUP BY 1, 2)
-      SELECT model, series, wins, folds, m <= 0.98 AND w <= 1.25 AND wins * 2 > folds AS promotable, round(m, 8) AS median_relative_mae, round(w, 8) AS worst_relative_mae FROM g""",
+    "fold_summary": f"""WITH {_FOLD_SQL}, g AS (SELECT model, series, count(CASE WHEN relative_rmse < 1 THEN 1 END) AS wins, count(*) AS folds, quantile_cont(relative_mae, 0.5) AS m, quantile_cont(relative_rmse, 0.5) AS r, max(relative_rmse) AS w FROM fs GROUP BY 1, 2)
+      SELECT model, series, wins, folds, m < 0.98 AND r < 0.98 AND w <= 1.25 AND wins >= greatest(1, folds - 1) AS promotable, round(m, 8) AS median_relative_mae, round(r, 8) AS median_relative_rmse, round(w, 8) AS worst_relative_rmse FROM g""",
     "direction_base_rate": f"""WITH {BARS_SQL}, c AS (SELECT series, close - prev AS c FROM b WHERE prev IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) <= 252),
       p AS (SELECT series, count(*) AS n, (count(CASE WHEN c > 0 THEN 1 END) + 1) / (count(*) + 2) AS p FROM c GROUP BY 1) SELECT series, n, CASE WHEN p >= 0.5 THEN 'Up' ELSE 'Down' END AS label, round(p, 8) AS probability FROM p""",
     "train_mean_return": f"""WITH {SAMPLES_SQL}, l AS (SELECT series, s, unnest([1, 5, 20]) AS horizon, unnest([ln(y1 / origin), ln(y5 / origin), ln(y20 / origin)]) AS y FROM sm)

@@ -80,13 +80,15 @@ def archive_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ledger_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Ledger lines built from events; some are cut short."""
-    rows = table(spark, sf, "events")
-    relative = F.round(F.lit(0.9) + (F.col("event_id") % 40) / 100, 2)
-    line = F.to_json(F.struct(F.col("event_type").alias("family"), F.when(F.col("event_id") % 3 != 0, relative).alias("relative_mae"), relative.alias("median_relative_mae"), (relative < 1).alias("promotable"), F.when(F.col("event_id") % 5 == 0, F.lit("crash")).alias("status"), F.when(F.col("event_id") % 4 == 0, F.lit(True)).alias("audited")))
-    cut = F.when(F.col("event_id") % 50 == 0, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line"))
-    lines = rows.select("event_id", line.alias("line")).select(cut.alias("value"))
-    good, _ = registry.ledger_rows(lines, "family string, relative_mae double, median_relative_mae double, promotable boolean, status string, audited boolean, decision string")
+    """Ledger lines built from events; some are cut short, some lack the folds' median, snapshot or commit."""
+    rows, k = table(spark, sf, "events"), F.col("event_id")
+    relative = F.round(F.lit(0.9) + (k % 40) / 100, 2)
+    fields = F.struct(
+        F.col("event_type").alias("family"), (relative + F.when(k % 3 == 0, 0.0).otherwise(0.2)).alias("relative_mae"), F.when(k % 3 != 0, relative).alias("median_relative_mae"), (relative < 1).alias("promotable"),
+        F.when(k % 5 == 0, F.lit("crash")).alias("status"), F.when(k % 4 == 0, F.lit("unknown")).when(k % 4 != 1, F.lit("sha256:aa")).alias("snapshot_id"), F.when(k % 6 == 0, F.lit("")).otherwise(F.lit("abc")).alias("commit"),
+    )
+    lines = rows.select("event_id", F.to_json(fields).alias("line")).select(F.when(k % 50 == 0, F.expr("left(line, length(line) - 3)")).otherwise(F.col("line")).alias("value"))
+    good, _ = registry.ledger_rows(lines, "family string, relative_mae double, median_relative_mae double, promotable boolean, status string, snapshot_id string, commit string, decision string")
     return rounded(registry.ledger_report(registry.ledger_defaults(good), {"view": "browse", "error": "failure"}), ("family", "decision", "n", "failed", "unaudited"), {"best": 4})
 
 
@@ -136,9 +138,12 @@ def promotion_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def version_ids(spark: SparkSession, sf: str) -> DataFrame:
-    digest = F.md5(F.col("o_orderkey").cast("string"))
-    orders = table(spark, sf, "orders")
-    return orders.select("o_orderkey", registry.version_id(F.col("o_orderpriority"), F.lit("price"), F.col("o_orderdate"), digest, F.concat(F.lit("S-"), digest)).alias("version_id"))
+    """Names of versions made from orders; some lack commit or snapshot, some snapshots are short."""
+    k = F.col("o_orderkey")
+    digest = F.md5(k.cast("string"))
+    snapshot = F.when(k % 5 == 0, F.lit("unknown")).when(k % 7 == 0, F.lit("zz-")).when(k % 3 == 0, F.concat(F.lit("sha256:"), F.upper(F.left(digest, F.lit(3))))).otherwise(F.concat(F.lit("S-"), digest))
+    name = registry.version_id(F.concat(F.lit("P"), k.cast("string")), F.lit("price"), F.col("o_orderdate"), F.when(k % 4 != 0, digest), snapshot)
+    return table(spark, sf, "orders").select("o_orderkey", name.alias("version_id"), registry.known_version(name).alias("known"))
 
 
 def guarded_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -192,7 +197,7 @@ SQL = {
     "archive_manifest": f"WITH {NEWS_SQL} SELECT ticker, count(*) AS n, count(published_at) AS n_dated, epoch_us(min(published_at)) AS first_micros, epoch_us(max(published_at)) AS last_micros FROM news GROUP BY 1",
     "archive_violations": f"""WITH {NEWS_SQL}, v AS (SELECT doc_id, title, summary, CASE WHEN doc_id % 13 <> 0 THEN received_at END AS r, CASE WHEN doc_id % 17 = 0 THEN make_timestamp(epoch_us(published_at) + 1000000000000) ELSE published_at END AS p FROM news)
       SELECT doc_id, 'published' AS reason FROM v WHERE p IS NULL UNION ALL SELECT doc_id, 'received' FROM v WHERE r IS NULL UNION ALL SELECT doc_id, 'order' FROM v WHERE r < p UNION ALL SELECT doc_id, 'empty' FROM v WHERE coalesce(length(title), 0) + coalesce(length(summary), 0) = 0""",
-    "ledger_report": """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'browse' WHEN 'error' THEN 'failure' ELSE event_type END AS family, round(0.9::DOUBLE + (event_id % 40) / 100, 2) AS m, event_id % 5 = 0 AS bad, event_id % 4 = 0 AS audited FROM events WHERE event_id % 50 <> 0)
+    "ledger_report": """WITH r AS (SELECT CASE event_type WHEN 'view' THEN 'browse' WHEN 'error' THEN 'failure' ELSE event_type END AS family, round(0.9::DOUBLE + (event_id % 40) / 100, 2) AS m, event_id % 5 = 0 AS bad, event_id % 4 >= 2 AND event_id % 6 <> 0 AS audited FROM events WHERE event_id % 50 <> 0)
       SELECT family, CASE WHEN m < 1 THEN 'keep' ELSE 'discard' END AS decision, count(*) AS n, count(CASE WHEN bad THEN 1 END) AS failed, count(CASE WHEN m < 1 AND NOT audited THEN 1 END) AS unaudited, round(min(m), 4) AS best FROM r GROUP BY 1, 2""",
     "champions": f"WITH {_ART} SELECT pt.ticker, version_id FROM pt JOIN ar ON version = version_id AND status = 'promoted'",
     "retention_candidates": f"""WITH {_ART} SELECT version_id, ticker FROM ar WHERE created_at < TIMESTAMP '1997-01-01' AND NOT pruned AND status <> 'promoted' AND version_id NOT IN (SELECT version FROM pt) AND version_id NOT IN (SELECT previous FROM pt)""",
@@ -203,7 +208,9 @@ SQL = {
     "availability": f"""WITH {_ART}, c AS (SELECT pt.ticker, created_at FROM pt JOIN ar ON version = version_id AND status = 'promoted'), a AS (SELECT CAST(n_nationkey AS VARCHAR) AS ticker FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
       j AS (SELECT a.ticker, (epoch_us(TIMESTAMP '2001-08-02') - epoch_us(created_at)) / 3600000000.0::DOUBLE AS h FROM a LEFT JOIN c USING (ticker)) SELECT ticker, CASE WHEN h IS NULL THEN 'missing' WHEN h <= 36 THEN 'fresh' ELSE 'stale' END AS state, round(h, 3) AS age_hours FROM j""",
     "superseded_models": """WITH m AS (SELECT p_partkey AS model_id, p_partkey % 50 AS ticker, substr(CAST(p_partkey AS VARCHAR), 1, 1) AS kind, p_partkey % 3 AS rank FROM part) SELECT model_id, rank FROM m QUALIFY rank < max(rank) OVER (PARTITION BY ticker, kind)""",
-    "version_ids": """SELECT o_orderkey, lower(o_orderpriority) || '-price-' || strftime(o_orderdate, '%Y%m%dT%H%M%S') || '-' || left(md5(CAST(o_orderkey AS VARCHAR)), 12) || '-' || right(md5(CAST(o_orderkey AS VARCHAR)), 8) AS version_id FROM orders""",
+    "version_ids": r"""WITH v AS (SELECT o_orderkey, o_orderdate, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
+      w AS (SELECT o_orderkey, 'P' || o_orderkey || '-price-' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' ELSE left(h, 12) END || '-'
+        || CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 3 = 0 THEN '0a256' || left(h, 3) ELSE right(h, 8) END AS version_id FROM v) SELECT *, true AS known FROM w""",
     "guarded_export": r"""SELECT c_custkey, regexp_replace(['=', '+', '', '-', '@'][c_custkey % 5 + 1] || c_name, '^([=+\-@])', '''\1') AS cell FROM customer""",
     "prediction_parity": f"""WITH {BARS_SQL} SELECT count(*) AS n, count(CASE WHEN day(session) = 3 THEN 1 END) AS unmatched, CAST(0 AS BIGINT) AS not_finite, false AS equal, round(max(CASE WHEN day(session) <> 3 THEN CASE WHEN month(session) = 2 THEN 0.5::DOUBLE ELSE 0 END END), 6) AS largest FROM b""",
 }

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bundles, gates, registry
-from ..operators import evidence as E
+from ..operators import bundles, registry
 from ..operators import samples as S
 from ..sources.tables import bars, table
-from .evidence import BLOCK, RESAMPLES, _boot
 from .features import rounded
 from .forecasts import SAMPLES_SQL, SCORED_SQL, STUDY, scored
 
@@ -63,19 +61,7 @@ def research_fold_plan(spark: SparkSession, sf: str) -> DataFrame:
     return S.research_folds(counts, validation=20, min_train=60)
 
 
-def holdout_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """The last 60 origins of each series as one holdout: both relative errors and their upper bounds."""
-    raw = bars(spark, sf)
-    counts = S.samples(raw, STUDY).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
-    rows = S.contiguous_losses(raw, STUDY, S.holdout_windows(counts, 1, 60, 80, 60, STUDY.gap))
-    rows = rows.withColumns({f"{c}_2": F.col(c) * F.col(c) for c in ("candidate", "baseline")})
-    mae, rmse = (E.bootstrap_ratio(rows, ("series",), "s", f"candidate{x}", f"baseline{x}", RESAMPLES, F.lit(BLOCK)) for x in ("", "_2"))
-    both = mae.select("series", F.col("ratio").alias("relative_mae"), F.col("high").alias("mae_high")).join(rmse.select("series", F.sqrt("ratio").alias("relative_rmse"), F.sqrt("high").alias("rmse_high")), "series")
-    found = both.withColumn("verdict", gates.holdout_verdict(*map(F.col, ("relative_mae", "relative_rmse", "mae_high", "rmse_high"))))
-    return rounded(found, ("series", "verdict"), dict.fromkeys(("relative_mae", "relative_rmse", "mae_high", "rmse_high"), 6))
-
-
-QUERIES = {f.__name__: f for f in (artifact_compatibility, history_entries, served_metrics, instrument_lookup, audit_log, research_fold_plan, holdout_verdicts)}
+QUERIES = {f.__name__: f for f in (artifact_compatibility, history_entries, served_metrics, instrument_lookup, audit_log, research_fold_plan)}
 
 SQL = {
     "artifact_compatibility": """SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 OR p_partkey % 17 = 0 THEN 'schema_version' WHEN p_partkey % 5 = 0 THEN 'features' WHEN p_partkey % 7 = 0 THEN 'target' WHEN p_partkey % 11 = 0 THEN 'window' END AS problem FROM part""",
@@ -90,12 +76,4 @@ SQL = {
     "audit_log": """SELECT event_id AS id, event_type AS event, CASE WHEN event_id % 3 <> 0 THEN '{"user": ' || user_id || '}' ELSE '{}' END AS details, epoch_us(ts) AS created_at FROM events WHERE event_type = 'purchase'""",
     "research_fold_plan": f"""WITH {SAMPLES_SQL}, f AS (SELECT series, n, unnest(generate_series(1, 5)) AS fold FROM n WHERE n - 100 - 29 >= 60)
       SELECT series, fold, n - 100 + (fold - 1) * 20 - 29 AS train_hi, n - 100 + (fold - 1) * 20 AS val_lo, n - 100 + fold * 20 AS val_hi FROM f""",
-    "holdout_verdicts": f"""WITH {SAMPLES_SQL},
-      li0 AS (SELECT series, s, (abs(y1 - origin - g) + abs(y5 - origin - 5 * g) + abs(y20 - origin - 20 * g)) / 3 AS candidate, (abs(y1 - origin) + abs(y5 - origin) + abs(y20 - origin)) / 3 AS baseline
-        FROM (SELECT sm.*, (origin - fc) / 59 AS g FROM sm JOIN n ON n.series = sm.series AND s >= n.n - 60 AND n.n - 80 >= 60)),
-      li AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY s) AS i, candidate * candidate AS candidate_2, baseline * baseline AS baseline_2 FROM li0),
-      {_boot("li", "series", ("candidate", "baseline", "candidate_2", "baseline_2"), str(BLOCK))},
-      q AS (SELECT series, quantile_cont(candidate / nullif(baseline, 0), 0.975) AS mh, sqrt(quantile_cont(candidate_2 / nullif(baseline_2, 0), 0.975)) AS rh FROM rm GROUP BY 1),
-      g AS (SELECT series, sum(candidate) / sum(baseline) AS a, sqrt(sum(candidate_2) / sum(baseline_2)) AS r FROM li GROUP BY 1)
-      SELECT series, CASE WHEN a < 0.98 AND r < 0.98 AND mh < 1 AND rh < 1 THEN 'survives' ELSE 'fails' END AS verdict, round(a, 6) AS relative_mae, round(r, 6) AS relative_rmse, round(mh, 6) AS mae_high, round(rh, 6) AS rmse_high FROM g JOIN q USING (series)""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..operators import align, bundles, features, gates, metrics
 from ..operators.forecasters import CANDIDATES
+from ..sources.shared import new_path, written
 from ..sources.tables import BARS_SQL, BENCHMARKS, bars, benchmarks, table
 from ..streaming import jobs
 from .evidence import _FOLD_WHY, _GATE_SQL, _gate_rows
@@ -30,7 +31,7 @@ def _dataset(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     built = features.stationary_features(bars(spark, sf), benchmarks(spark, sf), BENCHMARKS)
     w = W.partitionBy("series").orderBy("session")
     rows = built.withColumn("y", F.log(F.lead("close").over(w) / F.col("close"))).withColumn("_r", F.row_number().over(w)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("series")))
-    rows = rows.where("y is not null").coalesce(4).persist()
+    rows = written(rows.where("y is not null"), "dataset")
     return rows.where("_r < 0.8 * _n - 1"), rows.where("_r >= 0.8 * _n")
 
 
@@ -115,11 +116,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
     A day is given once the watermark has passed its end, and its state is dropped then; later rows of it are late.
     """
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = new_path(spark, "stream")
     schema = table(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     named = rows.select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("available_at"), F.col("value").alias("score"))
