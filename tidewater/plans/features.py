@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranges import by_ranges, lead_in
 from ..functions.series import by_session
 from ..operators import align, clean, features
 from ..sources.tables import BARS_SQL, BENCH_SQL, BENCHMARKS, bars, bars_wide, benchmarks, table
@@ -37,6 +38,12 @@ def ema_macd(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.ema_macd(bars(spark, sf)), ("series", "session"), dict.fromkeys(("ema_20", "macd", "macd_signal"), 3))
 
 
+def technical_by_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Technical columns of series cut into ranges of 1,000 rows, as for very long ones."""
+    built = by_ranges(bars(spark, sf), features.technical, lead_in(20, 26), ("obv",), 1000)
+    return rounded(built, ("series", "session"), {"sma_20": 4, "bb_upper": 3, "ema_20": 3, "macd_signal": 3, "rsi_14": 6, "atr_14": 3, "obv": 1})
+
+
 def rsi_atr_obv(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.rsi_atr_obv(bars(spark, sf)), ("series", "session"), {"rsi_14": 6, "atr_14": 3, "obv": 1})
 
@@ -112,7 +119,7 @@ def rank_within_month(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    bars_clean, bars_violations, symbols, sma_bollinger, ema_macd, rsi_atr_obv, price_returns, stationary_v4, market_asof_returns, rolling_beta, calendar_encoding,
+    bars_clean, bars_violations, symbols, sma_bollinger, ema_macd, rsi_atr_obv, technical_by_ranges, price_returns, stationary_v4, market_asof_returns, rolling_beta, calendar_encoding,
     quality_issues, future_sessions, last_rows, instrument_summary, fingerprints, feature_validation, calendars, change_over, rank_within_month,
 )}
 
@@ -178,6 +185,8 @@ SQL = {
     "sma_bollinger": f"""WITH {BARS_SQL}, {_TECH.format(src="b")} SELECT series, session, round(sma_20, 4) AS sma_20, round(bb_upper, 3) AS bb_upper, round(bb_lower, 3) AS bb_lower FROM tech""",
     "ema_macd": f"""WITH {BARS_SQL}, {_MACD} SELECT series, session, round(ema_20, 3) AS ema_20, round(macd, 3) AS macd, round(macd_signal, 3) AS macd_signal FROM md""",
     "rsi_atr_obv": f"""WITH {BARS_SQL}, {_TECH.format(src="b")} SELECT series, session, round(rsi_14, 6) AS rsi_14, round(atr_14, 3) AS atr_14, round(obv, 1) AS obv FROM tech""",
+    "technical_by_ranges": f"""WITH {BARS_SQL}, {_TECH.format(src="b")}, {_MACD} SELECT tech.series, tech.session, round(sma_20, 4) AS sma_20, round(bb_upper, 3) AS bb_upper, round(ema_20, 3) AS ema_20, round(macd_signal, 3) AS macd_signal,
+      round(rsi_14, 6) AS rsi_14, round(atr_14, 3) AS atr_14, round(obv, 1) AS obv FROM tech JOIN md ON tech.series = md.series AND tech.session = md.session""",
     "price_returns": f"""WITH {BARS_SQL} SELECT series, session, round(ln(open / prev), 8) AS log_open, round(ln(high / prev), 8) AS log_high, round(ln(low / prev), 8) AS log_low,
       round(ln(close / prev), 8) AS return_1d, round(ln(1 + volume) - lag(ln(1 + volume)) OVER (PARTITION BY series ORDER BY session), 8) AS volume_change FROM b""",
     "market_asof_returns": f"""WITH {BARS_SQL}, {_MARKET} SELECT series, session, round(spy_return_1d, 8) AS spy_return_1d, round(qqq_return_1d, 8) AS qqq_return_1d,
