@@ -1,6 +1,7 @@
 """Gates, summaries and names against values worked out by hand."""
 
 import datetime as dt
+import math
 
 from pyspark.sql import functions as F
 
@@ -128,3 +129,26 @@ def test_ledger_prefers_medians_and_known_provenance(spark):
     rows = [(0.5, 0.9, "sha", "c"), (0.5, None, "", "c"), (None, 0.8, None, "c"), (0.5, 0.6, "sha", "unknown")]
     df = spark.createDataFrame(rows, "relative_mae double, median_relative_mae double, snapshot_id string, commit string").withColumns({"promotable": F.lit(True), "decision": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
     assert [(r["relative_mae"], r["audited"]) for r in registry.ledger_defaults(df).collect()] == [(0.9, True), (0.5, False), (0.8, False), (0.6, False)]
+
+
+def test_replay_refuses_what_pointers_forbid(spark):
+    log = [("t", k, *e) for k, e in enumerate((
+        ("promote", "a"), ("reject", "a"), ("promote", "b"), ("prune", "a"), ("prune", "c"), ("promote", "c"), ("reject", "a"), ("promote", "a"), ("rollback", "x"), ("promote", "b"), ("rollback", "x"), ("promote", "d"), ("promote", "a"),
+    ))]
+    found = registry.replay(spark.createDataFrame(log, "ticker string, seq int, action string, version string")).first()
+    # a can't be rejected as current nor pruned as previous; c is pruned; a is rejected as previous, restored by rollback, and so free again.
+    assert (found["current"], found["previous"]) == ("a", "d")
+
+
+def test_divergence_weighs_rows_and_names_constants(spark):
+    rows = [(float(k), 7.0, k % 2 == 0, 1 + k % 3) for k in range(60)] + [(30.0, 9.0, False, 0)]
+    df = spark.createDataFrame(rows, "a double, flat double, ref boolean, times int")
+    found = E.divergence(df, ("a", "flat"), F.col("ref"), (), F.col("times")).first()
+    spread = [(float(k), k % 2 == 0) for k in range(60) for _ in range(1 + k % 3)]
+    plain = E.psi(spark.createDataFrame([("a", v, r) for v, r in spread], "f string, v double, r boolean"), "f", "v", F.col("r")).first()
+    assert found["degenerate"] == "flat" and abs(found["max_psi"] - plain["psi"]) < 1e-12 and found["mean_psi"] == found["max_psi"]
+    # Two bins, half and half against one and three quarters of four.
+    half = spark.createDataFrame([("f", v, True) for v in (0.0, 1.0, 2.0)] + [("f", v, False) for v in (0.0, 1.5, 1.6, 1.7)], "f string, v double, r boolean")
+    a = [(1 + 1e-4) / (3 + 2e-4), (2 + 1e-4) / (3 + 2e-4)]
+    b = [(1 + 1e-4) / (4 + 2e-4), (3 + 1e-4) / (4 + 2e-4)]
+    assert abs(E.psi(half, "f", "v", F.col("r"), bins=2).first()["psi"] - sum((y - x) * math.log(y / x) for x, y in zip(a, b, strict=True))) < 1e-12

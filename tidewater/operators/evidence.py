@@ -102,21 +102,39 @@ def false_discoveries(tests: DataFrame, p: str, family: tuple[str, ...], q: floa
     return ranked.withColumn("discovery", F.coalesce(F.col(p) <= cut, F.lit(False))).drop("_r", "_m")
 
 
-def psi(rows: DataFrame, feature: str, value: str, is_reference: Column, bins: int = 10, epsilon: float = 1e-4) -> DataFrame:
-    """Population stability index per feature over the reference's quantile bins; null where the reference is constant."""
-    marked = rows.withColumn("_ref", is_reference)
+def psi(rows: DataFrame, feature: str, value: str, is_reference: Column, bins: int = 10, epsilon: float = 1e-4, weight: Column | None = None) -> DataFrame:
+    """Population stability index per feature over the reference's quantile bins; null where the reference is constant.
+
+    Each bin counts epsilon more than it holds. weight: how often a row counts, a whole number; once where not given.
+    """
+    times = F.lit(1) if weight is None else weight
+    marked = rows.withColumns({"_ref": is_reference, "_w": times.cast("long")}).where("_w > 0")
     at = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    edges = marked.where("_ref").groupBy(feature).agg(F.array_distinct(F.percentile(value, at)).alias("_edges"))
+    edges = marked.where("_ref").groupBy(feature).agg(F.array_distinct(F.percentile(F.col(value), at, F.col("_w"))).alias("_edges"))
     binned = marked.join(edges, feature).withColumn("_b", F.least(F.greatest(F.size(F.filter("_edges", lambda e: e <= F.col(value))) - 1, F.lit(0)), F.size("_edges") - 2))
-    counts = binned.groupBy(feature, "_b", F.size("_edges").alias("_n")).agg(F.count_if("_ref").alias("_r"), F.count_if(~F.col("_ref")).alias("_c"))
+    counts = binned.groupBy(feature, "_b").agg(F.sum(F.when(F.col("_ref"), F.col("_w")).otherwise(0)).alias("_r"), F.sum(F.when(F.col("_ref"), 0).otherwise(F.col("_w"))).alias("_c"))
     every = edges.where(F.size("_edges") > 1).select(feature, F.explode(F.sequence(F.lit(0), F.size("_edges") - 2)).alias("_b"))
-    whole = every.join(counts.drop("_n"), [feature, "_b"], "left").fillna(0, ["_r", "_c"])
-    totals = whole.withColumn("_tr", F.sum("_r").over(W.partitionBy(feature))).withColumn("_tc", F.sum("_c").over(W.partitionBy(feature)))
-    a, b = F.greatest(F.col("_r") / F.col("_tr"), F.lit(epsilon)), F.greatest(F.col("_c") / F.col("_tc"), F.lit(epsilon))
-    found = totals.groupBy(feature).agg(F.sum((b - a) * F.log(b / a)).alias("psi"), F.count(F.lit(1)).alias("bins"))
+    whole = every.join(counts, [feature, "_b"], "left").fillna(0, ["_r", "_c"])
+    w = W.partitionBy(feature)
+    share = lambda c: (F.col(c) + epsilon) / (F.sum(c).over(w) + epsilon * F.count(F.lit(1)).over(w))
+    shares = whole.withColumns({"_a": share("_r"), "_s": share("_c")})
+    found = shares.groupBy(feature).agg(F.sum((F.col("_s") - F.col("_a")) * F.log(F.col("_s") / F.col("_a"))).alias("psi"), F.count(F.lit(1)).alias("bins"))
     return edges.select(feature).join(found, feature, "left")
 
 
+def divergence(rows: DataFrame, features: tuple[str, ...], is_reference: Column, keys: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """keys, max_psi and mean_psi over the features, and the names of those whose reference is constant; all features in one pass.
+
+    weight: how often a row counts, as windows of several rows hold it more than once.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features)))
+    long = rows.withColumns({"_reference": is_reference, "_times": F.lit(1) if weight is None else weight}).select(*keys, "_reference", "_times", each.alias("_f"))
+    long = long.select(F.struct(*keys, F.col("_f.feature").alias("feature")).alias("of"), "_reference", "_times", F.col("_f.value").alias("value"))
+    found = psi(long, "of", "value", F.col("_reference"), weight=F.col("_times")).select(*(F.col(f"of.{k}").alias(k) for k in (*keys, "feature")), "psi")
+    degenerate = F.array_sort(F.collect_list(F.when(F.col("psi").isNull(), F.col("feature"))))
+    return found.groupBy(*keys).agg(F.max("psi").alias("max_psi"), F.avg("psi").alias("mean_psi"), F.concat_ws(",", degenerate).alias("degenerate"))
+
+
 def residual_drift(rows: DataFrame, keys: tuple[str, ...], order: str, value: str, resamples: int, seed: int = 0) -> DataFrame:
     """Bootstrap intervals of the mean error magnitude of both halves; drift if they are disjoint.
 

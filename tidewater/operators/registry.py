@@ -88,21 +88,27 @@ def availability(allowed: DataFrame, found: DataFrame, as_of: Column, hours: int
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """Current and previous version per ticker after its log of insert, promote, reject and rollback in order.
+    """Current and previous version per ticker after its log of insert, promote, reject, rollback and prune in order.
 
-    Promotion moves the current version to previous, rollback restores the previous one and clears it, rejected versions
-    can't be promoted and promoting the current one changes nothing. events: ticker, seq, action, version.
+    Promotion moves the current version to previous; rollback restores the previous one, whatever was said of it, and clears
+    it. Rejected and pruned versions can't be promoted, the current one can't be rejected, current and previous ones can't
+    be pruned, and promoting the current one changes nothing. events: ticker, seq, action, version.
     """
-    state = F.struct(F.lit(None).cast("string").alias("current"), F.lit(None).cast("string").alias("previous"), F.array().cast("array<string>").alias("rejected"))
+    empty = F.array().cast("array<string>")
+    state = F.struct(F.lit(None).cast("string").alias("current"), F.lit(None).cast("string").alias("previous"), empty.alias("rejected"), empty.alias("pruned"))
 
     def step(s: Column, e: Column) -> Column:
-        kept = lambda current, previous, rejected: F.struct(current.alias("current"), previous.alias("previous"), rejected.alias("rejected"))
-        barred = F.array_contains(s["rejected"], e["version"]) | F.coalesce(s["current"] == e["version"], F.lit(False))
-        none = F.lit(None).cast("string")
+        def kept(**new: Column) -> Column:
+            return F.struct(*(new.get(c, s[c]).alias(c) for c in ("current", "previous", "rejected", "pruned")))
+
+        version, action = e["version"], e["action"]
+        is_current, is_previous = (F.coalesce(s[c] == version, F.lit(False)) for c in ("current", "previous"))
+        barred = F.array_contains(s["rejected"], version) | F.array_contains(s["pruned"], version) | is_current
         return (
-            F.when((e["action"] == "promote") & ~barred, kept(e["version"], s["current"], s["rejected"]))
-            .when(e["action"] == "reject", kept(s["current"], s["previous"], F.array_append(s["rejected"], e["version"])))
-            .when((e["action"] == "rollback") & s["previous"].isNotNull(), kept(s["previous"], none, s["rejected"]))
+            F.when((action == "promote") & ~barred, kept(current=version, previous=s["current"]))
+            .when((action == "reject") & ~is_current, kept(rejected=F.array_union(s["rejected"], F.array(version))))
+            .when((action == "prune") & ~is_current & ~is_previous, kept(pruned=F.array_union(s["pruned"], F.array(version))))
+            .when((action == "rollback") & s["previous"].isNotNull(), kept(current=s["previous"], previous=F.lit(None).cast("string"), rejected=F.array_remove(s["rejected"], s["previous"])))
             .otherwise(s)
         )
 

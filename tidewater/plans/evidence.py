@@ -155,6 +155,15 @@ rm AS (SELECT {", ".join("st." + k for k in ks)}, resample, {diff} FROM st JOIN
   JOIN pf h ON {" AND ".join(f"h.{k} = st.{k}" for k in ks)} AND h.i = st.lo + least(bl, n - k * bl) GROUP BY ALL)"""
 
 
+def psi_sql(keys: str) -> str:
+    """CTE ps (keys, bins, psi) from p (keys, ref, v)."""
+    return f"""pe AS (SELECT {keys}, list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM p WHERE ref GROUP BY ALL),
+pb AS (SELECT {keys}, ref, least(greatest(len(list_filter(e, lambda x: x <= v)) - 1, 0), len(e) - 2) AS b FROM p JOIN pe USING ({keys})),
+pc AS (SELECT {keys}, unnest(generate_series(0, len(e) - 2)) AS b FROM pe WHERE len(e) > 1), pk AS (SELECT {keys}, b, count(CASE WHEN ref THEN 1 END) AS r, count(CASE WHEN NOT ref THEN 1 END) AS o FROM pc LEFT JOIN pb USING ({keys}, b) GROUP BY ALL),
+px AS (SELECT {keys}, (r + 1e-4) / (sum(r) OVER w + 1e-4 * count(*) OVER w) AS x, (o + 1e-4) / (sum(o) OVER w + 1e-4 * count(*) OVER w) AS y FROM pk WINDOW w AS (PARTITION BY {keys})),
+pz AS (SELECT {keys}, count(*) AS bins, sum((y - x) * ln(y / x)) AS psi FROM px GROUP BY ALL), ps AS (SELECT {keys}, bins, psi FROM pe LEFT JOIN pz USING ({keys}))"""
+
+
 def hac_sql(keys: str) -> str:
     """CTE fd with statistic, p_value and discovery per key, from li (keys, i, improvement)."""
     return f"""hc AS (SELECT *, improvement - avg(improvement) OVER (PARTITION BY {keys}) AS c FROM li),
@@ -228,12 +237,8 @@ SQL = {
       SELECT li.series, count(*) AS n, any_value(resamples) AS resamples, round(avg(candidate) / avg(baseline), 8) AS ratio, round(any_value(low), 8) AS low, round(any_value(high), 8) AS high FROM li JOIN q USING (series) GROUP BY 1""",
     "dm_hac": f"WITH {SCORED_SQL}, {_LOSS}, {_HAC} SELECT series, n, lags, round(mean, 3) AS mean, round(z, 6) AS statistic, round(p_value, 6) AS p_value FROM ht",
     "fdr_decisions": f"WITH {SCORED_SQL}, {_LOSS}, {_HAC} SELECT series, discovery, round(p_value, 6) AS p_value FROM fd",
-    "psi_by_feature": """WITH p AS (SELECT label % 2 = 0 AS ref, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
-      e AS (SELECT dim, list_sort(list_distinct(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e FROM p WHERE ref GROUP BY 1),
-      b AS (SELECT p.dim, ref, least(greatest(len(list_filter(e, lambda x: x <= v)) - 1, 0), len(e) - 2) AS b FROM p JOIN e USING (dim)),
-      c AS (SELECT dim, unnest(generate_series(0, len(e) - 2)) AS b FROM e), k AS (SELECT c.dim, c.b, count(CASE WHEN ref THEN 1 END) AS r, count(CASE WHEN NOT ref THEN 1 END) AS o FROM c LEFT JOIN b ON c.dim = b.dim AND c.b = b.b GROUP BY 1, 2),
-      s AS (SELECT dim, greatest(r / sum(r) OVER (PARTITION BY dim), 1e-4) AS x, greatest(o / sum(o) OVER (PARTITION BY dim), 1e-4) AS y FROM k)
-      SELECT CAST(dim AS INTEGER) AS dim, count(*) AS bins, round(sum((y - x) * ln(y / x)), 6) AS psi FROM s GROUP BY 1""",
+    "psi_by_feature": f"""WITH p AS (SELECT label % 2 = 0 AS ref, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), {psi_sql("dim")}
+      SELECT CAST(dim AS INTEGER) AS dim, bins, round(psi, 6) AS psi FROM ps""",
     "residual_drift": f"""WITH {SCORED_SQL}, e AS (SELECT series, s, avg(abs(actual - predicted)) AS e, row_number() OVER (PARTITION BY series ORDER BY s) AS r, count(*) OVER (PARTITION BY series) AS n FROM sc WHERE model = 'drift' GROUP BY 1, 2),
       hs AS (SELECT series, CASE WHEN r <= n // 2 THEN 1 ELSE 2 END AS half, e, n AS whole, row_number() OVER (PARTITION BY series, r <= n // 2 ORDER BY s) AS i FROM e WHERE n >= 10),
       {_boot("hs", "series, half, whole", ("e",), "least(20, whole // 2 // 4)", 250)}, q AS (SELECT series, half, quantile_cont(e, 0.025) AS low, quantile_cont(e, 0.975) AS high FROM rm GROUP BY 1, 2),

@@ -11,12 +11,14 @@ from ..operators import linear as L
 from ..operators import samples as S
 from ..sources.shared import written
 from ..sources.tables import BENCHMARKS, bars, benchmarks
-from .evidence import _FOLD_WHY, BLOCK, RESAMPLES, _boot, fold_gate_rows, gate_sql, hac_sql
+from .evidence import _FOLD_WHY, BLOCK, RESAMPLES, _boot, fold_gate_rows, gate_sql, hac_sql, psi_sql
 from .features import rounded
 from .forecasts import SAMPLES_SQL, SCORED_SQL, STUDY, scored
 
 #: Features of the candidates that SQL can follow.
 PAIR = ("return_1d", "volume_change")
+#: Features whose spread over windows is compared.
+PRICES = ("return_1d", "log_open")
 #: Studies outside walk-forward look at one horizon; features end a row before the origin.
 RESEARCH = S.Study(lookback=60, horizons=(5,))
 RESEARCH_RIDGE = L.Penalty("ridge", 10.0)
@@ -87,6 +89,19 @@ def shrunk_models(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(L.shrunk(fitted_scored(spark, sf).where("model <> 'persistence'")), ("model", "series", "horizon"), {"alpha": 2, "mae": 8})
 
 
+def window_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Features over the training windows of each series' first fold against those over the validation windows of all folds."""
+    raw = bars(spark, sf)
+    rows = S.numbered(features.price_returns(raw)).dropna(subset=list(PRICES)).withColumn("always", F.lit(1.0))
+    folds = S.tail_folds(_sample_counts(S.samples(raw, STUDY)), STUDY)
+    ends = folds.groupBy("series").agg(F.min("train_hi").alias("train_hi"), F.min("val_lo").alias("lo"), F.max("val_hi").alias("hi"))
+    t, last = F.col("t"), STUDY.lookback - 1
+    validated = F.least(F.col("hi") - 1, t) - F.greatest(F.col("lo"), t - last) + 1
+    both = F.explode(F.array(F.struct(F.lit(True).alias("ref"), S.multiplicity(t, F.col("train_hi"), STUDY.lookback).alias("times")), F.struct(F.lit(False).alias("ref"), validated.alias("times"))))
+    counted = rows.join(ends, "series").withColumn("_c", both).select("series", *PRICES, "always", "_c.ref", "_c.times").where("times > 0")
+    return rounded(E.divergence(counted, (*PRICES, "always"), F.col("ref"), ("series",), F.col("times")), ("series", "degenerate"), {"max_psi": 6, "mean_psi": 6})
+
+
 def _research_rows(spark: SparkSession, sf: str) -> DataFrame:
     df = features.price_returns(bars(spark, sf))
     return written(L.sample_rows(df, PAIR, RESEARCH, first=RESEARCH.lookback, before=True), "examples")
@@ -151,7 +166,7 @@ def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    fitted_ridge, fitted_candidates, walk_forward_experiment, fitted_blend, shrunk_models, research_evaluation, holdout_verdicts, multi_window_verdict,
+    fitted_ridge, fitted_candidates, walk_forward_experiment, fitted_blend, shrunk_models, window_divergence, research_evaluation, holdout_verdicts, multi_window_verdict,
 )}
 
 _FEATURES_SQL = """fx AS (SELECT series, t, ln(close / prev) AS x1, ln(1 + volume) - ln(1 + lag(volume) OVER (PARTITION BY series ORDER BY session)) AS x2 FROM b)"""
@@ -210,6 +225,10 @@ SQL = {
     "shrunk_models": f"""WITH {_FITTED_SQL}, r AS (SELECT model, series, horizon, fold, max(fold) OVER (PARTITION BY series) AS last, CASE WHEN predicted > 0 THEN ln(predicted / origin) END AS p, ln(actual / origin) AS y FROM sc WHERE model <> 'persistence'),
       g AS (SELECT model, series, horizon, k / 20.0::DOUBLE AS alpha, avg(abs(k / 20.0::DOUBLE * p - y)) AS mae FROM r, (SELECT unnest(generate_series(0, 20)) AS k) WHERE fold < last GROUP BY 1, 2, 3, 4)
       SELECT model, series, CAST(horizon AS BIGINT) AS horizon, round(alpha, 2) AS alpha, round(mae, 8) AS mae FROM g QUALIFY row_number() OVER (PARTITION BY model, series, horizon ORDER BY mae, alpha) = 1""",
+    "window_divergence": f"""WITH {SAMPLES_SQL}, fx AS (SELECT series, t, ln(close / prev) AS x1, ln(open / prev) AS x2 FROM b), e AS (SELECT series, min(train_hi) AS th, min(val_lo) AS lo, max(val_hi) AS hi FROM folds GROUP BY 1),
+      w AS (SELECT fx.series, x1, x2, unnest([true, false]) AS ref, unnest([least(th - 1, t) - greatest(0, t - 59) + 1, least(hi - 1, t) - greatest(lo, t - 59) + 1]) AS k FROM fx JOIN e ON fx.series = e.series WHERE x2 IS NOT NULL),
+      m AS (SELECT series, ref, x1, x2, unnest(generate_series(1, k)) AS i FROM w WHERE k > 0), p AS (SELECT series, ref, unnest(['return_1d', 'log_open', 'always']) AS feature, unnest([x1, x2, 1.0]) AS v FROM m), {psi_sql("series, feature")}
+      SELECT series, coalesce(string_agg(CASE WHEN psi IS NULL THEN feature END, ',' ORDER BY feature), '') AS degenerate, round(max(psi), 6) AS max_psi, round(avg(psi), 6) AS mean_psi FROM ps GROUP BY 1""",
     "research_evaluation": f"""WITH {_RESEARCH_SQL}, {_research_loss_sql("SELECT series, fold, 60 + fold * 40 AS train_hi, 64 + fold * 40 AS val_lo, 104 + fold * 40 AS val_hi FROM (SELECT series, n, unnest(generate_series(0, 4)) AS fold FROM nn) WHERE 104 + fold * 40 <= n")},
       f AS (SELECT series, fold, {_ERROR_SQL} FROM li GROUP BY 1, 2), g AS (SELECT series, count(*) AS folds, count(CASE WHEN r < 1 THEN 1 END) AS wins, quantile_cont(a, 0.5) AS ma, quantile_cont(r, 0.5) AS mr, max(r) AS wr FROM f GROUP BY 1)
       SELECT series, folds, wins, ma < 0.98 AND mr < 0.98 AND wr <= 1.25 AND wins >= greatest(1, folds - 1) AS promotable, round(ma, 6) AS median_relative_mae, round(mr, 6) AS median_relative_rmse, round(wr, 6) AS worst_relative_rmse FROM g""",

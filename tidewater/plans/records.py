@@ -132,8 +132,8 @@ def superseded_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def promotion_replay(spark: SparkSession, sf: str) -> DataFrame:
-    action = F.element_at(F.create_map(*(F.lit(x) for x in ("purchase", "promote", "error", "reject", "signup", "insert", "view", "rollback"))), F.col("event_type"))
-    events = table(spark, sf, "events").select((F.col("user_id") % 25).alias("ticker"), F.col("event_id").alias("seq"), F.coalesce(action, F.lit("insert")).alias("action"), (F.col("event_id") % 40).cast("string").alias("version"))
+    action = F.element_at(F.create_map(*(F.lit(x) for x in ("purchase", "promote", "error", "reject", "signup", "prune", "view", "rollback"))), F.col("event_type"))
+    events = table(spark, sf, "events").select((F.col("user_id") % 25).alias("ticker"), F.col("event_id").alias("seq"), F.coalesce(action, F.lit("promote")).alias("action"), (F.col("event_id") % 40).cast("string").alias("version"))
     return registry.replay(events)
 
 
@@ -208,6 +208,12 @@ SQL = {
     "availability": f"""WITH {_ART}, c AS (SELECT pt.ticker, created_at FROM pt JOIN ar ON version = version_id AND status = 'promoted'), a AS (SELECT CAST(n_nationkey AS VARCHAR) AS ticker FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
       j AS (SELECT a.ticker, (epoch_us(TIMESTAMP '2001-08-02') - epoch_us(created_at)) / 3600000000.0::DOUBLE AS h FROM a LEFT JOIN c USING (ticker)) SELECT ticker, CASE WHEN h IS NULL THEN 'missing' WHEN h <= 36 THEN 'fresh' ELSE 'stale' END AS state, round(h, 3) AS age_hours FROM j""",
     "superseded_models": """WITH m AS (SELECT p_partkey AS model_id, p_partkey % 50 AS ticker, substr(CAST(p_partkey AS VARCHAR), 1, 1) AS kind, p_partkey % 3 AS rank FROM part) SELECT model_id, rank FROM m QUALIFY rank < max(rank) OVER (PARTITION BY ticker, kind)""",
+    "promotion_replay": """WITH RECURSIVE ev AS (SELECT user_id % 25 AS ticker, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id) AS k, CASE event_type WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'prune' WHEN 'view' THEN 'rollback' ELSE 'promote' END AS a, CAST(event_id % 40 AS VARCHAR) AS v FROM events),
+      st AS (SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS cur, CAST(NULL AS VARCHAR) AS prev, CAST([] AS VARCHAR[]) AS rej, CAST([] AS VARCHAR[]) AS pru FROM ev
+        UNION ALL SELECT ev.ticker, ev.k, CASE WHEN ok THEN v WHEN back THEN prev ELSE cur END, CASE WHEN ok THEN cur WHEN back THEN NULL ELSE prev END,
+          CASE WHEN a = 'reject' AND cur IS DISTINCT FROM v THEN list_append(rej, v) WHEN back THEN list_filter(rej, lambda x: x <> prev) ELSE rej END, CASE WHEN a = 'prune' AND cur IS DISTINCT FROM v AND prev IS DISTINCT FROM v THEN list_append(pru, v) ELSE pru END
+        FROM (SELECT ev.*, cur, prev, rej, pru, a = 'promote' AND cur IS DISTINCT FROM v AND NOT list_contains(rej, v) AND NOT list_contains(pru, v) AS ok, a = 'rollback' AND prev IS NOT NULL AS back FROM st JOIN ev ON ev.ticker = st.ticker AND ev.k = st.k + 1) ev)
+      SELECT ticker, k AS n, cur AS current, prev AS previous FROM st QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY k DESC) = 1""",
     "version_ids": r"""WITH v AS (SELECT o_orderkey, o_orderdate, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders),
       w AS (SELECT o_orderkey, 'P' || o_orderkey || '-price-' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' ELSE left(h, 12) END || '-'
         || CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 3 = 0 THEN '0a256' || left(h, 3) ELSE right(h, 8) END AS version_id FROM v) SELECT *, true AS known FROM w""",
