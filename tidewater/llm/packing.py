@@ -39,7 +39,7 @@ SETTINGS = ((12, 512), (12, 1024), (24, 512), (24, 1024), (48, 1024), (48, 256))
 BUCKET_PIECES = 20_000
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct parts of words, and bytes of their ids, that a worker process keeps.
-CACHED_PARTS, CACHED_BYTES = 1_000_000, 32 << 20
+CACHED_PARTS, CACHED_BYTES = 400_000, 16 << 20
 #: Bytes of text encoded at once (a longer text alone), and parts of words given to the tokenizer at once.
 BATCH_BYTES, TOGETHER = 2 << 20, 1000
 
