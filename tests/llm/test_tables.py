@@ -44,7 +44,8 @@ def test_reputation_shrinks_to_the_levels_above(spark):
 
 
 def test_names_domains_and_suffixes(spark):
-    given = {"a.b.co.uk": ("b.co.uk", "co.uk"), "me@x.shop.com.cn:8080": ("shop.com.cn", "com.cn"), "co.uk": ("co.uk", "co.uk"), "h.site.org:": ("site.org", "org"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    given = {"a.b.co.uk": ("b.co.uk", "co.uk"), "me@x.shop.com.cn:8080": ("shop.com.cn", "com.cn"), "co.uk": ("co.uk", "co.uk"), "h.site.org:": ("site.org", "org"), "localhost": ("localhost", "localhost"), "": ("", ""),
+             "10.1.2.3:80": ("10.1.2.3", "10.1.2.3"), "[::1]:8080": ("[::1]", "[::1]"), "a.example.com.": ("example.com", "com"), "v.1.2.3": ("2.3", "3")}
     df = spark.createDataFrame([(h,) for h in given], "host string").select("host", urls.domain_of(F.col("host")), urls.suffix_of(F.col("host")))
     assert {r[0]: (r[1], r[2]) for r in df.collect()} == given
     own = spark.createDataFrame([("a.b.c.d",)], "host string").select(urls.domain_of(F.col("host"), ("c.d",)), urls.suffix_of(F.col("host"), ("x.y",)))
@@ -109,6 +110,15 @@ def test_sharding_laws(spark):
     assert sharding.sharded_documents(df.limit(0)).count() == 0
 
 
+def test_shuffle_and_mix_keep_columns_of_any_name(spark):
+    df = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), *(F.lit(k).alias(c) for k, c in enumerate(("_part", "_h1", "_n", "_doc", "_row", "dotted.name", "Slot"))), F.lit(9).alias("size"))
+    out = sharding.two_pass_shuffle(df, "doc_id", "size", shards=2, bucket_bytes=100)
+    assert out.columns == [*(c for c in df.columns if c != "Slot"), "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in out.collect()) == sorted(tuple(r) for r in df.drop("Slot").collect())
+    mix = mixing.mixed_documents(df)
+    assert mix.columns == df.columns and mix.distinct().exceptAll(df).isEmpty()
+
+
 def test_shuffle_mixes_within_buckets(spark):
     df = spark.range(3000).select("id", F.lit(10).alias("size"))
     out = sharding.two_pass_shuffle(df, "id", "size", shards=2, bucket_bytes=4000)

@@ -140,6 +140,13 @@ def test_jaccard_tells_rows_of_one_id_and_without_id_apart(spark):
     assert found == sorted([(1, 56, 1, 3), (1, 56, 1, 3), (2, 56, 1, 3), (2, 26, 1, 0), (None, 56, 1, 3), (None, 26, None, 1), (None, 27, None, 1), (5, 0, 5, 0), (None, 0, None, 0)], key=str)
 
 
+def test_jaccard_keeps_columns_of_any_name(spark):
+    df = docs(spark, ["a b c d e f g"] * 3 + ["other words stand in this one here"]).select("*", F.lit("mine").alias("_row"), F.lit(1).alias("__ROW"), F.lit(2).alias("dotted.name"))
+    kept = jaccard.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r) for r in kept.collect()) == sorted(tuple(r) for r in df.where("doc_id in (0, 3)").collect())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}
@@ -176,6 +183,33 @@ def test_toxicity_learns_a_rare_kind_from_a_bounded_sample(spark, monkeypatch):
     assert toxicity.labelled_sample(df, labels.where("toxic = 0 or doc_id >= 10000")) is None
 
 
+def test_sample_has_one_text_of_each_labelled_id(spark):
+    word = lambda k: chr(97 + k % 26) * (4 + k // 26)
+    rows = [(k, f"{word(k)} told", "en", "s", 0) for k in range(40)] + [(3, f"{word(k)} hot", "en", "s", 0) for k in range(500)] + [(3, None, "en", "s", 0)]
+    labels = spark.createDataFrame([(k, k % 2, int(k % 4 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    found = [r["doc_id"] for r in toxicity.labelled_sample(spark.createDataFrame(rows, DOCS), labels).collect()]
+    assert sorted(found) == list(range(40))
+
+
+def test_logistic_fit_equals_a_dense_newton_solution():
+    rng = np.random.default_rng(3)
+    n, few = 2000, 12
+    features = [np.flatnonzero(rng.random(few) < 0.4) for _ in range(n)]
+    odds, weights = rng.normal(size=(n, 1)), rng.uniform(0.5, 2, n)
+    words = np.array([np.isin(np.arange(few), f) for f in features], float)
+    labels = (words @ np.linspace(-2, 2, few) + odds[:, 0] + rng.logistic(size=n) > 0).astype(float)
+    kept = toxicity.telling(features, labels)
+    x = np.column_stack([words[:, kept], odds, np.ones(n)])
+    penalty = np.array([toxicity.RIDGE] * (len(kept) + 1) + [1e-6])
+    plain = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ plain))
+        plain -= np.linalg.solve(x.T * (weights * p * (1 - p)) @ x + np.diag(penalty), x.T @ (weights * (p - labels)) + penalty * plain)
+    found = toxicity.fit_logistic(features, odds, labels, weights=weights)
+    assert len(kept) >= 6
+    assert np.abs(np.concatenate([found[kept], found[toxicity.FEATURES :]]) - plain).max() < 1e-3
+
+
 def test_drawn_shares_are_bounded_and_leave_no_group_out():
     assert toxicity.drawn_shares([5000, 3000], 8000) == [1, 1]
     for counts in ([10**12, 10**8, 7, 1], [40_000] * 4, [10**6, 3], [9000, 500, 500, 1]):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import MIX, word_hashes
-from .store import sliced, written
+from .store import free_name, quoted, sliced, written
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -433,9 +433,9 @@ def _clusters(large: DataFrame, percent: int) -> DataFrame:
 # ---- the join
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number ``_row`` of its own for every row; written, so that all readers see the same numbers."""
-    return written(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-keyed")
+def _keyed(docs: DataFrame, row: str = "_row") -> DataFrame:
+    """docs with a number of its own for every row in a column ``row``; written, so that all readers see the same numbers."""
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "jaccard-keyed")
 
 
 def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -512,11 +512,15 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """One row of every component: of those with the smallest id (null last) the first; rows without words all stay."""
-    keyed = _keyed(docs)
-    found = _joined(keyed.select(F.col("_row").alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
-    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    """One row of every component: of those with the smallest id (null last) the first; rows without words all stay.
+
+    Rows keep all their columns, of whatever names; an empty table gives no rows. Of repeated rows one stays.
+    """
+    row = free_name(docs, "_row")
+    keyed = _keyed(docs, row)
+    found = _joined(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
+    named = found.select(F.col("doc_id").alias(row), "component_id").join(keyed.select(row, "doc_id"), row)
     named = written(named, "jaccard-rows")
-    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    dropped = named.select("_row").join(written(stays.select("_row"), "jaccard-stays"), "_row", "left_anti")
-    return keyed.join(written(dropped, "jaccard-dropped"), "_row", "left_anti").select(*docs.columns)
+    stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row")))["row"].alias(row))
+    dropped = named.select(row).join(written(stays.select(row), "jaccard-stays"), row, "left_anti")
+    return keyed.join(written(dropped, "jaccard-dropped"), row, "left_anti").select(*quoted(docs))

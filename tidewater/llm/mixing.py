@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import written
+from .store import quoted, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -201,10 +201,10 @@ def mixed_sizes(docs: DataFrame, tilt: float = TILT, seed: int = SEED) -> DataFr
 def mixed_documents(docs: DataFrame, tilt: float = TILT, seed: int = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs.
 
-    docs is read twice and must give its rows in the same order and parts, as files do.
+    Columns may have any names. docs is read twice and must give its rows in the same order and parts, as files do.
     """
-    kept = docs.select(*(F.col(c) for c in docs.columns), F.struct(*docs.columns).alias("_doc"))
-    measured = _measured(kept.select("_doc", "doc_id", "source", "text"), seed).drop("text")
+    kept = docs.select(F.struct(*quoted(docs)).alias("_doc"), "doc_id", "source", "text")
+    measured = _measured(kept, seed).drop("text")
     light = written(measured.drop("_doc"), "mix-sizes")
     numbers = written(repeats(light), "mix-numbers")
     narrow = written(_drawn(light, numbers).select("source", "size", "u"), "mix-drawn")

@@ -8,8 +8,8 @@ The law is ``key``: key and number of shards decide alone, and one more shard ta
 null key share a shard. Rows of equal key share a shard and are spread over its buckets by all their columns. Fully
 equal rows travel as one with their number, in portions of at most ``PORTION`` of a bucket, each in a bucket drawn for
 itself; the slots don't depend on where the rows lay. Repeated rows all keep a slot of their own; float columns lose
-the sign of zero. Columns of the input pass through; one named ``shard`` or ``slot`` is an error of ``two_pass_shuffle``
-and ignored by ``sharded_documents``. Null texts are empty; a text longer than a bucket makes a bucket of its own size.
+the sign of zero. Columns of the input pass through, of whatever names; ``two_pass_shuffle`` puts its own ``shard`` and
+``slot`` in place of columns called so, ``sharded_documents`` ignores other columns. Null texts are empty; a text longer than a bucket makes a bucket of its own size.
 An empty table gives no rows.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .store import new_path, written
+from .store import new_path, quoted, written
 
 SHARDS = 24
 SEED = 20_240_229
@@ -42,7 +42,11 @@ def _portions(equal: DataFrame, size: str, bucket_bytes: int, per_shard: int, se
 
 
 def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of df with ``shard`` and ``slot`` (gapless from 0 within a shard)."""
+    """All columns of df, of whatever names, with ``shard`` and ``slot`` (gapless from 0 within a shard) instead of columns called so."""
+    kept = [k for k, c in enumerate(df.columns) if c.lower() not in ("shard", "slot")]
+    names, parts = ([x[k] for k in kept] for x in (df.columns, quoted(df)))
+    key, size = (f"c{names.index(c)}" for c in (key, size))
+    df = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(parts)))
     total = df.agg(F.sum(F.col(size).cast("double"))).first()[0] or 0.0
     per_shard = max(1, round(total / shards / bucket_bytes + 0.5))
     columns = df.columns
@@ -62,7 +66,7 @@ def two_pass_shuffle(df: DataFrame, key: str, size: str, shards: int = SHARDS, s
     packed = packed.withColumn("_rows", F.flatten(F.transform("_rows", lambda x: F.array_repeat(x, x["_copies"]))))
     mixed = packed.sortWithinPartitions("_shard", "_bucket").withColumn("_rows", F.shuffle("_rows", seed))
     placed = mixed.join(starts, ["_shard", "_bucket"]).select("_shard", "_start", F.posexplode("_rows").alias("_pos", "_row"))
-    return placed.select(*(F.col("_row")[c].alias(c) for c in columns), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).cast("long").alias("slot"))
+    return placed.select(*(F.col("_row")[c].alias(name) for c, name in zip(columns, names, strict=True)), F.col("_shard").alias("shard"), (F.col("_start") + F.col("_pos")).cast("long").alias("slot"))
 
 
 def write_shards(out: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .urls import LIMIT, LONG_SUFFIXES, RULES, STRENGTH, Z
+from .urls import ADDRESS, LIMIT, LONG_SUFFIXES, RULES, STRENGTH, Z
 
 OP3 = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n) END AS top FROM p)
@@ -48,7 +48,8 @@ def _low(mean: str, n: str, s: str) -> str:
 
 OP6 = rf"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-dm AS (SELECT *, string_split(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '.') AS parts FROM p),
+dn AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@|:[0-9]*$', '', 'g'), '\.$', '') AS name FROM p),
+dm AS (SELECT *, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN [name] ELSE string_split(name, '.') END AS parts FROM dn),
 dl AS (SELECT *, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-2:], '.') IN ({_list(LONG_SUFFIXES)}) AS long FROM dm),
 x AS (SELECT page_id, host, path, CASE WHEN long THEN array_to_string(parts[-3:], '.') ELSE two END AS domain, CASE WHEN long THEN two ELSE parts[-1] END AS suffix FROM dl),
 o AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY 1),

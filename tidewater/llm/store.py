@@ -45,6 +45,19 @@ def written(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of df as names that may hold dots and backticks."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores put before it until df has no such column in letters of either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that a column holds about ``size`` bytes in each; a longer value is alone."""
     for batch in batches:

@@ -161,7 +161,10 @@ def drawn_shares(counts: list[int], rows: int) -> list[float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame | None:
-    """Features, 0/1 labels, fold and share drawn of about ``rows`` labelled documents; None if the labels lack either kind of a category."""
+    """Features, 0/1 labels, fold and share drawn of about ``rows`` labelled documents; None if the labels lack either kind of a category.
+
+    Of several rows of an id the least text stands for it, so that no id brings more than one row.
+    """
     known = reduce(Column.__and__, (F.col(c).isNotNull() for _, c, _ in CATEGORIES)) & F.col("doc_id").isNotNull()
     kinds = [f"is_{name}" for name, _, _ in CATEGORIES]
     named = [F.max((F.col(c) == v).cast("int")).alias(kind) for kind, (_, c, v) in zip(kinds, CATEGORIES, strict=True)]
@@ -177,6 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     chosen = once.withColumn("share", shares).where(draw <= F.col("share")).withColumn("fold", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(FOLDS)).cast("int"))
     # The sample has a bounded number of rows, so it may be broadcast.
     texts = docs.select("doc_id", "text").join(F.broadcast(written(chosen, "toxic-labels")), "doc_id")
+    texts = texts.groupBy("doc_id", *kinds, "fold", "share").agg(F.min("text").alias("text"))
 
     def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()

@@ -37,6 +37,7 @@ LONG_SUFFIXES = (
     "org.au", "org.br", "org.cn", "org.nz", "org.uk", "org.za", "plc.uk", "sch.uk", "web.id",
 )
 
+ADDRESS = r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$|^\[.*\]$"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,19 +50,25 @@ def path_of(url: Column) -> Column:
 
 
 def name_of(host: Column) -> Column:
-    """The host without user and port, which domains and suffixes are taken from."""
-    return F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    """The host without user, port and last dot, which domains and suffixes are taken from."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@|:[0-9]*$", ""), r"\.$", "")
+
+
+def is_address(name: Column) -> Column:
+    """IP addresses have no labels to be cut at: they are their own domain and suffix."""
+    return name.rlike(ADDRESS)
 
 
 def suffix_of(host: Column, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
-    two = F.substring_index(name_of(host), ".", -2)
-    return F.when(two.isin(*long_suffixes), two).otherwise(F.substring_index(two, ".", -1))
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(is_address(name), name).when(two.isin(*long_suffixes), two).otherwise(F.substring_index(two, ".", -1))
 
 
 def domain_of(host: Column, long_suffixes: tuple[str, ...] = LONG_SUFFIXES) -> Column:
     name = name_of(host)
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(*long_suffixes), F.substring_index(name, ".", -3)).otherwise(two)
+    return F.when(is_address(name), name).when(two.isin(*long_suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> tuple[Column, Column]:
