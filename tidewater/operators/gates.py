@@ -141,6 +141,29 @@ def windows_verdict(windows: DataFrame, keys: tuple[str, ...], limit: float = 0.
     return out.withColumn("verdict", F.when(sound, "survives").otherwise("fails"))
 
 
+def holdout_records(judged: DataFrame, windows: DataFrame, key: str, family: str, horizon: int, snapshots: DataFrame, limit: float = 0.98) -> DataFrame:
+    """Ledger records of multi-window holdouts, one per key, with their windows as evidence.
+
+    judged: key, windows, passing, verdict, mae_high, rmse_high and the pooled relative_mae and relative_rmse; windows: key,
+    fold, relative_mae, relative_rmse per window; snapshots: key, snapshot_id.
+    """
+    ok = (F.col("relative_mae") < limit) & (F.col("relative_rmse") < limit)
+    each = windows.groupBy(key).agg(
+        F.max("relative_rmse").alias("worst_fold_relative_rmse"),
+        F.array_sort(F.collect_list(F.struct(F.col("fold").alias("window_index"), "relative_mae", "relative_rmse", ok.alias("passes_gate")))).alias("per_window"),
+    )
+    survives = F.col("verdict") == "survives"
+    reason = F.format_string(
+        f"%d/%d windows pass the {limit} gate (majority required %d); pooled CI upper bounds mae=%.4f rmse=%.4f vs gate <1.0",
+        "passing", "windows", F.floor(F.col("windows") / 2) + 1, "mae_high", "rmse_high",
+    )
+    return judged.join(each, key).join(snapshots.select(key, "snapshot_id"), key, "left").select(
+        key, F.lit(f"holdout-{family}").alias("run_tag"), F.lit(family).alias("family"), F.lit(horizon).alias("horizon"), "snapshot_id", F.lit("success").alias("status"),
+        F.col("relative_mae").alias("median_relative_mae"), F.col("relative_rmse").alias("median_relative_rmse"), "worst_fold_relative_rmse",
+        F.format_string("%d/%d", "passing", "windows").alias("folds_beating_persistence"), survives.alias("promotable"), F.when(survives, "keep").otherwise("discard").alias("decision"), reason.alias("decision_reason"), "per_window",
+    )
+
+
 @dataclass(frozen=True)
 class BrowserDirectionPolicy:
     balanced: float = 0.55

@@ -61,6 +61,36 @@ def canonical_url(url: Column) -> Column:
     return F.nullif(F.concat(head, F.regexp_replace(path, "/+$", "")), F.lit(""))
 
 
+# Where the known shapes of a record keep each field, in the order in which they are tried.
+PATHS = {
+    "article_id": ("article_id", "provider_article_id"),
+    "provider": ("provider",),
+    "ticker": ("ticker",),
+    "company_name": ("company_name",),
+    "title": ("title", "content.title"),
+    "summary": ("summary", "description", "content.summary", "content.description"),
+    "published_at": ("published_at_utc", "providerPublishTime", "pubDate", "content.pubDate", "content.displayTime"),
+    "received_at": ("received_at_utc",),
+    "publisher": ("publisher", "content.provider.displayName"),
+    "link": ("canonical_url", "link", "content.canonicalUrl", "content.url"),
+    "language": ("language",),
+}
+
+
+def normalised(records: DataFrame, column: str = "value", provider: str = "yfinance") -> DataFrame:
+    """Articles of JSON records of any of the known shapes, each parsed once; other columns stay.
+
+    A field is the first of its paths that is neither missing, null nor empty. Records without title and summary, and
+    texts that are no JSON object, are left out; an article that wasn't received later was received when published.
+    """
+    parsed = records.withColumn("_record", F.try_parse_json(column)).drop(column)
+    raw = {name: F.coalesce(*(F.nullif(F.try_variant_get("_record", f"$.{p}", "string"), F.lit("")) for p in paths)) for name, paths in PATHS.items()}
+    rows = parsed.withColumns(raw).drop("_record")
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    rows = rows.withColumns({"title": bare("title"), "summary": bare("summary"), "provider": F.coalesce("provider", F.lit(provider)), "ticker": F.upper("ticker"), "link": canonical_url(F.trim("link")), "published_at": parsed_time(F.col("published_at")), "received_at": parsed_time(F.col("received_at"))})
+    return rows.withColumn("received_at", F.coalesce("received_at", "published_at")).where("title is not null or summary is not null")
+
+
 def title_key(title: Column) -> Column:
     """Letters, digits and underscores of the lower-cased title, other runs as one blank."""
     return F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_]+", " "))
@@ -195,6 +225,17 @@ def summary(articles: DataFrame, as_of: Column, half_life_days: float = 3.0) ->
     )
 
 
+def served_summary(wanted: DataFrame, articles: DataFrame, as_of: Column, half_life_days: float = 3.0) -> DataFrame:
+    """A summary for every wanted ticker; those without articles get a neutral row that says why. wanted: ticker."""
+    made = summary(articles.join(wanted.select("ticker").distinct(), "ticker", "left_semi"), as_of, half_life_days)
+    live = F.col("n").isNotNull()
+    joined = wanted.select("ticker").distinct().join(made, "ticker", "left")
+    return joined.select(
+        "ticker", F.when(live, "live").otherwise("fallback").alias("status"), F.when(~live, "no_usable_news").alias("reason"), F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("sources", F.lit(0)).alias("sources"), "freshest", F.coalesce("events", F.lit("")).alias("events"),
+    )
+
+
 def manifest(articles: DataFrame) -> DataFrame:
     return articles.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.count("published_at").alias("n_dated"), F.min("published_at").alias("first_published"), F.max("published_at").alias("last_published"))
 

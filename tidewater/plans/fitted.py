@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
-from ..operators import features, gates, metrics
+from ..operators import clean, features, gates, metrics
 from ..operators import linear as L
 from ..operators import samples as S
-from ..sources.shared import written
+from ..sources.shared import new_path, written
 from ..sources.tables import BENCHMARKS, bars, benchmarks
 from .evidence import _FOLD_WHY, BLOCK, RESAMPLES, _boot, fold_gate_rows, gate_sql, hac_sql, psi_sql
 from .features import rounded
@@ -152,21 +152,40 @@ def holdout_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.join(trained, "series"), ("series", "n", "train_n", "verdict"), dict.fromkeys(("relative_mae", "relative_rmse", "mae_high", "rmse_high"), 6))
 
 
-def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
+def _window_losses(spark: SparkSession, sf: str) -> DataFrame:
     """Four contiguous blocks of origins, the last 60 of each tested by a ridge fitted on all before them but a purge; intervals are pooled."""
     rows = _research_rows(spark, sf)
     # Blocks are laid out in rows of the series, samples are numbered from the first origin.
     at = F.lit(RESEARCH.lookback)
     blocks = S.holdout_windows(_sample_counts(rows).withColumn("n", F.col("n") + at), 4, 60, 80, RESEARCH.lookback, RESEARCH.gap)
     plan = blocks.select("series", F.col("window").alias("fold"), (F.col("train_hi") - at).alias("train_hi"), (F.col("test_lo") - at).alias("val_lo"), (F.col("test_hi") - at).alias("val_hi")).where("train_hi >= 1")
-    losses = written(_research_losses(rows, plan), "losses")
+    return written(_research_losses(rows, plan), "losses")
+
+
+def multi_window_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each series' ridge survives the majority of its windows and the pooled intervals."""
+    losses = _window_losses(spark, sf)
     by = losses.groupBy("series", "fold").agg(*_errors())
     pooled = _with_bounds(losses).select("series", "mae_high", "rmse_high")
     return rounded(gates.windows_verdict(by.join(pooled, "series"), ("series",)), ("series", "windows", "passing", "verdict"), {"mae_high": 6, "rmse_high": 6})
 
 
+def holdout_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that the multi-window holdouts put into a ledger, as read back from it."""
+    losses = _window_losses(spark, sf)
+    by = losses.groupBy("series", "fold").agg(*_errors())
+    bounds = _with_bounds(losses).select("series", "relative_mae", "relative_rmse", "mae_high", "rmse_high")
+    judged = gates.windows_verdict(by.join(bounds.select("series", "mae_high", "rmse_high"), "series"), ("series",)).join(bounds.select("series", "relative_mae", "relative_rmse"), "series")
+    snapshots = clean.fingerprint(bars(spark, sf), clean.BAR).select("series", F.concat(F.lit("sha256:"), "content_hash").alias("snapshot_id"))
+    path = new_path(spark, "ledger")
+    gates.holdout_records(judged, by, "series", "ridge", RESEARCH.horizons[0], snapshots).write.json(path)
+    found = spark.read.schema("series string, median_relative_mae double, median_relative_rmse double, worst_fold_relative_rmse double, folds_beating_persistence string, decision string, snapshot_id string, per_window array<struct<passes_gate:boolean>>").json(path)
+    out = found.withColumns({"has_snapshot": F.col("snapshot_id").startswith("sha256:"), "shown": F.size("per_window").cast("long"), "shown_passing": F.size(F.filter("per_window", lambda w: w["passes_gate"])).cast("long")})
+    return rounded(out, ("series", "folds_beating_persistence", "decision", "has_snapshot", "shown", "shown_passing"), dict.fromkeys(("median_relative_mae", "median_relative_rmse", "worst_fold_relative_rmse"), 6))
+
+
 QUERIES = {f.__name__: f for f in (
-    fitted_ridge, fitted_candidates, walk_forward_experiment, fitted_blend, shrunk_models, window_divergence, research_evaluation, holdout_verdicts, multi_window_verdict,
+    fitted_ridge, fitted_candidates, walk_forward_experiment, fitted_blend, shrunk_models, window_divergence, research_evaluation, holdout_verdicts, multi_window_verdict, holdout_evidence,
 )}
 
 _FEATURES_SQL = """fx AS (SELECT series, t, ln(close / prev) AS x1, ln(1 + volume) - ln(1 + lag(volume) OVER (PARTITION BY series ORDER BY session)) AS x2 FROM b)"""
@@ -238,3 +257,7 @@ SQL = {
       f AS (SELECT series, fold, {_ERROR_SQL} FROM li GROUP BY 1, 2), w AS (SELECT series, count(*) AS windows, count(CASE WHEN a < 0.98 AND r < 0.98 THEN 1 END) AS passing FROM f GROUP BY 1)
       SELECT series, windows, passing, CASE WHEN passing * 2 > windows AND mh < 1 AND rh < 1 THEN 'survives' ELSE 'fails' END AS verdict, round(mh, 6) AS mae_high, round(rh, 6) AS rmse_high FROM w JOIN bd USING (series)""",
 }
+_WINDOW_CTES = SQL["multi_window_verdict"].split("SELECT series, windows, passing, CASE")[0].rstrip()
+SQL["holdout_evidence"] = f"""{_WINDOW_CTES}, ws AS (SELECT series, max(r) AS worst FROM f GROUP BY 1)
+      SELECT series, passing || '/' || windows AS folds_beating_persistence, CASE WHEN passing * 2 > windows AND mh < 1 AND rh < 1 THEN 'keep' ELSE 'discard' END AS decision, true AS has_snapshot, windows AS shown, passing AS shown_passing,
+        round(a, 6) AS median_relative_mae, round(r, 6) AS median_relative_rmse, round(worst, 6) AS worst_fold_relative_rmse FROM w JOIN bd USING (series) JOIN ws USING (series)"""

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..operators import align, bundles, features, gates, metrics
 from ..operators.forecasters import CANDIDATES
+from ..sources import commits
 from ..sources.shared import new_path, written
 from ..sources.tables import BARS_SQL, BENCHMARKS, bars, benchmarks, table
 from ..streaming import jobs
@@ -63,6 +64,17 @@ def published_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bundles.latest_paths(source, align.future_sessions(lasts, holidays, 30), passed, 60), ("series", "step", "session", "model"), {"price": 2})
 
 
+def publication(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts published twice as bundles: what the pointers lead to, and how many there are of each series."""
+    paths, root = written(published_forecasts(spark, sf), "paths"), new_path(spark, "published")
+    steps = F.array_sort(F.collect_list(F.struct("step", "session", "price")))
+    bundle = paths.groupBy(F.col("series").alias("ticker"), "model").agg(steps.alias("steps"))
+    version = {commits.publish(bundle, root, "price") for _ in range(2)}
+    found = commits.read_stored(spark, root, "price", *version)
+    told = commits.pointers(spark, root).groupBy("ticker").agg(F.count(F.lit(1)).alias("pointers"))
+    return found.join(told, "ticker").select("ticker", "model", "pointers", F.size("steps").cast("long").alias("n"), F.round(F.element_at("steps", -1)["price"], 2).alias("last_price"))
+
+
 def bundle_check(spark: SparkSession, sf: str) -> DataFrame:
     """Bundles built from bars; of some series something is wrong."""
     rows = bars(spark, sf).withColumn("_k", F.row_number().over(W.partitionBy("series").orderBy(F.desc("session"))))
@@ -126,7 +138,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    candidate_report, feature_ablation, published_forecasts, bundle_check, horizon_buckets, served_forecasts, research_report, legacy_direction, return_space_report, stream_windows,
+    candidate_report, feature_ablation, published_forecasts, publication, bundle_check, horizon_buckets, served_forecasts, research_report, legacy_direction, return_space_report, stream_windows,
 )}
 
 SQL = {
@@ -156,3 +168,5 @@ SQL = {
         round(sqrt(avg((actual - predicted) * (actual - predicted))), 3) AS dollar_rmse FROM r GROUP BY 1, 2""",
     "stream_windows": "SELECT event_type AS ticker, CAST(ts AS DATE) AS session, count(*) AS n, round(avg(value), 6) AS score FROM events GROUP BY 1, 2 HAVING CAST(ts AS DATE) + 1 <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)",
 }
+SQL["publication"] = f"""WITH p AS ({SQL["published_forecasts"]})
+      SELECT series AS ticker, model, 1 AS pointers, count(*) AS n, arg_max(price, step) AS last_price FROM p GROUP BY 1, 2"""
