@@ -42,6 +42,29 @@ def future_sessions(lasts: DataFrame, holidays: DataFrame, n: int) -> DataFrame:
     return kept.withColumn("step", step).where(F.col("step") <= n).select("series", "session", "step")
 
 
+def training_snapshot(rows: DataFrame, columns: tuple[str, ...], future: DataFrame, most: int = 2000, window: int = 60, ahead: int = 30) -> DataFrame:
+    """What a client trains on, one row per series: its last ``most`` rows as arrays, coming sessions, and what they allow.
+
+    rows: series, session, close and columns; future: series, session, step. raw_rows counts all rows of the series;
+    problem is ``short`` below one window with its targets and one more row, ``features`` or ``prices`` where a value is
+    missing, not finite or a price isn't positive. Arrays hold ``most`` rows at most.
+    """
+    counts = rows.groupBy("series").agg(F.count(F.lit(1)).alias("raw_rows"))
+    cells = F.array(*(F.col(c).cast("double") for c in columns))
+    made = last_rows(rows.select("series", "session", F.col("close").cast("double").alias("close"), cells.alias("x")), most)
+    made = made.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("session", "close", "x"))).alias("_r"))
+    days = future.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("step", "session")))["session"].alias("future_dates"))
+    n = F.size("_r").cast("long")
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+    sound = F.forall("_r.x", lambda row: F.forall(row, finite))
+    priced = F.forall("_r.close", lambda x: finite(x) & F.coalesce(x > 0, F.lit(False)))
+    return made.join(counts, "series").join(days, "series", "left").select(
+        "series", F.col("_r.session").alias("dates"), F.col("_r.x").alias("features"), F.col("_r.close").alias("prices"), "future_dates", "raw_rows",
+        F.element_at("_r.session", 1).alias("start_date"), F.element_at("_r.session", -1).alias("end_date"), F.greatest(n - (window + ahead - 1), F.lit(0)).alias("usable_sequences"),
+        F.when(n < window + ahead + 1, "short").when(~sound, "features").when(~priced, "prices").alias("problem"),
+    )
+
+
 def instrument_summary(df: DataFrame, n: int = 252) -> DataFrame:
     marked = df.withColumn("_prev", F.lag("close").over(W.partitionBy("series").orderBy("session")))
     return last_rows(marked, n).groupBy("series").agg(

@@ -87,6 +87,15 @@ def last_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(align.last_rows(bars(spark, sf), 252), ("series", "session"), {"close": 2})
 
 
+def training_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    rows = features.price_returns(bars(spark, sf)).dropna(subset=["return_1d", "log_open"])
+    found = align.training_snapshot(rows, ("return_1d", "log_open"), future_sessions(spark, sf), most=500)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    digests = {"features_sum": total(F.flatten("features")), "prices_sum": total("prices"), "n": F.size("dates").cast("long"), "days": F.size("future_dates").cast("long"), "next_session": F.element_at("future_dates", 1)}
+    out = found.withColumns(digests)
+    return rounded(out, ("series", "n", "days", "next_session", "raw_rows", "start_date", "end_date", "usable_sequences", "problem"), {"features_sum": 6, "prices_sum": 2})
+
+
 def instrument_summary(spark: SparkSession, sf: str) -> DataFrame:
     return align.instrument_summary(bars(spark, sf))
 
@@ -120,7 +129,7 @@ def rank_within_month(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bars_clean, bars_violations, symbols, sma_bollinger, ema_macd, rsi_atr_obv, technical_by_ranges, price_returns, stationary_v4, market_asof_returns, rolling_beta, calendar_encoding,
-    quality_issues, future_sessions, last_rows, instrument_summary, fingerprints, feature_validation, calendars, change_over, rank_within_month,
+    quality_issues, future_sessions, last_rows, training_snapshot, instrument_summary, fingerprints, feature_validation, calendars, change_over, rank_within_month,
 )}
 
 _FULL = "CASE WHEN count({x}) OVER w{n} = {n} THEN {agg} OVER w{n} END"
@@ -236,3 +245,8 @@ SQL = {
       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
       SELECT series, session, round(close, 2) AS close FROM bw QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) = 1 ORDER BY session DESC, series LIMIT 10""",
 }
+SQL["training_snapshot"] = f"""WITH {BARS_SQL}, fu AS ({SQL["future_sessions"]}), fx AS (SELECT series, session, close, ln(close / prev) AS x1, ln(open / prev) AS x2 FROM b WHERE prev IS NOT NULL),
+      c AS (SELECT series, count(*) AS raw_rows FROM fx GROUP BY 1), l AS (SELECT * FROM fx QUALIFY row_number() OVER (PARTITION BY series ORDER BY session DESC) <= 500),
+      g AS (SELECT series, count(*) AS n, min(session) AS start_date, max(session) AS end_date, sum(x1 + x2) AS x, sum(close) AS p FROM l GROUP BY 1), d AS (SELECT series, count(*) AS days, min(session) AS next_session FROM fu GROUP BY 1)
+      SELECT g.series, n, days, next_session, raw_rows, start_date, end_date, greatest(0, n - 60 - 30 + 1) AS usable_sequences, CASE WHEN n < 91 THEN 'short' END AS problem, round(x, 6) AS features_sum, round(p, 2) AS prices_sum
+      FROM g JOIN c ON c.series = g.series JOIN d ON d.series = g.series"""

@@ -77,7 +77,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     k, iso = F.col("doc_id"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     own, ticker = k.cast("string"), F.lower("ticker").alias("ticker")
     link = F.concat(F.lit("HTTPS://Host.Example/"), own, F.lit("/?q=1"))
-    flat = F.struct(own.alias("article_id"), ticker, "title", "summary", iso("published_at").alias("published_at_utc"), iso("received_at").alias("received_at_utc"), "publisher", link.alias("canonical_url"))
+    flat = F.struct(own.alias("article_id"), F.lit("desk").alias("provider"), ticker, "title", "summary", iso("published_at").alias("published_at_utc"), iso("received_at").alias("received_at_utc"), "publisher", link.alias("canonical_url"))
     inner = F.struct("title", F.col("summary").alias("description"), iso("published_at").alias("displayTime"), link.alias("canonicalUrl"), F.struct(F.col("publisher").alias("displayName")).alias("provider"))
     nested = F.struct(own.alias("provider_article_id"), ticker, F.lit("").alias("title"), F.lit("wire").alias("provider"), iso("received_at").alias("received_at_utc"), inner.alias("content"))
     mixed = F.struct(own.alias("article_id"), ticker, F.lit("").alias("summary"), F.col("summary").alias("description"), F.lit("").alias("published_at_utc"), F.unix_seconds("published_at").alias("providerPublishTime"), link.alias("link"), F.struct("title").alias("content"))
@@ -101,7 +101,7 @@ def served_sentiment(spark: SparkSession, sf: str) -> DataFrame:
 def archive_import(spark: SparkSession, sf: str) -> DataFrame:
     """An archive imported twice: what its manifest says, and how many imports it lists."""
     source, root = new_path(spark, "archive"), new_path(spark, "imported")
-    _records(spark, sf).where(F.get_json_object("value", "$.received_at_utc").isNotNull()).write.text(source)
+    _records(spark, sf).where(F.get_json_object("value", "$.published_at_utc") != "").write.text(source)
     found = commits.import_archive(spark, source, root)
     again = commits.import_archive(spark, source, root)
     facts = F.from_json("facts", "article_count long, timestamped_article_count long, first_published_at string, last_published_at string")
@@ -235,7 +235,7 @@ SQL = {
       e AS (SELECT ticker, array_to_string(list_sort(list_distinct(list(c))), ',') AS events FROM w GROUP BY 1), o AS (SELECT DISTINCT ON (doc_id) * FROM w)
       SELECT o.ticker, count(*) AS n, count(DISTINCT publisher) AS sources, any_value(coalesce(events, '')) AS events, round(sum(w * score) / sum(w), 7) AS score FROM o JOIN e USING (ticker) GROUP BY 1""",
     "nested_articles": f"""WITH {NEWS_SQL}, t AS (SELECT *, nullif(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '') AS ti, nullif(regexp_replace(summary, '^\\s+|\\s+$', '', 'g'), '') AS su FROM news)
-      SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN 'wire' ELSE 'yfinance' END AS provider, ticker, CASE WHEN doc_id % 3 < 2 THEN nullif(publisher, '') END AS publisher, 'https://host.example/' || doc_id AS link, md5(ti) AS title_md5, md5(su) AS summary_md5,
+      SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'desk' WHEN 1 THEN 'wire' ELSE 'yfinance' END AS provider, ticker, CASE WHEN doc_id % 3 < 2 THEN nullif(publisher, '') END AS publisher, 'https://host.example/' || doc_id AS link, md5(ti) AS title_md5, md5(su) AS summary_md5,
         epoch_us(published_at) AS published_micros, epoch_us(CASE WHEN doc_id % 3 = 2 THEN published_at ELSE received_at END) AS received_micros FROM t WHERE ti IS NOT NULL OR su IS NOT NULL""",
     "served_sentiment": f"""WITH {_SCORED}, w AS (SELECT *, CASE WHEN published_at IS NULL THEN 1 ELSE pow(2.0::DOUBLE, -greatest((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(published_at)) / 86400000000.0::DOUBLE, 0) / 3) END AS w FROM sn),
       e AS (SELECT ticker, array_to_string(list_sort(list_distinct(list(c))), ',') AS events FROM (SELECT ticker, unnest(CASE WHEN {_CAT} = '' THEN [NULL] ELSE string_split({_CAT}, ',') END) AS c FROM w) GROUP BY 1),
@@ -243,7 +243,7 @@ SQL = {
       SELECT k.ticker, CASE WHEN n IS NULL THEN 'fallback' ELSE 'live' END AS status, CASE WHEN n IS NULL THEN 'no_usable_news' END AS reason, coalesce(n, 0) AS n, coalesce(sources, 0) AS sources, coalesce(events, '') AS events, round(coalesce(score, 0), 7) AS score
       FROM k LEFT JOIN s USING (ticker) LEFT JOIN e USING (ticker)""",
     "archive_import": f"""WITH {NEWS_SQL} SELECT 1 AS imports, count(*) AS n, count(published_at) AS n_dated, epoch_us(min(published_at)) AS first_micros, epoch_us(max(published_at)) AS last_micros FROM news
-      WHERE doc_id % 3 < 2 AND (trim(title) <> '' OR trim(summary) <> '')""",
+      WHERE doc_id % 3 = 0 AND (trim(title) <> '' OR trim(summary) <> '')""",
     "archive_manifest": f"WITH {NEWS_SQL} SELECT ticker, count(*) AS n, count(published_at) AS n_dated, epoch_us(min(published_at)) AS first_micros, epoch_us(max(published_at)) AS last_micros FROM news GROUP BY 1",
     "archive_violations": f"""WITH {NEWS_SQL}, v AS (SELECT doc_id, title, summary, CASE WHEN doc_id % 13 <> 0 THEN received_at END AS r, CASE WHEN doc_id % 17 = 0 THEN make_timestamp(epoch_us(published_at) + 1000000000000) ELSE published_at END AS p FROM news)
       SELECT doc_id, 'published' AS reason FROM v WHERE p IS NULL UNION ALL SELECT doc_id, 'received' FROM v WHERE r IS NULL UNION ALL SELECT doc_id, 'order' FROM v WHERE r < p UNION ALL SELECT doc_id, 'empty' FROM v WHERE coalesce(length(title), 0) + coalesce(length(summary), 0) = 0""",

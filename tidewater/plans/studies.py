@@ -108,6 +108,14 @@ def research_report(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.join(base, "series").withColumn("relative_mae", F.coalesce(F.try_divide("mae", "_b"), F.lit(0.0))), ("model", "series"), {"mae": 3, "bias": 3, "relative_mae": 8})
 
 
+def stored_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report stored twice under the hash of its rows, read back by it, with how often it is listed."""
+    report, root = written(research_report(spark, sf), "report"), new_path(spark, "reports")
+    (found,) = {commits.store(report, root, "report", {"source": "research_report"}) for _ in range(2)}
+    listed = commits.listed(spark, root).where(F.col("content_id") == found).agg(F.count(F.lit(1)).alias("listed"))
+    return commits.read_stored(spark, root, "report", found).join(listed)  # one row
+
+
 def legacy_direction(spark: SparkSession, sf: str) -> DataFrame:
     """Agreement of the signs of first differences between consecutive rows."""
     w = W.partitionBy("model", "series").orderBy("s")
@@ -138,7 +146,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    candidate_report, feature_ablation, published_forecasts, publication, bundle_check, horizon_buckets, served_forecasts, research_report, legacy_direction, return_space_report, stream_windows,
+    candidate_report, feature_ablation, published_forecasts, publication, bundle_check, horizon_buckets, served_forecasts, research_report, stored_report, legacy_direction, return_space_report, stream_windows,
 )}
 
 SQL = {
@@ -170,3 +178,4 @@ SQL = {
 }
 SQL["publication"] = f"""WITH p AS ({SQL["published_forecasts"]})
       SELECT series AS ticker, model, 1 AS pointers, count(*) AS n, arg_max(price, step) AS last_price FROM p GROUP BY 1, 2"""
+SQL["stored_report"] = f"SELECT *, 1 AS listed FROM ({SQL['research_report']})"

@@ -17,6 +17,8 @@ from ..operators import news
 from . import io
 
 MANIFEST = "kind string, content_id string, place string, n long, facts string"
+#: Fields that every line of an archive must have.
+REQUIRED = ("provider", "ticker", "title", "published_at_utc", "received_at_utc")
 POINTER = "ticker string, version string, kind string"
 
 
@@ -68,17 +70,26 @@ def read_stored(spark: SparkSession, root: str, kind: str, found: str) -> DataFr
     return back
 
 
+def refusals(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The first reason to refuse each line: no JSON object, a required field is missing, or its times are missing or disordered."""
+    keys = F.json_object_keys(column)
+    missing = F.array_join(F.array_except(F.array(*map(F.lit, REQUIRED)), keys), "+")
+    published, received = (news.parsed_time(F.get_json_object(column, f"$.{c}")) for c in ("published_at_utc", "received_at_utc"))
+    ordered = F.coalesce(received >= published, F.lit(False))
+    why = F.when(F.try_parse_json(column).isNull() | keys.isNull(), "unreadable").when(missing != "", F.concat(F.lit("no "), missing)).when(~ordered, "times")
+    return lines.select(why.alias("reason")).where("reason is not null")
+
+
 def import_archive(spark: SparkSession, source: str, root: str) -> str:
     """Articles of an archive of JSON lines, normalised, checked and without repeats, with a manifest of what they came from.
 
     One bad line refuses the archive before anything is written. A root that holds another archive is refused as well.
     """
-    lines = spark.read.text(source)
+    lines = spark.read.text(source).where("trim(value) <> ''")
+    bad = refusals(lines).groupBy("reason").count().collect()  # three reasons and the required fields at most
+    if bad:
+        raise io.Refused(", ".join(f"{r['count']} x {r['reason']}" for r in sorted(bad)))
     rows = news.normalised(lines).withColumn("doc_id", F.xxhash64("provider", "article_id", "link", "title", "published_at"))
-    bad = news.archive_violations(rows).groupBy("reason").count().collect()  # four reasons at most
-    unread = lines.where("trim(value) <> '' and try_parse_json(value) is null").count()
-    if bad or unread:
-        raise io.Refused(", ".join([f"{r['count']} x {r['reason']}" for r in sorted(bad)] + [f"{unread} x unreadable"] * (unread > 0)))
     articles = news.dedup(rows).drop("doc_id")
     told = articles.agg(F.count(F.lit(1)), F.count("published_at"), F.min("published_at").cast("string"), F.max("published_at").cast("string")).first()
     names = ("article_count", "timestamped_article_count", "first_published_at", "last_published_at")
