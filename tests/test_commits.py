@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import align, gates, news
+from tidewater.operators import align, clean, gates, news, registry
 from tidewater.sources import commits, io
 
 GOOD = {"provider": "p", "ticker": "spy", "title": "t", "published_at_utc": "2024-01-01T00:00:00Z", "received_at_utc": "2024-01-01T01:00:00Z"}
@@ -117,3 +117,25 @@ def test_evidence_records_tell_windows_and_majority(spark):
     assert (row["folds_beating_persistence"], row["decision"], row["promotable"], row["worst_fold_relative_rmse"], row["run_tag"]) == ("2/3", "keep", True, 1.2, "holdout-ridge")
     assert row["decision_reason"] == "2/3 windows pass the 0.98 gate (majority required 2); pooled CI upper bounds mae=0.9123 rmse=0.9500 vs gate <1.0"
     assert [(w["window_index"], w["passes_gate"]) for w in row["per_window"]] == [(0, True), (1, True), (2, False)]
+
+
+def test_cache_keeps_what_the_rules_leave(spark):
+    at = lambda h: dt.datetime(2024, 1, 31) - dt.timedelta(hours=h)
+    entries = [
+        ("v4/a", "model", at(100), at(1), at(1), 5), ("v4/b", None, at(10), at(1), at(2), None), ("v4/c", "model", at(10), at(1), at(3), 6), ("v4/d", "model", at(169), at(1), at(0), 1),
+        ("v3/e", "model", at(1), at(1), at(0), 1), ("v4/f", "checkpoint", at(500), at(23), at(99), 900), ("v4/g", "checkpoint", at(1), at(25), at(1), 1),
+    ]
+    df = spark.createDataFrame([("o", *e) for e in entries], "owner string, key string, kind string, created_at timestamp, updated_at timestamp, last_used timestamp, bytes long")
+    kept = lambda **limits: {r["key"] for r in registry.cache_retention(df, F.lit(at(0)), "^v4/", **limits).collect()}
+    assert kept() == {"v4/a", "v4/b", "v4/c", "v4/f"}
+    assert kept(most_rows=2) == {"v4/a", "v4/b", "v4/f"} and kept(most_bytes=10) == {"v4/a", "v4/b", "v4/f"} and kept(most_bytes=4) == {"v4/f"}
+
+
+def test_quality_names_every_issue(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("bad", day, 5.0), ("bad", day, 5.0), ("bad", day + dt.timedelta(9), 8.0), ("bad", day + dt.timedelta(10), -1.0), ("good", day, 5.0), ("good", day + dt.timedelta(1), 5.1)]
+    bench = spark.createDataFrame([("B", day + dt.timedelta(5))], "benchmark string, session date")
+    found = clean.quality_details(spark.createDataFrame(rows, "series string, session date, close double"), F.lit(day + dt.timedelta(15)), bench).collect()
+    assert {r["series"] for r in found} == {"bad"} and [r["severity"] for r in found] == ["error"] * 2 + ["warning"] * 3
+    assert [r["code"] for r in found] == ["duplicate_dates", "non_positive_values", "large_single_day_move", "missing_sessions", "benchmark_series_end_earlier"]
+    assert (found[0]["detail"], found[3]["detail"]) == ("1 duplicate rows.", "1 session gaps longer than 7 calendar days.")

@@ -59,6 +59,26 @@ def quality(df: DataFrame, as_of: Column) -> DataFrame:
     return out.withColumn("status", F.when(issue, "annotated").otherwise("clean"))
 
 
+def quality_details(df: DataFrame, as_of: Column, benchmarks: DataFrame) -> DataFrame:
+    """series, code, severity, detail of every issue of a series; a series without issues has no row.
+
+    benchmarks: benchmark, session. The series ends before one of them says nothing; one that ends before the series does.
+    """
+    ends = benchmarks.groupBy("benchmark").agg(F.max("session").alias("_e")).agg(F.min("_e").alias("_ends"))
+    found = quality(df, as_of).join(ends)  # one row
+    told = lambda n, code, severity, detail: F.when(n, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail")))
+    text = lambda name, rest: F.concat(F.col(name).cast("string"), F.lit(rest))
+    issues = F.array(
+        told(F.col("duplicate_dates") > 0, "duplicate_dates", "error", text("duplicate_dates", " duplicate rows.")),
+        told(F.col("non_positive") > 0, "non_positive_values", "error", F.lit("Non-positive prices found.")),
+        told(F.col("large_moves") > 0, "large_single_day_move", "warning", F.lit("A single-day move exceeds 20%, which is inconsistent with adjusted data.")),
+        told(F.col("long_gaps") > 0, "missing_sessions", "warning", text("long_gaps", " session gaps longer than 7 calendar days.")),
+        told(F.col("stale_days") > STALE_DAYS, "stale_latest_observation", "warning", F.concat(F.lit("Latest observation is "), text("stale_days", " days old."))),
+        told(F.col("_ends") < F.date_sub(as_of, F.col("stale_days").cast("int")), "benchmark_series_end_earlier", "warning", F.lit("One or more market benchmark series end before the stock series.")),
+    )
+    return found.select("series", F.explode(F.array_compact(issues)).alias("_i")).select("series", "_i.*")
+
+
 def _exact(name: str) -> Column:
     """A number as text, to its last bit: its whole part and two runs of 53 binary places, or a mark for null and for what is not finite."""
     x = F.col(name).cast("double")

@@ -74,6 +74,37 @@ def lru_retention(models: DataFrame, as_of: Column, most_rows: int, most_bytes:
     return ranked.where((F.col("_r") <= most_rows) & (F.col("_b") <= most_bytes)).drop("_r", "_b")
 
 
+def cache_retention(entries: DataFrame, as_of: Column, version: str, most_rows: int = 8, most_bytes: int = 200 << 20, model_hours: int = 168, checkpoint_hours: int = 24) -> DataFrame:
+    """Which entries of a cache stay, per owner.
+
+    Keys that don't match ``version`` go, then checkpoints by their last update and models by their making; of the models
+    left, the least recently used go beyond rows and bytes. Checkpoints aren't evicted. entries: owner, key, kind,
+    created_at, updated_at, last_used, bytes; missing bytes count as none, ties stay by key.
+    """
+    checkpoint = F.coalesce(F.col("kind") == "checkpoint", F.lit(False))
+    age = lambda c: (F.unix_micros(as_of) - F.unix_micros(c)) / F.lit(3_600_000_000.0)
+    old = F.when(checkpoint, age("updated_at") > checkpoint_hours).otherwise(age("created_at") > model_hours)
+    fresh = entries.where(F.col("key").rlike(version) & ~F.coalesce(old, F.lit(False)))
+    w = W.partitionBy("owner", checkpoint).orderBy(F.desc("last_used"), "key")
+    ranked = fresh.withColumn("_r", F.row_number().over(w)).withColumn("_b", F.sum(F.coalesce("bytes", F.lit(0))).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return ranked.where(checkpoint | ((F.col("_r") <= most_rows) & (F.col("_b") <= most_bytes))).drop("_r", "_b")
+
+
+SLOT = ("ticker", "forecast_type", "profile", "horizon")
+
+
+def slot_conflicts(entries: DataFrame, made: DataFrame) -> DataFrame:
+    """Entries in the slot of a new one, of its backend or of none known, but with another key than it and its checkpoint.
+
+    Both: key, ticker, forecast_type, profile, horizon, backend; a missing part of a slot matches a missing one.
+    """
+    new = made.select(*(F.col(c).alias(f"_{c}") for c in (*SLOT, "backend", "key")))
+    same = [entries[c].eqNullSafe(new[f"_{c}"]) for c in SLOT]
+    other = (F.col("key") != F.col("_key")) & (F.col("key") != F.concat(F.lit("checkpoint/"), F.col("_key")))
+    fits = F.col("backend").isNull() | (F.col("backend") == F.col("_backend"))
+    return entries.join(new, [*same, fits & other], "left_semi")
+
+
 def superseded(models: DataFrame) -> DataFrame:
     """Variants of a slot with a lower rank than its best."""
     best = F.max("rank").over(W.partitionBy("ticker", "kind"))

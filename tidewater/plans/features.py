@@ -76,6 +76,10 @@ def quality_issues(spark: SparkSession, sf: str) -> DataFrame:
     return clean.quality(bars_wide(spark, sf), F.to_date(F.lit("2001-08-10")))
 
 
+def quality_details(spark: SparkSession, sf: str) -> DataFrame:
+    return clean.quality_details(bars_wide(spark, sf), F.to_date(F.lit("2001-08-10")), benchmarks(spark, sf))
+
+
 def future_sessions(spark: SparkSession, sf: str) -> DataFrame:
     lasts = bars(spark, sf).groupBy("series").agg(F.max("session").alias("last_session"))
     lasts = lasts.withColumn("always", F.col("series") == "MACHINERY")
@@ -129,7 +133,7 @@ def rank_within_month(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     bars_clean, bars_violations, symbols, sma_bollinger, ema_macd, rsi_atr_obv, technical_by_ranges, price_returns, stationary_v4, market_asof_returns, rolling_beta, calendar_encoding,
-    quality_issues, future_sessions, last_rows, training_snapshot, instrument_summary, fingerprints, feature_validation, calendars, change_over, rank_within_month,
+    quality_issues, quality_details, future_sessions, last_rows, training_snapshot, instrument_summary, fingerprints, feature_validation, calendars, change_over, rank_within_month,
 )}
 
 _FULL = "CASE WHEN count({x}) OVER w{n} = {n} THEN {agg} OVER w{n} END"
@@ -250,3 +254,10 @@ SQL["training_snapshot"] = f"""WITH {BARS_SQL}, fu AS ({SQL["future_sessions"]})
       g AS (SELECT series, count(*) AS n, min(session) AS start_date, max(session) AS end_date, sum(x1 + x2) AS x, sum(close) AS p FROM l GROUP BY 1), d AS (SELECT series, count(*) AS days, min(session) AS next_session FROM fu GROUP BY 1)
       SELECT g.series, n, days, next_session, raw_rows, start_date, end_date, greatest(0, n - 60 - 30 + 1) AS usable_sequences, CASE WHEN n < 91 THEN 'short' END AS problem, round(x, 6) AS features_sum, round(p, 2) AS prices_sum
       FROM g JOIN c ON c.series = g.series JOIN d ON d.series = g.series"""
+SQL["quality_details"] = f"""WITH {BENCH_SQL}, k AS (SELECT min(e) AS e FROM (SELECT max(session) AS e FROM bench GROUP BY benchmark)), q AS ({SQL["quality_issues"]})
+      SELECT series, 'duplicate_dates' AS code, 'error' AS severity, duplicate_dates || ' duplicate rows.' AS detail FROM q WHERE duplicate_dates > 0
+      UNION ALL SELECT series, 'non_positive_values', 'error', 'Non-positive prices found.' FROM q WHERE non_positive > 0
+      UNION ALL SELECT series, 'large_single_day_move', 'warning', 'A single-day move exceeds 20%, which is inconsistent with adjusted data.' FROM q WHERE large_moves > 0
+      UNION ALL SELECT series, 'missing_sessions', 'warning', long_gaps || ' session gaps longer than 7 calendar days.' FROM q WHERE long_gaps > 0
+      UNION ALL SELECT series, 'stale_latest_observation', 'warning', 'Latest observation is ' || stale_days || ' days old.' FROM q WHERE stale_days > 15
+      UNION ALL SELECT series, 'benchmark_series_end_earlier', 'warning', 'One or more market benchmark series end before the stock series.' FROM q, k WHERE e < DATE '2001-08-10' - CAST(stale_days AS INTEGER)"""

@@ -160,6 +160,28 @@ def lru_retention(spark: SparkSession, sf: str) -> DataFrame:
     return registry.lru_retention(models, F.lit("2024-01-31").cast("timestamp"), 8, 200, 7).select("owner", "model_id")
 
 
+def cache_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as entries of a cache: some of an older version, some checkpoints, some of unknown size."""
+    k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    later = lambda n, of: F.timestamp_micros(F.unix_micros(ts) + (k % n) * of)
+    entries = table(spark, sf, "events").select(
+        (F.col("user_id") % 10).alias("owner"), k.alias("entry"), F.concat(F.when(k % 11 == 0, "v3/").otherwise("v4/"), k.cast("string")).alias("key"),
+        F.when(k % 5 == 0, "checkpoint").when(k % 5 < 4, "model").alias("kind"), ts.alias("created_at"), later(30, 3_600_000_000).alias("updated_at"), later(70, 1_800_000_000).alias("last_used"), F.when(k % 9 != 0, k % 90 + 1).alias("bytes"),
+    )
+    return registry.cache_retention(entries, F.lit("2024-01-31").cast("timestamp"), "^v4/", most_bytes=200).select("owner", "entry")
+
+
+def slot_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as entries of a cache, those of every tenth number as just written."""
+    k = F.col("p_partkey")
+    base = F.concat_ws("-", (k % 20).cast("string"), (k % 2).cast("string"), (k % 7).cast("string"))
+    entries = table(spark, sf, "part").select(
+        k.alias("entry"), F.when(k % 6 == 0, F.concat(F.lit("checkpoint/"), base)).otherwise(base).alias("key"), (k % 20).alias("ticker"), F.when(k % 2 == 0, "price").otherwise("direction").alias("forecast_type"),
+        F.when(k % 4 != 3, k % 4).alias("profile"), F.lit(30).alias("horizon"), F.when(k % 3 == 0, "webgl").when(k % 3 == 1, "cpu").alias("backend"),
+    )
+    return registry.slot_conflicts(entries, entries.where("entry % 10 = 0")).select("entry")
+
+
 def availability(spark: SparkSession, sf: str) -> DataFrame:
     allowed = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("ticker")).union(table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
     found = registry.champions(_pointers(spark, sf), _artifacts(spark, sf))
@@ -199,7 +221,7 @@ def prediction_parity(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     news_dedup, news_relevance, news_categories, article_sentiment, news_keys, news_sessions, news_decay_features, news_feature_rows, sentiment_summary, nested_articles, served_sentiment, archive_import, archive_manifest, archive_violations, ledger_report, champions,
-    retention_candidates, lease_expiry, lru_retention, availability, superseded_models, promotion_replay, version_ids, guarded_export, prediction_parity,
+    retention_candidates, lease_expiry, lru_retention, cache_retention, slot_conflicts, availability, superseded_models, promotion_replay, version_ids, guarded_export, prediction_parity,
 )}
 
 _CAT = "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(summary), '{k}')" for k in keys) + f" THEN '{n}' END" for n, keys in EVENTS.items()) + "], lambda x: x IS NOT NULL), ',')"
@@ -255,6 +277,14 @@ SQL = {
       WHEN event_type = 'view' THEN 'processing' ELSE 'queued' END AS new_state FROM events""",
     "lru_retention": """WITH m AS (SELECT user_id % 10 AS owner, event_id AS model_id, ts, event_id % 90 + 1 AS bytes FROM events WHERE ts >= TIMESTAMP '2024-01-24'),
       r AS (SELECT *, row_number() OVER w AS k, sum(bytes) OVER (PARTITION BY owner ORDER BY ts DESC, model_id ROWS UNBOUNDED PRECEDING) AS b FROM m WINDOW w AS (PARTITION BY owner ORDER BY ts DESC, model_id)) SELECT owner, model_id FROM r WHERE k <= 8 AND b <= 200""",
+    "cache_retention": """WITH e AS (SELECT user_id % 10 AS owner, event_id AS entry, 'v4/' || event_id AS key, event_id % 5 = 0 AS cp, epoch_us(ts) AS c, epoch_us(ts) + event_id % 30 * 3600000000 AS u, epoch_us(ts) + event_id % 70 * 1800000000 AS l,
+        CASE WHEN event_id % 9 <> 0 THEN event_id % 90 + 1 ELSE 0 END AS bytes FROM events WHERE event_id % 11 <> 0),
+      f AS (SELECT * FROM e WHERE CASE WHEN cp THEN epoch_us(TIMESTAMP '2024-01-31') - u <= 24 * 3600000000 ELSE epoch_us(TIMESTAMP '2024-01-31') - c <= 168 * 3600000000 END),
+      r AS (SELECT *, row_number() OVER w AS k, sum(bytes) OVER (PARTITION BY owner ORDER BY l DESC, key ROWS UNBOUNDED PRECEDING) AS b FROM f WHERE NOT cp WINDOW w AS (PARTITION BY owner ORDER BY l DESC, key))
+      SELECT owner, entry FROM f WHERE cp UNION ALL SELECT owner, entry FROM r WHERE k <= 8 AND b <= 200""",
+    "slot_conflicts": """WITH e AS (SELECT p_partkey AS entry, CASE WHEN p_partkey % 6 = 0 THEN 'checkpoint/' ELSE '' END || p_partkey % 20 || '-' || p_partkey % 2 || '-' || p_partkey % 7 AS key, p_partkey % 20 AS ticker, CASE WHEN p_partkey % 4 <> 3 THEN p_partkey % 4 END AS profile,
+        p_partkey % 2 AS kind, CASE p_partkey % 3 WHEN 0 THEN 'webgl' WHEN 1 THEN 'cpu' END AS backend FROM part)
+      SELECT entry FROM e WHERE EXISTS (SELECT 1 FROM e n WHERE n.entry % 10 = 0 AND n.ticker = e.ticker AND n.kind = e.kind AND n.profile IS NOT DISTINCT FROM e.profile AND (e.backend IS NULL OR e.backend = n.backend) AND e.key <> n.key AND e.key <> 'checkpoint/' || n.key)""",
     "availability": f"""WITH {_ART}, c AS (SELECT pt.ticker, created_at FROM pt JOIN ar ON version = version_id AND status = 'promoted'), a AS (SELECT CAST(n_nationkey AS VARCHAR) AS ticker FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region),
       j AS (SELECT a.ticker, (epoch_us(TIMESTAMP '2001-08-02') - epoch_us(created_at)) / 3600000000.0::DOUBLE AS h FROM a LEFT JOIN c USING (ticker)) SELECT ticker, CASE WHEN h IS NULL THEN 'missing' WHEN h <= 36 THEN 'fresh' ELSE 'stale' END AS state, round(h, 3) AS age_hours FROM j""",
     "superseded_models": """WITH m AS (SELECT p_partkey AS model_id, p_partkey % 50 AS ticker, substr(CAST(p_partkey AS VARCHAR), 1, 1) AS kind, p_partkey % 3 AS rank FROM part) SELECT model_id, rank FROM m QUALIFY rank < max(rank) OVER (PARTITION BY ticker, kind)""",
