@@ -69,32 +69,41 @@ def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     return rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"), F.avg("actual").alias("observed"))
 
 
-def probability_report(rows: DataFrame, training_rate: Column) -> DataFrame:
-    """One row: accuracy, balanced accuracy, training-majority accuracy, Brier, log loss and expected calibration error."""
+def probability_report(rows: DataFrame, training: Column) -> DataFrame:
+    """One row: accuracy, balanced accuracy, training-majority accuracy, Brier, log loss and expected calibration error.
+
+    training: the training labels, 0 or 1, of the same rows (null where a row has none); where they are even, the majority is 0.
+    """
     y, p = F.col("actual"), F.col("probability")
     said = (p >= 0.5).cast("int")
     clipped = F.greatest(F.least(p, F.lit(1 - 1e-7)), F.lit(1e-7))
     scores = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg((said == y).cast("double")).alias("accuracy"),
-        ((F.avg(F.when(y == 1, (said == 1).cast("double"))) + F.avg(F.when(y == 0, (said == 0).cast("double")))) / 2).alias("balanced_accuracy"),
-        F.avg(F.when(y == training_rate, F.lit(1.0)).otherwise(F.lit(0.0))).alias("majority_accuracy"),
+        ((F.coalesce(F.avg(F.when(y == 1, (said == 1).cast("double"))), F.lit(0.0)) + F.coalesce(F.avg(F.when(y == 0, (said == 0).cast("double"))), F.lit(0.0))) / 2).alias("balanced_accuracy"),
+        F.avg(y.cast("double")).alias("_rate"),
+        F.coalesce(2 * F.sum(training) > F.count(training), F.lit(False)).alias("_up"),
         F.avg((p - y) * (p - y)).alias("brier"),
         F.avg(-F.when(y == 1, F.log(clipped)).otherwise(F.log(1 - clipped))).alias("log_loss"),
     )
     gap = F.col("n") * F.abs(F.col("mean_probability") - F.col("observed"))
     ece = reliability(rows).agg((F.sum(gap) / F.sum("n")).alias("ece"))
-    return scores.join(ece)  # one row each
+    majority = F.when(F.col("_up"), F.col("_rate")).otherwise(1 - F.col("_rate"))
+    return scores.withColumn("majority_accuracy", majority).drop("_rate", "_up").join(ece)  # one row each
 
 
 def classification(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Confusion counts and what follows from them, per key and pooled; rows: actual 0/1, said 0/1, probability."""
+    """Confusion counts and what follows from them, per key and pooled; rows: actual 0/1, said 0/1, probability.
+
+    A ratio without a denominator is 0, so a class that does not occur has recall 0.
+    """
     y, said = F.col("actual"), F.col("said")
     counts = {"tp": (y == 1) & (said == 1), "fp": (y == 0) & (said == 1), "fn": (y == 1) & (said == 0), "tn": (y == 0) & (said == 0)}
     grouped = rows.groupingSets([[F.col(k) for k in keys], []], *keys).agg(*(F.count_if(c).alias(n) for n, c in counts.items()), F.avg((F.col("probability") - y) * (F.col("probability") - y)).alias("brier"))
     tp, fp, fn, tn = map(F.col, counts)
-    precision, recall, specificity = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
-    return grouped.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * precision * recall, precision + recall), "balanced_accuracy": (recall + specificity) / 2, "naive": F.greatest(tp + fn, fp + tn) / (tp + fp + fn + tn)})
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    precision, recall, specificity = ratio(tp, tp + fp), ratio(tp, tp + fn), ratio(tn, tn + fp)
+    return grouped.withColumns({"precision": precision, "recall": recall, "f1": ratio(2 * precision * recall, precision + recall), "balanced_accuracy": (recall + specificity) / 2, "naive": F.greatest(tp + fn, fp + tn) / (tp + fp + fn + tn)})
 
 
 def quantile_scores(rows: DataFrame) -> DataFrame:

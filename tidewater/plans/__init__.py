@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, features, fitted, forecasts, panels, records, serving, studies
+from . import evidence, features, fitted, forecasts, panels, records, serving, studies, validation
 
-FAMILIES = (features, forecasts, evidence, fitted, panels, records, serving, studies)
+FAMILIES = (features, forecasts, evidence, fitted, panels, records, serving, studies, validation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -108,7 +108,7 @@ def train_mean_return(spark: SparkSession, sf: str) -> DataFrame:
 def probability_report(spark: SparkSession, sf: str) -> DataFrame:
     rows = probabilities(spark, sf)
     names = dict.fromkeys(("accuracy", "balanced_accuracy", "majority_accuracy", "brier", "log_loss", "ece"), 8)
-    return rounded(metrics.probability_report(rows, F.lit(1)), ("n",), names)
+    return rounded(metrics.probability_report(rows, F.col("training_target")), ("n",), names)
 
 
 def reliability_bins(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,15 +257,15 @@ SQL = {
       SELECT l.series, CAST(fold AS BIGINT) AS fold, CAST(horizon AS BIGINT) AS horizon, count(*) AS n, round(avg(y), 8) AS mean_return FROM l JOIN folds ON l.series = folds.series AND s < train_hi GROUP BY 1, 2, 3""",
     "probability_report": f"""WITH {_PROB_SQL}, p AS (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS said, greatest(least(probability, 1 - 1e-7), 1e-7) AS cp FROM pr)
       SELECT count(*) AS n, round(avg(CASE WHEN said = actual THEN 1.0 ELSE 0.0 END), 8) AS accuracy,
-        round((avg(CASE WHEN actual = 1 THEN CASE WHEN said = 1 THEN 1.0 ELSE 0.0 END END) + avg(CASE WHEN actual = 0 THEN CASE WHEN said = 0 THEN 1.0 ELSE 0.0 END END)) / 2, 8) AS balanced_accuracy,
-        round(avg(CASE WHEN actual = 1 THEN 1.0 ELSE 0.0 END), 8) AS majority_accuracy, round(avg((probability - actual) * (probability - actual)), 8) AS brier,
+        round((coalesce(avg(CASE WHEN actual = 1 THEN CASE WHEN said = 1 THEN 1.0 ELSE 0.0 END END), 0) + coalesce(avg(CASE WHEN actual = 0 THEN CASE WHEN said = 0 THEN 1.0 ELSE 0.0 END END), 0)) / 2, 8) AS balanced_accuracy,
+        round(CASE WHEN 2 * sum(training_target) > count(training_target) THEN avg(actual) ELSE 1 - avg(actual) END, 8) AS majority_accuracy, round(avg((probability - actual) * (probability - actual)), 8) AS brier,
         round(avg(-CASE WHEN actual = 1 THEN ln(cp) ELSE ln(1 - cp) END), 8) AS log_loss, round((SELECT sum(n * abs(mean_probability - observed)) / sum(n) FROM bins), 8) AS ece FROM p""",
     "reliability_bins": f"WITH {_PROB_SQL} SELECT bin, n, round(mean_probability, 8) AS mean_probability, round(observed, 8) AS observed FROM bins",
     "classification_by_source": f"""WITH {_PROB_SQL}, p AS (SELECT *, CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS said FROM pr),
       c AS (SELECT source, count(CASE WHEN actual = 1 AND said = 1 THEN 1 END)::DOUBLE AS tp, count(CASE WHEN actual = 0 AND said = 1 THEN 1 END)::DOUBLE AS fp, count(CASE WHEN actual = 1 AND said = 0 THEN 1 END)::DOUBLE AS fn,
         count(CASE WHEN actual = 0 AND said = 0 THEN 1 END)::DOUBLE AS tn, avg((probability - actual) * (probability - actual)) AS brier FROM p GROUP BY GROUPING SETS ((source), ())),
-      d AS (SELECT *, tp / nullif(tp + fp, 0) AS pc, tp / nullif(tp + fn, 0) AS rc, tn / nullif(tn + fp, 0) AS sp FROM c)
-      SELECT source, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(pc, 8) AS "precision", round(rc, 8) AS recall, round(2 * pc * rc / nullif(pc + rc, 0), 8) AS f1,
+      d AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pc, coalesce(tp / nullif(tp + fn, 0), 0) AS rc, coalesce(tn / nullif(tn + fp, 0), 0) AS sp FROM c)
+      SELECT source, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, round(pc, 8) AS "precision", round(rc, 8) AS recall, round(coalesce(2 * pc * rc / nullif(pc + rc, 0), 0), 8) AS f1,
         round((rc + sp) / 2, 8) AS balanced_accuracy, round(brier, 8) AS brier, round(greatest(tp + fn, fp + tn) / (tp + fp + fn + tn), 8) AS naive FROM d""",
     "pinball": f"""WITH {_QUANT_SQL} SELECT tau, count(*) AS n, round(avg(greatest(tau * (actual - predicted), (tau - 1) * (actual - predicted))), 3) AS pinball, round(avg(CASE WHEN actual <= predicted THEN 1.0 ELSE 0.0 END), 8) AS below FROM q GROUP BY 1""",
     "quantile_crossing": f"""WITH {_QUANT_SQL}, x AS (SELECT *, predicted < lag(predicted) OVER (PARTITION BY series, fold, s, horizon ORDER BY tau) AS x FROM q), c AS (SELECT series, fold, s, horizon, coalesce(bool_or(x), false) AS c FROM x GROUP BY 1, 2, 3, 4)
