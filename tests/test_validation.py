@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from tidewater.operators import metrics
+from tidewater.operators import clean, metrics
 from tidewater.operators import validation as V
 
 SETUP = V.Validation(lookback=4, horizon=2, folds=2, min_train=12, size=6)
@@ -129,3 +129,22 @@ def test_training_majority_and_empty_classes(spark):
     assert (got.majority_accuracy, got.balanced_accuracy) == (0.0, pytest.approx(1 / 6))
     found = metrics.classification(rows.selectExpr("'x' AS k", "actual", "probability", "0 AS said"), ("k",)).where("k = 'x'").collect()[0]
     assert (found.precision, found.recall, found.f1, found.balanced_accuracy) == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_seeds_with_any_gap_are_dropped(spark):
+    """Seeds 2 and 3 lack one metric each, so only seeds 1 and 4 count in both."""
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 9.0), ("a", 9.0, float("inf")), ("a", 3.0, 4.0), ("b", float("nan"), 1.0)], "model string, mae double, rmse double")
+    found = {(r.model, r.metric): (r.mean, r.median, r.sd, r.best, r.worst, r.failures) for r in metrics.seed_summary(rows, ("model",), ("mae", "rmse")).collect()}
+    assert found["a", "mae"] == (2.0, 2.0, 1.0, 1.0, 3.0, 2) and found["a", "rmse"] == (3.0, 3.0, 1.0, 2.0, 4.0, 2)
+    assert found["b", "rmse"] == (None, None, None, None, None, 1)
+
+
+def test_strict_readers(spark):
+    bars = spark.createDataFrame([("a", "2020-01-02", 0, 1.0, 1.0), ("a", "2020-01-01", 1, float("nan"), 1.0), ("a", "2020-01-01", 2, 1.0, None), ("b", "2020-01-01", 0, 1.0, 0.0)], "series string, session string, at int, open double, volume double")
+    whole = bars.selectExpr("series", "to_date(session) AS session", "at", "open", "1.0D AS high", "1.0D AS low", "1.0D AS close", "volume")
+    assert {(r.violation, str(r.session), r.rows_found) for r in clean.strict_violations(whole, "at").collect()} == {("duplicate_session", "2020-01-01", 2), ("bad_price", "2020-01-01", 1), ("bad_volume", "2020-01-01", 1), ("disorder", "2020-01-01", 1)}
+    rows = spark.createDataFrame([("a", 1, 1.0, float("inf"))], "series string, session int, x double, y double")
+    assert [tuple(r) for r in clean.contract_problems(rows, ("x", "y")).collect()] == [("infinite", "y", 1)]
+    twice = rows.selectExpr("series", "session", "y", "x", "x")
+    assert {(r.problem, r.feature) for r in clean.contract_problems(twice, ("x", "y", "z")).collect()} == {("duplicate_column", "x"), ("missing_column", "z"), ("column_order", None), ("infinite", "y")}
+    assert clean.contract_problems(rows.where("false"), ("x", "y")).count() == 0

@@ -36,6 +36,23 @@ def violations(df: DataFrame) -> DataFrame:
     return counted.select("series", "session", F.explode(found).alias("_v")).select("series", "session", "_v.*")
 
 
+def strict_violations(df: DataFrame, order: str) -> DataFrame:
+    """series, session, violation, rows_found: all that a strict reader refuses in whole bars, in the order that ``order`` tells.
+
+    duplicate_session; bad_price (an open, high, low or close that is null, not finite or not positive); bad_volume (null,
+    not finite or negative); disorder (a row that lies before the one read before it).
+    """
+    unsound = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
+    price = F.lit(False)
+    for name in PRICES:
+        price = price | unsound(name) | (F.col(name) <= 0)
+    before = F.lag("session").over(W.partitionBy("series").orderBy(order))
+    rows = df.withColumns({"_price": price, "_volume": unsound("volume") | (F.col("volume") < 0), "_back": F.coalesce(F.col("session") < before, F.lit(False))})
+    counts = {"duplicate_session": F.when(F.count(F.lit(1)) > 1, F.count(F.lit(1))), "bad_price": F.count_if("_price"), "bad_volume": F.count_if("_volume"), "disorder": F.count_if("_back")}
+    found = rows.groupBy("series", "session").agg(F.array(*(F.struct(F.lit(n).alias("violation"), c.alias("rows_found")) for n, c in counts.items())).alias("_v"))
+    return found.select("series", "session", F.explode("_v").alias("_v")).select("series", "session", "_v.*").where("rows_found > 0")
+
+
 def symbol(raw: Column) -> Column:
     """Trimmed and upper-cased; null unless it is one to twelve of A-Z, 0-9, dot and dash after an optional caret."""
     text = F.upper(F.trim(raw))
@@ -104,3 +121,25 @@ def validate(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     parts = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns)))
     long = df.select(parts.alias("_p")).select("_p.*")
     return long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("missing"), F.count_if(F.abs("x") == float("inf")).alias("infinite"))
+
+
+def contract_problems(df: DataFrame, expected: tuple[str, ...], keys: tuple[str, ...] = ("series", "session")) -> DataFrame:
+    """problem, feature, rows_found: where df breaks the contract of its features; no rows where it keeps it.
+
+    From names alone: duplicate_column, missing_column, column_order (those there are in another order). From one pass over
+    the rows: missing (null or NaN) and infinite values of the features that are there once. duplicate_key: keys that more than one row has.
+    """
+    names = df.columns
+    there = [c for c in names if c in expected]
+    single = [c for c in expected if names.count(c) == 1]
+    known = [("duplicate_column", c) for c in sorted(set(names)) if names.count(c) > 1] + [("missing_column", c) for c in expected if c not in names]
+    known += [("column_order", None)] if [c for c in expected if c in names] != list(dict.fromkeys(there)) else []
+    schema = "problem string, feature string, rows_found long"
+    out = df.sparkSession.createDataFrame([(p, c, None) for p, c in known], schema)
+    keyed = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").agg(F.count(F.lit(1)).alias("rows_found"))
+    out = out.union(keyed.where("rows_found > 0").select(F.lit("duplicate_key"), F.lit(None).cast("string"), "rows_found"))
+    if single:
+        bad = F.explode(F.array(F.struct(F.lit("missing").alias("problem"), F.col("missing").alias("rows_found")), F.struct(F.lit("infinite").alias("problem"), F.col("infinite").alias("rows_found"))))
+        found = validate(df.select(*single), tuple(single)).select("feature", bad.alias("_b")).select("_b.problem", "feature", "_b.rows_found")
+        out = out.union(found.where("rows_found > 0"))
+    return out

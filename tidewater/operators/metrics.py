@@ -179,10 +179,20 @@ def fold_summary(fold_scores: DataFrame, keys: tuple[str, ...], limit: float = 0
     return out.withColumn("promotable", medians & (F.col("worst_relative_rmse") <= worst) & (F.col("wins") >= F.greatest(F.lit(1), F.col("folds") - 1)))
 
 
-def seed_summary(rows: DataFrame, keys: tuple[str, ...], metric: str) -> DataFrame:
-    """Mean, median, deviation, best and worst over seeds; a seed without the metric only counts as a failure."""
-    x = F.col(metric)
-    return rows.groupBy(*keys).agg(F.avg(x).alias("mean"), F.percentile(x, F.lit(0.5)).alias("median"), F.stddev_pop(x).alias("sd"), F.min(x).alias("best"), F.max(x).alias("worst"), F.count_if(x.isNull()).alias("failures"))
+def seed_summary(rows: DataFrame, keys: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+    """Per key and metric: mean, median, population deviation, best (least), worst, and the key's failures; rows: keys and a column per metric, a row per seed.
+
+    A seed of which any metric is null, NaN or infinite failed and counts in none; where all did, figures are null.
+    """
+    sound = F.lit(True)
+    for name in names:
+        x = F.col(name).cast("double")
+        sound = sound & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.when(sound, F.col(n).cast("double")).alias("x")) for n in names)))
+    long = rows.select(*keys, values.alias("_v")).select(*keys, "_v.*")
+    return long.groupBy(*keys, "metric").agg(
+        F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.stddev_pop("x").alias("sd"), F.min("x").alias("best"), F.max("x").alias("worst"), F.count_if(F.col("x").isNull()).alias("failures"),
+    )
 
 
 def browser_regression(df: DataFrame, keys: tuple[str, ...], least: float = 1e-4) -> DataFrame:

@@ -171,7 +171,7 @@ def ridge_fit(spark: SparkSession, sf: str) -> DataFrame:
 
 def seed_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Folds stand for seeds."""
-    return rounded(metrics.seed_summary(_fold_scores(spark, sf), ("model",), "relative_mae"), ("model", "failures"), dict.fromkeys(("mean", "median", "sd", "best", "worst"), 8))
+    return rounded(metrics.seed_summary(_fold_scores(spark, sf), ("model",), ("relative_mae", "relative_rmse")), ("model", "metric", "failures"), dict.fromkeys(("mean", "median", "sd", "best", "worst"), 8))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -287,5 +287,6 @@ SQL = {
     "ridge_fit": f"""WITH {BARS_SQL}, r AS (SELECT series, ln(close / prev) AS x, ln(lead(close) OVER (PARTITION BY series ORDER BY session) / close) AS y FROM b),
       g AS (SELECT series, count(*) AS n, avg(x) AS mx, avg(y) AS my, covar_pop(x, y) AS c, var_pop(x) AS v FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
       SELECT series, n, round(n * c / (n * v + 10), 8) AS slope, round(my - n * c / (n * v + 10) * mx, 8) AS intercept FROM g""",
-    "seed_summary": f"""WITH {_FOLD_SQL} SELECT model, count(*) - count(relative_mae) AS failures, round(avg(relative_mae), 8) AS mean, round(quantile_cont(relative_mae, 0.5), 8) AS median, round(stddev_pop(relative_mae), 8) AS sd, round(min(relative_mae), 8) AS best, round(max(relative_mae), 8) AS worst FROM fs GROUP BY 1""",
+    "seed_summary": f"""WITH {_FOLD_SQL}, v AS (SELECT model, unnest(['relative_mae', 'relative_rmse']) AS metric, unnest(CASE WHEN relative_mae + relative_rmse IS NULL THEN [NULL, NULL] ELSE [relative_mae, relative_rmse] END) AS x FROM fs)
+      SELECT model, metric, count(*) - count(x) AS failures, round(avg(x), 8) AS mean, round(quantile_cont(x, 0.5), 8) AS median, round(stddev_pop(x), 8) AS sd, round(min(x), 8) AS best, round(max(x), 8) AS worst FROM v GROUP BY 1, 2""",
 }

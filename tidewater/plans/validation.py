@@ -1,13 +1,14 @@
-"""Queries on walk-forward validation with folds that scale by their own extremes: prices and directions."""
+"""Queries on walk-forward validation with folds that scale by their own extremes, and on strict readers of bars and features."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import clean, features
 from ..operators import validation as V
 from ..sources.shared import written
-from ..sources.tables import BARS_SQL, bars
+from ..sources.tables import BARS_SQL, bars, table
 from .features import rounded
 from .forecasts import _DIAG_LAGS, _DIAG_Q
 
@@ -66,7 +67,23 @@ def direction_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(V.summary(_direction_folds(spark, sf), ("series",), V.DIRECTION_SCORES), ("series", "metric", "n", "folds_completed"), {"mean": 6, "sd": 6})
 
 
-QUERIES = {f.__name__: f for f in (minmax_folds, minmax_residuals, minmax_summary, minmax_diagnostics, direction_folds, direction_summary)}
+def strict_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as bars in the order of their keys: many a day, out of order, volumes with gaps and below 0."""
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("series"), F.to_date("o_orderdate").alias("session"), key.alias("at"), price.alias("open"), price.alias("high"), (price - 2000).alias("low"), price.alias("close"),
+        F.when(key % 53 != 0, key % 41 - 1).alias("volume"))
+    return clean.strict_violations(raw, "at")
+
+
+def feature_contract(spark: SparkSession, sf: str) -> DataFrame:
+    """Returns and volume changes with some sessions twice and one feature absent, against what models ask for."""
+    rows = features.price_returns(bars(spark, sf)).select("series", "session", "return_1d", "volume_change")
+    again = rows.where("dayofmonth(session) = 1")
+    return clean.contract_problems(rows.union(again), ("volume_change", "return_1d", "beta_20"))
+
+
+QUERIES = {f.__name__: f for f in (minmax_folds, minmax_residuals, minmax_summary, minmax_diagnostics, direction_folds, direction_summary, strict_bars, feature_contract)}
 
 
 def _plan_sql(rows: str) -> str:
@@ -137,4 +154,14 @@ SQL = {
     "direction_folds": f"""WITH {_DIRECTION_SQL} SELECT series, fold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tn AS BIGINT) AS tn, n, days, wrong,
       {", ".join(f'round("{k}", 8) AS "{k}"' for k in V.DIRECTION_SCORES)} FROM m""",
     "direction_summary": f"WITH {_DIRECTION_SQL}, {_summary_sql('series', V.DIRECTION_SCORES, 6)}",
+    "strict_bars": """WITH r AS (SELECT o_orderstatus AS series, CAST(o_orderdate AS DATE) AS session, o_orderkey AS k, o_totalprice AS p, CASE WHEN o_orderkey % 53 <> 0 THEN o_orderkey % 41 - 1 END AS volume FROM orders),
+      b AS (SELECT *, lag(session) OVER (PARTITION BY series ORDER BY k) AS earlier FROM r),
+      c AS (SELECT series, session, count(*) AS n, count_if(p IS NULL OR NOT isfinite(p) OR p <= 0 OR p - 2000 <= 0) AS price, count_if(volume IS NULL OR volume < 0) AS volume, count_if(session < earlier) AS back FROM b GROUP BY 1, 2)
+      SELECT series, session, 'duplicate_session' AS violation, n AS rows_found FROM c WHERE n > 1 UNION ALL SELECT series, session, 'bad_price', price FROM c WHERE price > 0
+      UNION ALL SELECT series, session, 'bad_volume', volume FROM c WHERE volume > 0 UNION ALL SELECT series, session, 'disorder', back FROM c WHERE back > 0""",
+    "feature_contract": f"""WITH {BARS_SQL}, f AS (SELECT series, session, ln(close / prev) AS r, ln(1 + volume) - ln(1 + lag(volume) OVER (PARTITION BY series ORDER BY session)) AS v FROM b),
+      u AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE day(session) = 1)
+      SELECT 'missing_column' AS problem, 'beta_20' AS feature, CAST(NULL AS BIGINT) AS rows_found UNION ALL SELECT 'column_order', NULL, NULL
+      UNION ALL SELECT 'duplicate_key', NULL, n FROM (SELECT count(*) AS n FROM (SELECT 1 FROM u GROUP BY series, session HAVING count(*) > 1)) WHERE n > 0
+      UNION ALL SELECT 'missing', 'return_1d', n FROM (SELECT count(*) - count(r) AS n FROM u) WHERE n > 0 UNION ALL SELECT 'missing', 'volume_change', n FROM (SELECT count(*) - count(v) AS n FROM u) WHERE n > 0""",
 }
