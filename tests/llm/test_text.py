@@ -3,12 +3,14 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import hashing, jaccard, ngram, packing, toxicity
 from tidewater.llm.components import components
 from tidewater.llm.eliasfano import EliasFano
+from tidewater.llm.store import released
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -37,6 +40,21 @@ def test_elias_fano_finds_what_is_there(values, asked):
     assert coded.find(x, np.full(len(x), half)).tolist() == [place[v] if place.get(v, half) < half else -1 for v in asked]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 63).flatmap(lambda bits: st.tuples(st.just(bits), st.lists(st.integers(0, (1 << bits) - 1), min_size=1, max_size=200, unique=True))))
+def test_elias_fano_messages_keep_all_numbers(sequence):
+    bits, values = sequence
+    packed = EliasFano.of(np.array(sorted(values), np.uint64), 1 << bits).packed()
+    coded = EliasFano.unpacked(packed)
+    assert coded.values().tolist() == sorted(values) == coded.access(np.arange(len(values))).tolist()
+    assert len(packed) <= 6 + len(values) * (bits - math.log2(len(values)) + 3) / 8 + 2
+
+
+@given(st.lists(st.integers(0, 2**62), min_size=1, max_size=200))
+def test_counts_come_back_from_messages(values):
+    assert ngram._wide(ngram._narrow(np.array(values))).tolist() == values
+
+
 def plain_scores(texts):
     seqs = [(k, ["<s>", "<s>", *(t or "").encode().lower().split(), "</s>"]) for k, t in enumerate(texts)]
     c, c2, c3, n_docs = Counter(), Counter(), Counter(), 0
@@ -69,6 +87,75 @@ def test_lm_scores_match_a_plain_model(spark):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(own, abs=2e-4 * n_tokens)
 
 
+def block_of_words(n=60_000):
+    words = np.random.default_rng(7).zipf(1.3, n) % 5000
+    texts = [" ".join(f"w{w}" for w in part) for part in np.split(words, 200)]
+    data = "".join(texts).encode()
+    lengths = np.array([len(t) for t in texts], np.int64).tobytes()
+    return texts, pa.RecordBatch.from_pydict({"block": [5], "ids": [list(range(200))], "lengths": [lengths], "texts": [zstandard.compress(data)]})
+
+
+def test_messages_of_scoring_take_few_bits_and_lose_no_count():
+    """On disk they were stopped at 4 x input: gaps took whole bytes, and a frequent n-gram widened the counts of all."""
+    texts, block = block_of_words()
+    layout = ngram.Layout(47, 2)
+    sent = pa.Table.from_batches(list(ngram._sent(layout)(iter([block])))).to_pandas()
+    split = [["<s>", "<s>", *t.split(), "</s>"] for t in texts]
+    for order in (1, 2, 3):
+        grams = [[tuple(w[k - order + 1 : k + 1]) for k in range(2, len(w))] for w in split]
+        trained = Counter(g for k, part in enumerate(grams) if zlib.crc32(str(k).encode()) % 5 != 1 for g in part)
+        counts = [trained[g] for g in set(itertools.chain(*grams))]
+        back = [ngram._totals(part) for _, part in sent[sent["level"] == order].groupby("shard")]
+        totals = np.concatenate([ngram._wide(t) for part in back for t in part["totals"][part["block"] == 5]])
+        assert sorted(totals.tolist()) == sorted(counts)
+        assert sum(part["kinds"].sum() for part in back) == len(trained)
+        if order > 1:
+            rows = sent[sent["level"] == order]
+            assert 8 * rows["keys"].map(len).sum() / len(counts) < layout.bits(order) - math.log2(len(counts)) + 3
+            assert 8 * rows["counts"].map(len).sum() / len(counts) < 3
+            assert 8 * sum(map(len, itertools.chain(*(part["totals"] for part in back)))) / len(counts) < 4
+
+
+RELEASED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_shuffle_files_go_when_a_released_query_ends(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+    def left(before):
+        for _ in range(100):
+            if not shuffled() - before:
+                break
+            time.sleep(0.1)
+        return shuffled() - before
+
+    # The frames are held, so that collecting garbage can't be what frees their files.
+    start, before = spark.conf.get(RELEASED), shuffled()
+    with released(spark):
+        held = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count()
+        assert len(held.collect()) == 100
+    assert not left(before) and spark.conf.get(RELEASED) == start
+    with pytest.raises(ZeroDivisionError), released(spark):
+        1 / 0  # noqa: B018
+    assert spark.conf.get(RELEASED) == start
+    assert len(held.collect()) == 100
+
+
+def test_what_blocks_sent_is_released_with_the_totals(spark, monkeypatch):
+    seen, written = {}, ngram.written
+
+    def noted(df, label):
+        seen[label] = spark.conf.get(RELEASED)
+        return written(df, label)
+
+    monkeypatch.setattr(ngram, "written", noted)
+    scores = ngram.scored_documents(docs(spark, block_of_words()[0]))
+    assert seen == {"ngram-blocks": "false", "ngram-totals": "true"} and spark.conf.get(RELEASED) == "false"
+    assert scores.count() == 200
+
+
 def test_lm_scores_of_nothing(spark):
     assert ngram.scored_documents(docs(spark, ["x"]).limit(0)).count() == 0
     row = ngram.scored_documents(spark.createDataFrame([(None, None, "en", "s", 0)], DOCS)).first()
