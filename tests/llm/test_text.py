@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewater.llm import hashing, jaccard, ngram, packing, toxicity
+from tidewater.llm import hashing, jaccard, ngram, packing, store, toxicity
 from tidewater.llm.components import components
 from tidewater.llm.eliasfano import EliasFano
 from tidewater.llm.store import released
@@ -355,6 +356,53 @@ def test_packed_documents(spark):
     assert packing.packed_documents(df.limit(0)).count() == 0
 
 
+def test_small_batches_hold_inside_only(spark):
+    df = docs(spark, ["x" * 1000] * 64).coalesce(1)
+    rows = lambda: [r[0] for r in df.mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in it), "n long").collect()]
+    size, whole = spark.conf.get(store._BATCH), rows()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(store, "SENT_BYTES", 8000)
+        with pytest.raises(KeyError), store.small_batches(spark):
+            cut = rows()
+            raise KeyError
+    assert spark.conf.get(store._BATCH) == size and rows() == whole
+    assert sum(cut) == 64 and max(cut) <= 10 and len(cut) > len(whole)
+
+
+def test_stages_send_texts_in_small_batches(spark, monkeypatch):
+    labels = {"pack-pieces", "jaccard-counts", "jaccard-sketches", "jaccard-sets"}
+    seen = {}
+
+    def watched(df, label, rows_per_file=0):
+        seen[label] = spark.conf.get(store._BATCH)
+        return store.written(df, label, rows_per_file)
+
+    texts = [" ".join(f"w{k // 2 * 7 + j}" for j in range(40)) + " end" * (k % 2) for k in range(60)] + [None, "", "one"]
+    df = docs(spark, texts)
+    one, packed = (sorted(map(tuple, found.collect())) for found in (jaccard.one_of_each(df, 5, 80).select("doc_id"), packing.packed_documents(df)))
+    monkeypatch.setattr(store, "SENT_BYTES", 500)
+    for module in (jaccard, packing):
+        monkeypatch.setattr(module, "written", watched)
+    assert sorted(map(tuple, jaccard.one_of_each(df, 5, 80).select("doc_id").collect())) == one
+    assert sorted(map(tuple, packing.packed_documents(df).collect())) == packed
+    assert {seen[x] for x in labels} == {"500"} and len(one) == 33
+
+
+def test_encoder_needs_little_beside_its_words():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(3))
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(word() for _ in range(2000)) for _ in range(400)])], ["text"])
+    encoder = packing.Encoder(packing.tokenizer_path())
+    for part in store.sliced(iter([batch]), "text", packing.BATCH_BYTES):  # all words are known from here on
+        encoder(part["text"])
+    tracemalloc.start()
+    for part in store.sliced(iter([batch]), "text", packing.BATCH_BYTES):
+        encoder(part["text"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
 def encoded(encoder, texts):
     ids, bounds = encoder(pa.array(texts, pa.string()))
     return [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
@@ -393,6 +441,19 @@ def test_toxicity_keeps_clashing_columns_and_survives_uninformative_texts(spark)
     assert np.isfinite(w).all()
 
 
+def test_toxicity_is_sent_each_column_once_and_hands_back_small_batches(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"kind{k % 2} " + "word " * 50, k, k) for k in range(40)], "doc_id long, TEXT string, `a.b` int, `p_toxic` long")
+    labels = spark.createDataFrame([(k, k % 2, int(k % 8 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    sent, judged = [], toxicity.judged
+    monkeypatch.setattr(toxicity, "judged", lambda docs, labels: judged(sent.append(docs.schema) or docs, labels))
+    monkeypatch.setattr(toxicity, "SCORED_BYTES", 600)
+    kept = toxicity.without_toxic(df, labels)
+    assert sent[0].simpleString().count("string") == 1 and kept.columns == df.columns
+    rows = sorted(map(tuple, kept.collect()))
+    assert rows and set(rows) <= set(map(tuple, df.collect())) and len(set(rows)) == len(rows)
+    assert sorted(map(tuple, toxicity.without_toxic(df, labels.limit(0)).collect())) == sorted(map(tuple, df.collect()))
+
+
 def thue_morse(length, letters):
     """Two words of one length and the same letters whose polynomial hashes agree modulo powers of two."""
     bits = [bin(k).count("1") % 2 for k in range(length)]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import MIX, word_hashes
-from .store import free_name, quoted, sliced, written
+from .store import free_name, quoted, sliced, small_batches, written
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -518,7 +518,8 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     row = free_name(docs, "_row")
     keyed = _keyed(docs, row)
-    found = _joined(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
+    with small_batches(docs.sparkSession):
+        found = _joined(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
     named = found.select(F.col("doc_id").alias(row), "component_id").join(keyed.select(row, "doc_id"), row)
     named = written(named, "jaccard-rows")
     stays = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(row).alias("row")))["row"].alias(row))

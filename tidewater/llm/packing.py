@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .hashing import hashed, lower, same_words, text_bytes, word_bounds
-from .store import sliced, written
+from .store import sliced, small_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,7 +41,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct parts of words, and bytes of their ids, that a worker process keeps.
 CACHED_PARTS, CACHED_BYTES = 400_000, 16 << 20
 #: Bytes of text encoded at once (a longer text alone), and parts of words given to the tokenizer at once.
-BATCH_BYTES, TOGETHER = 2 << 20, 1000
+BATCH_BYTES, TOGETHER = 1 << 19, 1000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -453,4 +453,6 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return assign(written(pieces(docs, path), "pack-pieces"))
+    with small_batches(docs.sparkSession):
+        cut = written(pieces(docs, path), "pack-pieces")
+    return assign(cut)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .store import written
+from .store import quoted, sliced, written
 
 #: (category, label column, value that means positive), in the order of the chain.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -45,6 +45,8 @@ TELLING = 5.0
 LEAST_SEEN = 3
 SEED = 4_001
 KNOWN_WORDS = 150_000
+#: Bytes of text that a worker scores and hands back at once.
+SCORED_BYTES = 2 << 20
 PREFIXES = (4, 5, 6)
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -253,7 +255,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
+        for batch in sliced(batches, "text", SCORED_BYTES):
             probabilities = np.empty((len(names), batch.num_rows))
             for j, text in enumerate(batch["text"]):
                 features, odds = words(text.as_py()), []
@@ -274,6 +276,9 @@ def judged_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with their own columns."""
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
-    return judged(own, labels).where(~F.col("rejected")).select("_row.*")
+    """The documents that aren't rejected, with their own columns, each of which is sent to the classifier once."""
+    needed = ("doc_id", "text")
+    sent = [c.lower() if c.lower() in needed else f"_{k}" for k, c in enumerate(docs.columns)]
+    own = docs.select(*(F.col(q).alias(s) for q, s in zip(quoted(docs), sent, strict=True)))
+    kept = judged(own, labels).where(~F.col("rejected"))
+    return kept.select(*(F.col(s).alias(c) for s, c in zip(sent, docs.columns, strict=True)))
