@@ -206,6 +206,46 @@ def test_jaccard_join_matches_all_pairs(spark, monkeypatch, width, percent):
     assert found == plain_components(texts, width, percent)
 
 
+def test_linked_sets_agree_on_a_part_of_the_smaller_ones_band():
+    rng = np.random.default_rng(1)
+    for percent, _ in itertools.product((30, 60, 80, 85, 99, 100), range(300)):
+        a = int(rng.integers(1, 150))
+        b = int(rng.integers(a, 100 * a // percent + 1))
+        shared = -(-percent * (a + b) // (100 + percent))
+        if shared > a:
+            continue
+        pool = np.unique(rng.integers(1, 1 << 63, a + b - shared, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        x, y = np.sort(pool[:a]), np.sort(np.concatenate((pool[:shared], pool[a:])))
+        keys, owners = jaccard.part_keys([np.zeros(0, np.uint64), x, y], percent)
+        both = set(keys[owners == 1].tolist()) & set(keys[owners == 2].tolist())
+        band = sum(low <= a for low in jaccard.band_bounds(percent)) - 1
+        assert any(key % (1 << jaccard.BAND_BITS) == band for key in both) and set(owners.tolist()) == {1, 2}
+
+
+def test_sets_of_common_members_are_not_compared_all_with_all(spark, monkeypatch):
+    for name, value in (("HOT_COUNT", 30), ("LOCAL_LEAST", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    counts, released_ = {}, set()
+
+    def watched(df, label, rows_per_file=0):
+        found = store.written(df, label, rows_per_file)
+        counts.setdefault(label, found.count())
+        released_.add(spark.conf.get(store._RELEASED, "false"))
+        return found
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rng = random.Random(7)
+    # Every text is made of passages that many have, but no two of the same ones.
+    passages = [" ".join(f"p{k}w{j}" for j in range(25)) for k in range(14)]
+    texts = [" ".join(passages[k] for k in order) for order in rng.sample(list(itertools.combinations(range(14), 3)), 240)]
+    texts += [texts[3] + " more", texts[4] + " more", texts[5][:-1]]
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join_documents(docs(spark, texts), 4, 85).collect()}
+    assert found == plain_components(texts, 4, 85) and sum(x[2] > 0 for x in found.values()) >= 6
+    assert counts["jaccard-members"] < 60
+    assert released_ == {"true"} and spark.conf.get(store._RELEASED, "false") == "false"
+
+
 def test_jaccard_keeps_one_of_each_and_odd_rows(spark):
     texts = ["a b c d e f g"] * 3 + ["other words stand in this one here", None, ""]
     df = docs(spark, texts)

@@ -6,10 +6,12 @@ order, rarest first; linked sets share a member of their first ``n - ceil(percen
 
 1. Equal sets become a class, and classes with equal prefix and size become one group.
 2. Groups that share a prefix member are paired if their sizes allow a link, unless the member's bucket is large.
-3. Group pairs are expanded to classes. Parity bitmaps rule out pairs that are too far apart, without false dismissals;
+3. The sets of groups in large buckets are cut, per band of sizes, into more parts than linked sets of the band can
+   differ in members, so linked sets agree on a part whole. Sets are paired that do, unless the part's bucket is large.
+4. Pairs are expanded to classes. Parity bitmaps rule out pairs that are too far apart, without false dismissals;
    the sets of the others are fetched once and verified exactly.
-4. Large buckets are joined, per band of sizes, to clusters of members that occur together; each cluster is cut into
-   blocks of bounded size, and every two blocks are compared in a task of their own. Only counts and a spanning forest leave such a task.
+5. Large buckets of parts are joined to clusters of sets that agree; each cluster is cut into blocks of bounded size,
+   and every two blocks are compared in a task of their own. Only counts and a spanning forest leave such a task.
 
 The order needs no exact counts, any order would be right: it uses the heaviest of a fixed number of cells of shingles
 and words, found from counts over all texts. Shingles are 64-bit hashes. Null texts are empty. Rows of one id count as
@@ -18,18 +20,20 @@ one document with each of their texts; every row without an id is a document of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import MIX, word_hashes
-from .store import free_name, quoted, sliced, small_batches, written
+from .store import free_name, quoted, released, sliced, small_batches, written
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -46,6 +50,11 @@ SLICE_BYTES = 4 << 20
 FLAT_COLUMNS = 8192
 FILTER_BITS = 1 << 22
 LEAST_WIDTH = 256
+#: Bits of a part's key that hold its band, sizes up to which bands go, and the share of sets that may have too many empty parts.
+BAND_BITS = 12
+LARGEST = 1 << 40
+EMPTY_SHARE = 1e-3
+SPARE = 8
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -215,27 +224,129 @@ def _wanted_bits(wanted: DataFrame) -> np.ndarray:
     return bits
 
 
-def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, members (sorted 64-bit hashes) of the wanted classes, from the texts of their representatives."""
+def _asked(docs: DataFrame, wanted: DataFrame, width: int, rows: Callable[[pa.Array, list[np.ndarray]], pa.RecordBatch], schema: str) -> DataFrame:
+    """rows of the ids and the distinct members of the wanted classes' representatives; others may be among them."""
     bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(wanted))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SLICE_BYTES):
             cell = batch["cell"].to_numpy()
             asked = batch.take(pa.array(np.flatnonzero(bits.value[cell >> 5] >> (cell & 31) & 1)))
-            members = [distinct(own).tobytes() for _, own in shingled(asked["text"], width)[2]]
-            digests = [xxhash.xxh128_digest(x) for x in members]
-            yield pa.RecordBatch.from_arrays([asked["rep"], pa.array(digests, pa.binary()), pa.array(members, pa.binary())], ["rep", "digest", "members"])
+            yield rows(asked["rep"], [distinct(own) for _, own in shingled(asked["text"], width)[2]])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("cell"), "text")
-    found = named.mapInArrow(take, "rep long, digest binary, members binary")
+    return named.mapInArrow(take, schema)
+
+
+def fetched_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """rep, members (sorted 64-bit hashes) of the wanted classes, from the texts of their representatives."""
+
+    def rows(reps: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        members = [x.tobytes() for x in sets]
+        digests = [xxhash.xxh128_digest(x) for x in members]
+        return pa.RecordBatch.from_arrays([reps, pa.array(digests, pa.binary()), pa.array(members, pa.binary())], ["rep", "digest", "members"])
+
+    found = _asked(docs, wanted, width, rows, "rep long, digest binary, members binary")
     return found.join(wanted, ["rep", "digest"]).dropDuplicates(["rep", "digest"]).select("rep", "members")
 
 
+# ---- parts
+
+
+@cache
+def band_bounds(percent: int) -> list[int]:
+    """The least size of each band, such that sizes that can link are in one band or in two neighbours."""
+    bounds = [1]
+    while bounds[-1] < LARGEST:
+        bounds.append(max(bounds[-1] + 1, 100 * (bounds[-1] - 1) // percent + 1) if percent < 100 else LARGEST)
+    return bounds
+
+
+def band_of(n: Column, percent: int) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, band_bounds(percent))), lambda low: low <= n)) - 1
+
+
+@cache
+def parts_of(band: int, percent: int) -> tuple[int, int]:
+    """(parts, empty ones that are too many) for pairs whose smaller set is in the band.
+
+    Linked sets differ in few members, so they agree on all parts but as many; a set with fewer empty parts than the
+    rest agrees on one that isn't empty. As many parts are added as keep sets with too many empty ones rare. Where low
+    percentages leave no such number, all sets of the band have too many.
+    """
+    bounds = band_bounds(percent)
+    least, most = bounds[band], bounds[band + 1] - 1
+    apart = most * (100 - percent) // percent
+    if not apart:
+        return 1, 1
+    tried = []
+    for spare in range(1 + max(SPARE, apart // 4) if apart <= SPARE**2 else 0):
+        parts = apart + 1 + spare
+        empty = parts * math.exp(-least / parts)
+        tried.append((1 - sum(math.exp(k * math.log(empty) - empty - math.lgamma(k + 1)) for k in range(spare + 1)), parts))
+        if tried[-1][0] <= EMPTY_SHARE:
+            break
+    if not tried:  # many parts, whose empty ones are near normal
+        parts = apart + 1
+        for _ in range(8):
+            empty = parts * math.exp(-least / parts)
+            parts = min(2 * apart, apart + 1 + math.ceil(empty + 4 * math.sqrt(empty)))
+        tried.append((EMPTY_SHARE if parts < 2 * apart else 1.0, parts))
+    share, parts = min(tried)
+    return (parts, parts - apart) if share < 0.2 else (1, 0)
+
+
+def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of these sets, in their own band and in the one before if smaller sets link there, and whose they are.
+
+    Sets with too many empty parts have the band's key for such sets beside those of their parts.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    bounds = np.array(band_bounds(percent))
+    own = np.searchsorted(bounds, size, "right") - 1
+    lowest = np.searchsorted(bounds, -(-percent * size // 100), "right") - 1
+    mixed = flat ^ (flat >> np.uint64(31))
+    mixed *= MIX
+    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for band, here in ((own, size > 0), (own - 1, lowest < own)):
+        at = np.flatnonzero(here)
+        if not len(at):
+            continue
+        among = np.repeat(here, size)
+        parts, many = np.array([parts_of(b, percent) for b in band[at].tolist()], np.int64).T
+        starts = np.cumsum(parts) - parts
+        of = np.repeat(np.arange(len(at)), size[at])
+        slot = starts[of] + ((flat[among] >> np.uint64(32)) * parts[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        np.add.at(sums, slot, mixed[among])
+        filled = np.bincount(slot, minlength=len(sums)) > 0
+        owner = np.repeat(np.arange(len(at)), parts)
+        sums ^= (np.arange(len(sums)) - starts[owner] + 1).astype(np.uint64) * MIX
+        sparse = np.flatnonzero(parts - np.add.reduceat(filled.astype(np.int64), starts) >= many)
+        sums, owner = np.concatenate((sums[filled], np.zeros(len(sparse), np.uint64))), np.concatenate((owner[filled], sparse))
+        sums ^= sums >> np.uint64(32)
+        sums *= MIX
+        sums ^= sums >> np.uint64(29)
+        keys.append((sums << np.uint64(BAND_BITS) | band[at][owner].astype(np.uint64)).view(np.int64))
+        owners.append(at[owner])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def parts(docs: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, rep of the parts of the wanted classes; other classes may be among them."""
+
+    def rows(reps: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        keys, owners = part_keys(sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(keys), reps.take(pa.array(owners))], ["key", "rep"])
+
+    return _asked(docs, wanted, width, rows, "key long, rep long")
+
+
 # ---- group pairs
 
 
-def _bucket_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bucket_pairs(percent: int = 0) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows sorted by token -> pairs of groups (a, b), or (a, token) with large = true for buckets that are too large."""
 
     def emit(a: np.ndarray, b: np.ndarray, large: bool) -> pa.RecordBatch:
@@ -298,7 +409,7 @@ def _near_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 width = 8 * min(len(x), len(y))
                 apart = np.bitwise_count(folded(np.frombuffer(x, np.uint8), width) ^ folded(np.frombuffer(y, np.uint8), width)).sum()
                 kept.append(bool(may_link(apart, a, b, percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(["a", "b", "ac", "bc"]).filter(pa.array(kept, pa.bool_()))
 
     return near
 
@@ -413,21 +524,19 @@ def _block_links(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return link
 
 
-def _clusters(large: DataFrame, percent: int) -> DataFrame:
-    """(gid, cluster, home): groups whose large buckets hang together through members that occur in one group.
+def _clusters(large: DataFrame) -> DataFrame:
+    """(cid, cluster, home): classes whose large buckets of parts hang together through classes in two of them.
 
-    Only sizes in the same or the next band can link, so every band has clusters of its own, with the groups of the band
-    (at home there) and of the next; two groups meet where the smaller is at home.
+    large: cid, key, home. A band's keys are its own, so a class is in two clusters at most: of its band, where it is at
+    home, and of the one before; two classes meet where the smaller is at home.
     """
-    width = float(np.log(100 / percent) * 1.0001) if percent < 100 else 1e-9
-    banded = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
-    cells = banded.select("gid", "token", F.explode(F.array(F.struct("band", F.lit(True).alias("home")), F.struct((F.col("band") - 1).alias("band"), F.lit(False).alias("home")))).alias("_c"))
-    nodes = written(cells.select("gid", "_c.home", F.xxhash64("_c.band", "token").alias("node")), "jaccard-nodes")
-    lowest = written(nodes.groupBy("gid", "home").agg(F.min("node").alias("low")), "jaccard-low")
-    edges = nodes.join(lowest, ["gid", "home"]).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = written(large.select("cid", "home", F.col("key").alias("node")).distinct(), "jaccard-nodes")
+    lowest = written(nodes.groupBy("cid", "home").agg(F.min("node").alias("low")), "jaccard-low")
+    edges = nodes.join(lowest, ["cid", "home"]).select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     joined = components(edges)
-    named = lowest.join(joined.select(F.col("node").alias("low"), "component"), "low", "left")
-    return written(named.select("gid", F.coalesce("component", "low").alias("cluster"), "home"), "jaccard-clusters")
+    named = lowest.join(joined.select(F.col("node").alias("low"), "component"), "low", "left").select("cid", F.coalesce("component", "low").alias("cluster"), "home")
+    named = written(named, "jaccard-clusters")
+    return named.join(named.where("home").select("cluster").distinct(), "cluster", "left_semi")
 
 
 # ---- the join
@@ -440,6 +549,11 @@ def _keyed(docs: DataFrame, row: str = "_row") -> DataFrame:
 
 def join_documents(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links, null if there is none), n_links (other documents it links with)."""
+    with released(docs.sparkSession):
+        return _linked(docs, width, percent)
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if docs.where("doc_id is null").isEmpty():
         return _joined(docs, width, percent)
     # Rows without an id need numbers to be told apart; rows of one id are then brought together again.
@@ -459,7 +573,7 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The join of documents that have an id."""
     drawn = written(sketches(docs, width, percent), "jaccard-sketches")
     classes = drawn.where("n > 0").groupBy("digest", "gid", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("bits").alias("bits"))
-    classes = written(classes, "jaccard-classes")
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     alone = classes.where(F.col("rep").isNotNull())
     groups = written(alone.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("leader")), "jaccard-groups")
     led = drawn.where("n > 0").select("doc_id", "gid", "prefix", "hot").join(groups, "gid").where("doc_id = leader").select("gid", "n", "m", "prefix", "hot")
@@ -470,23 +584,33 @@ def _joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sorted_ = cold.repartition("token").sortWithinPartitions("token", "n")
     met = written(sorted_.select("token", "gid", "n", "m").mapInArrow(_bucket_pairs(percent), "a long, b long, large boolean"), "jaccard-met")
     own = groups.where("m > 1")
-    large = hot.unionByName(met.where("large").select(F.col("a").alias("gid"), F.col("b").alias("token"))).unionByName(own.where(F.col("m") > BUCKET).select("gid", F.col("gid").alias("token")))
-    large = written(large.join(groups.select("gid", "n"), "gid"), "jaccard-large")
-    clusters = _clusters(large, percent)
+    crowded = hot.select("gid").unionByName(met.where("large").select(F.col("a").alias("gid"))).unionByName(own.where(F.col("m") > BUCKET).select("gid")).distinct()
+    crowded = written(alone.join(crowded, "gid", "left_semi").select("rep"), "jaccard-crowded")
+    cut = parts(docs, crowded, width, percent).select(F.col("key").alias("token"), F.col("rep").alias("gid"))
+    sorted_ = cut.repartition("token").sortWithinPartitions("token").withColumns({"n": F.lit(1), "m": F.lit(1)})
+    agreeing = written(sorted_.mapInArrow(_bucket_pairs(), "a long, b long, large boolean"), "jaccard-agreeing")
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1)
+    large = agreeing.where("large").select(F.col("a").alias("rep"), F.col("b").alias("key")).join(alone.select("rep", "cid", "n"), "rep")
+    large = large.withColumn("above", band_of(F.col("n"), percent) - band).where("above in (0, 1)").select("cid", "key", (F.col("above") == 0).alias("home"))
+    clusters = _clusters(large)
 
     pairs = met.where("not large").select("a", "b").unionByName(own.where(F.col("m") <= BUCKET).select(F.col("gid").alias("a"), F.col("gid").alias("b"))).distinct()
-    # What meets in a cluster is compared there.
     pairs = written(pairs, "jaccard-pairs")
-    of = lambda side: clusters.select(F.col("gid").alias(side), "cluster", F.col("home").alias(f"home_{side}"))
-    meeting = pairs.join(of("a"), "a").join(of("b"), ["b", "cluster"]).where("home_a or home_b").select("a", "b").distinct()
-    pairs = pairs.join(written(meeting, "jaccard-meeting"), ["a", "b"], "left_anti")
-    side = lambda g, x: alone.select(F.col("gid").alias(g), F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}b"))
-    expanded = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where("x <> y and (a <> b or x < y)")
+    side = lambda key, to, x: alone.select(F.col(key).alias(to), F.col("rep").alias(x), F.col("cid").alias(f"{x}c"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"{x}b"))
+    expanded = pairs.join(side("gid", "a", "x"), "a").join(side("gid", "b", "y"), "b").where("x <> y and (a <> b or x < y)")
+    agreed = agreeing.where("not large and a <> b").select("a", "b").distinct()
+    expanded = expanded.unionByName(agreed.join(side("rep", "a", "x"), "a").join(side("rep", "b", "y"), "b"))
     fits = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    fitting = expanded.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"), "xb", "yb", "nx", "ny")
-    candidates = written(fitting.mapInArrow(_near_pairs(percent), "a long, b long"), "jaccard-candidates")
+    fitting = expanded.where(fits).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("xc").alias("ac"), F.col("yc").alias("bc"), "xb", "yb", "nx", "ny")
+    near = fitting.mapInArrow(_near_pairs(percent), "a long, b long, ac long, bc long")
+    turned = F.when(F.col("ac") < F.col("bc"), F.struct("a", "b", "ac", "bc")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("bc").alias("ac"), F.col("ac").alias("bc")))
+    candidates = written(near.select(turned.alias("_p")).select("_p.*").distinct(), "jaccard-candidates")
+    # What meets in a cluster is compared there.
+    of = lambda x: clusters.select(F.col("cid").alias(x), "cluster", F.col("home").alias(f"home_{x}"))
+    meeting = candidates.select("ac", "bc").join(of("ac"), "ac").join(of("bc"), ["bc", "cluster"]).where("home_ac or home_bc").select("ac", "bc").distinct()
+    candidates = written(candidates.join(meeting, ["ac", "bc"], "left_anti").select("a", "b"), "jaccard-candidates")
 
-    members = written(alone.join(clusters, "gid").select("cluster", "home", "rep", "docs", "n", "bits"), "jaccard-members")
+    members = written(alone.join(clusters, "cid").select("cluster", "home", "rep", "docs", "n", "bits"), "jaccard-members")
     hoping = _in_blocks(members, "length(bits)", "jaccard-blocks").groupBy("cluster", "i", "j").applyInPandas(_block_hopes(percent), "cluster long, rep long")
     members = written(members.drop("bits").join(written(hoping.distinct(), "jaccard-hoping"), ["cluster", "rep"]), "jaccard-members")
     wanted = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).union(members.select("rep")).distinct()
@@ -518,7 +642,7 @@ def one_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """
     row = free_name(docs, "_row")
     keyed = _keyed(docs, row)
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), released(docs.sparkSession):
         found = _joined(keyed.select(F.col(row).alias("doc_id"), "text"), width, percent).where("n_shingles > 0")
     named = found.select(F.col("doc_id").alias(row), "component_id").join(keyed.select(row, "doc_id"), row)
     named = written(named, "jaccard-rows")
