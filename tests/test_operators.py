@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -177,3 +178,22 @@ def test_news_features_match_a_loop_and_refuse_a_clash(spark):
         assert row["sentiment"] == pytest.approx(sum(w * m[3] for w, m in zip(weights, seen, strict=True)) / total if seen else 0.0)
     with pytest.raises(ValueError, match="novelty"):
         news.with_news(frame.withColumn("novelty", F.lit(1.0)), articles)
+
+
+def test_articles_find_the_next_session_however_many(spark):
+    days = [dt.date(2024, 1, 3), dt.date(2024, 1, 8), dt.date(2024, 1, 9)]
+    sessions = spark.createDataFrame([("A", d) for d in days] + [("B", days[1]), (None, days[0])], "series string, session date").union(spark.createDataFrame([("A", None)], "series string, session date"))
+    at = lambda text: None if text is None else dt.datetime.fromisoformat(text)
+    given = [
+        (1, "A", "1999-05-01T10:00:00", days[0]), (2, "A", "2024-01-03T15:59:00", days[0]), (3, "A", "2024-01-03T16:00:00", days[1]), (4, "A", "2024-01-09T16:00:00", None),
+        (5, "B", "2024-01-08T00:00:00", days[1]), (6, "B", "2024-01-08T00:00:01", None), (7, "A", None, None), (8, None, "2024-01-02T00:00:00", None), (9, "C", "2024-01-02T00:00:00", None),
+    ]
+    articles = spark.createDataFrame([(k, ticker, at(t), None) for k, ticker, t, _ in given], "doc_id long, ticker string, published_at timestamp, received_at timestamp")
+    found = news.to_sessions(articles, sessions, always=F.col("ticker") == "B")
+    assert found.columns == ["doc_id", "ticker", "published_at", "received_at", "available_at", "session"]
+    assert {r["doc_id"]: r["session"] for r in found.collect()} == {k: session for k, _, _, session in given}
+    # One ticker with many articles: quadratic work would take minutes.
+    many = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("A").alias("ticker"), F.timestamp_seconds(F.lit(1704000000) + F.col("id")).alias("published_at"), F.lit(None).cast("timestamp").alias("received_at"))
+    began = time.monotonic()
+    assert news.to_sessions(many, sessions).where("session is not null").count() == 300_000
+    assert time.monotonic() - began < 60

@@ -126,19 +126,24 @@ def to_sessions(articles: DataFrame, sessions: DataFrame, close_hour: int = CLOS
     """Each article's session: the first one on or after the day it is available, or after it from the close on.
 
     always: whether the article's ticker trades around the clock; then a session starts at midnight, and an article
-    that came later than that waits for the next one. Articles and sessions meet on one timeline per ticker, so no range join is needed. Null if no session follows.
+    that came later than that waits for the next one. Every day up to a session has its row in a calendar, so articles
+    find theirs by an equi-join, whatever their number. Null if no session follows or the article has no date.
     """
     available = F.greatest("published_at", "received_at")
     day = F.when(F.hour(available) >= close_hour, F.date_add(F.to_date(available), 1)).otherwise(F.to_date(available))
     if always is not None:
         midnight = F.date_trunc("day", available)
         day = F.when(always, F.date_add(F.to_date(available), F.when(available > midnight, 1).otherwise(0))).otherwise(day)
-    left = articles.withColumn("available_at", available).withColumn("_day", day).withColumn("_session", F.lit(None).cast("date"))
-    right = sessions.select(F.col("series").alias("ticker"), F.col("session").alias("_day"), F.col("session").alias("_session"))
-    union = left.unionByName(right, allowMissingColumns=True)
-    # Of one day the session comes last, so that the day's articles see it.
-    w = W.partitionBy("ticker").orderBy("_day", F.col("_session").isNotNull()).rowsBetween(0, W.unboundedFollowing)
-    return union.withColumn("session", F.first("_session", ignorenulls=True).over(w)).where("_session is null").drop("_day", "_session")
+    names = list(dict.fromkeys((*articles.columns, "available_at", "session")))
+    dates = sessions.where("series is not null and session is not null").select(F.col("series").alias("ticker"), F.col("session").alias("_session")).distinct()
+    # A ticker's first session also has the days before it; those count as its own day.
+    per = W.partitionBy("ticker")
+    spans = dates.select("ticker", "_session", F.coalesce(F.date_add(F.lag("_session").over(per.orderBy("_session")), 1), "_session").alias("_from"))
+    calendar = spans.select("ticker", "_session", F.explode(F.sequence("_from", "_session")).alias("_day"))
+    first = dates.groupBy("ticker").agg(F.min("_session").alias("_first"))
+    rows = articles.drop("session").withColumn("_day", day).withColumn("available_at", available).join(first, "ticker", "left")
+    rows = rows.withColumn("_day", F.when(F.col("_day") < F.col("_first"), F.col("_first")).otherwise(F.col("_day")))
+    return rows.join(calendar, ["ticker", "_day"], "left").withColumnRenamed("_session", "session").select(*names)
 
 
 #: Half-lives per block of the scaled weights; frames are shorter than a block.

@@ -54,7 +54,8 @@ def news_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def news_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return news.to_sessions(articles(spark, sf), bars(spark, sf), always=F.col("ticker") == "MACHINERY").select("doc_id", "ticker", "session")
+    rows = news.to_sessions(articles(spark, sf), bars(spark, sf), always=F.col("ticker") == "MACHINERY")
+    return rows.groupBy("doc_id", "ticker").agg(F.min("session").alias("session"))
 
 
 def news_decay_features(spark: SparkSession, sf: str) -> DataFrame:
