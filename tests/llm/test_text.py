@@ -246,6 +246,27 @@ def test_sets_of_common_members_are_not_compared_all_with_all(spark, monkeypatch
     assert released_ == {"true"} and spark.conf.get(store._RELEASED, "false") == "false"
 
 
+def test_near_copies_of_common_members_stay_few_and_files_go(spark, monkeypatch):
+    for name, value in (("HOT_COUNT", 30), ("LOCAL_LEAST", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    members, released_ = [], set()
+
+    def watched(df, label, rows_per_file=0):
+        found = store.written(df, label, rows_per_file)
+        if label == "jaccard-members":
+            members.append(found.count())
+        if label in ("jaccard-sketches", "jaccard-met", "jaccard-compared"):
+            released_.add(spark.conf.get(store._RELEASED, "false"))
+        return found
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    passages = [" ".join(f"p{k}w{j}" for j in range(25)) for k in range(24)]
+    texts = [" ".join(passages[k] for k in order) for order in random.Random(7).sample(list(itertools.combinations(range(24), 6)), 240)]
+    kept = jaccard.one_of_each(docs(spark, [*texts, texts[3] + " more", texts[4]]), 5, 80)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == list(range(240))
+    assert members[0] < 60 and released_ == {"true"} and spark.conf.get(store._RELEASED, "false") == "false"
+
+
 def test_jaccard_keeps_one_of_each_and_odd_rows(spark):
     texts = ["a b c d e f g"] * 3 + ["other words stand in this one here", None, ""]
     df = docs(spark, texts)
